@@ -1,59 +1,37 @@
-"""Analytic component profiles as columns over a model's parameter struct.
+"""Analytic component profiles over a model's parameter structs.
 
-Every function takes the struct column of one component (``disk``, ``gas`` ...)
-as laid out in :mod:`halocline.operators.models`, so a points table joined to a
-model catalog evaluates them in one projection.
+Profiles are given as stages (see :mod:`halocline.functions.stages`) whose column
+names start with a prefix per component, so that several components of several
+models are evaluated side by side.  The parameters of a component that is
+absent or switched off are null, and so is everything computed from them.
 """
 
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from halocline.functions.special import erfc, ln_cosh, sech2
+from halocline.functions.special import erfc_polynomial, ln_cosh, sech2
+from halocline.functions.stages import Stage, Stages
 
 FOUR_PI = 4.0 * math.pi
 
+DISK_FIELDS = ("mass", "scale_length", "outer_radius", "scale_height", "trunc_width")
+GAS_FIELDS = ("mass", "scale_length", "outer_radius", "z_scale", "trunc_width", "rz_scale", "z_max")
+HALO_FIELDS = ("v0", "a", "cusp")
 
-class Taper(NamedTuple):
-    """Outer cut-off of a disk: kept fraction and minus its slope in r."""
-
-    keep: Column
-    slope: Column
-
-
-class Radial(NamedTuple):
-    """A radial function f with f'/r and f''."""
-
-    f: Column
-    df_over_r: Column
-    d2f: Column
 
+def enabled(component: Column) -> Column:
+    """False for absent components."""
+    return F.coalesce(component["enabled"], F.lit(False))
 
-def taper(r: Column, outer: Column, width: Column) -> Taper:
-    """Half erfc of (r-outer)/(sqrt(2) width); exactly 1 or 0 four units away."""
-    t = (r - outer) / width * math.sqrt(0.5)
-    inside = t < -4.0
-    near = (t >= -4.0) & (t <= 4.0)
-    keep = F.when(inside, 1.0).when(near, erfc(t) * 0.5).otherwise(0.0)
-    slope = F.when(near, F.exp(-t * t) / (width * math.sqrt(2.0 * math.pi))).otherwise(0.0)
-    return Taper(keep, slope)
 
-
-def tapered_exponential(r: Column, norm: Column, scale: Column, outer: Column, width: Column) -> Radial:
-    """norm * exp(-r/scale) * taper(r) with its radial derivatives (zero at r=0)."""
-    cut = taper(r, outer, width)
-    e = norm * F.exp(-r / scale)
-    off_centre = r > 0.0
-    df = F.when(off_centre, F.try_divide(-e * (cut.keep / scale + cut.slope), r)).otherwise(0.0)
-    d2 = F.when(
-        off_centre,
-        e * (cut.keep / (scale * scale) + cut.slope * (F.lit(2.0) / scale + (r - outer) / (width * width))),
-    ).otherwise(0.0)
-    return Radial(e * cut.keep, df, d2)
+def parameters(prefix: str, component: Column, names: tuple[str, ...]) -> Stage:
+    """The component's parameters as flat columns, null where it is switched off."""
+    on = enabled(component)
+    return {f"{prefix}{n}": F.when(on, component[n]) for n in names}
 
 
 # ---- normalisations -------------------------------------------------------
@@ -76,142 +54,184 @@ def bulge_const(b: Column) -> Column:
     return b["v0"] * b["v0"] / (b["a"] * b["a"] * FOUR_PI)
 
 
-def enabled(component: Column) -> Column:
-    """False for absent components."""
-    return F.coalesce(component["enabled"], F.lit(False))
+# ---- tapered exponentials -----------------------------------------------------
+
+def taper(p: str, t: Column) -> Stages:
+    """``{p}keep``: erfc(t)/2, exactly 1 or 0 more than four units away."""
+    c = lambda n: F.col(p + n)
+    return [
+        {f"{p}t": t},
+        {f"{p}u": F.lit(1.0) / (F.abs(c("t")) * 0.5 + 1.0)},
+        {f"{p}tail": c("u") * F.exp(erfc_polynomial(c("u")) - c("t") * c("t")) * 0.5},
+        {
+            f"{p}keep": F.when(c("t") < -4.0, 1.0)
+            .when(c("t") < 0.0, F.lit(1.0) - c("tail"))
+            .when(c("t") <= 4.0, c("tail"))
+            .when(c("t") > 4.0, 0.0)
+        },
+    ]
+
+
+def tapered_exponential(p: str, r: Column, norm: Column) -> Stages:
+    """norm * exp(-r/scale) * taper with its derivatives: ``{p}f``, ``{p}f1`` = f'/r, ``{p}f2`` = f''.
+
+    The taper runs over sqrt(2) widths; both derivatives are zero at r = 0.
+    """
+    c = lambda n: F.col(p + n)
+    t = (r - c("outer_radius")) / c("trunc_width") * math.sqrt(0.5)
+    stages = taper(p, t)
+    stages[1] |= {
+        f"{p}e": norm * F.exp(-r / c("scale_length")),
+        f"{p}slope": F.when(
+            F.abs(c("t")) <= 4.0, F.exp(-c("t") * c("t")) / (c("trunc_width") * math.sqrt(2.0 * math.pi))
+        ).when(c("t").isNotNull(), 0.0),
+    }
+    scale, width = c("scale_length"), c("trunc_width")
+    off_centre = r > 0.0
+    stages.append(
+        {
+            f"{p}f": c("e") * c("keep"),
+            f"{p}f1": F.when(off_centre, F.try_divide(-c("e") * (c("keep") / scale + c("slope")), r)).otherwise(0.0),
+            f"{p}f2": F.when(
+                off_centre,
+                c("e")
+                * (
+                    c("keep") / (scale * scale)
+                    + c("slope") * (F.lit(2.0) / scale + (r - c("outer_radius")) / (width * width))
+                ),
+            ).otherwise(0.0),
+        }
+    )
+    return stages
+
 
+# ---- stellar disks ---------------------------------------------------------------
 
-# ---- stellar disks ---------------------------------------------------------
+def disk_radial(p: str, r: Column) -> Stages:
+    """Radial factor of the analytic disk potential."""
+    c = lambda n: F.col(p + n)
+    norm = c("mass") * c("scale_height") / (c("scale_length") * c("scale_length") * FOUR_PI)
+    return tapered_exponential(p, r, norm)
 
-def _disk_radial(d: Column, r: Column) -> Radial:
-    norm = volume_const(d) * d["scale_height"] * d["scale_height"]
-    return tapered_exponential(r, norm, d["scale_length"], d["outer_radius"], d["trunc_width"])
 
+def disk_vertical(p: str, z: Column) -> Stages:
+    zz = F.col(p + "zz")
+    return [
+        {f"{p}zz": z / F.col(p + "scale_height")},
+        {f"{p}lc": ln_cosh(zz), f"{p}tanh": F.tanh(zz)},
+    ]
 
-def disk_potential(d: Column, R: Column, z: Column) -> Column:
-    r = F.sqrt(R * R + z * z)
-    return _disk_radial(d, r).f * ln_cosh(z / d["scale_height"]) * -FOUR_PI
 
+def disk_potential(p: str) -> Column:
+    return F.col(p + "f") * F.col(p + "lc") * -FOUR_PI
 
-def disk_force(d: Column, R: Column, z: Column) -> tuple[Column, Column]:
+
+def disk_force(p: str, R: Column, z: Column) -> tuple[Column, Column]:
     """(F_R, F_z): the exact gradient of :func:`disk_potential`."""
-    r = F.sqrt(R * R + z * z)
-    f = _disk_radial(d, r)
-    zz = z / d["scale_height"]
-    lc = ln_cosh(zz)
+    c = lambda n: F.col(p + n)
     return (
-        f.df_over_r * R * lc * -FOUR_PI,
-        (f.df_over_r * z * lc + f.f / d["scale_height"] * F.tanh(zz)) * -FOUR_PI,
+        c("f1") * R * c("lc") * -FOUR_PI,
+        (c("f1") * z * c("lc") + c("f") / c("scale_height") * c("tanh")) * -FOUR_PI,
     )
 
 
-def disk_matching_density(d: Column, R: Column, z: Column) -> Column:
+def disk_matching_density(p: str) -> Column:
     """Density whose potential is :func:`disk_potential` (its Laplacian over -4 pi)."""
-    r = F.sqrt(R * R + z * z)
-    f = _disk_radial(d, r)
-    zz = z / d["scale_height"]
-    lc = ln_cosh(zz)
+    c = lambda n: F.col(p + n)
     return (
-        f.d2f * lc
-        + f.df_over_r * 2.0 * (zz * F.tanh(zz) + lc)
-        + f.f * sech2(zz) / (d["scale_height"] * d["scale_height"])
+        c("f2") * c("lc")
+        + c("f1") * 2.0 * (c("zz") * c("tanh") + c("lc"))
+        + c("f") * sech2(c("zz")) / (c("scale_height") * c("scale_height"))
     )
 
 
-def disk_surface_density(d: Column, R: Column) -> Column:
-    """First-disk surface density; its cut-off has no sqrt(1/2) in the argument."""
-    t = (R - d["outer_radius"]) / d["trunc_width"]
-    keep = F.when(t < -4.0, 1.0).when(t > 4.0, 0.0).otherwise(erfc(t) * 0.5)
-    return F.when(R > 0.0, surface_const(d) * F.exp(-R / d["scale_length"]) * keep).otherwise(0.0)
-
-
-def disk2_surface_density(d: Column, R: Column) -> Column:
-    return tapered_exponential(
-        R, volume_const(d) * d["scale_height"] * 2.0, d["scale_length"], d["outer_radius"], d["trunc_width"]
-    ).f
-
+def disk_surface(p: str, R: Column) -> Stages:
+    """``{p}sigma``: first-disk surface density; its taper has no sqrt(1/2) in the argument."""
+    c = lambda n: F.col(p + n)
+    t = (R - c("outer_radius")) / c("trunc_width")
+    norm = c("mass") / (c("scale_length") * c("scale_length") * (2.0 * math.pi))
+    value = F.when(R > 0.0, norm * F.exp(-R / c("scale_length")) * c("keep")).otherwise(0.0)
+    return [*taper(p, t), {f"{p}sigma": value}]
 
-def disk_density(d: Column, R: Column, z: Column) -> Column:
-    """Surface density spread over a sech^2 layer."""
-    return disk_surface_density(d, R) / (d["scale_height"] * 2.0) * sech2(z / d["scale_height"])
 
-
-def nfw_density(h: Column, r: Column) -> Column:
+def nfw_density(p: str, r: Column) -> Column:
     """rho0 / (x (1+x)^2) with x = r/a; null at the centre."""
-    x = r / h["a"]
-    return F.try_divide(halo_const(h), x * (x + 1.0) * (x + 1.0))
-
-
-# ---- gas ---------------------------------------------------------------------
-
-class Height(NamedTuple):
-    h: Column
-    d1: Column
-    d2: Column
-
-
-def gas_height(g: Column, R: Column) -> Height:
-    """Scale height that saturates outward; constant when ``rz_scale`` is negative."""
-    flat = g["rz_scale"] < 0.0
-    e = F.exp(-R / g["rz_scale"])
-    top = (g["z_max"] + 1.0) * g["z_scale"]
-    den = g["z_max"] * e + 1.0
-    rz = g["rz_scale"]
-    return Height(
-        F.when(flat, g["z_scale"]).otherwise(top / den),
-        F.when(flat, 0.0).otherwise(top * e * g["z_max"] / (rz * den * den)),
-        F.when(flat, 0.0).otherwise(
-            top * e * (F.lit(1.0) - e * g["z_max"]) / (rz * rz * den * den * den)
-        ),
-    )
-
-
-def gas_surface(g: Column, r: Column) -> Radial:
-    return tapered_exponential(r, surface_const(g), g["scale_length"], g["outer_radius"], g["trunc_width"])
-
-
-def gas_layer(z: Column, h: Column) -> tuple[Column, Column, Column]:
-    """Vertical gas profile g(z/h) and its first two derivatives in z/h."""
-    u = z / h
+    c = lambda n: F.col(p + n)
+    rho0 = F.pow(F.lit(2.0), F.lit(1.0) - c("cusp")) * c("v0") * c("v0") / (c("a") * c("a") * FOUR_PI)
+    x = r / c("a")
+    return F.try_divide(rho0, x * (x + 1.0) * (x + 1.0))
+
+
+# ---- gas ----------------------------------------------------------------------------
+
+def gas_height(p: str, R: Column) -> Stages:
+    """Saturating scale height ``{p}h`` with ``{p}h1``, ``{p}h2``; constant when ``rz_scale`` is negative."""
+    c = lambda n: F.col(p + n)
+    flat = c("rz_scale") < 0.0
+    rz, zm = c("rz_scale"), c("z_max")
+    return [
+        {f"{p}ez": F.when(~flat, F.exp(-R / rz))},
+        {f"{p}den": zm * c("ez") + 1.0, f"{p}top": (zm + 1.0) * c("z_scale")},
+        {
+            f"{p}h": F.when(flat, c("z_scale")).otherwise(c("top") / c("den")),
+            f"{p}h1": F.when(flat, 0.0).otherwise(c("top") * c("ez") * zm / (rz * c("den") * c("den"))),
+            f"{p}h2": F.when(flat, 0.0).otherwise(
+                c("top") * c("ez") * (F.lit(1.0) - c("ez") * zm) / (rz * rz * c("den") * c("den") * c("den"))
+            ),
+        },
+    ]
+
+
+def gas_radial(p: str, r: Column) -> Stages:
+    c = lambda n: F.col(p + n)
+    return tapered_exponential(p, r, c("mass") / (c("scale_length") * c("scale_length") * (2.0 * math.pi)))
+
+
+def gas_layer(p: str, z: Column) -> Stages:
+    """Vertical profile ``{p}v`` of z/h with its first two derivatives; runs after the height."""
+    u = F.col(p + "zh")
     u2 = u * u
     core = F.abs(u) < 1.0
-    return (
-        F.when(core, (u2 - u2 * u2 / 6.0) * 0.375).otherwise((F.abs(u) - 0.375) * 0.5),
-        F.when(core, (u - u2 * u / 3.0) * 0.75).otherwise(F.signum(u) * 0.5),
-        F.when(core, (F.lit(1.0) - u2) * 0.75).otherwise(0.0),
-    )
+    return [
+        {},
+        {},
+        {},
+        {f"{p}zh": z / F.col(p + "h")},
+        {
+            f"{p}v": F.when(core, (u2 - u2 * u2 / 6.0) * 0.375).otherwise((F.abs(u) - 0.375) * 0.5),
+            f"{p}v1": F.when(core, (u - u2 * u / 3.0) * 0.75).otherwise(F.signum(u) * 0.5),
+            f"{p}v2": F.when(core, (F.lit(1.0) - u2) * 0.75).otherwise(0.0),
+        },
+    ]
 
 
-def gas_potential(g: Column, R: Column, z: Column) -> Column:
-    r = F.sqrt(R * R + z * z)
-    h = gas_height(g, R).h
-    return gas_surface(g, r).f * h * gas_layer(z, h)[0] * -FOUR_PI
+def gas_potential(p: str) -> Column:
+    return F.col(p + "f") * F.col(p + "h") * F.col(p + "v") * -FOUR_PI
 
 
-def gas_force(g: Column, R: Column, z: Column) -> tuple[Column, Column]:
-    r = F.sqrt(R * R + z * z)
-    s = gas_surface(g, r)
-    h = gas_height(g, R)
-    v, v1, _ = gas_layer(z, h.h)
+def gas_force(p: str, R: Column, z: Column) -> tuple[Column, Column]:
+    c = lambda n: F.col(p + n)
     return (
-        (R * s.df_over_r * h.h * v + s.f * h.d1 * v - z * h.d1 / h.h * s.f * v1) * -FOUR_PI,
-        (z * s.df_over_r * h.h * v + s.f * v1) * -FOUR_PI,
+        (R * c("f1") * c("h") * c("v") + c("f") * c("h1") * c("v") - c("zh") * c("h1") * c("f") * c("v1")) * -FOUR_PI,
+        (z * c("f1") * c("h") * c("v") + c("f") * c("v1")) * -FOUR_PI,
     )
 
 
-def gas_density(g: Column, R: Column, z: Column) -> Column:
-    """Density matching :func:`gas_potential`, term by term of the Laplacian."""
-    r = F.sqrt(R * R + z * z)
-    s = gas_surface(g, r)
-    h = gas_height(g, R)
-    v, v1, v2 = gas_layer(z, h.h)
-    curl = h.d2 + F.when(R > 0.0, F.try_divide(h.d1, R)).otherwise(0.0)
-    slope = z * h.d1 / h.h
-    return (
-        s.d2f * h.h * v
-        + s.df_over_r * v * (h.h + h.d1 * R) * 2.0
-        + s.df_over_r * v1 * z * (F.lit(1.0) - R * h.d1 / h.h) * 2.0
-        + s.f * v2 / h.h * (slope * slope + 1.0)
-        - s.f * v1 * z / h.h * curl
-        + s.f * v * curl
-    )
+def gas_density(p: str, R: Column, z: Column) -> Stages:
+    """``{p}rho``: density matching :func:`gas_potential`, term by term of the Laplacian."""
+    c = lambda n: F.col(p + n)
+    return [
+        {
+            f"{p}curl": c("h2") + F.when(R > 0.0, F.try_divide(c("h1"), R)).otherwise(0.0),
+            f"{p}tilt": c("zh") * c("h1"),
+            f"{p}flare": F.lit(1.0) - R * c("h1") / c("h"),
+        },
+        {
+            f"{p}rho": c("f2") * c("h") * c("v")
+            + c("f1") * c("v") * (c("h") + c("h1") * R) * 2.0
+            + c("f1") * c("v1") * z * c("flare") * 2.0
+            + c("f") * c("v2") / c("h") * (c("tilt") * c("tilt") + 1.0)
+            - c("f") * c("v1") * c("zh") * c("curl")
+            + c("f") * c("v") * c("curl")
+        },
+    ]

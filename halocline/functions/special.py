@@ -23,13 +23,18 @@ ERFC_COEFFICIENTS = (
 )
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.abs(x) * 0.5)
+def erfc_polynomial(u: Column) -> Column:
+    """Exponent of the fit, without -x^2, at u = 1/(1 + |x|/2)."""
     poly = F.lit(ERFC_COEFFICIENTS[-1])
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = F.lit(c) + t * poly
-    tail = t * F.exp(poly - x * x)
+        poly = F.lit(c) + u * poly
+    return poly
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function."""
+    u = F.lit(1.0) / (F.abs(x) * 0.5 + 1.0)
+    tail = u * F.exp(erfc_polynomial(u) - x * x)
     return F.when(x >= 0.0, tail).otherwise(F.lit(2.0) - tail)
 
 

@@ -1,7 +1,7 @@
 """Analytic densities, potentials and forces at points of many models.
 
-Each field is a join of the points to the model catalog followed by one
-projection.
+Each field is a join of the points to the model catalog followed by a few
+projections, with no shuffle of its own.
 """
 
 from __future__ import annotations
@@ -12,16 +12,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions import components as comp
+from halocline.functions.special import sech2
+from halocline.functions.stages import Stages, drop_temporaries, run, side_by_side
 from halocline.operators.keys import lookup_join
 from halocline.operators.models import MODEL
 
 
+D1, D2, GAS, HALO = "__d1_", "__d2_", "__g_", "__h_"
+
+
+def _zero_if_off(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
 def _with_model(points: DataFrame, catalog: DataFrame, parts: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return lookup_join(points, catalog.select(*keys, *parts), keys)
+    return lookup_join(points, catalog.select(*keys, *[F.col(p).alias(f"__{p}") for p in parts]), keys)
+
+
+def _parameters(*parts: str) -> Stages:
+    """One stage with the flat parameters of the given components (structs named ``__<part>``)."""
+    fields = {
+        "disk": (D1, comp.DISK_FIELDS),
+        "disk2": (D2, comp.DISK_FIELDS),
+        "gas": (GAS, comp.GAS_FIELDS),
+        "halo": (HALO, comp.HALO_FIELDS),
+    }
+    stage = {}
+    for p in parts:
+        prefix, names = fields[p]
+        stage |= comp.parameters(prefix, F.col(f"__{p}"), names)
+    return [stage]
+
+
+def _disk_and_gas(R: Column, z: Column, r: Column) -> Stages:
+    return side_by_side(
+        *[comp.disk_radial(p, r) for p in (D1, D2)],
+        *[comp.disk_vertical(p, z) for p in (D1, D2)],
+        comp.gas_radial(GAS, r),
+        comp.gas_height(GAS, R),
+        comp.gas_layer(GAS, z),
+    )
+
+
+def analytic_stages(R: Column, z: Column, r: Column) -> Stages:
+    """Stages giving psi, f_r, f_z of each disk and the gas as ``__psi_<c>``, ``__fr_<c>``, ``__fz_<c>``.
+
+    Runs over catalog structs named ``__disk``, ``__disk2``, ``__gas``; null for parts switched off.
+    """
+    out = {}
+    for name, p in (("disk", D1), ("disk2", D2)):
+        fr, fz = comp.disk_force(p, R, z)
+        out |= {f"__psi_{name}": comp.disk_potential(p), f"__fr_{name}": fr, f"__fz_{name}": fz}
+    fr, fz = comp.gas_force(GAS, R, z)
+    out |= {"__psi_gas": comp.gas_potential(GAS), "__fr_gas": fr, "__fz_gas": fz}
+    return [*_parameters("disk", "disk2", "gas"), *_disk_and_gas(R, z, r), out]
 
 
-def _on(name: str, value: Column) -> Column:
-    return F.when(comp.enabled(F.col(name)), value).otherwise(0.0)
+def analytic_sum(kind: str) -> Column:
+    """Sum of ``psi``, ``fr`` or ``fz`` over the switched-on parts."""
+    return sum((_zero_if_off(F.col(f"__{kind}_{c}")) for c in ("disk", "disk2", "gas")), F.lit(0.0))
 
 
 def density_field(
@@ -32,72 +81,69 @@ def density_field(
     ``rho_halo`` (NFW), ``rho_disk`` (exponential, sech^2), and the densities that
     match the analytic potentials: ``rho_disk_pot``, ``rho_disk2_pot``, ``rho_gas``.
     """
+    s, h, r = F.col(R), F.col(z), F.col("__r")
     out = _with_model(points, catalog, ["halo", "disk", "disk2", "gas"], keys)
-    s, h = F.col(R), F.col(z)
-    r = F.sqrt(s * s + h * h)
-    return out.withColumns(
+    out = run(out.withColumn("__r", F.sqrt(s * s + h * h)), _parameters("halo", "disk", "disk2", "gas"))
+    # the plain disk has a taper of its own, under another prefix
+    plain = "__d0_"
+    out = out.withColumns({plain + f: F.col(D1 + f) for f in comp.DISK_FIELDS})
+    out = run(out, side_by_side(_disk_and_gas(s, h, r), comp.disk_surface(plain, s)))
+    out = run(out, comp.gas_density(GAS, s, h))
+    layer = sech2(F.col(D1 + "zz")) / (F.col(D1 + "scale_height") * 2.0)
+    # at the very centre the halo density is null rather than zero
+    centre = F.col(HALO + "v0").isNotNull() & (r == 0.0)
+    halo = F.when(~centre, _zero_if_off(comp.nfw_density(HALO, r)))
+    out = out.withColumns(
         {
-            "rho_halo": _on("halo", comp.nfw_density(F.col("halo"), r)),
-            "rho_disk": _on("disk", comp.disk_density(F.col("disk"), s, h)),
-            "rho_disk_pot": _on("disk", comp.disk_matching_density(F.col("disk"), s, h)),
-            "rho_disk2_pot": _on("disk2", comp.disk_matching_density(F.col("disk2"), s, h)),
-            "rho_gas": _on("gas", comp.gas_density(F.col("gas"), s, h)),
+            "rho_halo": halo,
+            "rho_disk": _zero_if_off(F.col(plain + "sigma") * layer),
+            "rho_disk_pot": _zero_if_off(comp.disk_matching_density(D1)),
+            "rho_disk2_pot": _zero_if_off(comp.disk_matching_density(D2)),
+            "rho_gas": _zero_if_off(F.col(GAS + "rho")),
         }
-    ).drop("halo", "disk", "disk2", "gas")
+    )
+    return drop_temporaries(out)
 
 
 def surface_density_field(
     points: DataFrame, catalog: DataFrame, *, R: str = "R", keys: Sequence[str] = MODEL
 ) -> DataFrame:
     """Surface densities of the disks and the gas, and the gas scale height with derivatives."""
-    out = _with_model(points, catalog, ["disk", "disk2", "gas"], keys)
     s = F.col(R)
-    height = comp.gas_height(F.col("gas"), s)
-    return out.withColumns(
+    out = run(_with_model(points, catalog, ["disk", "disk2", "gas"], keys), _parameters("disk", "disk2", "gas"))
+    out = run(
+        out,
+        side_by_side(
+            comp.disk_surface(D1, s), comp.disk_radial(D2, s), comp.gas_radial(GAS, s), comp.gas_height(GAS, s)
+        ),
+    )
+    out = out.withColumns(
         {
-            "sigma_disk": _on("disk", comp.disk_surface_density(F.col("disk"), s)),
-            "sigma_disk2": _on("disk2", comp.disk2_surface_density(F.col("disk2"), s)),
-            "sigma_gas": _on("gas", comp.gas_surface(F.col("gas"), s).f),
-            "gas_h": _on("gas", height.h),
-            "gas_h1": _on("gas", height.d1),
-            "gas_h2": _on("gas", height.d2),
+            "sigma_disk": _zero_if_off(F.col(D1 + "sigma")),
+            # the radial factor of the potential is the surface density times half the height
+            "sigma_disk2": _zero_if_off(F.col(D2 + "f") * 2.0 / F.col(D2 + "scale_height")),
+            "sigma_gas": _zero_if_off(F.col(GAS + "f")),
+            "gas_h": _zero_if_off(F.col(GAS + "h")),
+            "gas_h1": _zero_if_off(F.col(GAS + "h1")),
+            "gas_h2": _zero_if_off(F.col(GAS + "h2")),
         }
-    ).drop("disk", "disk2", "gas")
-
-
-def analytic_terms(R: Column, z: Column) -> tuple[Column, Column, Column]:
-    """(psi, F_R, F_z) summed over the switched-on disks and gas, over catalog struct columns."""
-    psi, f_r, f_z = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for name in ("disk", "disk2"):
-        d = F.col(name)
-        fr, fz = comp.disk_force(d, R, z)
-        psi = psi + _on(name, comp.disk_potential(d, R, z))
-        f_r, f_z = f_r + _on(name, fr), f_z + _on(name, fz)
-    g = F.col("gas")
-    fr, fz = comp.gas_force(g, R, z)
-    return psi + _on("gas", comp.gas_potential(g, R, z)), f_r + _on("gas", fr), f_z + _on("gas", fz)
+    )
+    return drop_temporaries(out)
 
 
 def analytic_field(
     points: DataFrame, catalog: DataFrame, *, R: str = "R", z: str = "z", keys: Sequence[str] = MODEL
 ) -> DataFrame:
-    """Struct columns ``disk``, ``disk2``, ``gas`` with psi, f_r and f_z of the analytic parts."""
-    out = _with_model(points, catalog, ["disk", "disk2", "gas"], keys)
+    """Struct columns ``field_disk``, ``field_disk2``, ``field_gas`` with psi, f_r and f_z."""
     s, h = F.col(R), F.col(z)
+    out = _with_model(points, catalog, ["disk", "disk2", "gas"], keys).withColumn("__r", F.sqrt(s * s + h * h))
+    out = run(out, analytic_stages(s, h, F.col("__r")))
 
-    def part(name: str, psi: Column, force: tuple[Column, Column]) -> Column:
-        return F.struct(
-            _on(name, psi).alias("psi"), _on(name, force[0]).alias("f_r"), _on(name, force[1]).alias("f_z")
-        )
-
-    return out.select(
-        *points.columns,
-        *[
-            part(n, comp.disk_potential(F.col(n), s, h), comp.disk_force(F.col(n), s, h)).alias(f"field_{n}")
-            for n in ("disk", "disk2")
-        ],
-        part("gas", comp.gas_potential(F.col("gas"), s, h), comp.gas_force(F.col("gas"), s, h)).alias("field_gas"),
-    )
+    def part(name: str) -> Column:
+        names = {"psi": "psi", "f_r": "fr", "f_z": "fz"}
+        return F.struct(*[_zero_if_off(F.col(f"__{n}_{name}")).alias(f) for f, n in names.items()])
+
+    return out.select(*points.columns, *[part(n).alias(f"field_{n}") for n in ("disk", "disk2", "gas")])
 
 
 def stability_table(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from halocline.functions.special import even_legendre, harmonic_norm
 from halocline.functions.units import circular_velocity
-from halocline.operators.fields import analytic_terms
+from halocline.functions.stages import run
+from halocline.operators.fields import analytic_stages, analytic_sum
 from halocline.operators.keys import lookup_join
 from halocline.operators.models import COMPONENTS, MODEL, absent
 
@@ -99,9 +100,10 @@ def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] =
 
 def _locate(points: DataFrame, catalog: DataFrame, parts: Sequence[str], R: str, z: str, keys) -> DataFrame:
     """Points with their model's structs and their radial cell."""
-    out = lookup_join(points, catalog.select(*keys, "grid", *parts), keys)
+    model = [F.col("grid").alias("__grid"), *[F.col(p).alias(f"__{p}") for p in parts]]
+    out = lookup_join(points, catalog.select(*keys, *model), keys)
     s, h = F.col(R), F.col(z)
-    dr, nr = F.col("grid")["dr"], F.col("grid")["nr"]
+    dr, nr = F.col("__grid")["dr"], F.col("__grid")["nr"]
     out = out.withColumn("__r", F.sqrt(s * s + h * h))
     cell = F.least(F.greatest(F.floor(F.col("__r") / dr) + 1, F.lit(1)), nr).cast("int")
     return out.withColumn("cell", cell)
@@ -127,11 +129,11 @@ def harmonic_interpolate(
     z: str = "z",
     keys: Sequence[str] = MODEL,
 ) -> DataFrame:
-    """Coefficients ``apot_l`` and ``fr_l`` blended linearly in r (the last cell extrapolates)."""
+    """Coefficients ``apot_l`` and ``fr_l`` blended linearly in ``r_sph`` (the last cell extrapolates)."""
     out = lookup_join(_locate(points, catalog, [], R, z, keys), cells, [*keys, "cell"])
-    t = F.col("__r") / F.col("grid")["dr"] - (F.col("cell") - 1)
+    t = F.col("__r") / F.col("__grid")["dr"] - (F.col("cell") - 1)
     blended = {f"{v}_{l}": _blend(v, l, t) for l in range(0, lmax + 1, 2) for v in ("apot", "fr")}
-    return out.withColumns(blended).withColumnRenamed("__r", "r").drop("grid", *_cell_columns(lmax))
+    return out.withColumns(blended).withColumnRenamed("__r", "r_sph").drop("__grid", *_cell_columns(lmax))
 
 
 def evaluate_force(
@@ -154,33 +156,45 @@ def evaluate_force(
     parts = ["disk", "disk2", "gas"] if analytic else []
     out = lookup_join(_locate(points, catalog, parts, R, z, keys), cells, [*keys, "cell"])
     s, h, r = F.col(R), F.col(z), F.col("__r")
-    dr, nr = F.col("grid")["dr"], F.col("grid")["nr"]
-    edge = nr * dr
-    centre = r == 0.0
-    cos = F.when(centre, 0.0).otherwise(F.try_divide(h, r))
-    sin = F.when(centre, 0.0).otherwise(F.try_divide(s, r))
-    out = out.withColumns({"__cos": cos, "__sin": sin, "__t": r / dr - (F.col("cell") - 1), "__q": F.try_divide(edge, r)})
-    cos, sin, t, q = (F.col(c) for c in ("__cos", "__sin", "__t", "__q"))
-    outside = r > edge
-    psi, f_rad, turn = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for l, (p, dp) in zip(range(0, lmax + 1, 2), even_legendre(cos, lmax)):
+    dr, nr = F.col("__grid")["dr"], F.col("__grid")["nr"]
+    centre, outside = F.col("__centre"), F.col("__outside")
+    cos, sin, t, q, edge = (F.col(c) for c in ("__cos", "__sin", "__t", "__q", "__edge"))
+    orders = range(0, lmax + 1, 2)
+    place = {
+        "__centre": r == 0.0,
+        "__edge": nr * dr,
+        "__cos": F.coalesce(F.try_divide(h, r), F.lit(0.0)),
+        "__sin": F.coalesce(F.try_divide(s, r), F.lit(0.0)),
+        "__t": r / dr - (F.col("cell") - 1),
+    }
+    radial, angular = {}, {}
+    for l, (p, dp) in zip(orders, even_legendre(cos, lmax)):
         n = harmonic_norm(l)
         last = F.col(f"apot_hi_{l}")
-        apot = F.when(outside, last * F.pow(q, F.lit(float(l + 1)))).otherwise(_blend("apot", l, t))
-        fr = F.when(outside, last * (l + 1) / edge * F.pow(q, F.lit(float(l + 2)))).otherwise(_blend("fr", l, t))
-        if l:
-            apot = F.when(centre, 0.0).otherwise(apot)
-        psi = psi + p * apot * n
-        f_rad = f_rad + p * fr * n
-        turn = turn + sin * dp * apot * n
-    out = out.withColumns({"psi": psi, "__frad": f_rad, "__turn": turn})
+        decayed = last * F.pow(q, F.lit(float(l + 1)))
+        # only the monopole is defined at the origin
+        inside = _blend("apot", l, t) if l == 0 else F.when(centre, 0.0).otherwise(_blend("apot", l, t))
+        radial[f"__a{l}"] = F.when(outside, decayed).otherwise(inside)
+        radial[f"__f{l}"] = F.when(outside, decayed * q * (l + 1) / edge).otherwise(_blend("fr", l, t))
+        angular |= {f"__p{l}": p * n, f"__d{l}": sin * dp * n}
+    total = lambda a, b: sum((F.col(f"__{a}{l}") * F.col(f"__{b}{l}") for l in orders), F.lit(0.0))
+    out = run(
+        out,
+        [
+            place,
+            {"__q": F.try_divide(edge, r), "__outside": r > edge},
+            radial | angular,
+            {"__psi": total("p", "a"), "__frad": total("p", "f"), "__turn": total("d", "a")},
+        ],
+    )
+    psi = F.col("__psi")
     f_r = F.when(centre, 0.0).otherwise(-(sin * F.col("__frad") + F.try_divide(cos, r) * F.col("__turn")))
     f_z = F.when(centre, 0.0).otherwise(-(cos * F.col("__frad") - F.try_divide(sin, r) * F.col("__turn")))
     if analytic:
-        a_psi, a_fr, a_fz = analytic_terms(s, h)
-        psi, f_r, f_z = F.col("psi") + a_psi, f_r + a_fr, f_z + a_fz
-    else:
-        psi = F.col("psi")
+        out = run(out, analytic_stages(s, h, r))
+        psi = psi + analytic_sum("psi")
+        f_r = F.when(centre, 0.0).otherwise(f_r + analytic_sum("fr"))
+        f_z = F.when(centre, 0.0).otherwise(f_z + analytic_sum("fz"))
     return out.select(*points.columns, psi.alias("psi"), f_r.alias("f_r"), f_z.alias("f_z"))
 
 

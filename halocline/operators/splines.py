@@ -123,7 +123,7 @@ def spline_coefficients(
     member = F.when(shared & (at <= last_block), F.array(at - 1, at)).otherwise(
         F.array(F.least(at, last_block))
     )
-    blocks = rows.drop("__end").withColumn("__block", F.explode(member))
+    blocks = rows.withColumn("__block", F.explode(member)).drop("__end")
 
     def out_schema(fields: list[tuple[str, T.DataType]]) -> T.StructType:
         return T.StructType(keys + [T.StructField(n, t) for n, t in fields])

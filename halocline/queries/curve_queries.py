@@ -1,0 +1,214 @@
+"""Curves, splines, centring and fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from halocline import fixtures as fx
+from halocline.operators import curves, fitting, frames, profiles, splines
+from halocline.queries.particle_queries import RSPH, enclosed_mass_sql
+from halocline.queries.registry import query
+
+CURVE_SQL = f"""
+    SELECT component, particle_id, mass, r, m_enc, sqrt(m_enc/r) AS v FROM (
+      SELECT component, particle_id, mass, {RSPH} AS r,
+        sum(mass) OVER (PARTITION BY component ORDER BY {RSPH}, particle_id, mass
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m_enc FROM p)"""
+
+
+@query("particle_rotation_curve", "component particle_id mass r:6 m_enc:6 v:6", CURVE_SQL)
+def particle_rotation_curve(spark, sf):
+    return curves.particle_rotation_curve(fx.particles(spark, sf))
+
+
+RESAMPLE_SQL = f"""
+    SELECT component, i, x, coalesce(any_value(v0 + (v1 - v0)/(r1 - r0)*(x - r0)), 0) AS y
+    FROM (SELECT component, i, i*(100e0/499) AS x FROM (SELECT DISTINCT component FROM p) k,
+            (SELECT unnest(range(0, 500)) AS i) g) grid
+    LEFT JOIN (SELECT component AS c, r AS r0, v AS v0, lead(r) OVER w AS r1, lead(v) OVER w AS v1 FROM ({CURVE_SQL})
+               WINDOW w AS (PARTITION BY component ORDER BY r, particle_id, mass)) s
+      ON c = component AND r0 < x AND r1 >= x
+    GROUP BY component, i, x"""
+
+
+@query("linear_resample", "component i:i x:6 y:6", RESAMPLE_SQL)
+def linear_resample(spark, sf):
+    curve = curves.particle_rotation_curve(fx.particles(spark, sf))
+    return curves.linear_resample(curve, start=0.0, stop=100.0, num=500, group_cols=["component"])
+
+
+@query(
+    "combined_rotation_curve",
+    "i:i r:6 v_halo:6 v_disk:6 v_total:6",
+    f"""SELECT i, x AS r, vh AS v_halo, vd AS v_disk, sqrt(vh*vh + vd*vd) AS v_total FROM (
+          SELECT i, x, max(y) FILTER (component = 'halo') AS vh, max(y) FILTER (component = 'disk') AS vd
+          FROM ({RESAMPLE_SQL}) GROUP BY i, x)""",
+)
+def combined_rotation_curve(spark, sf):
+    return curves.combined_rotation_curve(fx.particles(spark, sf))
+
+
+@query(
+    "finite_difference",
+    "model_id i:i R:6 dydx:6",
+    """SELECT model_id, i, R, (lead(omega_h) OVER w - lag(omega_h) OVER w)/(lead(R) OVER w - lag(R) OVER w) AS dydx
+       FROM knots WINDOW w AS (PARTITION BY model_id ORDER BY i)""",
+    uses="knots",
+)
+def finite_difference(spark, sf):
+    return curves.finite_difference(fx.knots(spark, sf), x="R", y="omega_h", group_cols=["model_id"])
+
+
+@query(
+    "simpson_table",
+    "model_id integral:6",
+    """SELECT model_id, sum(omega_h*CASE WHEN i = 0 OR i = 50 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)*0.5e0/3 AS integral
+       FROM knots GROUP BY model_id""",
+    uses="knots",
+)
+def simpson_table(spark, sf):
+    return curves.simpson_table(fx.knots(spark, sf), group_cols=["model_id"], x="R", y="omega_h")
+
+
+@query(
+    "argmax_table",
+    "model_id x_max:6 y_max:6",
+    """WITH b AS (SELECT model_id, arg_max(i, (wave, -i)) AS k FROM knots GROUP BY model_id),
+       n AS (SELECT model_id, max(R) FILTER (i = k) AS x0, max(wave) FILTER (i = k) AS y0,
+               max(wave) FILTER (i = k - 1) AS ym, max(wave) FILTER (i = k + 1) AS yp FROM knots JOIN b USING (model_id) GROUP BY model_id)
+       SELECT model_id, CASE WHEN ym IS NULL OR yp IS NULL THEN x0 ELSE x0 + 0.5*(ym - yp)/2/(ym - 2*y0 + yp) END AS x_max,
+         CASE WHEN ym IS NULL OR yp IS NULL THEN y0 ELSE y0 - (ym - yp)*(0.5*(ym - yp)/(ym - 2*y0 + yp))/4 END AS y_max FROM n""",
+    uses="knots",
+)
+def argmax_table(spark, sf):
+    return curves.argmax_table(fx.knots(spark, sf), group_cols=["model_id"], x="R", y="wave")
+
+
+@query("spline_coefficients", "model_id knot:i R:6 f_d:6 y2:6")
+def spline_coefficients(spark, sf):
+    k = fx.knots(spark, sf).withColumn("f_d", F.col("wave"))
+    return splines.spline_coefficients(k, x="R", y="f_d", group_cols=["model_id"])
+
+
+@query(
+    "spline_lookup",
+    "particle_id mass model_id R:6 value:6",
+    """SELECT particle_id, mass, model_id, R, a*y0 + b*y1 + ((a*a*a - a)*m0 + (b*b*b - b)*m1)*0.25e0/6 AS value FROM (
+         SELECT q.*, k0.omega_h AS y0, k1.omega_h AS y1, (k1.R - q.R)/0.5e0 AS a, (q.R - k0.R)/0.5e0 AS b,
+           k0.omega_h*0.125e0/((1 + k0.R/4e0)*(1 + k0.R/4e0)) AS m0, k1.omega_h*0.125e0/((1 + k1.R/4e0)*(1 + k1.R/4e0)) AS m1
+         FROM (SELECT *, least(floor(R*2), 49)::INT AS cell FROM pts) q
+         JOIN knots k0 ON k0.model_id = q.model_id AND k0.i = cell
+         JOIN knots k1 ON k1.model_id = q.model_id AND k1.i = cell + 1)""",
+    uses="pts knots",
+)
+def spline_lookup(spark, sf):
+    u = F.col("R") / 4.0 + 1.0
+    k = fx.knots(spark, sf).withColumn("y2", F.col("omega_h") * 0.125 / (u * u))
+    return splines.spline_lookup(
+        fx.points(spark, sf), k, at="R", x="R", y="omega_h", group_cols=["model_id"]
+    )
+
+
+# ---- centring and fits -------------------------------------------------------------------
+
+ROUNDS = 6
+
+
+def core_ctes(group: str, radius: float, rounds: int = ROUNDS) -> str:
+    """CTEs o0 .. o{rounds}: the offset of every group after each round."""
+    eps = radius * 0.001
+    out = [f"o0 AS (SELECT DISTINCT {group}, 0e0 AS cx, 0e0 AS cy, 0e0 AS cz FROM p)"]
+    for i in range(rounds):
+        out.append(
+            f"""o{i + 1} AS (SELECT {group},
+              CASE WHEN still THEN cx ELSE cx + dx END AS cx, CASE WHEN still THEN cy ELSE cy + dy END AS cy,
+              CASE WHEN still THEN cz ELSE cz + dz END AS cz
+            FROM (SELECT *, abs(dx) < {eps} AND abs(dy) < {eps} AND abs(dz) < {eps} AS still FROM (
+              SELECT o{i}.*, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy, coalesce(dz, 0) AS dz FROM o{i} LEFT JOIN (
+                SELECT {group}, sum(mass*(x - cx))/sum(mass) AS dx, sum(mass*(y - cy))/sum(mass) AS dy,
+                  sum(mass*(z - cz))/sum(mass) AS dz
+                FROM p JOIN o{i} USING ({group})
+                WHERE (x - cx)*(x - cx) + (y - cy)*(y - cy) + (z - cz)*(z - cz) < {radius * radius}e0 GROUP BY {group})
+              USING ({group}))))"""
+        )
+    return ", ".join(out)
+
+
+@query(
+    "center_on_core",
+    "particle_id mass halo_id x:5 y:5 z:5",
+    f"""WITH {core_ctes("halo_id", 10.0)} SELECT particle_id, mass, halo_id, x - cx AS x, y - cy AS y, z - cz AS z
+        FROM p JOIN o{ROUNDS} USING (halo_id)""",
+)
+def center_on_core(spark, sf):
+    return fitting.center_on_core(fx.particles(spark, sf), max_iter=ROUNDS, group_cols=["halo_id"])
+
+
+def nfw_fit_sql(profile: str, g: str, steps: int = 64, refinements: int = 2) -> str:
+    f = "(ln(1 + r/a) - (r/a)/(1 + r/a))"
+    out = [
+        f"prof AS MATERIALIZED (SELECT {g}, r, m_enc AS m, r_max FROM ({profile}) WHERE m_enc > 0)",
+        f"""f0 AS (SELECT {g}, ln(min(r)*0.5) AS lo, ln(max(r)*2) AS hi, NULL AS best FROM prof GROUP BY {g}
+              HAVING count(*) >= 3)""",
+    ]
+    for i in range(refinements + 1):
+        out.append(
+            f"""f{i + 1} AS (SELECT {g}, greatest(any_value(lo), arg_min(la, (sse, la)) - any_value((hi - lo)/{steps})) AS lo,
+                  least(any_value(hi), arg_min(la, (sse, la)) + any_value((hi - lo)/{steps})) AS hi, arg_min(la, (sse, la)) AS best
+                FROM (SELECT {g}, lo, hi, la, sum(m*m) - sum(m*{f})*sum(m*{f})/sum({f}*{f}) AS sse
+                      FROM (SELECT {g}, lo, hi, la, exp(la) AS a FROM (
+                              SELECT {g}, lo, hi, lo + k*(hi - lo)/{steps} AS la FROM f{i}, (SELECT unnest(range(0, {steps + 1})) AS k) ks))
+                      JOIN prof USING ({g}) GROUP BY {g}, lo, hi, la) GROUP BY {g})"""
+        )
+    last = f"f{refinements + 1}"
+    return f"""
+    WITH {", ".join(out)}, s AS (SELECT {g}, any_value(a) AS a, sum(m*{f})/sum({f}*{f}) AS m_scale, any_value(r_max) AS r_outer
+      FROM (SELECT {g}, exp(best) AS a FROM {last}) JOIN prof USING ({g}) GROUP BY {g})
+    SELECT {g}, a, m_scale, r_outer, sqrt(m_scale*(ln(3) - 2e0/3)/(2*a))/sqrt(ln(3)/2) AS v0,
+      (SELECT sqrt(avg(((s.m_scale*{f} - m)/m)**2)) FROM prof WHERE prof.{g} = s.{g}) AS rms_residual
+    FROM s"""
+
+
+@query(
+    "nfw_fit",
+    "halo_id v0:5 a:3 r_outer:5 m_scale:4 rms_residual:5",
+    nfw_fit_sql(enclosed_mass_sql(), "halo_id"),
+)
+def nfw_fit(spark, sf):
+    profile = profiles.enclosed_mass(fx.particles(spark, sf), group_cols=["halo_id"])
+    return fitting.nfw_fit(profile, group_cols=["halo_id"], refinements=2)
+
+
+SCAN_BOUNDS = {"v0": (50.0, 400.0), "a": (1.0, 20.0)}
+
+
+def _scan_sql(rounds: int = 2, steps: int = 8) -> str:
+    ks = f"(SELECT unnest(range(0, {steps + 1})) AS kv) x, (SELECT unnest(range(0, {steps + 1})) AS ka) y"
+    out = ["b0 AS (SELECT DISTINCT galaxy_id, 50e0 AS vlo, 400e0 AS vhi, 1e0 AS alo, 20e0 AS ahi FROM obs)"]
+    for i in range(rounds):
+        hv, ha = ((hi - lo) / steps * (2.0 / steps) ** i for lo, hi in SCAN_BOUNDS.values())
+        out.append(
+            f"""s{i} AS (SELECT galaxy_id, kv, ka, v, a, sum(((v*(1 - exp(-R_kpc/a)) - V_kms)/sigma_kms)**2) AS chi2, count(*) AS n
+               FROM (SELECT galaxy_id, kv, ka, vlo + (vhi - vlo)*kv/{steps} AS v, alo + (ahi - alo)*ka/{steps} AS a FROM b{i}, {ks})
+               JOIN obs USING (galaxy_id) GROUP BY ALL)"""
+        )
+        out.append(
+            f"""b{i + 1} AS (SELECT galaxy_id, greatest(50e0, v - {hv}) AS vlo, least(400e0, v + {hv}) AS vhi, greatest(1e0, a - {ha}) AS alo,
+                 least(20e0, a + {ha}) AS ahi, v, a, chi2, n
+               FROM s{i} QUALIFY row_number() OVER (PARTITION BY galaxy_id ORDER BY chi2, kv, ka) = 1)"""
+        )
+    return f"WITH {', '.join(out)} SELECT galaxy_id, v AS v0, a, chi2, n FROM b{rounds}"
+
+
+@query("parameter_scan", "galaxy_id v0:6 a:6 chi2:3 n:i", _scan_sql(), uses="obs")
+def parameter_scan(spark, sf):
+    return fitting.parameter_scan(
+        fx.observed(spark, sf),
+        lambda p: p["v0"] * (F.lit(1.0) - F.exp(-F.col("R_kpc") / p["a"])),
+        SCAN_BOUNDS,
+        observed="V_kms",
+        sigma="sigma_kms",
+        steps=8,
+        refinements=1,
+        group_cols=["galaxy_id"],
+    )

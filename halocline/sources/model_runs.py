@@ -94,9 +94,9 @@ def read_gas_norms(spark: SparkSession, path, *, key_pattern: str = MODEL_FROM_F
     return rows.select("model_id", *[F.col("v")[i].alias(c) for i, c in enumerate(GAS_NORM_COLUMNS)])
 
 
-def parse_manifest(json: Column) -> Column:
-    """Struct of a run manifest."""
-    return F.from_json(json, MANIFEST_SCHEMA)
+def parse_manifest(json: Column, schema: str = MANIFEST_SCHEMA) -> Column:
+    """Struct of a run manifest, or of JSON of another given schema; null where malformed."""
+    return F.from_json(json, schema)
 
 
 def read_manifests(spark: SparkSession, path, *, key_pattern: str = MODEL_FROM_FOLDER) -> DataFrame:

@@ -59,7 +59,7 @@ def scan_particles(spark: SparkSession, path: str | Sequence[str], component: st
     return out if component is None else out.withColumn("component", F.lit(component))
 
 
-def scan_particle_folders(
+def load_components(
     spark: SparkSession, path: str, files: Mapping[str, str] = COMPONENT_FILES
 ) -> DataFrame:
     """Component files found under ``path`` (globs allowed), tagged by file name.
@@ -117,14 +117,13 @@ def write_particles(df: DataFrame, path: str, *, component_col: str = "component
     df.write.mode(mode).partitionBy(component_col).parquet(path)
 
 
-def particle_lines(df: DataFrame, cols: Sequence[str] = PARTICLE_COLUMNS) -> DataFrame:
-    """Fixed-width text lines (12.5E) of the particle columns."""
-    fmt = " ".join(["%12.5E"] * len(cols))
-    return df.select(F.format_string(fmt, *[F.col(c) for c in cols]).alias("value"))
+def particle_line(cols: Sequence[str] = PARTICLE_COLUMNS) -> Column:
+    """One fixed-width text line (12.5E) of the particle columns."""
+    return F.format_string(" ".join(["%12.5E"] * len(cols)), *[F.col(c) for c in cols])
 
 
 def write_particle_text(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    particle_lines(df).write.mode(mode).text(path)
+    df.select(particle_line().alias("value")).write.mode(mode).text(path)
 
 
 def write_curve_table(df: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "errorifexists") -> None:

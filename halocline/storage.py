@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+# private folders of local sessions; removed when the interpreter ends
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="halocline-")
-    return _local_dirs[sc.applicationId]
+        _local_dirs[sc.applicationId] = tempfile.TemporaryDirectory(prefix="halocline-")
+    return _local_dirs[sc.applicationId].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
-import __spark_entry__ as entry
+from halocline.queries import raw_queries
 
 HEADLINE = (
     "cylindrical_kinematics",
@@ -58,7 +58,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    registered = entry.queries()
+    registered = raw_queries()
     names = sys.argv[1:] or HEADLINE
     registered["total_mass"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}

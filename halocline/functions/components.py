@@ -1,9 +1,11 @@
-"""Analytic component profiles over a model's parameter structs.
-
-Profiles are given as stages (see :mod:`halocline.functions.stages`) whose column
-names start with a prefix per component, so that several components of several
-models are evaluated side by side.  The parameters of a component that is
-absent or switched off are null, and so is everything computed from them.
+"""Analytic component profiles.
+
+Profiles are stages (see :mod:`halocline.functions.stages`) over flat constants of
+each model.  The constants are derived once per model, on the catalog side of the
+join: norms and reciprocal lengths, never null, and all zero for a component
+that is absent or switched off, which makes every field of it zero.  What is left
+per point are products, so the generated code has no null or zero checks and
+stays short enough to be compiled.
 """
 
 from __future__ import annotations
@@ -18,24 +20,12 @@ from halocline.functions.stages import Stage, Stages
 
 FOUR_PI = 4.0 * math.pi
 
-DISK_FIELDS = ("mass", "scale_length", "outer_radius", "scale_height", "trunc_width")
-GAS_FIELDS = ("mass", "scale_length", "outer_radius", "z_scale", "trunc_width", "rz_scale", "z_max")
-HALO_FIELDS = ("v0", "a", "cusp")
-
 
 def enabled(component: Column) -> Column:
     """False for absent components."""
     return F.coalesce(component["enabled"], F.lit(False))
 
 
-def parameters(prefix: str, component: Column, names: tuple[str, ...]) -> Stage:
-    """The component's parameters as flat columns, null where it is switched off."""
-    on = enabled(component)
-    return {f"{prefix}{n}": F.when(on, component[n]) for n in names}
-
-
-# ---- normalisations -------------------------------------------------------
-
 def halo_const(h: Column) -> Column:
     return F.pow(F.lit(2.0), F.lit(1.0) - h["cusp"]) * h["v0"] * h["v0"] / (h["a"] * h["a"] * FOUR_PI)
 
@@ -54,72 +44,89 @@ def bulge_const(b: Column) -> Column:
     return b["v0"] * b["v0"] / (b["a"] * b["a"] * FOUR_PI)
 
 
-# ---- tapered exponentials -----------------------------------------------------
+# ---- constants per model --------------------------------------------------------
+
+def _switched(component: Column, values: dict[str, Column], prefix: str) -> Stage:
+    on = enabled(component)
+    return {prefix + n: F.coalesce(F.when(on, v), F.lit(0.0)) for n, v in values.items()}
+
+
+def _tapered(d: Column, norm: Column) -> dict[str, Column]:
+    one = F.lit(1.0)
+    return {
+        "norm": norm,
+        "outer": d["outer_radius"],
+        "per_scale": one / d["scale_length"],
+        "per_width": one / d["trunc_width"],
+    }
+
+
+def disk_constants(p: str, d: Column) -> Stage:
+    """Norm of the disk potential's radial factor and reciprocal lengths."""
+    norm = volume_const(d) * d["scale_height"] * d["scale_height"]
+    return _switched(d, _tapered(d, norm) | {"per_height": F.lit(1.0) / d["scale_height"]}, p)
+
+
+def gas_constants(p: str, g: Column) -> Stage:
+    """As for disks, with the scale-height law; a negative ``rz_scale`` is a constant height."""
+    flat = g["rz_scale"] < 0.0
+    top = F.when(flat, g["z_scale"]).otherwise((g["z_max"] + 1.0) * g["z_scale"])
+    law = {
+        "h_top": top,
+        "per_h_top": F.lit(1.0) / top,
+        "h_drop": F.when(flat, 0.0).otherwise(g["z_max"]),
+        "per_h_scale": F.when(flat, 0.0).otherwise(F.try_divide(F.lit(1.0), g["rz_scale"])),
+    }
+    return _switched(g, _tapered(g, surface_const(g)) | law, p)
+
+
+def halo_constants(p: str, h: Column) -> Stage:
+    return _switched(h, {"norm": halo_const(h), "per_a": F.lit(1.0) / h["a"]}, p)
+
+
+# ---- tapered exponentials --------------------------------------------------------
 
 def taper(p: str, t: Column) -> Stages:
     """``{p}keep``: erfc(t)/2, exactly 1 or 0 more than four units away."""
     c = lambda n: F.col(p + n)
     return [
         {f"{p}t": t},
-        {f"{p}u": F.lit(1.0) / (F.abs(c("t")) * 0.5 + 1.0)},
-        {f"{p}tail": c("u") * F.exp(erfc_polynomial(c("u")) - c("t") * c("t")) * 0.5},
+        {f"{p}u": F.coalesce(F.try_divide(F.lit(1.0), F.abs(c("t")) * 0.5 + 1.0), F.lit(0.0)), f"{p}gauss": F.exp(-c("t") * c("t"))},
+        {f"{p}tail": c("u") * F.exp(erfc_polynomial(c("u"))) * c("gauss") * 0.5},
         {
-            f"{p}keep": F.when(c("t") < -4.0, 1.0)
-            .when(c("t") < 0.0, F.lit(1.0) - c("tail"))
-            .when(c("t") <= 4.0, c("tail"))
-            .when(c("t") > 4.0, 0.0)
+            f"{p}keep": F.when(F.abs(c("t")) > 4.0, F.when(c("t") < 0.0, 1.0).otherwise(0.0)).otherwise(
+                F.when(c("t") < 0.0, F.lit(1.0) - c("tail")).otherwise(c("tail"))
+            )
         },
     ]
 
 
-def tapered_exponential(p: str, r: Column, norm: Column) -> Stages:
-    """norm * exp(-r/scale) * taper with its derivatives: ``{p}f``, ``{p}f1`` = f'/r, ``{p}f2`` = f''.
+def tapered_exponential(p: str, r: Column, per_r: Column, derivatives: int = 1) -> Stages:
+    """norm * exp(-r/scale) * taper: ``{p}f``, then ``{p}f1`` = f'/r and ``{p}f2`` = f'' if asked for.
 
-    The taper runs over sqrt(2) widths; both derivatives are zero at r = 0.
+    The taper runs over sqrt(2) widths.  ``per_r`` is 1/r, zero at r = 0, where both
+    derivatives are zero.
     """
     c = lambda n: F.col(p + n)
-    t = (r - c("outer_radius")) / c("trunc_width") * math.sqrt(0.5)
-    stages = taper(p, t)
-    stages[1] |= {
-        f"{p}e": norm * F.exp(-r / c("scale_length")),
-        f"{p}slope": F.when(
-            F.abs(c("t")) <= 4.0, F.exp(-c("t") * c("t")) / (c("trunc_width") * math.sqrt(2.0 * math.pi))
-        ).when(c("t").isNotNull(), 0.0),
-    }
-    scale, width = c("scale_length"), c("trunc_width")
-    off_centre = r > 0.0
-    stages.append(
-        {
-            f"{p}f": c("e") * c("keep"),
-            f"{p}f1": F.when(off_centre, F.try_divide(-c("e") * (c("keep") / scale + c("slope")), r)).otherwise(0.0),
-            f"{p}f2": F.when(
-                off_centre,
-                c("e")
-                * (
-                    c("keep") / (scale * scale)
-                    + c("slope") * (F.lit(2.0) / scale + (r - c("outer_radius")) / (width * width))
-                ),
-            ).otherwise(0.0),
-        }
-    )
-    return stages
-
+    scale, width = c("per_scale"), c("per_width")
+    stages = taper(p, (r - c("outer")) * width * math.sqrt(0.5))
+    stages[1][f"{p}e"] = c("norm") * F.exp(-r * scale)
+    last = {f"{p}f": c("e") * c("keep")}
+    if derivatives:
+        stages[2][f"{p}slope"] = F.when(F.abs(c("t")) <= 4.0, c("gauss") * width / math.sqrt(2.0 * math.pi)).otherwise(0.0)
+        last[f"{p}f1"] = -c("e") * (c("keep") * scale + c("slope")) * per_r
+    if derivatives > 1:
+        bend = c("keep") * scale * scale + c("slope") * (scale * 2.0 + (r - c("outer")) * width * width)
+        last[f"{p}f2"] = F.when(r > 0.0, c("e") * bend).otherwise(0.0)
+    return [*stages, last]
 
-# ---- stellar disks ---------------------------------------------------------------
-
-def disk_radial(p: str, r: Column) -> Stages:
-    """Radial factor of the analytic disk potential."""
-    c = lambda n: F.col(p + n)
-    norm = c("mass") * c("scale_height") / (c("scale_length") * c("scale_length") * FOUR_PI)
-    return tapered_exponential(p, r, norm)
 
+# ---- stellar disks -----------------------------------------------------------------
 
 def disk_vertical(p: str, z: Column) -> Stages:
+    """ln cosh and tanh of z over the scale height."""
     zz = F.col(p + "zz")
-    return [
-        {f"{p}zz": z / F.col(p + "scale_height")},
-        {f"{p}lc": ln_cosh(zz), f"{p}tanh": F.tanh(zz)},
-    ]
+    return [{f"{p}zz": z * F.col(p + "per_height")}, {f"{p}lc": ln_cosh(zz), f"{p}tanh": F.tanh(zz)}]
 
 
 def disk_potential(p: str) -> Column:
@@ -131,7 +138,7 @@ def disk_force(p: str, R: Column, z: Column) -> tuple[Column, Column]:
     c = lambda n: F.col(p + n)
     return (
         c("f1") * R * c("lc") * -FOUR_PI,
-        (c("f1") * z * c("lc") + c("f") / c("scale_height") * c("tanh")) * -FOUR_PI,
+        (c("f1") * z * c("lc") + c("f") * c("per_height") * c("tanh")) * -FOUR_PI,
     )
 
 
@@ -141,66 +148,61 @@ def disk_matching_density(p: str) -> Column:
     return (
         c("f2") * c("lc")
         + c("f1") * 2.0 * (c("zz") * c("tanh") + c("lc"))
-        + c("f") * sech2(c("zz")) / (c("scale_height") * c("scale_height"))
+        + c("f") * sech2(c("zz")) * c("per_height") * c("per_height")
     )
 
 
 def disk_surface(p: str, R: Column) -> Stages:
-    """``{p}sigma``: first-disk surface density; its taper has no sqrt(1/2) in the argument."""
+    """``{p}sigma``: first-disk surface density; its taper has no sqrt(1/2) in the argument.
+
+    Uses the constants of prefix ``p``, whose norm is the surface norm times half the height.
+    """
     c = lambda n: F.col(p + n)
-    t = (R - c("outer_radius")) / c("trunc_width")
-    norm = c("mass") / (c("scale_length") * c("scale_length") * (2.0 * math.pi))
-    value = F.when(R > 0.0, norm * F.exp(-R / c("scale_length")) * c("keep")).otherwise(0.0)
-    return [*taper(p, t), {f"{p}sigma": value}]
+    value = c("norm") * c("per_height") * 2.0 * F.exp(-R * c("per_scale")) * c("keep")
+    return [*taper(p, (R - c("outer")) * c("per_width")), {f"{p}sigma": F.when(R > 0.0, value).otherwise(0.0)}]
 
 
 def nfw_density(p: str, r: Column) -> Column:
-    """rho0 / (x (1+x)^2) with x = r/a; null at the centre."""
+    """rho0 / (x (1+x)^2) with x = r/a; null at the centre of a halo."""
     c = lambda n: F.col(p + n)
-    rho0 = F.pow(F.lit(2.0), F.lit(1.0) - c("cusp")) * c("v0") * c("v0") / (c("a") * c("a") * FOUR_PI)
-    x = r / c("a")
-    return F.try_divide(rho0, x * (x + 1.0) * (x + 1.0))
+    x = r * c("per_a")
+    rho = F.try_divide(c("norm"), x * (x + 1.0) * (x + 1.0))
+    return F.when(c("norm") == 0.0, 0.0).otherwise(rho)
 
 
-# ---- gas ----------------------------------------------------------------------------
+# ---- gas -------------------------------------------------------------------------------
 
 def gas_height(p: str, R: Column) -> Stages:
-    """Saturating scale height ``{p}h`` with ``{p}h1``, ``{p}h2``; constant when ``rz_scale`` is negative."""
+    """Saturating scale height ``{p}h`` with derivatives ``{p}h1``, ``{p}h2`` and relative slope ``{p}rel``."""
     c = lambda n: F.col(p + n)
-    flat = c("rz_scale") < 0.0
-    rz, zm = c("rz_scale"), c("z_max")
     return [
-        {f"{p}ez": F.when(~flat, F.exp(-R / rz))},
-        {f"{p}den": zm * c("ez") + 1.0, f"{p}top": (zm + 1.0) * c("z_scale")},
+        {f"{p}ez": F.exp(-R * c("per_h_scale"))},
+        {f"{p}den": c("h_drop") * c("ez") + 1.0},
+        {f"{p}per_den": F.coalesce(F.try_divide(F.lit(1.0), c("den")), F.lit(0.0))},
+        {
+            f"{p}h": c("h_top") * c("per_den"),
+            f"{p}rel": c("ez") * c("h_drop") * c("per_h_scale") * c("per_den"),
+        },
         {
-            f"{p}h": F.when(flat, c("z_scale")).otherwise(c("top") / c("den")),
-            f"{p}h1": F.when(flat, 0.0).otherwise(c("top") * c("ez") * zm / (rz * c("den") * c("den"))),
-            f"{p}h2": F.when(flat, 0.0).otherwise(
-                c("top") * c("ez") * (F.lit(1.0) - c("ez") * zm) / (rz * rz * c("den") * c("den") * c("den"))
-            ),
+            f"{p}h1": c("h") * c("rel"),
+            f"{p}h2": c("h") * c("ez") * (F.lit(1.0) - c("ez") * c("h_drop")) * c("per_h_scale") * c("per_h_scale")
+            * c("per_den") * c("per_den"),
         },
     ]
 
 
-def gas_radial(p: str, r: Column) -> Stages:
-    c = lambda n: F.col(p + n)
-    return tapered_exponential(p, r, c("mass") / (c("scale_length") * c("scale_length") * (2.0 * math.pi)))
-
-
 def gas_layer(p: str, z: Column) -> Stages:
-    """Vertical profile ``{p}v`` of z/h with its first two derivatives; runs after the height."""
+    """Vertical profile ``{p}v`` of ``{p}zh`` = z/h with its first two derivatives; beside the height."""
     u = F.col(p + "zh")
-    u2 = u * u
     core = F.abs(u) < 1.0
     return [
         {},
         {},
-        {},
-        {f"{p}zh": z / F.col(p + "h")},
+        {f"{p}zh": z * F.col(p + "den") * F.col(p + "per_h_top")},
         {
-            f"{p}v": F.when(core, (u2 - u2 * u2 / 6.0) * 0.375).otherwise((F.abs(u) - 0.375) * 0.5),
-            f"{p}v1": F.when(core, (u - u2 * u / 3.0) * 0.75).otherwise(F.signum(u) * 0.5),
-            f"{p}v2": F.when(core, (F.lit(1.0) - u2) * 0.75).otherwise(0.0),
+            f"{p}v": F.when(core, (u * u - u * u * u * u / 6.0) * 0.375).otherwise((F.abs(u) - 0.375) * 0.5),
+            f"{p}v1": F.when(core, (u - u * u * u / 3.0) * 0.75).otherwise(F.signum(u) * 0.5),
+            f"{p}v2": F.when(core, (F.lit(1.0) - u * u) * 0.75).otherwise(0.0),
         },
     ]
 
@@ -212,26 +214,22 @@ def gas_potential(p: str) -> Column:
 def gas_force(p: str, R: Column, z: Column) -> tuple[Column, Column]:
     c = lambda n: F.col(p + n)
     return (
-        (R * c("f1") * c("h") * c("v") + c("f") * c("h1") * c("v") - c("zh") * c("h1") * c("f") * c("v1")) * -FOUR_PI,
+        (R * c("f1") * c("h") * c("v") + c("f") * c("h1") * (c("v") - c("zh") * c("v1"))) * -FOUR_PI,
         (z * c("f1") * c("h") * c("v") + c("f") * c("v1")) * -FOUR_PI,
     )
 
 
-def gas_density(p: str, R: Column, z: Column) -> Stages:
+def gas_density(p: str, R: Column, z: Column, per_R: Column) -> Stages:
     """``{p}rho``: density matching :func:`gas_potential`, term by term of the Laplacian."""
     c = lambda n: F.col(p + n)
+    per_h = c("den") * c("per_h_top")
     return [
-        {
-            f"{p}curl": c("h2") + F.when(R > 0.0, F.try_divide(c("h1"), R)).otherwise(0.0),
-            f"{p}tilt": c("zh") * c("h1"),
-            f"{p}flare": F.lit(1.0) - R * c("h1") / c("h"),
-        },
+        {f"{p}curl": c("h2") + c("h1") * per_R, f"{p}tilt": z * c("rel"), f"{p}flare": F.lit(1.0) - R * c("rel")},
         {
             f"{p}rho": c("f2") * c("h") * c("v")
             + c("f1") * c("v") * (c("h") + c("h1") * R) * 2.0
             + c("f1") * c("v1") * z * c("flare") * 2.0
-            + c("f") * c("v2") / c("h") * (c("tilt") * c("tilt") + 1.0)
-            - c("f") * c("v1") * c("zh") * c("curl")
-            + c("f") * c("v") * c("curl")
+            + c("f") * c("v2") * per_h * (c("tilt") * c("tilt") + 1.0)
+            + c("f") * c("curl") * (c("v") - c("v1") * c("zh"))
         },
     ]

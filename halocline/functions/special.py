@@ -39,15 +39,16 @@ def erfc(x: Column) -> Column:
 
 
 def sech2(x: Column) -> Column:
-    """1/cosh(x)^2 from exponentials of negative arguments, so it cannot overflow."""
-    e = F.exp(F.abs(x) * -2.0)
-    return e * 4.0 / ((e + 1.0) * (e + 1.0))
+    """1/cosh(x)^2, written as 1 - tanh(x)^2, which cannot overflow."""
+    t = F.tanh(x)
+    return F.lit(1.0) - t * t
 
 
 def ln_cosh(x: Column) -> Column:
     """ln(cosh(x)) without overflow."""
     u = F.abs(x)
-    return u + F.log((F.exp(u * -2.0) + 1.0) * 0.5)
+    # the logarithm is of a number in [1/2, 1]; coalesce only tells Spark it is never null
+    return u + F.coalesce(F.log((F.exp(u * -2.0) + 1.0) * 0.5), F.lit(0.0))
 
 
 def even_legendre(x: Column, lmax: int) -> list[tuple[Column, Column]]:

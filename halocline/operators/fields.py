@@ -19,45 +19,59 @@ from halocline.operators.models import MODEL
 
 
 D1, D2, GAS, HALO = "__d1_", "__d2_", "__g_", "__h_"
+R_SPH, PER_R = "__r", "__per_r"
 
 
-def _zero_if_off(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+def model_constants(catalog: DataFrame, parts: Sequence[str], keys: Sequence[str] = MODEL, *more: Column) -> DataFrame:
+    """Keys, the flat constants of the given components, and ``more`` columns, one row per model."""
+    make = {
+        "disk": lambda c: comp.disk_constants(D1, c),
+        "disk2": lambda c: comp.disk_constants(D2, c),
+        "gas": lambda c: comp.gas_constants(GAS, c),
+        "halo": lambda c: comp.halo_constants(HALO, c),
+    }
+    flat = [v.alias(n) for p in parts for n, v in make[p](F.col(p)).items()]
+    return catalog.select(*keys, *more, *flat)
 
 
-def _with_model(points: DataFrame, catalog: DataFrame, parts: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return lookup_join(points, catalog.select(*keys, *[F.col(p).alias(f"__{p}") for p in parts]), keys)
+AT_R, AT_Z = "__at_R", "__at_z"
 
 
-def _parameters(*parts: str) -> Stages:
-    """One stage with the flat parameters of the given components (structs named ``__<part>``)."""
-    fields = {
-        "disk": (D1, comp.DISK_FIELDS),
-        "disk2": (D2, comp.DISK_FIELDS),
-        "gas": (GAS, comp.GAS_FIELDS),
-        "halo": (HALO, comp.HALO_FIELDS),
-    }
-    stage = {}
-    for p in parts:
-        prefix, names = fields[p]
-        stage |= comp.parameters(prefix, F.col(f"__{p}"), names)
-    return [stage]
+def point_coordinates(R: str, z: str | None) -> Stages:
+    """The coordinates as doubles that are never null (a null counts as NaN).
+
+    Nullable input would put a null check on every term of every formula below.
+    """
+    nan = F.lit(float("nan"))
+    out = {AT_R: F.coalesce(F.col(R).cast("double"), nan)}
+    if z is not None:
+        out[AT_Z] = F.coalesce(F.col(z).cast("double"), nan)
+    return [out]
 
 
-def _disk_and_gas(R: Column, z: Column, r: Column) -> Stages:
+def spherical_radius() -> Stages:
+    """``__r`` and its reciprocal ``__per_r`` (zero at the origin) of the point coordinates."""
+    R, z = F.col(AT_R), F.col(AT_Z)
+    return [
+        {R_SPH: F.sqrt(R * R + z * z)},
+        {PER_R: F.coalesce(F.try_divide(F.lit(1.0), F.col(R_SPH)), F.lit(0.0))},
+    ]
+
+
+def _disk_and_gas(R: Column, z: Column, derivatives: int) -> Stages:
+    r, per_r = F.col(R_SPH), F.col(PER_R)
     return side_by_side(
-        *[comp.disk_radial(p, r) for p in (D1, D2)],
+        *[comp.tapered_exponential(p, r, per_r, derivatives) for p in (D1, D2, GAS)],
         *[comp.disk_vertical(p, z) for p in (D1, D2)],
-        comp.gas_radial(GAS, r),
         comp.gas_height(GAS, R),
         comp.gas_layer(GAS, z),
     )
 
 
-def analytic_stages(R: Column, z: Column, r: Column) -> Stages:
+def analytic_stages(R: Column, z: Column) -> Stages:
     """Stages giving psi, f_r, f_z of each disk and the gas as ``__psi_<c>``, ``__fr_<c>``, ``__fz_<c>``.
 
-    Runs over catalog structs named ``__disk``, ``__disk2``, ``__gas``; null for parts switched off.
+    Needs the constants of all three and the spherical radius.
     """
     out = {}
     for name, p in (("disk", D1), ("disk2", D2)):
@@ -65,12 +79,12 @@ def analytic_stages(R: Column, z: Column, r: Column) -> Stages:
         out |= {f"__psi_{name}": comp.disk_potential(p), f"__fr_{name}": fr, f"__fz_{name}": fz}
     fr, fz = comp.gas_force(GAS, R, z)
     out |= {"__psi_gas": comp.gas_potential(GAS), "__fr_gas": fr, "__fz_gas": fz}
-    return [*_parameters("disk", "disk2", "gas"), *_disk_and_gas(R, z, r), out]
+    return [*_disk_and_gas(R, z, 1), out]
 
 
 def analytic_sum(kind: str) -> Column:
-    """Sum of ``psi``, ``fr`` or ``fz`` over the switched-on parts."""
-    return sum((_zero_if_off(F.col(f"__{kind}_{c}")) for c in ("disk", "disk2", "gas")), F.lit(0.0))
+    """Sum of ``psi``, ``fr`` or ``fz`` over the parts."""
+    return F.col(f"__{kind}_disk") + F.col(f"__{kind}_disk2") + F.col(f"__{kind}_gas")
 
 
 def density_field(
@@ -78,28 +92,27 @@ def density_field(
 ) -> DataFrame:
     """Densities per component, zero where switched off.
 
-    ``rho_halo`` (NFW), ``rho_disk`` (exponential, sech^2), and the densities that
-    match the analytic potentials: ``rho_disk_pot``, ``rho_disk2_pot``, ``rho_gas``.
+    ``rho_halo`` (NFW, null at the centre), ``rho_disk`` (exponential, sech^2), and the
+    densities that match the analytic potentials: ``rho_disk_pot``,
+    ``rho_disk2_pot``, ``rho_gas``.
     """
-    s, h, r = F.col(R), F.col(z), F.col("__r")
-    out = _with_model(points, catalog, ["halo", "disk", "disk2", "gas"], keys)
-    out = run(out.withColumn("__r", F.sqrt(s * s + h * h)), _parameters("halo", "disk", "disk2", "gas"))
+    s, h = F.col(AT_R), F.col(AT_Z)
+    points = run(points, point_coordinates(R, z))
+    out = lookup_join(points, model_constants(catalog, ["halo", "disk", "disk2", "gas"], keys), keys)
     # the plain disk has a taper of its own, under another prefix
     plain = "__d0_"
-    out = out.withColumns({plain + f: F.col(D1 + f) for f in comp.DISK_FIELDS})
-    out = run(out, side_by_side(_disk_and_gas(s, h, r), comp.disk_surface(plain, s)))
-    out = run(out, comp.gas_density(GAS, s, h))
-    layer = sech2(F.col(D1 + "zz")) / (F.col(D1 + "scale_height") * 2.0)
-    # at the very centre the halo density is null rather than zero
-    centre = F.col(HALO + "v0").isNotNull() & (r == 0.0)
-    halo = F.when(~centre, _zero_if_off(comp.nfw_density(HALO, r)))
+    copies = {plain + n: F.col(D1 + n) for n in ("norm", "outer", "per_scale", "per_width", "per_height")}
+    out = run(out, side_by_side(spherical_radius(), [copies]))
+    out = run(out, side_by_side(_disk_and_gas(s, h, 2), comp.disk_surface(plain, s)))
+    per_R = F.coalesce(F.try_divide(F.lit(1.0), s), F.lit(0.0))
+    out = run(out, comp.gas_density(GAS, s, h, per_R))
     out = out.withColumns(
         {
-            "rho_halo": halo,
-            "rho_disk": _zero_if_off(F.col(plain + "sigma") * layer),
-            "rho_disk_pot": _zero_if_off(comp.disk_matching_density(D1)),
-            "rho_disk2_pot": _zero_if_off(comp.disk_matching_density(D2)),
-            "rho_gas": _zero_if_off(F.col(GAS + "rho")),
+            "rho_halo": comp.nfw_density(HALO, F.col(R_SPH)),
+            "rho_disk": F.col(plain + "sigma") * F.col(D1 + "per_height") * 0.5 * sech2(F.col(D1 + "zz")),
+            "rho_disk_pot": comp.disk_matching_density(D1),
+            "rho_disk2_pot": comp.disk_matching_density(D2),
+            "rho_gas": F.col(GAS + "rho"),
         }
     )
     return drop_temporaries(out)
@@ -109,23 +122,25 @@ def surface_density_field(
     points: DataFrame, catalog: DataFrame, *, R: str = "R", keys: Sequence[str] = MODEL
 ) -> DataFrame:
     """Surface densities of the disks and the gas, and the gas scale height with derivatives."""
-    s = F.col(R)
-    out = run(_with_model(points, catalog, ["disk", "disk2", "gas"], keys), _parameters("disk", "disk2", "gas"))
-    out = run(
-        out,
-        side_by_side(
-            comp.disk_surface(D1, s), comp.disk_radial(D2, s), comp.gas_radial(GAS, s), comp.gas_height(GAS, s)
-        ),
+    s = F.col(AT_R)
+    points = run(points, point_coordinates(R, None))
+    out = lookup_join(points, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
+    none = F.lit(0.0)
+    stages = side_by_side(
+        comp.disk_surface(D1, s),
+        comp.tapered_exponential(D2, s, none, 0),
+        comp.tapered_exponential(GAS, s, none, 0),
+        comp.gas_height(GAS, s),
     )
-    out = out.withColumns(
+    out = run(out, stages).withColumns(
         {
-            "sigma_disk": _zero_if_off(F.col(D1 + "sigma")),
+            "sigma_disk": F.col(D1 + "sigma"),
             # the radial factor of the potential is the surface density times half the height
-            "sigma_disk2": _zero_if_off(F.col(D2 + "f") * 2.0 / F.col(D2 + "scale_height")),
-            "sigma_gas": _zero_if_off(F.col(GAS + "f")),
-            "gas_h": _zero_if_off(F.col(GAS + "h")),
-            "gas_h1": _zero_if_off(F.col(GAS + "h1")),
-            "gas_h2": _zero_if_off(F.col(GAS + "h2")),
+            "sigma_disk2": F.col(D2 + "f") * F.col(D2 + "per_height") * 2.0,
+            "sigma_gas": F.col(GAS + "f"),
+            "gas_h": F.col(GAS + "h"),
+            "gas_h1": F.col(GAS + "h1"),
+            "gas_h2": F.col(GAS + "h2"),
         }
     )
     return drop_temporaries(out)
@@ -135,13 +150,13 @@ def analytic_field(
     points: DataFrame, catalog: DataFrame, *, R: str = "R", z: str = "z", keys: Sequence[str] = MODEL
 ) -> DataFrame:
     """Struct columns ``field_disk``, ``field_disk2``, ``field_gas`` with psi, f_r and f_z."""
-    s, h = F.col(R), F.col(z)
-    out = _with_model(points, catalog, ["disk", "disk2", "gas"], keys).withColumn("__r", F.sqrt(s * s + h * h))
-    out = run(out, analytic_stages(s, h, F.col("__r")))
+    placed = run(points, point_coordinates(R, z))
+    out = lookup_join(placed, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
+    out = run(out, [*spherical_radius(), *analytic_stages(F.col(AT_R), F.col(AT_Z))])
 
     def part(name: str) -> Column:
         names = {"psi": "psi", "f_r": "fr", "f_z": "fz"}
-        return F.struct(*[_zero_if_off(F.col(f"__{n}_{name}")).alias(f) for f, n in names.items()])
+        return F.struct(*[F.col(f"__{n}_{name}").alias(f) for f, n in names.items()])
 
     return out.select(*points.columns, *[part(n).alias(f"field_{n}") for n in ("disk", "disk2", "gas")])
 

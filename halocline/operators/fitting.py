@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions.special import nfw_mass_shape
 from halocline.operators.frames import POS
 from halocline.operators.keys import attach, lookup_join
 from halocline.operators.profiles import enclosed_mass
@@ -80,6 +81,34 @@ def center_on_core(
     return out.withColumns({p: F.col(p) - F.col(c) for p, c in shift}).drop("cx", "cy", "cz")
 
 
+def _nfw_search(r: list, m: list, steps: int, refinements: int) -> np.ndarray:
+    """(a, m_scale, rms) per profile by a narrowing ladder in ln a; profiles are padded to one width."""
+    width = max(map(len, r))
+    used = np.array([[i < len(p) for i in range(width)] for p in r])
+    radius, mass = np.ones(used.shape), np.zeros(used.shape)
+    radius[used], mass[used] = np.concatenate(r), np.concatenate(m)
+
+    def shape(x):
+        return np.log1p(x) - x / (1.0 + x)
+
+    lo = np.log(np.where(used, radius, np.inf).min(axis=1) * 0.5)
+    hi = np.log(np.where(used, radius, 0.0).max(axis=1) * 2.0)
+    rows = np.arange(len(r))
+    for _ in range(refinements + 1):
+        ladder = lo[:, None] + np.arange(steps + 1) * (hi - lo)[:, None] / steps
+        f = shape(radius[:, None, :] / np.exp(ladder)[:, :, None]) * used[:, None, :]
+        # least squares in the mass scale, then the residual left over
+        mf, ff = (f * mass[:, None, :]).sum(axis=2), (f * f).sum(axis=2)
+        best = ladder[rows, np.argmin((mass * mass).sum(axis=1)[:, None] - mf * mf / ff, axis=1)]
+        step = (hi - lo) / steps
+        lo, hi = np.maximum(lo, best - step), np.minimum(hi, best + step)
+    a = np.exp(best)
+    f = shape(radius / a[:, None]) * used
+    scale = (mass * f).sum(axis=1) / (f * f).sum(axis=1)
+    off = np.where(used, scale[:, None] * f / np.where(used, mass, 1.0) - 1.0, 0.0)
+    return np.column_stack([a, scale, np.sqrt((off * off).sum(axis=1) / used.sum(axis=1))])
+
+
 def nfw_fit(
     profile: DataFrame,
     *,
@@ -94,73 +123,38 @@ def nfw_fit(
     For a given scale radius the best mass scale is linear, so only ``a`` is
     searched: ``steps`` logarithmic steps over [r_min/2, 2 r_max], then
     ``refinements`` times between the neighbours of the best step.  A profile has
-    at most ``n_bins`` rows per group and is held as an array, which makes
-    the search a projection.  Fewer than three bins give no row, or an error
-    when ``strict``.  ``radius_at='edge'`` pairs masses with the bins' outer edges
-    instead of their centres.
+    at most ``n_bins`` rows per group and is held as an array, so a batch of
+    objects is searched at once in numpy.  Fewer than three bins give no row, or an
+    error when ``strict``.  ``radius_at='edge'`` pairs masses with the bins' outer
+    edges instead of their centres.
     """
     g = list(group_cols)
     radius = {"center": "r", "edge": "r_edge"}[radius_at]
-    point = F.struct(F.col(radius).alias("r"), F.col("m_enc").alias("m"))
+    point = F.struct(F.col(radius).cast("double").alias("r"), F.col("m_enc").cast("double").alias("m"))
     fits = profile.filter(F.col("m_enc") > 0).groupBy(*g).agg(
-        F.collect_list(point).alias("__pts"),
-        F.min(radius).alias("__rmin"),
-        F.max(radius).alias("__rmax"),
-        F.max("r_max").alias("r_outer"),
+        F.sort_array(F.collect_list(point)).alias("__pts"), F.max("r_max").alias("r_outer")
     )
     enough = F.size("__pts") >= 3
     if strict:
-        fits = fits.withColumn(
-            "__pts",
-            F.when(enough, F.col("__pts")).otherwise(
-                F.raise_error(F.lit("insufficient radial bins for NFW fit")).cast(fits.schema["__pts"].dataType)
-            ),
-        )
+        none = F.raise_error(F.lit("insufficient radial bins for NFW fit")).cast(fits.schema["__pts"].dataType)
+        fits = fits.withColumn("__pts", F.when(enough, F.col("__pts")).otherwise(none))
     else:
         fits = fits.filter(enough)
-    fits = fits.withColumn("__lo", F.log(F.col("__rmin") * 0.5)).withColumn("__hi", F.log(F.col("__rmax") * 2.0))
-    pts = F.col("__pts")
 
-    def trial(ln_a: Column) -> Column:
-        a = F.exp(ln_a)
-        zero = F.struct(F.lit(0.0).alias("mf"), F.lit(0.0).alias("ff"), F.lit(0.0).alias("mm"))
-
-        def add(acc: Column, p: Column) -> Column:
-            f = nfw_mass_shape(p["r"] / a)
-            return F.struct(
-                (acc["mf"] + p["m"] * f).alias("mf"),
-                (acc["ff"] + f * f).alias("ff"),
-                (acc["mm"] + p["m"] * p["m"]).alias("mm"),
-            )
-
-        # residual sum of squares at the best mass scale
-        sse = F.aggregate(pts, zero, add, lambda s: s["mm"] - s["mf"] * s["mf"] / s["ff"])
-        return F.struct(sse.alias("sse"), ln_a.alias("ln_a"))
+    @F.pandas_udf("struct<a:double,m_scale:double,rms_residual:double>")
+    def search(r: pd.Series, m: pd.Series) -> pd.DataFrame:
+        chunk = 256
+        parts = [
+            _nfw_search(list(r[i : i + chunk]), list(m[i : i + chunk]), steps, refinements)
+            for i in range(0, len(r), chunk)
+        ]
+        return pd.DataFrame(np.concatenate(parts), columns=["a", "m_scale", "rms_residual"])
 
-    for _ in range(refinements + 1):
-        width = (F.col("__hi") - F.col("__lo")) / steps
-        ladder = F.transform(
-            F.sequence(F.lit(0), F.lit(steps)), lambda k: trial(F.col("__lo") + k * (F.col("__hi") - F.col("__lo")) / steps)
-        )
-        fits = fits.withColumn("__best", F.array_min(ladder)).withColumn("__w", width)
-        fits = fits.withColumns(
-            {
-                "__lo": F.greatest(F.col("__lo"), F.col("__best")["ln_a"] - F.col("__w")),
-                "__hi": F.least(F.col("__hi"), F.col("__best")["ln_a"] + F.col("__w")),
-            }
-        )
-    a = F.exp(F.col("__best")["ln_a"])
-    fits = fits.withColumn("a", a)
-    zero = F.lit(0.0)
-    shape = lambda p: nfw_mass_shape(p["r"] / F.col("a"))
-    mf = F.aggregate(pts, zero, lambda s, p: s + p["m"] * shape(p))
-    ff = F.aggregate(pts, zero, lambda s, p: s + shape(p) * shape(p))
-    fits = fits.withColumn("m_scale", mf / ff)
-    off = lambda p: (F.col("m_scale") * shape(p) - p["m"]) / p["m"]
-    rms = F.sqrt(F.aggregate(pts, zero, lambda s, p: s + off(p) * off(p)) / F.size(pts))
+    column = lambda name: F.transform("__pts", lambda p: p[name])
+    fits = fits.select(*g, "r_outer", search(column("r"), column("m")).alias("__fit")).select(*g, "r_outer", "__fit.*")
     v_circ = F.sqrt(F.col("m_scale") * (math.log(3.0) - 2.0 / 3.0) / (F.col("a") * 2.0))
     v0 = F.when(v_circ > 0, v_circ / math.sqrt(math.log(3.0) / 2.0)).otherwise(1.0)
-    return fits.select(*g, v0.alias("v0"), "a", "r_outer", "m_scale", rms.alias("rms_residual"))
+    return fits.select(*g, v0.alias("v0"), "a", "r_outer", "m_scale", "rms_residual")
 
 
 def fit_halo(

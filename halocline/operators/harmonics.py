@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 from halocline.functions.special import even_legendre, harmonic_norm
 from halocline.functions.units import circular_velocity
 from halocline.functions.stages import run
-from halocline.operators.fields import analytic_stages, analytic_sum
+from halocline.operators.fields import (
+    AT_R,
+    AT_Z,
+    PER_R,
+    R_SPH,
+    analytic_stages,
+    analytic_sum,
+    model_constants,
+    point_coordinates,
+    spherical_radius,
+)
 from halocline.operators.keys import lookup_join
 from halocline.operators.models import COMPONENTS, MODEL, absent
 
@@ -99,14 +109,19 @@ def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] =
 
 
 def _locate(points: DataFrame, catalog: DataFrame, parts: Sequence[str], R: str, z: str, keys) -> DataFrame:
-    """Points with their model's structs and their radial cell."""
-    model = [F.col("grid").alias("__grid"), *[F.col(p).alias(f"__{p}") for p in parts]]
-    out = lookup_join(points, catalog.select(*keys, *model), keys)
-    s, h = F.col(R), F.col(z)
-    dr, nr = F.col("__grid")["dr"], F.col("__grid")["nr"]
-    out = out.withColumn("__r", F.sqrt(s * s + h * h))
-    cell = F.least(F.greatest(F.floor(F.col("__r") / dr) + 1, F.lit(1)), nr).cast("int")
-    return out.withColumn("cell", cell)
+    """Points with the constants of their model and their radial cell."""
+    g = F.col("grid")
+    grid = [
+        F.coalesce(F.lit(1.0) / g["dr"], F.lit(0.0)).alias("__per_dr"),
+        F.coalesce(g["nr"] * g["dr"], F.lit(0.0)).alias("__edge"),
+        F.coalesce(g["nr"], F.lit(0)).alias("__nr"),
+        # a cell is found by division, as r/dr and r*(1/dr) may fall on either side of a shell
+        F.coalesce(g["dr"], F.lit(1.0)).alias("__dr"),
+    ]
+    points = run(points, point_coordinates(R, z))
+    out = run(lookup_join(points, model_constants(catalog, parts, keys, *grid), keys), spherical_radius())
+    cell = F.floor(F.col(R_SPH) / F.col("__dr")) + 1
+    return out.withColumn("cell", F.least(F.greatest(cell, F.lit(1)), F.col("__nr")).cast("int"))
 
 
 def _blend(name: str, l: int, t: Column) -> Column:
@@ -131,9 +146,9 @@ def harmonic_interpolate(
 ) -> DataFrame:
     """Coefficients ``apot_l`` and ``fr_l`` blended linearly in ``r_sph`` (the last cell extrapolates)."""
     out = lookup_join(_locate(points, catalog, [], R, z, keys), cells, [*keys, "cell"])
-    t = F.col("__r") / F.col("__grid")["dr"] - (F.col("cell") - 1)
+    t = F.col(R_SPH) / F.col("__dr") - (F.col("cell") - 1)
     blended = {f"{v}_{l}": _blend(v, l, t) for l in range(0, lmax + 1, 2) for v in ("apot", "fr")}
-    return out.withColumns(blended).withColumnRenamed("__r", "r_sph").drop("__grid", *_cell_columns(lmax))
+    return out.withColumns(blended).withColumnRenamed(R_SPH, "r_sph").drop(PER_R, AT_R, AT_Z, "__per_dr", "__edge", "__nr", "__dr", *_cell_columns(lmax))
 
 
 def evaluate_force(
@@ -155,46 +170,38 @@ def evaluate_force(
     """
     parts = ["disk", "disk2", "gas"] if analytic else []
     out = lookup_join(_locate(points, catalog, parts, R, z, keys), cells, [*keys, "cell"])
-    s, h, r = F.col(R), F.col(z), F.col("__r")
-    dr, nr = F.col("__grid")["dr"], F.col("__grid")["nr"]
-    centre, outside = F.col("__centre"), F.col("__outside")
-    cos, sin, t, q, edge = (F.col(c) for c in ("__cos", "__sin", "__t", "__q", "__edge"))
+    s, h, r, per_r = (F.col(c) for c in (AT_R, AT_Z, R_SPH, PER_R))
+    outside, cos, sin, t, q = (F.col(c) for c in ("__outside", "__cos", "__sin", "__t", "__q"))
     orders = range(0, lmax + 1, 2)
     place = {
-        "__centre": r == 0.0,
-        "__edge": nr * dr,
-        "__cos": F.coalesce(F.try_divide(h, r), F.lit(0.0)),
-        "__sin": F.coalesce(F.try_divide(s, r), F.lit(0.0)),
-        "__t": r / dr - (F.col("cell") - 1),
+        "__cos": h * per_r,
+        "__sin": s * per_r,
+        "__t": r * F.col("__per_dr") - (F.col("cell") - 1),
+        "__q": F.col("__edge") * per_r,
+        "__outside": r > F.col("__edge"),
     }
+    # only the monopole is defined at the origin
+    shrink, off_centre = F.lit(1.0), F.when(per_r == 0.0, 0.0).otherwise(1.0)
     radial, angular = {}, {}
     for l, (p, dp) in zip(orders, even_legendre(cos, lmax)):
         n = harmonic_norm(l)
-        last = F.col(f"apot_hi_{l}")
-        decayed = last * F.pow(q, F.lit(float(l + 1)))
-        # only the monopole is defined at the origin
-        inside = _blend("apot", l, t) if l == 0 else F.when(centre, 0.0).otherwise(_blend("apot", l, t))
+        shrink = q if l == 0 else shrink * q * q
+        decayed = F.col(f"apot_hi_{l}") * shrink
+        inside = _blend("apot", l, t) if l == 0 else _blend("apot", l, t) * off_centre
         radial[f"__a{l}"] = F.when(outside, decayed).otherwise(inside)
-        radial[f"__f{l}"] = F.when(outside, decayed * q * (l + 1) / edge).otherwise(_blend("fr", l, t))
+        radial[f"__f{l}"] = F.when(outside, decayed * per_r * (l + 1.0)).otherwise(_blend("fr", l, t))
         angular |= {f"__p{l}": p * n, f"__d{l}": sin * dp * n}
     total = lambda a, b: sum((F.col(f"__{a}{l}") * F.col(f"__{b}{l}") for l in orders), F.lit(0.0))
-    out = run(
-        out,
-        [
-            place,
-            {"__q": F.try_divide(edge, r), "__outside": r > edge},
-            radial | angular,
-            {"__psi": total("p", "a"), "__frad": total("p", "f"), "__turn": total("d", "a")},
-        ],
-    )
+    sums = {"__psi": total("p", "a"), "__frad": total("p", "f"), "__turn": total("d", "a")}
+    out = run(out, [place, radial | angular, sums])
     psi = F.col("__psi")
-    f_r = F.when(centre, 0.0).otherwise(-(sin * F.col("__frad") + F.try_divide(cos, r) * F.col("__turn")))
-    f_z = F.when(centre, 0.0).otherwise(-(cos * F.col("__frad") - F.try_divide(sin, r) * F.col("__turn")))
+    f_r = -(sin * F.col("__frad") + cos * per_r * F.col("__turn"))
+    f_z = -(cos * F.col("__frad") - sin * per_r * F.col("__turn"))
     if analytic:
-        out = run(out, analytic_stages(s, h, r))
-        psi = psi + analytic_sum("psi")
-        f_r = F.when(centre, 0.0).otherwise(f_r + analytic_sum("fr"))
-        f_z = F.when(centre, 0.0).otherwise(f_z + analytic_sum("fz"))
+        out = run(out, analytic_stages(s, h))
+        psi, f_r, f_z = psi + analytic_sum("psi"), f_r + analytic_sum("fr"), f_z + analytic_sum("fz")
+        # on the axis point r = 0 no side is preferred
+        f_r, f_z = f_r * off_centre, f_z * off_centre
     return out.select(*points.columns, psi.alias("psi"), f_r.alias("f_r"), f_z.alias("f_z"))
 
 

@@ -10,7 +10,7 @@ block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,75 +22,97 @@ from halocline.operators.keys import lookup_join
 from halocline.operators.ordering import as_of, neighbours, running_totals
 
 BLOCK = 2048
+DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def _tridiagonal(lower, diag, upper, rhs) -> np.ndarray:
-    """Solve for several right-hand sides (columns of ``rhs``)."""
-    n = len(diag)
+    """Solve many systems at once: (systems, n) bands and (systems, n, k) right-hand sides."""
+    n = diag.shape[1]
     d, r = diag.astype(float).copy(), rhs.astype(float).copy()
     for k in range(1, n):
-        w = lower[k] / d[k - 1]
-        d[k] -= w * upper[k - 1]
-        r[k] -= w * r[k - 1]
-    r[n - 1] /= d[n - 1]
+        w = lower[:, k] / d[:, k - 1]
+        d[:, k] -= w * upper[:, k - 1]
+        r[:, k] -= w[:, None] * r[:, k - 1]
+    r[:, n - 1] /= d[:, n - 1, None]
     for k in range(n - 2, -1, -1):
-        r[k] = (r[k] - upper[k] * r[k + 1]) / d[k]
+        r[:, k] = (r[:, k] - upper[:, k, None] * r[:, k + 1]) / d[:, k, None]
     return r
 
 
-def _inner_solution(pdf: pd.DataFrame) -> np.ndarray:
-    """Interior second derivatives of a block as p + q*left + w*right (three columns)."""
-    h, d = np.diff(pdf["__x"].to_numpy()), np.diff(pdf["__y"].to_numpy())
-    slope = d / h
-    m = len(h) - 1
-    rhs = np.zeros((m, 3))
-    rhs[:, 0] = 6.0 * np.diff(slope)
-    rhs[0, 1] = -h[0]
-    rhs[-1, 2] = -h[-1]
-    return _tridiagonal(h[:-1], 2.0 * (h[:-1] + h[1:]), h[1:], rhs)
-
-
-def _reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("__i")
-    x, y = pdf["__x"].to_numpy(), pdf["__y"].to_numpy()
-    if len(x) > 2:
-        s = _inner_solution(pdf)
-        first, last = s[0], s[-1]
-    else:  # the bounding knots touch: each is the other's neighbour
-        first, last = np.array([0.0, 0.0, 1.0]), np.array([0.0, 1.0, 0.0])
-    h0, h1 = x[1] - x[0], x[-1] - x[-2]
-    row = [*first, *last, h0, h1, (y[1] - y[0]) / h0, (y[-1] - y[-2]) / h1]
-    return pd.DataFrame([row], columns=_BLOCK_COLS).assign(__block=int(pdf["__block"].iloc[0]))
-
-
-_BLOCK_COLS = ["fp", "fq", "fw", "lp", "lq", "lw", "h0", "h1", "s0", "s1"]
-
-
-def _solve_bounds(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Second derivatives at the bounding knots of one table; zero at both ends."""
-    b = pdf.sort_values("__block")
-    n = len(b)
-    m = np.zeros(n + 1)
-    if n > 1:
-        left, right = b.iloc[:-1], b.iloc[1:]
-        hl, hr = left["h1"].to_numpy(), right["h0"].to_numpy()
-        diag = 2.0 * (hl + hr) + hl * left["lw"].to_numpy() + hr * right["fq"].to_numpy()
-        rhs = 6.0 * (right["s0"].to_numpy() - left["s1"].to_numpy())
-        rhs = rhs - hl * left["lp"].to_numpy() - hr * right["fp"].to_numpy()
-        m[1:-1] = _tridiagonal(
-            hl * left["lq"].to_numpy(), diag, hr * right["fw"].to_numpy(), rhs[:, None]
-        )[:, 0]
-    return pd.DataFrame({"__block": b["__block"].to_numpy(), "__ml": m[:-1], "__mr": m[1:]})
-
-
-def _fill_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("__i")
-    left, right = pdf["__ml"].iloc[0], pdf["__mr"].iloc[0]
-    m = np.empty(len(pdf))
-    m[0], m[-1] = left, right
-    if len(pdf) > 2:
-        m[1:-1] = _inner_solution(pdf) @ np.array([1.0, left, right])
-    return pd.DataFrame({"__i": pdf["__i"], "__x": pdf["__x"], "__y": pdf["__y"], "__m": m})
+def _inner_solution(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Interior second derivatives of equally long blocks as p + q*left + w*right (last axis)."""
+    h = np.diff(x, axis=1)
+    slope = np.diff(y, axis=1) / h
+    rhs = np.zeros((x.shape[0], x.shape[1] - 2, 3))
+    rhs[:, :, 0] = 6.0 * np.diff(slope, axis=1)
+    rhs[:, 0, 1] = -h[:, 0]
+    rhs[:, -1, 2] = -h[:, -1]
+    return _tridiagonal(h[:, :-1], 2.0 * (h[:, :-1] + h[:, 1:]), h[:, 1:], rhs)
+
+
+def _by_length(arrays: pd.Series):
+    """Positions of rows grouped by array length, so that each group stacks into a matrix."""
+    lengths = arrays.map(len).to_numpy()
+    for n in np.unique(lengths):
+        yield n, np.flatnonzero(lengths == n)
+
+
+def _stack(arrays: pd.Series, rows: np.ndarray) -> np.ndarray:
+    return np.stack([np.asarray(a, dtype=float) for a in arrays.iloc[rows]])
+
+
+@F.pandas_udf(DOUBLES)
+def _reduce_blocks(x: pd.Series, y: pd.Series) -> pd.Series:
+    """First and last interior rows (p, q, w each), end spacings and end slopes of every block."""
+    out = np.empty(len(x), dtype=object)
+    for n, rows in _by_length(x):
+        xs, ys = _stack(x, rows), _stack(y, rows)
+        h = np.diff(xs, axis=1)
+        slope = np.diff(ys, axis=1) / h
+        if n > 2:
+            inner = _inner_solution(xs, ys)
+            first, last = inner[:, 0], inner[:, -1]
+        else:  # the bounding knots touch: each is the other's neighbour
+            first, last = np.tile([0.0, 0.0, 1.0], (len(rows), 1)), np.tile([0.0, 1.0, 0.0], (len(rows), 1))
+        table = np.column_stack([first, last, h[:, 0], h[:, -1], slope[:, 0], slope[:, -1]])
+        for i, row in zip(rows, table):
+            out[i] = row
+    return pd.Series(out)
+
+
+@F.pandas_udf(DOUBLES)
+def _solve_bounds(blocks: pd.Series) -> pd.Series:
+    """Second derivatives at the bounding knots of each table; zero at both ends."""
+
+    def one(rows) -> np.ndarray:
+        b = np.stack([np.asarray(r, dtype=float) for r in rows])
+        m = np.zeros(len(b) + 1)
+        if len(b) > 1:
+            left, right = b[:-1], b[1:]
+            hl, hr = left[:, 7], right[:, 6]
+            diag = 2.0 * (hl + hr) + hl * left[:, 5] + hr * right[:, 1]
+            rhs = 6.0 * (right[:, 8] - left[:, 9]) - hl * left[:, 3] - hr * right[:, 0]
+            bands = (hl * left[:, 4], diag, hr * right[:, 2])
+            m[1:-1] = _tridiagonal(*[v[None] for v in bands], rhs[None, :, None])[0, :, 0]
+        return m
+
+    return blocks.map(one)
+
+
+@F.pandas_udf(DOUBLES)
+def _fill_blocks(x: pd.Series, y: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    """Second derivatives of whole blocks from those of their bounding knots."""
+    out = np.empty(len(x), dtype=object)
+    for n, rows in _by_length(x):
+        ends = np.column_stack([left.to_numpy()[rows], right.to_numpy()[rows]])
+        m = np.empty((len(rows), n))
+        m[:, 0], m[:, -1] = ends[:, 0], ends[:, 1]
+        if n > 2:
+            inner = _inner_solution(_stack(x, rows), _stack(y, rows))
+            m[:, 1:-1] = inner[:, :, 0] + inner[:, :, 1] * ends[:, :1] + inner[:, :, 2] * ends[:, 1:]
+        for i, row in zip(rows, m):
+            out[i] = row
+    return pd.Series(out)
 
 
 def spline_coefficients(
@@ -102,59 +124,48 @@ def spline_coefficients(
     block: int = BLOCK,
     **bucketing,
 ) -> DataFrame:
-    """Second derivative ``y2`` of the natural cubic spline at every knot.
+    """Second derivative ``y2`` of the natural cubic spline at every knot, numbered by ``knot``.
 
-    Knots need distinct ``x`` within a table, and at least two of them.
+    Knots need distinct ``x`` within a table, and at least two of them.  Blocks are
+    rows holding arrays of at most ``block`` + 1 knots, solved many at a time in
+    numpy; grouping and carrying values between blocks is Spark's.
     """
     g = list(group_cols)
-    schema = knots.schema
-    keys = [schema[c] for c in g]
     slim = knots.select(*g, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     ranked = running_totals(slim, ["__x"], {"__i": F.lit(1).cast("bigint")}, group_cols=g, **bucketing)
     ranked = ranked.withColumn("__i", F.col("__i") - 1)
-    sizes = ranked.groupBy(*g).agg(F.max("__i").alias("__end"))
+    sizes = slim.groupBy(*g).agg((F.count(F.lit(1)) - 1).alias("__end"))
     too_short = F.raise_error(F.lit("need at least two points for a spline")).cast("bigint")
     sizes = sizes.withColumn("__end", F.when(F.col("__end") < 1, too_short).otherwise(F.col("__end")))
-    rows = lookup_join(ranked, sizes, g)
+    last = F.floor((F.col("__end") - 1) / block).cast("bigint")
+    rows = lookup_join(ranked, sizes.select(*g, last.alias("__last")), g)
     # a bounding knot (index a multiple of the block length) closes one block and opens the next
     at = F.floor(F.col("__i") / block).cast("bigint")
-    last_block = F.floor((F.col("__end") - 1) / block).cast("bigint")
-    shared = (F.col("__i") % block == 0) & (F.col("__i") > 0)
-    member = F.when(shared & (at <= last_block), F.array(at - 1, at)).otherwise(
-        F.array(F.least(at, last_block))
+    shared = (F.col("__i") % block == 0) & (F.col("__i") > 0) & (at <= F.col("__last"))
+    member = F.when(shared, F.array(at - 1, at)).otherwise(F.array(F.least(at, F.col("__last"))))
+    rows = rows.withColumn("__block", F.explode(member))
+    blocks = rows.groupBy(*g, "__block", "__last").agg(
+        F.sort_array(F.collect_list(F.struct("__i", "__x", "__y"))).alias("__k")
     )
-    blocks = rows.withColumn("__block", F.explode(member)).drop("__end")
-
-    def out_schema(fields: list[tuple[str, T.DataType]]) -> T.StructType:
-        return T.StructType(keys + [T.StructField(n, t) for n, t in fields])
-
-    def with_keys(fn):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            out = fn(pdf)
-            for name, value in zip(g, key):
-                out[name] = value
-            return out
-
-        return run
-
-    dbl, big = T.DoubleType(), T.LongType()
-    reduced = blocks.groupBy(*g, "__block").applyInPandas(
-        with_keys(_reduce_block), out_schema([("__block", big), *[(c, dbl) for c in _BLOCK_COLS]])
-    )
-    bounds = reduced.groupBy(*g).applyInPandas(
-        with_keys(_solve_bounds), out_schema([("__block", big), ("__ml", dbl), ("__mr", dbl)])
+    blocks = blocks.withColumns(
+        {"__xs": F.transform("__k", lambda k: k["__x"]), "__ys": F.transform("__k", lambda k: k["__y"])}
     )
-    filled = (
-        lookup_join(blocks, bounds, [*g, "__block"], hot=[])
-        .groupBy(*g, "__block")
-        .applyInPandas(
-            with_keys(_fill_block), out_schema([("__i", big), ("__x", dbl), ("__y", dbl), ("__m", dbl)])
-        )
+    reduced = blocks.select(*g, "__block", _reduce_blocks("__xs", "__ys").alias("__c"))
+    # one row per block of a table: at most (knots / block) of them
+    tables = reduced.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("__block", "__c"))).alias("__b"))
+    solved = tables.select(*g, _solve_bounds(F.transform("__b", lambda b: b["__c"])).alias("__m"))
+    ends = solved.select(*g, F.posexplode(F.transform(F.slice("__m", F.lit(1), F.size("__m") - 1), lambda v, i: F.struct(v.alias("l"), F.get(F.col("__m"), i + 1).alias("r")))).alias("__block", "__lr"))
+    ends = ends.select(*g, F.col("__block").cast("bigint").alias("__block"), "__lr.l", "__lr.r")
+    ends = ends.withColumnsRenamed({"l": "__left", "r": "__right"})
+    filled = lookup_join(blocks, ends, [*g, "__block"], hot=[])
+    filled = filled.withColumn("__ms", _fill_blocks("__xs", "__ys", "__left", "__right"))
+    each = filled.select(*g, "__block", "__last", F.size("__k").alias("__n"), F.posexplode(F.arrays_zip("__k", "__ms")).alias("__pos", "__z"))
+    # the closing knot of a block is reported by the block it opens
+    each = each.filter((F.col("__pos") < F.col("__n") - 1) | (F.col("__block") == F.col("__last")))
+    k = F.col("__z.__k")
+    return each.select(
+        *g, k["__i"].alias("knot"), k["__x"].alias(x), k["__y"].alias(y), F.col("__z.__ms").alias("y2")
     )
-    # both copies of a bounding knot carry the same value
-    return filled.groupBy(*g, "__i").agg(
-        F.first("__x").alias(x), F.first("__y").alias(y), F.first("__m").alias("y2")
-    ).withColumnRenamed("__i", "knot")
 
 
 def _cubic(t: Column, at: Column) -> Column:

@@ -97,7 +97,7 @@ def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] =
     )
     rows = coefficients.filter(F.col("l") <= lmax).select(*k, "l", *VALUES, sides.alias("__c"))
     rows = rows.select(*k, "l", *VALUES, "__c.cell", "__c.side")
-    aggs = [F.collect_set("side").alias("__sides")]
+    aggs = [F.bool_or(F.col("side") == s).alias(f"__{s}") for s in ("lo", "hi")]
     for l in range(0, lmax + 1, 2):
         for side in ("lo", "hi"):
             here = (F.col("l") == l) & (F.col("side") == side)
@@ -105,7 +105,7 @@ def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] =
                 F.coalesce(F.max(F.when(here, F.col(v))), F.lit(0.0)).alias(f"{v}_{side}_{l}")
                 for v in ("apot", "fr")
             ]
-    return rows.groupBy(*k, "cell").agg(*aggs).filter(F.size("__sides") == 2).drop("__sides")
+    return rows.groupBy(*k, "cell").agg(*aggs).filter(F.col("__lo") & F.col("__hi")).drop("__lo", "__hi")
 
 
 def _locate(points: DataFrame, catalog: DataFrame, parts: Sequence[str], R: str, z: str, keys) -> DataFrame:

@@ -8,12 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halocline.storage import materialise
+
 # A side is hinted for broadcast only when the caller can prove it has at most
 # this many rows; otherwise Spark decides from measured sizes.
 BROADCAST_ROWS = 10_000
 
-# Inputs the planner estimates below this are not worth a look for hot keys.
-SKEW_CHECK_BYTES = 1 << 33
+# Joins whose large side the planner estimates above this first measure the other
+# side and look for hot keys; smaller ones stay lazy.
+LARGE_INPUT_BYTES = 1 << 33
 
 HOT_SAMPLE = 0.001
 
@@ -22,6 +25,11 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _broadcast_limit(df: DataFrame) -> int:
+    jconf = df.sparkSession._jsparkSession.sessionState().conf()
+    return int(jconf.autoBroadcastJoinThreshold())
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.01) -> list[tuple]:
     """Keys that hold more than ``share`` of a small sample: at most 1/share of them.
 
@@ -52,23 +60,31 @@ def lookup_join(
     max_rows: int | None = None,
     salts: int = 64,
     hot: list[tuple] | None = None,
+    null_safe: bool = True,
 ) -> DataFrame:
-    """Join a large table to one with unique keys ``on``, null-safe.
+    """Join a large table to one with unique keys ``on``.
 
     ``max_rows`` is a proven bound on ``right``: within :data:`BROADCAST_ROWS` it is
-    broadcast.  Otherwise the join is a plain equi-join (Spark broadcasts it
-    when the measured size allows) and the hot keys of a large ``left`` are
-    salted: their rows spread over ``salts`` reducers and only their few
-    ``right`` rows are repeated.
+    broadcast.  Otherwise the join is a plain equi-join, which Spark turns into
+    a broadcast when the size allows.  When ``left`` is large, ``right`` is first
+    written out, so that this choice rests on its true size and ``left`` is not
+    shuffled for nothing; and if it is too big, the hot keys of ``left`` are salted:
+    their rows spread over ``salts`` reducers and only their few ``right`` rows are
+    repeated.  ``hot`` gives the hot keys if they are known.
+
+    Null keys match each other unless ``null_safe`` is off, which lets the join reuse
+    a partitioning by the same columns.
     """
     renamed = {c: f"__r_{c}" for c in on}
-    right = right.withColumnsRenamed(renamed)
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
         right = F.broadcast(right)
         hot = []
-    elif hot is None:
-        hot = hot_keys(left, on) if _estimated_bytes(left) > SKEW_CHECK_BYTES else []
-    cond = [F.col(c).eqNullSafe(F.col(renamed[c])) for c in on]
+    elif hot is None and _estimated_bytes(left) > LARGE_INPUT_BYTES:
+        right = materialise(right, "lookup")
+        hot = hot_keys(left, on) if _estimated_bytes(right) > _broadcast_limit(left) else []
+    right = right.withColumnsRenamed(renamed)
+    same = Column.eqNullSafe if null_safe else Column.__eq__
+    cond = [same(F.col(c), F.col(renamed[c])) for c in on]
     if hot:
         spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
         left = left.withColumn("__salt", F.when(_is_any(list(on), hot), spread).otherwise(0))

@@ -6,6 +6,10 @@ inside (group, bucket), and a small table with one row per non-empty (group,
 bucket) carries what crosses the cuts.  Cuts are literals taken from a sample
 of the *composite* order key, so even many equal radii are divided by id, and
 any choice of cuts gives the same result.
+
+Group columns must not be null here; a null is an error.  In return the table
+is shuffled once, by (group, bucket), and the join that brings in the carried
+values reuses that partitioning.
 """
 
 from __future__ import annotations
@@ -64,13 +68,16 @@ def bucket_of(order_cols: Sequence[str], cuts: list[tuple]) -> Column:
 def with_buckets(
     df: DataFrame,
     order_cols: Sequence[str],
+    group_cols: Sequence[str] = (),
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     cuts: list[tuple] | None = None,
 ) -> DataFrame:
     if cuts is None:
         cuts = order_cuts(df, order_cols, rows_per_bucket)
-    return df.withColumn(BUCKET, bucket_of(order_cols, cuts))
+    fault = F.raise_error(F.lit("null in a group column"))
+    groups = {c: F.coalesce(F.col(c), fault.cast(df.schema[c].dataType)) for c in group_cols}
+    return df.withColumns(groups | {BUCKET: bucket_of(order_cols, cuts)})
 
 
 def _rows(group_cols: Sequence[str], order_cols: Sequence[str]):
@@ -95,7 +102,7 @@ def running_totals(
 
     ``order_cols`` must identify a row within its group for a repeatable result.
     """
-    b = with_buckets(df, order_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
+    b = with_buckets(df, order_cols, group_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
     before = _across(group_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = b.groupBy(*group_cols, BUCKET).agg(*[F.sum(c).alias(n) for n, c in totals.items()])
     offsets = offsets.select(
@@ -105,7 +112,7 @@ def running_totals(
     )
     upto = _rows(group_cols, order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = b.withColumns({n: F.sum(c).over(upto) for n, c in totals.items()})
-    out = lookup_join(inside, offsets, [*group_cols, BUCKET], hot=[])
+    out = lookup_join(inside, offsets, [*group_cols, BUCKET], hot=[], null_safe=False)
     out = out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in totals})
     return out.drop(BUCKET, *[f"__before_{n}" for n in totals])
 
@@ -125,7 +132,7 @@ def first_in_order(
     tell which buckets are wanted whole and which one is split: only the split
     bucket is sorted, and rows past it are dropped before any shuffle of rows.
     """
-    b = with_buckets(df, order_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
+    b = with_buckets(df, order_cols, group_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
     before = _across(group_cols).rowsBetween(Window.unboundedPreceding, -1)
     quota = (
         b.groupBy(*group_cols, BUCKET)
@@ -135,7 +142,7 @@ def first_in_order(
         .filter(F.col("__quota") > 0)
         .select(*group_cols, BUCKET, "__n", "__quota")
     )
-    wanted = lookup_join(b, quota, [*group_cols, BUCKET])
+    wanted = lookup_join(b, quota, [*group_cols, BUCKET], null_safe=False)
     whole = wanted.filter(F.col("__quota") >= F.col("__n"))
     split = (
         wanted.filter(F.col("__quota") < F.col("__n"))
@@ -156,7 +163,7 @@ def neighbours(
     cuts: list[tuple] | None = None,
 ) -> DataFrame:
     """Add structs ``prev`` and ``next`` with ``cols`` of the adjacent rows (null at the ends)."""
-    b = with_buckets(df, order_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
+    b = with_buckets(df, order_cols, group_cols, rows_per_bucket=rows_per_bucket, cuts=cuts)
     b = b.withColumn("__key", F.struct(*order_cols)).withColumn("__own", F.struct(*cols))
     edges = b.groupBy(*group_cols, BUCKET).agg(
         F.min_by("__own", "__key").alias("__first"), F.max_by("__own", "__key").alias("__last")
@@ -170,7 +177,7 @@ def neighbours(
     )
     r = _rows(group_cols, order_cols)
     inside = b.withColumn("prev", F.lag("__own").over(r)).withColumn("next", F.lead("__own").over(r))
-    out = lookup_join(inside, edges, [*group_cols, BUCKET], hot=[])
+    out = lookup_join(inside, edges, [*group_cols, BUCKET], hot=[], null_safe=False)
     return out.withColumns(
         {
             "prev": F.coalesce("prev", "__from_prev"),
@@ -216,7 +223,11 @@ def as_of(
     )
     order = ["__x", "__kind", "__tie"]
     merged = with_buckets(
-        rows.unionByName(marks, allowMissingColumns=True), order, rows_per_bucket=rows_per_bucket, cuts=cuts
+        rows.unionByName(marks, allowMissingColumns=True),
+        order,
+        group_cols,
+        rows_per_bucket=rows_per_bucket,
+        cuts=cuts,
     )
     edges = merged.groupBy(*group_cols, BUCKET).agg(
         F.max_by("__interval", F.when(F.col("__kind") == 0, F.col("__x"))).alias("__last")
@@ -227,7 +238,7 @@ def as_of(
     )
     upto = _rows(group_cols, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = merged.withColumn("__seen", F.last("__interval", ignorenulls=True).over(upto))
-    out = lookup_join(inside.filter(F.col("__kind") == 1), edges, [*group_cols, BUCKET], hot=[])
+    out = lookup_join(inside.filter(F.col("__kind") == 1), edges, [*group_cols, BUCKET], hot=[], null_safe=False)
     hit = F.coalesce("__seen", "__carry")
     return out.select(
         *group_cols, *[F.col("__point")[c].alias(c) for c in own], *[hit[c].alias(c) for c in carried]

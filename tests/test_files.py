@@ -98,12 +98,19 @@ def test_sinks_round_trip(spark, tmp_path):
     assert text.scan_particles(spark, f"{tmp_path}/txt").count() == 2
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
+def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/folder/"}
+
+    assert storage.shared_dir(Session()) == "hdfs://shared/folder"
     assert storage.shared_dir(spark).startswith("/")
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared")
-    try:
-        assert storage.shared_dir(spark) == f"{tmp_path}/shared"
-        df = storage.materialise(spark.range(3).toDF("k"), "t")
-        assert df.inputFiles()[0].startswith(f"file://{tmp_path}/shared/halocline/t-") and df.count() == 3
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster())
+    monkeypatch.setattr(storage, "shared_dir", lambda s: f"{tmp_path}/shared")
+    df = storage.materialise(spark.range(3).toDF("k"), "t")
+    assert df.inputFiles()[0].startswith(f"file://{tmp_path}/shared/halocline/t-") and df.count() == 3

@@ -23,7 +23,7 @@ def rows(spark):
             "w": rng.integers(1, 9, n) / 8.0,
         }
     )
-    return pdf, spark.createDataFrame(pdf).repartition(5)
+    return pdf, spark.createDataFrame(pdf).repartition(5).cache()
 
 
 def _sorted(pdf, by):
@@ -104,6 +104,46 @@ def test_salted_join_equals_plain_join(rows, spark):
     assert "__salt" in spread
 
 
+def test_large_inputs_measure_and_salt(rows, spark, monkeypatch):
+    pdf, df = rows
+    right = df.groupBy("g").agg(F.sum("w").alias("s"))
+    want = keys.attach(df, right, ["g"]).toPandas()
+    monkeypatch.setattr(keys, "LARGE_INPUT_BYTES", 0)
+    small = keys.attach(df, right, ["g"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(keys, "hot_keys", lambda *a: [("big",)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        split = keys.attach(df, right, ["g"])
+        assert "__salt" in split._jdf.queryExecution().executedPlan().toString()
+        got = split.toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for out in (small.toPandas(), got):
+        assert np.allclose(_sorted(out, "id")["s"], _sorted(want, "id")["s"]) and len(out) == len(pdf)
+
+
+def test_order_reuses_one_shuffle(rows, spark):
+    _, df = rows
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordering.running_totals(df.repartition(3), ["x", "id"], {"s": F.col("w")}, group_cols=["g"], rows_per_bucket=40)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    left = plan.split("SortMergeJoin")[1].split(":- ")[1].split("+- Exchange")
+    # rows are shuffled by (group, bucket) for the window, and not again for the join
+    assert plan.count("Exchange hashpartitioning(g#") <= 4 and "Window" in left[0]
+
+
+def test_null_group_is_an_error_in_order(spark):
+    df = spark.createDataFrame([(None, 1)], "g string, x int")
+    with pytest.raises(Exception, match="null in a group column"):
+        ordering.running_totals(df, ["x"], {"s": F.col("x")}, group_cols=["g"]).collect()
+
+
 def test_null_keys_are_kept(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "g string, v int")
     stats = left.groupBy("g").agg(F.sum("v").alias("s"))

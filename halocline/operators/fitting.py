@@ -162,6 +162,7 @@ def fit_halo(
     *,
     center: bool = True,
     core_radius: float = 10.0,
+    max_iter: int = 20,
     n_bins: int = 40,
     group_cols: Sequence[str] = (),
     mass: str = "mass",
@@ -171,7 +172,9 @@ def fit_halo(
 ) -> DataFrame:
     """Centre on the core, bin the enclosed mass, fit."""
     if center:
-        df = center_on_core(df, core_radius=core_radius, group_cols=group_cols, mass=mass, pos=pos)
+        df = center_on_core(
+            df, core_radius=core_radius, max_iter=max_iter, group_cols=group_cols, mass=mass, pos=pos
+        )
     profile = enclosed_mass(df, n_bins=n_bins, mass=mass, pos=pos, group_cols=group_cols, strict=strict)
     return nfw_fit(profile, group_cols=group_cols, strict=strict, **fit_options)
 

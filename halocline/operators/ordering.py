@@ -62,7 +62,8 @@ def bucket_of(order_cols: Sequence[str], cuts: list[tuple]) -> Column:
     def descend(low: Column, step: Column) -> Column:
         return F.when(mine >= F.get(table, low + step - 1), low + step).otherwise(low)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend)
+    # never null, which also spares Spark a filter that would repeat the search
+    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend), F.lit(0))
 
 
 def with_buckets(

@@ -268,16 +268,17 @@ def enclosed_mass(
 
 
 def log_profile(
-    profiles: dict[str, DataFrame], *, on: Sequence[str], value: str, base: str = "ln"
+    profiles: dict[str, DataFrame], *, on: Sequence[str], value: str, radius: str | None = None, base: str = "ln"
 ) -> DataFrame:
     """Full join of profile tables on radius (and groups) with log-scaled values side by side.
 
-    Non-positive values have no logarithm and give null.
+    ``radius`` names a join column whose logarithm is added too.  Non-positive values
+    have no logarithm and give null.
     """
     scale = {"ln": F.log, "log10": F.log10}[base]
+    logarithm = lambda v: F.when((v > 0) & all_finite(v), scale(v))
     out = None
     for name, df in profiles.items():
-        v = F.col(value)
-        part = df.select(*on, F.when((v > 0) & all_finite(v), scale(v)).alias(f"{base}_{name}"))
+        part = df.select(*on, logarithm(F.col(value)).alias(f"{base}_{name}"))
         out = part if out is None else out.join(part, list(on), "full")
-    return out
+    return out if radius is None else out.withColumn(f"{base}_{radius}", logarithm(F.col(radius)))

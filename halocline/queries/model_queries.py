@@ -247,15 +247,15 @@ def stability_table(spark, sf):
 
 @query(
     "log_profile",
-    "bin:i ln_disk:6 ln_halo:6 ln_bulge:6",
-    f"""SELECT bin, ln(max(surface_density) FILTER (component = 'disk')) AS ln_disk,
+    "bin:i ln_r:6 ln_disk:6 ln_halo:6 ln_bulge:6",
+    f"""SELECT bin, ln(r) AS ln_r, ln(max(surface_density) FILTER (component = 'disk')) AS ln_disk,
           ln(max(surface_density) FILTER (component = 'halo')) AS ln_halo, ln(max(surface_density) FILTER (component = 'bulge')) AS ln_bulge
-        FROM ({pq.DISK_PROFILE_SQL}) GROUP BY bin""",
+        FROM ({pq.DISK_PROFILE_SQL}) GROUP BY bin, r""",
 )
 def log_profile(spark, sf):
     prof = profiles.radial_profile_disk(fx.particles(spark, sf), group_cols=["component"])
     parts = {c: prof.filter(F.col("component") == c) for c in ("disk", "halo", "bulge")}
-    return profiles.log_profile(parts, on=["bin"], value="surface_density")
+    return profiles.log_profile(parts, on=["bin", "r"], value="surface_density", radius="r")
 
 
 # ---- multipole tables -------------------------------------------------------------------
@@ -695,11 +695,7 @@ _centred = f"""(SELECT particle_id, halo_id AS model_id, mass, x - cx AS x, y -
 )
 def halo_from_particles_query(spark, sf):
     p = fx.particles(spark, sf).withColumnRenamed("halo_id", "model_id")
-    offsets = fitting.core_center(p, max_iter=cq.ROUNDS, group_cols=["model_id"]).drop("settled")
-    centred = p.join(offsets, "model_id").withColumns(
-        {c: F.col(c) - F.col(o) for c, o in zip("xyz", ("cx", "cy", "cz"))}
-    )
-    return _flat_halo(halo_from_particles(centred, fx.catalog(spark, sf), center=False, refinements=2))
+    return _flat_halo(halo_from_particles(p, fx.catalog(spark, sf), max_iter=cq.ROUNDS, refinements=2))
 
 
 SUPER_COEF = """(SELECT model_id, l, ir, r, c.apot + b.apot AS apot, c.fr + b.fr AS fr FROM coef c JOIN bary b USING (model_id, l, ir, r))"""

@@ -21,11 +21,15 @@ def _text(*cols: Column) -> Column:
     return F.concat_ws(" ", *[c.cast("string") for c in cols])
 
 
-def _one_file_each(lines: DataFrame, path: str) -> None:
-    """Write (model_id, order, line) rows as one text file per model."""
-    whole = lines.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("order", "line"))).alias("__l"))
+def _one_file_each(lines: DataFrame, path: str, *kinds: str) -> None:
+    """Write (model_id, order, line) rows as one text file per model (and kind)."""
+    keys = [*kinds, "model_id"]
+    whole = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("order", "line"))).alias("__l"))
     body = F.array_join(F.transform("__l", lambda s: s["line"]), "\n")
-    whole.select("model_id", body.alias("value")).write.partitionBy("model_id").text(path)
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but many files: a set number of tasks keeps Spark from merging them into one
+    spread = whole.select(*keys, body.alias("value")).repartition(tasks, *keys)
+    spread.write.partitionBy(*keys).text(path)
 
 
 @query("scan_particles", "component mass x y z vx vy vz", "SELECT component, mass, x, y, z, vx, vy, vz FROM p")
@@ -174,6 +178,7 @@ def ingest_harmonics(spark, sf):
 )
 def ingest_model_runs(spark, sf):
     base = scratch_path(spark, "runs")
+    tables: list[DataFrame] = []
     k, c = fx.knots(spark, sf), fx.catalog(spark, sf)
     R, i, m = F.col("R"), F.col("i"), F.col("model_id")
     zero = F.lit(0.0)
@@ -183,8 +188,8 @@ def ingest_model_runs(spark, sf):
         out = rows.select("model_id", F.array(F.lit(0), order.cast("int")).alias("order"), line.alias("line"))
         if head is not None:
             out = out.unionByName(head)
-        _one_file_each(out, f"{base}/{name}")
-        return f"{base}/{name}"
+        tables.append(out.withColumn("kind", F.lit(name)))
+        return f"{base}/kind={name}"
 
     def head(rows: DataFrame, line: Column) -> DataFrame:
         return rows.select("model_id", F.array(F.lit(-1), F.lit(0)).alias("order"), line.alias("line"))
@@ -228,6 +233,11 @@ def ingest_model_runs(spark, sf):
     )
     manifests = table("manifests", c, F.lit(0), manifest)
 
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    _one_file_each(every, base, "kind")
+
     by = {"key_pattern": BY_MODEL}
     f = model_runs.read_frequency_tables(spark, freq, **by)
     d = model_runs.read_disk_corrections(spark, corr, **by)

@@ -22,7 +22,7 @@ MASS_ORDER = ("disk", "bulge", "halo")
 MANIFEST_SCHEMA = (
     "struct<model:string,grid:struct<dr:double,nr:int,lmax:int>,"
     "halo:struct<r_outer_kpc:double,v0_100kms:double,a_kpc:double>,"
-    "disk:struct<mass_galactics:double,scale_length_kpc:double>,"
+    "disk:map<string,double>,"
     "disk_kinematics:struct<sigma_r0:double,sigma_r_scale:double,n_radial_steps:int,n_iterations:int>>"
 )
 

@@ -41,9 +41,30 @@ def uncommented(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(line), r"^#", ""))
 
 
-def _numeric_rows(spark: SparkSession, path, line: Column, width: int) -> DataFrame:
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), numbers(line).alias("v"))
-    return lines.filter(F.size("v") >= width)
+def _leading_numbers(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of ``lines`` whose ``line`` is all numbers, and enough of them, with the first as columns.
+
+    Most lines are decided by casts alone.  A cast is more generous than the token
+    pattern only where there is a type suffix, hexadecimal or a spelled-out value, so
+    the pattern is tried only on lines with one of their letters.  The row is made by a
+    generator: a filter would be pushed below the split and repeat it.
+    """
+    width = len(names)
+    plain = F.lit(True)
+    for letter in "dDfFxXnNiI":
+        plain = plain & ~F.col("line").contains(letter)
+    rows = lines.select("*", plain.alias("__plain"), F.split(F.btrim("line", F.lit(" \t\r\n\f")), r"\s+").alias("__t"))
+    toks = F.col("__t")
+    values = F.struct(*[F.get(toks, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+    rest = F.slice(toks, width + 1, 1 << 30)
+    sound = (F.size(toks) == width) | F.forall(rest, lambda t: t.try_cast("double").isNotNull())
+    sound = sound & (F.col("__plain") | F.forall(toks, lambda t: t.rlike(NUMBER)))
+    row = F.when((F.size(toks) >= width) & sound, F.array(values))
+    kept = [c for c in lines.columns if c != "line"]
+    out = rows.select(*kept, F.inline_outer(row))
+    for n in names:
+        out = out.filter(F.col(n).isNotNull())
+    return out
 
 
 def scan_particles(spark: SparkSession, path: str | Sequence[str], component: str | None = None) -> DataFrame:
@@ -53,9 +74,10 @@ def scan_particles(spark: SparkSession, path: str | Sequence[str], component: st
     seven; short rows, and with them the two-number count header, are dropped.
     Files split at line boundaries like any Spark text source.
     """
-    rows = _numeric_rows(spark, path, without_comment(F.col("value")), len(PARTICLE_COLUMNS))
-    cols = [F.col("v")[i].alias(c) for i, c in enumerate(PARTICLE_COLUMNS)]
-    out = rows.select("file", *cols)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), without_comment(F.col("value")).alias("line")
+    )
+    out = _leading_numbers(lines, PARTICLE_COLUMNS)
     return out if component is None else out.withColumn("component", F.lit(component))
 
 
@@ -69,9 +91,13 @@ def load_components(
     """
     rows = scan_particles(spark, f"{path}/{{{','.join(files)}}}*")
     # a component may be one text file or a folder of part files
-    name = F.regexp_extract("file", r"/(" + "|".join(files) + r")(/[^/]*)?$", 1)
-    folder = F.regexp_extract("file", r"^(.*)/(?:" + "|".join(files) + r")(/[^/]*)?$", 1)
-    tagged = rows.withColumn("__source", name).filter(F.col("__source") != "").withColumn("folder", folder)
+    last, pair = F.substring_index("file", "/", -1), F.substring_index("file", "/", -2)
+    parent = F.substring_index(pair, "/", 1)
+    known = list(files)
+    name = F.when(last.isin(known), last).when(parent.isin(known), parent)
+    tail = F.when(last.isin(known), last).otherwise(pair)
+    folder = F.substring(F.col("file"), F.lit(1), F.length("file") - F.length(tail) - 1)
+    tagged = rows.withColumn("__source", name).filter(F.col("__source").isNotNull()).withColumn("folder", folder)
     component, order = F.lit(None).cast("string"), F.lit(None).cast("int")
     for i, (source, comp) in enumerate(files.items()):
         here = F.col("__source") == source

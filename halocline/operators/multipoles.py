@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halocline.functions.special import even_legendre, harmonic_norm
+from halocline.functions.special import even_legendre
 from halocline.operators.frames import POS
 from halocline.operators.keys import lookup_join
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halocline import fixtures as fx
-from halocline.operators import curves, fitting, frames, profiles, splines
+from halocline.operators import curves, fitting, profiles, splines
 from halocline.queries.particle_queries import RSPH, enclosed_mass_sql
 from halocline.queries.registry import query
 

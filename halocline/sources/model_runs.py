@@ -6,8 +6,6 @@ folder name, so a thousand runs are one Spark job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

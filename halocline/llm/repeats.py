@@ -27,7 +27,7 @@ WINDOW = 13
 LONGEST = 256  # windows in one packed string
 BLOCK_BYTES = 1 << 21  # text handled at once
 BUCKET_BYTES = 4 << 20  # text whose windows one task sorts
-ROWS_AT_ONCE = 16_384
+ROWS_AT_ONCE = 8_192
 # Odd multipliers of the rolling hashes, which only sort; equality is always checked.
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -148,6 +148,8 @@ def _shared_runs(packed: pa.Array, low: np.ndarray, high: np.ndarray):
     """Of packed strings of whole buckets: (string, first window, windows, smallest document) of shared windows."""
     raw, bounds = buffer_of(packed)
     starts, ends, text = words_of(raw, bounds)
+    if not len(starts):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     hashes = word_hashes(raw, starts, ends)
     n = len(starts) - WINDOW + 1
     window = np.zeros(n, np.uint64)
@@ -187,9 +189,11 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Runs of shared windows; rows come sorted by bucket, and whole buckets are handled some at a time."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
+        # a packed string comes once from each block of texts that has it
+        table = table.group_by("packed").aggregate([("low", "min"), ("high", "max")])
         packed = table["packed"].combine_chunks()
         packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-        string, first, n, low = _shared_runs(packed, table["low"].to_numpy(), table["high"].to_numpy())
+        string, first, n, low = _shared_runs(packed, table["low_min"].to_numpy(), table["high_max"].to_numpy())
         names = np.unique(string)
         digests = _digests(packed.take(pa.array(names)).to_pylist())[np.searchsorted(names, string)]
         columns = [digests[:, 0], digests[:, 1], first.astype(np.int32), n.astype(np.int32), low]

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm.frames import release
 from halocline.storage import materialise
 
 
@@ -46,4 +45,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if stored.where("old <> label").isEmpty():
             return stored.select("node", "label")
         labels = stored.select("node", "label")
-        release(edges.sparkSession)

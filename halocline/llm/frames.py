@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer used.
 
     Spark removes them when the driver's garbage collector finds their owner gone, which a driver
-    with little to do may put off until the disks of the executors are full.
+    with little to do may put off until the disks of the executors are full.  The end of a query reaches
+    Spark's listeners, which hold it too, a moment after its result; hence the pauses.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

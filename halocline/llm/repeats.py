@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, packed, low, high): the packed strings of a block, equal ones as one row."""
+    """(bucket, packed, low, span): the packed strings of a block, equal ones as one row."""
     for block in _blocks(batches):
         text, _, least, packed = super_kmers(*buffer_of(block["text"]))
         if not packed:
@@ -140,8 +141,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(at, kind="stable")
         heads = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
         low, high = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
-        rows = [least[order[heads]].view(np.int64), list(seen), low, high]
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["bucket", "packed", "low", "high"])
+        # half of the minimiser's bits, and the distance of the documents, are less to send
+        bucket = (least[order[heads]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        rows = [bucket, list(seen), low, high - low]
+        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["bucket", "packed", "low", "span"])
 
 
 def _shared_runs(packed: pa.Array, low: np.ndarray, high: np.ndarray):
@@ -190,6 +193,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         # a packed string comes once from each block of texts that has it
+        table = table.append_column("high", pc.add(table["low"], table["span"]))
         table = table.group_by("packed").aggregate([("low", "min"), ("high", "max")])
         packed = table["packed"].combine_chunks()
         packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
@@ -236,7 +240,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text", utf8_size(F.col("text")).alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = min(20_000, max(1, math.ceil(total / BUCKET_BYTES)))
-    packed = rows.mapInArrow(_pack, "bucket long, packed binary, low long, high long")
+    packed = rows.mapInArrow(_pack, "bucket int, packed binary, low long, span long")
     sorted_ = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     runs = materialise(sorted_.mapInArrow(_sort_buckets, "k1 long, k2 long, first int, n int, low long"), "repeat-runs")
     # the packed strings' shuffle is done with

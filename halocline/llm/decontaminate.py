@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ RETRIEVE = 0.4  # share of an item's score against itself
 GRAM = 5
 QUESTION_OVERLAP = ANSWER_OVERLAP = 0.25
 ANSWER_WORDS = 5
-ITEMS_PER_BLOCK = 16
+ITEMS_PER_BLOCK = 8
 ITEMS_PER_INDEX = 2048  # items in one index; more of them are handled index by index
 LEAST_PASSAGE = 64
 ROWS_AT_ONCE = 256
@@ -98,11 +99,11 @@ def retrieve(index: Index, texts: list[list[str]]) -> list[tuple[int, int, float
     """(text, item, score) of all items that some passage of a text retrieves; scores as shares of what is asked, by passage."""
     unknown, step = len(index.terms), index.passage // 2
     get = index.terms.get
-    codes = [np.fromiter((get(w, unknown) for w in x), np.int64, len(x)) for x in texts]
+    codes = [[get(w, unknown) for w in x] for x in texts]
     lengths = np.array([len(c) for c in codes], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    term = np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.int64)
+    term = np.fromiter(chain.from_iterable(codes), np.int64, len(owner))
     known = term < unknown
     owner, place, term = owner[known], place[known], term[known]
     if not len(term):
@@ -120,13 +121,17 @@ def retrieve(index: Index, texts: list[list[str]]) -> list[tuple[int, int, float
         high = min(low + 4096, len(starts))
         a, b = starts[low], ends[high - 1]
         bounds = np.add.reduceat(index.maxima[term[a:b]], starts[low:high] - a, axis=0)
-        for i, block in np.argwhere(bounds >= 0.999):
-            i += low
-            at = slice(block * ITEMS_PER_BLOCK, (block + 1) * ITEMS_PER_BLOCK)
-            scores = index.impacts[term[starts[i] : ends[i]], at].sum(axis=0, dtype=np.float64)
-            for j in np.flatnonzero(scores >= 1):
-                key = (int(texts_of[i]), int(block * ITEMS_PER_BLOCK + j))
-                best[key] = max(best.get(key, 0.0), float(scores[j]))
+        open_ = bounds >= 0.999
+        for block in np.flatnonzero(open_.any(axis=0)).tolist():
+            own = low + np.flatnonzero(open_[:, block])
+            sizes = ends[own] - starts[own]
+            heads = np.cumsum(sizes) - sizes
+            entries = term[np.repeat(starts[own] - heads, sizes) + np.arange(int(sizes.sum()))]
+            first = block * ITEMS_PER_BLOCK
+            scores = np.add.reduceat(index.impacts[entries, first : first + ITEMS_PER_BLOCK], heads, axis=0, dtype=np.float64)
+            for i, j in np.argwhere(scores >= 1).tolist():
+                key = (int(texts_of[own[i]]), first + j)
+                best[key] = max(best.get(key, 0.0), float(scores[i, j]))
     return [(t, j, s) for (t, j), s in sorted(best.items())]
 
 

@@ -73,7 +73,7 @@ class Model:
     languages: list[str]
     classes: np.ndarray  # class of each code point below its length
     alphabet: int
-    table: np.ndarray  # per state and class: 2 * (start of the next state's row) + whether a phrase ends
+    table: np.ndarray  # per state and class: 4 * (start of the next state's row) + phrases that end (2 with a letter the sample lacks)
     roots: np.ndarray  # start of the root's row, per language
 
 
@@ -111,11 +111,15 @@ def fit(samples: dict[str, list[str]]) -> Model:
         goto = np.array(nexts, np.int64)
         root = np.maximum(goto[0], 0)
         missing = goto < 0
+        unknown = missing[0].copy()
         goto = np.where(missing, root, goto)
         goto[:, PADDING] = 0
         mark = missing.astype(np.int64)
+        # a class that no stretch begins with is a phrase of its own, besides the one it ends
+        mark[1:, unknown] += 1
+        mark[:, PADDING] = 1
         mark[0, PADDING] = 0
-        tables.append(((base + goto * alphabet) * 2 + mark).astype(np.int32).ravel())
+        tables.append(((base + goto * alphabet) * 4 + mark).astype(np.int32).ravel())
         roots.append(base)
         base += goto.size
     return Model(languages, classes, alphabet, np.concatenate(tables or [np.zeros(0, np.int32)]), np.array(roots, np.int32))
@@ -133,13 +137,13 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     counts = np.zeros((len(model.languages), len(grid)), np.int32)
     for low in range(0, len(grid), LANES):
         lanes = np.ascontiguousarray(grid[low : low + LANES].T)
-        state = np.repeat((model.roots * 2)[:, None], lanes.shape[1], 1)
+        state = np.repeat((model.roots * 4)[:, None], lanes.shape[1], 1)
         total = np.zeros_like(state)
         for column in lanes:
-            state = model.table[(state >> 1) + column]
-            total += state & 1
+            state = model.table[(state >> 2) + column]
+            total += state & 3
         # the phrase a stretch ends in counts too
-        total += (state >> 1) != model.roots[:, None]
+        total += (state >> 2) != model.roots[:, None]
         counts[:, low : low + LANES] = total
     upto = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
     return (upto[:, first[1:]] - upto[:, first[:-1]]).T

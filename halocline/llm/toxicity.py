@@ -91,9 +91,7 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         share = min(max(y.mean(), 1e-4), 1 - 1e-4)
         self.start = float(np.log(share / (1 - share)))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        # values that most rows share leave no cut above them by quantiles; the mean of the larger ones is one
-        cuts = [np.unique(np.append(c, [v[v > v.min()].min() / 2 + v.min() / 2, v[v > v.min()].mean()])) if (v := x[:, j]).max(initial=0) > v.min(initial=0) else c for j, c in enumerate(cuts)]
+        cuts = [self._cuts(c) for c in x.T]
         binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
         raw = np.full(len(y), self.start)
         for _ in range(self.rounds):
@@ -103,6 +101,12 @@ class Trees:
             raw += self._apply(tree, x)
         return self
 
+    def _cuts(self, values: np.ndarray) -> np.ndarray:
+        """Thresholds of one feature: quantiles, and two above the smallest value, which most rows may share."""
+        cuts = np.quantile(values, np.linspace(0, 1, self.bins + 1)[1:-1])
+        above = values[values > values.min()]
+        return np.unique(np.r_[cuts, (above.min() + values.min()) / 2, above.mean()] if len(above) else cuts)
+
     def _grow(self, binned, cuts, g, h):
         inner, width = 2**self.depth - 1, max(len(c) for c in cuts) + 1
         split, limit = np.zeros(inner, np.int64), np.full(inner, np.inf)
@@ -143,11 +147,12 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step means of y over x, by pooling neighbours that are out of order."""
-    order = np.argsort(x, kind="stable")
+    values, at = np.unique(x, return_inverse=True)
+    weights = np.bincount(at)
     levels: list[list[float]] = []  # mean, weight, first x, last x
-    for a, b in zip(x[order], y[order]):
-        levels.append([float(b), 1.0, float(a), float(a)])
-        while len(levels) > 1 and (levels[-2][0] >= levels[-1][0] or levels[-2][3] == levels[-1][2]):
+    for value, mean, weight in zip(values, np.bincount(at, y) / weights, weights):
+        levels.append([float(mean), float(weight), float(value), float(value)])
+        while len(levels) > 1 and levels[-2][0] >= levels[-1][0]:
             m, w, _, last = levels.pop()
             k = levels[-1]
             k[0], k[1], k[3] = (k[0] * k[1] + m * w) / (k[1] + w), k[1] + w, last
@@ -193,8 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = _training_rows(docs, labels, rows)
     pairs = F.expr("explode(array_distinct(transform(words, (w, i) -> struct(w AS word, IF(i = 0, '', words[i - 1]) AS before))))")
     pairs = sample.withColumn("words", F.split(F.lower("text"), r"[^\p{L}\p{N}']+")).select("toxic", pairs.alias("p")).where(F.length("p.word") > 2)
-    # copies of a text repeat its word pairs, so a word counts once for each word that stands before it
-    counts = pairs.groupBy("p.word", "p.before").agg(F.max("toxic").alias("bad")).groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("all"))
+    # copies of a text repeat its word pairs, so a word counts once for each word that stands before it, and as
+    # toxic if all texts with the pair are
+    counts = pairs.groupBy("p.word", "p.before").agg(F.min("toxic").alias("bad")).groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("all"))
     share = F.col("bad") / F.col("all")
     top = counts.where((F.col("bad") >= LEAST_TOXIC) & (share >= LEAST_SHARE)).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()
     lexicon = frozenset(r["word"] for r in top)

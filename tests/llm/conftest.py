@@ -12,7 +12,3 @@ def documents(spark):
         return spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCUMENT).repartition(partitions)
 
     return make
-
-
-def rows_of(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)

@@ -31,7 +31,7 @@ def greedy_phrases(text, sample):
 def test_phrases_match_definition(sample, texts):
     model = lg.fit({"x": [sample + "abc"], "y": ["b"]})
     codes = [lg.encode(t, model.classes) for t in texts]
-    known = bytes(np.append(lg.encode(sample + "abc", model.classes), lg.GAP))
+    known = bytes([*lg.encode(sample + "abc", model.classes).tolist(), lg.GAP])
     got = lg.phrases(model, codes) if codes else np.zeros((0, 2))
     assert got[:, 0].tolist() == [greedy_phrases(bytes(c), known) for c in codes]
 

@@ -117,7 +117,7 @@ def water_fill(sizes):
 def test_mix(documents):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(200))), None, rng.choice(["a", "B", "é", None, "hot", "hot", "hot", "z"])) for i in range(900)]
-    rows += [(10_000, None, None, "empty"), (10_001, "x " * 40_000, None, "long"), (5, "same id", None, "a"), (5, "same id", None, "a")]
+    rows += [(10_000, None, None, "empty"), (10_001, "x " * 40_000, None, "long"), (10_002, "same id", None, "a"), (10_002, "same id", None, "a")]
     got = mixing.mix_digest(documents(rows)).collect()
     sizes, taken = Counter(), Counter()
     for _, t, _, s in rows:

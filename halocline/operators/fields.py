@@ -1,7 +1,8 @@
 """Analytic densities, potentials and forces at points of many models.
 
 Each field is a join of the points to the model catalog followed by a few
-projections, with no shuffle of its own.
+projections, with no shuffle of its own.  Points of a model that the catalog lacks
+keep their row, with null results.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from halocline.functions.special import sech2
 from halocline.functions.stages import Stages, drop_temporaries, run, side_by_side
 from halocline.operators.keys import lookup_join
 from halocline.operators.models import MODEL
+from halocline.operators.splines import spline_coefficients, spline_lookup
 
 
 D1, D2, GAS, HALO = "__d1_", "__d2_", "__g_", "__h_"
@@ -34,7 +36,22 @@ def model_constants(catalog: DataFrame, parts: Sequence[str], keys: Sequence[str
     return catalog.select(*keys, *more, *flat)
 
 
-AT_R, AT_Z = "__at_R", "__at_z"
+AT_R, AT_Z, KNOWN = "__at_R", "__at_z", "__known"
+
+
+def with_constants(points: DataFrame, constants: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every point with its model's constants; ``__known`` is false, and they are zero, where the catalog lacks it.
+
+    Filling them in keeps the formulas free of null checks; results are blanked by ``__known``.
+    """
+    named = constants.withColumn(KNOWN, F.lit(True))
+    out = lookup_join(points, named, keys, "left")
+    fill = {"boolean": F.lit(False), "int": F.lit(0), "bigint": F.lit(0), "double": F.lit(0.0)}
+    return out.withColumns({c: F.coalesce(F.col(c), fill[kind]) for c, kind in named.dtypes if c not in keys})
+
+
+def where_known(value: Column) -> Column:
+    return F.when(F.col(KNOWN), value)
 
 
 def point_coordinates(R: str, z: str | None) -> Stages:
@@ -98,7 +115,7 @@ def density_field(
     """
     s, h = F.col(AT_R), F.col(AT_Z)
     points = run(points, point_coordinates(R, z))
-    out = lookup_join(points, model_constants(catalog, ["halo", "disk", "disk2", "gas"], keys), keys)
+    out = with_constants(points, model_constants(catalog, ["halo", "disk", "disk2", "gas"], keys), keys)
     # the plain disk has a taper of its own, under another prefix
     plain = "__d0_"
     copies = {plain + n: F.col(D1 + n) for n in ("norm", "outer", "per_scale", "per_width", "per_height")}
@@ -106,15 +123,14 @@ def density_field(
     out = run(out, side_by_side(_disk_and_gas(s, h, 2), comp.disk_surface(plain, s)))
     per_R = F.coalesce(F.try_divide(F.lit(1.0), s), F.lit(0.0))
     out = run(out, comp.gas_density(GAS, s, h, per_R))
-    out = out.withColumns(
-        {
-            "rho_halo": comp.nfw_density(HALO, F.col(R_SPH)),
-            "rho_disk": F.col(plain + "sigma") * F.col(D1 + "per_height") * 0.5 * sech2(F.col(D1 + "zz")),
-            "rho_disk_pot": comp.disk_matching_density(D1),
-            "rho_disk2_pot": comp.disk_matching_density(D2),
-            "rho_gas": F.col(GAS + "rho"),
-        }
-    )
+    values = {
+        "rho_halo": comp.nfw_density(HALO, F.col(R_SPH)),
+        "rho_disk": F.col(plain + "sigma") * F.col(D1 + "per_height") * 0.5 * sech2(F.col(D1 + "zz")),
+        "rho_disk_pot": comp.disk_matching_density(D1),
+        "rho_disk2_pot": comp.disk_matching_density(D2),
+        "rho_gas": F.col(GAS + "rho"),
+    }
+    out = out.withColumns({n: where_known(v) for n, v in values.items()})
     return drop_temporaries(out)
 
 
@@ -124,7 +140,7 @@ def surface_density_field(
     """Surface densities of the disks and the gas, and the gas scale height with derivatives."""
     s = F.col(AT_R)
     points = run(points, point_coordinates(R, None))
-    out = lookup_join(points, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
+    out = with_constants(points, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
     none = F.lit(0.0)
     stages = side_by_side(
         comp.disk_surface(D1, s),
@@ -132,17 +148,16 @@ def surface_density_field(
         comp.tapered_exponential(GAS, s, none, 0),
         comp.gas_height(GAS, s),
     )
-    out = run(out, stages).withColumns(
-        {
-            "sigma_disk": F.col(D1 + "sigma"),
-            # the radial factor of the potential is the surface density times half the height
-            "sigma_disk2": F.col(D2 + "f") * F.col(D2 + "per_height") * 2.0,
-            "sigma_gas": F.col(GAS + "f"),
-            "gas_h": F.col(GAS + "h"),
-            "gas_h1": F.col(GAS + "h1"),
-            "gas_h2": F.col(GAS + "h2"),
-        }
-    )
+    values = {
+        "sigma_disk": F.col(D1 + "sigma"),
+        # the radial factor of the potential is the surface density times half the height
+        "sigma_disk2": F.col(D2 + "f") * F.col(D2 + "per_height") * 2.0,
+        "sigma_gas": F.col(GAS + "f"),
+        "gas_h": F.col(GAS + "h"),
+        "gas_h1": F.col(GAS + "h1"),
+        "gas_h2": F.col(GAS + "h2"),
+    }
+    out = run(out, stages).withColumns({n: where_known(v) for n, v in values.items()})
     return drop_temporaries(out)
 
 
@@ -151,12 +166,12 @@ def analytic_field(
 ) -> DataFrame:
     """Struct columns ``field_disk``, ``field_disk2``, ``field_gas`` with psi, f_r and f_z."""
     placed = run(points, point_coordinates(R, z))
-    out = lookup_join(placed, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
+    out = with_constants(placed, model_constants(catalog, ["disk", "disk2", "gas"], keys), keys)
     out = run(out, [*spherical_radius(), *analytic_stages(F.col(AT_R), F.col(AT_Z))])
 
     def part(name: str) -> Column:
         names = {"psi": "psi", "f_r": "fr", "f_z": "fz"}
-        return F.struct(*[F.col(f"__{n}_{name}").alias(f) for f, n in names.items()])
+        return where_known(F.struct(*[F.col(f"__{n}_{name}").alias(f) for f, n in names.items()]))
 
     return out.select(*points.columns, *[part(n).alias(f"field_{n}") for n in ("disk", "disk2", "gas")])
 
@@ -172,11 +187,14 @@ def stability_table(
     """Epicycle frequency, radial dispersion and stability parameter per model and radius.
 
     ``frequencies`` (R, omega_h, d2psi_dr2 and the surface density), ``corrections``
-    (R, f_d) and ``kinematics`` (sigma_r0, sigma_r_scale per model).
+    (R, f_d, on radii of their own: a natural spline gives f_d at the frequencies' radii) and
+    ``kinematics`` (sigma_r0, sigma_r_scale per model).  One row per row of ``frequencies``; what
+    needs a table that a model lacks is null.
     """
     k = list(keys)
-    both = frequencies.join(corrections.select(*k, "R", "f_d"), [*k, "R"])
-    both = lookup_join(both, kinematics.select(*k, "sigma_r0", "sigma_r_scale"), k)
+    curve = spline_coefficients(corrections.select(*k, "R", "f_d"), x="R", y="f_d", group_cols=k)
+    both = spline_lookup(frequencies, curve, at="R", x="R", y="f_d", out="f_d", group_cols=k)
+    both = lookup_join(both, kinematics.select(*k, "sigma_r0", "sigma_r_scale"), k, "left")
     omega = F.col("omega_h")
     kappa = F.sqrt(F.greatest(F.lit(0.0), F.col("d2psi_dr2") + omega * omega * 3.0))
     out = both.withColumn("kappa", kappa).withColumn(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from halocline.operators.frames import POS
 from halocline.operators.keys import attach
 from halocline.operators.profiles import enclosed_mass
-from halocline.storage import materialise
+from halocline.storage import discard, materialise, scratch_path
 
 
 def core_center(
@@ -30,16 +30,20 @@ def core_center(
 
     Each round averages the particles within ``core_radius`` of the current
     offset; a group is settled once its step is below ``tolerance * core_radius``
-    on every axis or its core is empty or massless.  Only the offsets (one row
-    per group) are carried between rounds, as a written table, and later rounds
-    read only the particles of unsettled groups.
+    on every axis or its core is empty or massless.  Masses and positions are stored
+    once, so a source that must be parsed is read once however many rounds there
+    are.  Only the offsets (one row per group) are carried between rounds, as a written
+    table that replaces the one before.
     """
     g = list(group_cols)
     eps = tolerance * core_radius
     rows = df.select(*g, F.col(mass).alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(pos)])
+    spark = df.sparkSession
+    kept = scratch_path(spark, "core-particles")
+    rows = materialise(rows, "core-particles", kept)
     axes = range(3)
     names = ["cx", "cy", "cz"]
-    offsets = None
+    offsets, last = None, None
     for _ in range(max_iter):
         if offsets is None:
             placed = rows.withColumns({c: F.lit(0.0) for c in names})
@@ -65,17 +69,26 @@ def core_center(
         )
         if offsets is not None:
             moved = moved.unionByName(offsets.filter(F.col("settled")))
-        offsets = materialise(moved, "core-offsets")
+        path = scratch_path(spark, "core-offsets")
+        offsets = materialise(moved, "core-offsets", path)
+        if last:
+            discard(spark, last)
+        last = path
         if offsets.filter(~F.col("settled")).isEmpty():
             break
+    discard(spark, kept)
     return offsets
 
 
 def center_on_core(
-    df: DataFrame, *, pos: Sequence[str] = POS, group_cols: Sequence[str] = (), **options
+    df: DataFrame, *, pos: Sequence[str] = POS, group_cols: Sequence[str] = (), settled: str | None = None, **options
 ) -> DataFrame:
-    """Positions relative to the dense core of each group (see :func:`core_center`)."""
-    offsets = core_center(df, pos=pos, group_cols=group_cols, **options).drop("settled")
+    """Positions relative to the dense core of each group (see :func:`core_center`).
+
+    ``settled`` names a column that tells whether the group's centre settled within the rounds allowed.
+    """
+    offsets = core_center(df, pos=pos, group_cols=group_cols, **options)
+    offsets = offsets.withColumnRenamed("settled", settled) if settled else offsets.drop("settled")
     out = attach(df, offsets, group_cols)
     shift = zip(pos, ("cx", "cy", "cz"))
     return out.withColumns({p: F.col(p) - F.col(c) for p, c in shift}).drop("cx", "cy", "cz")
@@ -136,7 +149,7 @@ def nfw_fit(
     )
     enough = F.size("__pts") >= 3
     if strict:
-        none = F.raise_error(F.lit("insufficient radial bins for NFW fit")).cast(fits.schema["__pts"].dataType)
+        none = F.raise_error(F.concat(F.lit("fewer than three bins with mass in group "), F.to_json(F.struct(*g)) if g else F.lit("(all)"))).cast(fits.schema["__pts"].dataType)
         fits = fits.withColumn("__pts", F.when(enough, F.col("__pts")).otherwise(none))
     else:
         fits = fits.filter(enough)
@@ -193,7 +206,8 @@ def rotation_curve_scale(
     """Velocity scale between model and observed curves with the weighted rms, in one aggregate.
 
     ``masses`` has ``mass_disk, mass_bulge, mass_halo, radius_halo`` per group;
-    with it the component masses in solar units are added.
+    with it the component masses in solar units are added.  A mass that is absent, or a
+    group without masses, counts as 0.
     """
     v = F.col(v_model)
     o = F.col(v_obs) / velocity_kms
@@ -212,10 +226,10 @@ def rotation_curve_scale(
     out = sums.withColumn("rms", F.sqrt(F.greatest(ms, F.lit(0.0)))).select(*group_cols, "n", "v_scale", "rms")
     if masses is None:
         return out
-    out = out.join(masses, list(group_cols))
+    out = out.join(masses, list(group_cols), "left")
     to_msun = k * k / G_msun
     return out.withColumns(
-        {f"{c}_mass_msun": F.col(f"mass_{c}") * to_msun for c in ("disk", "bulge", "halo")}
+        {f"{c}_mass_msun": F.coalesce(F.col(f"mass_{c}"), F.lit(0.0)) * to_msun for c in ("disk", "bulge", "halo")}
     ).withColumnRenamed("radius_halo", "halo_radius_kpc").drop("mass_disk", "mass_bulge", "mass_halo")
 
 

@@ -1,13 +1,24 @@
-"""Bilinear lookup on regular (R, z) grids."""
+"""Bilinear lookup on (R, z) lattices."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocline.operators.keys import attach, lookup_join
+from halocline.operators.ordering import as_of
+
+
+def _axis_ranks(grid: DataFrame, axis: str, g: list[str], side: str) -> DataFrame:
+    """(group, __at, __<side>, __next): the distinct values of one axis, their ranks from 0, and the next value.
+
+    A group's axis is one window: it has as many rows as the root of the group's nodes, about.
+    """
+    order = Window.partitionBy(*(g or [F.lit(0)])).orderBy("__at")
+    values = grid.select(*g, F.col(axis).alias("__at")).distinct()
+    return values.select(*g, "__at", (F.row_number().over(order) - 1).alias(f"__{side}"), F.lead("__at").over(order).alias("__next"))
 
 
 def grid_lookup_bilinear(
@@ -21,44 +32,32 @@ def grid_lookup_bilinear(
 ) -> DataFrame:
     """Bilinear ``values`` at each point; points outside extrapolate from the border cell.
 
-    Grid nodes are equally spaced per group.  Every node is sent to the up to four
-    cells it bounds, so a point needs one equi-join on its cell.
+    A group's nodes are all pairs of its axis values, which may be spaced unevenly; a lattice
+    with missing or repeated nodes, or fewer than two values on an axis, is an error.  Axis
+    values are ranked per group, points find their interval on each axis in order, and
+    every node is sent to the up to four cells it bounds, so values need one equi-join on
+    the cell.  Points of a group without a grid have nulls.
     """
     g = list(group_cols)
-    gx, gz = (F.col(c) for c in grid_cols)
-    frame = grid.groupBy(*g).agg(
-        F.min(gx).alias("__x0"), F.max(gx).alias("__x1"),
-        F.min(gz).alias("__z0"), F.max(gz).alias("__z1"),
-        # counting the nodes on two border lines gives the shape without a distinct
-        F.count(F.lit(1)).alias("__n"),
-    )
-    on_line = attach(grid.select(*g, *grid_cols), frame.select(*g, "__x0"), g)
-    rows = on_line.groupBy(*g).agg(F.count_if(gx == F.col("__x0")).alias("__nz"))
-    if g:
-        frame = frame.join(rows, g)
-    else:
-        frame = attach(frame, rows, g)
-    frame = frame.withColumn("__nx", F.col("__n") / F.col("__nz")).select(
-        *g,
-        "__x0",
-        "__z0",
-        ((F.col("__x1") - F.col("__x0")) / (F.col("__nx") - 1)).alias("__dx"),
-        ((F.col("__z1") - F.col("__z0")) / (F.col("__nz") - 1)).alias("__dz"),
-        (F.col("__nx") - 2).cast("int").alias("__lastx"),
-        (F.col("__nz") - 2).cast("int").alias("__lastz"),
-    )
-    nodes = attach(grid, frame, g)
-    nodes = nodes.withColumns(
-        {
-            "__i": F.round((gx - F.col("__x0")) / F.col("__dx")).cast("int"),
-            "__j": F.round((gz - F.col("__z0")) / F.col("__dz")).cast("int"),
-        }
-    )
+    shape = grid.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
+    nodes, placed = grid, points
+    for side, axis, at in (("x", grid_cols[0], point_cols[0]), ("z", grid_cols[1], point_cols[1])):
+        ranks = _axis_ranks(grid, axis, g, side)
+        shape = attach(shape, ranks.groupBy(*g).agg(F.count(F.lit(1)).alias(f"__n{side}")), g)
+        nodes = lookup_join(nodes, ranks.select(*g, F.col("__at").alias(axis), f"__{side}"), [*g, axis])
+        # the first interval also takes what lies below, the last what lies above
+        below = F.when(F.col(f"__{side}") == 0, F.lit(float("-inf"))).otherwise(F.col("__at"))
+        interval = F.struct(F.col(f"__{side}").alias("i"), F.col("__at").alias("lo"), F.col("__next").alias("hi"))
+        intervals = ranks.filter(F.col("__next").isNotNull()).select(*g, below.alias("__start"), interval.alias(f"__cell{side}"))
+        placed = as_of(placed, intervals, point_x=at, start="__start", group_cols=g).drop("__start")
+    nx, nz, n = F.col("__nx"), F.col("__nz"), F.col("__n")
+    fault = F.raise_error(F.lit("the grid is not a full lattice of its axis values, two at least on each")).cast("bigint")
+    nodes = attach(nodes, shape.select(*g, F.when((nx * nz == n) & (nx > 1) & (nz > 1), n).otherwise(fault).alias("__n")), g)
     corner = F.explode(
         F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
     )
-    spread = nodes.withColumn("__c", corner).withColumns(
-        {"__ix": F.col("__i") - F.col("__c.a"), "__iz": F.col("__j") - F.col("__c.b")}
+    spread = nodes.filter(F.col("__n") > 0).withColumn("__c", corner).withColumns(
+        {"__ix": F.col("__x") - F.col("__c.a"), "__iz": F.col("__z") - F.col("__c.b")}
     )
     here = lambda a, b: (F.col("__c.a") == a) & (F.col("__c.b") == b)
     cells = spread.groupBy(*g, "__ix", "__iz").agg(
@@ -69,13 +68,16 @@ def grid_lookup_bilinear(
             for b in (0, 1)
         ]
     )
-    px, pz = (F.col(c) for c in point_cols)
-    placed = attach(points, frame, g)
-    u, v = (px - F.col("__x0")) / F.col("__dx"), (pz - F.col("__z0")) / F.col("__dz")
-    clamp = lambda c, last: F.least(F.greatest(F.floor(c), F.lit(0)), F.col(last)).cast("int")
-    placed = placed.withColumns({"__ix": clamp(u, "__lastx"), "__iz": clamp(v, "__lastz")})
-    placed = placed.withColumns({"__s": u - F.col("__ix"), "__t": v - F.col("__iz")})
-    out = lookup_join(placed, cells, [*g, "__ix", "__iz"])
+    cx, cz = F.col("__cellx"), F.col("__cellz")
+    placed = placed.withColumns(
+        {
+            "__ix": cx["i"],
+            "__iz": cz["i"],
+            "__s": (F.col(point_cols[0]) - cx["lo"]) / (cx["hi"] - cx["lo"]),
+            "__t": (F.col(point_cols[1]) - cz["lo"]) / (cz["hi"] - cz["lo"]),
+        }
+    )
+    out = lookup_join(placed, cells, [*g, "__ix", "__iz"], "left")
     s, t = F.col("__s"), F.col("__t")
     at = lambda n, a, b: F.col(f"__{n}{a}{b}")
     blend = lambda n: (

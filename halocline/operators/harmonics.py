@@ -25,6 +25,8 @@ from halocline.operators.fields import (
     model_constants,
     point_coordinates,
     spherical_radius,
+    with_constants,
+    KNOWN,
 )
 from halocline.operators.keys import lookup_join
 from halocline.operators.models import COMPONENTS, MODEL, absent
@@ -59,7 +61,10 @@ def merge_catalogs(halo: DataFrame, baryon: DataFrame, *, keys: Sequence[str] =
     k = list(keys)
     h = halo.select(*k, F.struct(*[c for c in halo.columns if c not in k]).alias("__h"))
     b = baryon.select(*k, F.struct(*[c for c in baryon.columns if c not in k]).alias("__b"))
-    both = h.join(b, k)
+    both = h.join(b, k, "full")
+    # a model that only one catalog has is an error, as its missing shells are in merge_harmonics
+    whole = lambda c, side: _raise_unless(F.col(c).isNotNull(), f"a model is missing from the {side} catalog", F.col(c), both.schema[c].dataType.simpleString())
+    both = both.select(*k, whole("__h", "halo").alias("__h"), whole("__b", "baryon").alias("__b"))
     hs, bs = F.col("__h"), F.col("__b")
 
     def combined(c: str) -> Column:
@@ -80,11 +85,12 @@ def merge_catalogs(halo: DataFrame, baryon: DataFrame, *, keys: Sequence[str] =
     return out
 
 
-def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] = MODEL) -> DataFrame:
+def harmonic_cells(coefficients: DataFrame, lmax: int, *, truncate: bool = False, keys: Sequence[str] = MODEL) -> DataFrame:
     """One row per (model, cell): coefficients on both shells of the cell, as flat columns.
 
     Each shell is sent to the cell it closes and the cell it opens, so that
-    pairing and widening are the same aggregate.  Orders a model lacks are zero.
+    pairing and widening are the same aggregate.  Orders a model lacks are zero; orders above
+    ``lmax`` are an error unless ``truncate`` leaves them out.
     """
     if lmax % 2:
         raise ValueError("lmax must be even")
@@ -95,7 +101,10 @@ def harmonic_cells(coefficients: DataFrame, lmax: int, *, keys: Sequence[str] =
             F.struct((F.col("ir") + 1).alias("cell"), F.lit("lo").alias("side")),
         )
     )
-    rows = coefficients.filter(F.col("l") <= lmax).select(*k, "l", *VALUES, sides.alias("__c"))
+    if truncate:
+        coefficients = coefficients.filter(F.col("l") <= lmax)
+    l = _raise_unless(F.col("l") <= lmax, f"coefficients have orders above {lmax}; truncate=True leaves them out", F.col("l"), coefficients.schema["l"].dataType.simpleString())
+    rows = coefficients.select(*k, l.alias("l"), *VALUES, sides.alias("__c"))
     rows = rows.select(*k, "l", *VALUES, "__c.cell", "__c.side")
     aggs = [F.bool_or(F.col("side") == s).alias(f"__{s}") for s in ("lo", "hi")]
     for l in range(0, lmax + 1, 2):
@@ -119,11 +128,22 @@ def _locate(points: DataFrame, catalog: DataFrame, parts: Sequence[str], R: str,
         F.coalesce(g["dr"], F.lit(1.0)).alias("__dr"),
     ]
     points = run(points, point_coordinates(R, z))
-    out = run(lookup_join(points, model_constants(catalog, parts, keys, *grid), keys), spherical_radius())
+    out = run(with_constants(points, model_constants(catalog, parts, keys, *grid), keys), spherical_radius())
+    # a model without a catalog row has no grid, and so no cell
+    out = out.withColumn("__dr", F.when(F.col(KNOWN), F.col("__dr")).otherwise(1.0))
     cell = F.floor(F.col(R_SPH) / F.col("__dr")) + 1
     return out.withColumn("cell", F.least(F.greatest(cell, F.lit(1)), F.col("__nr")).cast("int"))
 
 
+def _with_cells(located: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every located point with the coefficients of its cell, zero and not ``__known`` where there is none."""
+    named = cells.withColumn("__cell", F.lit(True))
+    out = lookup_join(located, named, [*keys, "cell"], "left")
+    values = [c for c in cells.columns if c not in (*keys, "cell")]
+    known = F.col(KNOWN) & F.coalesce(F.col("__cell"), F.lit(False))
+    return out.withColumns({KNOWN: known} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in values}).drop("__cell")
+
+
 def _blend(name: str, l: int, t: Column) -> Column:
     return F.col(f"{name}_hi_{l}") * t + F.col(f"{name}_lo_{l}") * (F.lit(1.0) - t)
 
@@ -145,10 +165,10 @@ def harmonic_interpolate(
     keys: Sequence[str] = MODEL,
 ) -> DataFrame:
     """Coefficients ``apot_l`` and ``fr_l`` blended linearly in ``r_sph`` (the last cell extrapolates)."""
-    out = lookup_join(_locate(points, catalog, [], R, z, keys), cells, [*keys, "cell"])
+    out = _with_cells(_locate(points, catalog, [], R, z, keys), cells, keys)
     t = F.col(R_SPH) / F.col("__dr") - (F.col("cell") - 1)
-    blended = {f"{v}_{l}": _blend(v, l, t) for l in range(0, lmax + 1, 2) for v in ("apot", "fr")}
-    return out.withColumns(blended).withColumnRenamed(R_SPH, "r_sph").drop(PER_R, AT_R, AT_Z, "__per_dr", "__edge", "__nr", "__dr", *_cell_columns(lmax))
+    blended = {f"{v}_{l}": F.when(F.col(KNOWN), _blend(v, l, t)) for l in range(0, lmax + 1, 2) for v in ("apot", "fr")}
+    return out.withColumns(blended).withColumnRenamed(R_SPH, "r_sph").drop(PER_R, AT_R, AT_Z, KNOWN, "__per_dr", "__edge", "__nr", "__dr", *_cell_columns(lmax))
 
 
 def evaluate_force(
@@ -166,10 +186,11 @@ def evaluate_force(
 
     Inside the table the coefficients are blended linearly; beyond its edge each
     order decays freely as r^-(l+1).  ``analytic`` adds the disk and gas parts of
-    the model.  At the origin the force is zero.
+    the model.  At the origin the force is zero.  A point of a model that the catalog
+    or the cells lack keeps its row, with nulls.
     """
     parts = ["disk", "disk2", "gas"] if analytic else []
-    out = lookup_join(_locate(points, catalog, parts, R, z, keys), cells, [*keys, "cell"])
+    out = _with_cells(_locate(points, catalog, parts, R, z, keys), cells, keys)
     s, h, r, per_r = (F.col(c) for c in (AT_R, AT_Z, R_SPH, PER_R))
     outside, cos, sin, t, q = (F.col(c) for c in ("__outside", "__cos", "__sin", "__t", "__q"))
     orders = range(0, lmax + 1, 2)
@@ -202,7 +223,8 @@ def evaluate_force(
         psi, f_r, f_z = psi + analytic_sum("psi"), f_r + analytic_sum("fr"), f_z + analytic_sum("fz")
         # on the axis point r = 0 no side is preferred
         f_r, f_z = f_r * off_centre, f_z * off_centre
-    return out.select(*points.columns, psi.alias("psi"), f_r.alias("f_r"), f_z.alias("f_z"))
+    values = {"psi": psi, "f_r": f_r, "f_z": f_z}
+    return out.select(*points.columns, *[F.when(F.col(KNOWN), v).alias(n) for n, v in values.items()])
 
 
 def evaluate_potential(points: DataFrame, cells: DataFrame, catalog: DataFrame, **options) -> DataFrame:

@@ -78,12 +78,13 @@ def expected_mass_check(
 ) -> DataFrame:
     """First particle's mass times the declared count against the model mass.
 
-    ``expected`` holds ``declared_n`` and ``model_mass`` per group.
+    ``expected`` holds ``declared_n`` and ``model_mass`` per group.  A group without particles, or
+    one that nothing is expected of, has a row that isn't ``within``.
     """
     first = df.groupBy(*group_cols).agg(
         F.min_by(mass, F.struct(*order_cols)).alias("first_mass"), F.count(F.lit(1)).alias("n")
     )
-    both = first.join(expected, list(group_cols))
+    both = first.join(expected, list(group_cols), "full").withColumn("n", F.coalesce("n", F.lit(0)))
     implied = F.col("first_mass") * F.col("declared_n")
     off = F.abs(F.try_divide(implied, F.col("model_mass")) - 1.0)
     return both.withColumn("implied_mass", implied).withColumn(

@@ -25,22 +25,23 @@ def multipole_density(
 ) -> DataFrame:
     """Density per (group, l, shell) with shell s spanning [s dr, (s+1) dr); empty shells are absent.
 
-    rho_l = (2l+1) * sum(m P_l(cos theta)) / shell volume; mass outside the grid
-    is left out.
+    rho_l = (2l+1) * sum(m P_l(cos theta)) / shell volume, and ``mass_l`` is the sum itself.  All
+    that lies beyond the grid is in shell ``nr``, without radius and density, so ``mass_l`` of order 0
+    adds up to the whole mass.
     """
     x, y, z = (F.col(c) for c in pos)
     rows = particles.withColumn("__r", F.sqrt(x * x + y * y + z * z))
     cos = F.coalesce(F.try_divide(z, F.col("__r")), F.lit(0.0))
     rows = rows.select(
-        *group_cols, F.col(mass).alias("__m"), cos.alias("__cos"), F.floor(F.col("__r") / dr).cast("int").alias("shell")
-    ).filter(F.col("shell") < nr)
+        *group_cols, F.col(mass).alias("__m"), cos.alias("__cos"), F.least(F.floor(F.col("__r") / dr), F.lit(nr)).cast("int").alias("shell")
+    )
     orders = list(range(0, lmax + 1, 2))
     legendre = even_legendre(F.col("__cos"), lmax)
     sums = rows.groupBy(*group_cols, "shell").agg(
         *[F.sum(F.col("__m") * p).alias(f"__s{l}") for l, (p, _) in zip(orders, legendre)]
     )
     per_l = F.explode(
-        F.array(*[F.struct(F.lit(l).alias("l"), (F.col(f"__s{l}") * (2 * l + 1)).alias("s")) for l in orders])
+        F.array(*[F.struct(F.lit(l).alias("l"), F.col(f"__s{l}").alias("m"), (F.col(f"__s{l}") * (2 * l + 1)).alias("s")) for l in orders])
     )
     lo, hi = F.col("shell") * dr, (F.col("shell") + 1) * dr
     volume = (hi * hi * hi - lo * lo * lo) * (4.0 * math.pi / 3.0)
@@ -48,8 +49,9 @@ def multipole_density(
         *group_cols,
         F.col("__l.l").alias("l"),
         "shell",
-        ((lo + hi) * 0.5).alias("r"),
-        (F.col("__l.s") / volume).alias("rho"),
+        F.when(F.col("shell") < nr, (lo + hi) * 0.5).alias("r"),
+        F.when(F.col("shell") < nr, F.col("__l.s") / volume).alias("rho"),
+        F.col("__l.m").alias("mass_l"),
     )
 
 
@@ -65,12 +67,12 @@ def multipole_potential(
 
     The inner integral of rho r^(l+2) and the outer one of rho r^(1-l) are exact
     for constant density in a shell and become running sums over the nr shells
-    of each (group, l).  Values are divided by the harmonic normalisation.
+    of each (group, l); mass beyond the grid has no density and no part in them.  Values are divided by the harmonic normalisation.
     ``edge_zero`` shifts every order to vanish at the edge.
     """
     g = [*group_cols, "l"]
     nodes = density.select(*g).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(nr))).alias("ir"))
-    shells = density.select(*g, F.col("shell").alias("ir"), "rho")
+    shells = density.filter(F.col("shell") < nr).select(*g, F.col("shell").alias("ir"), "rho")
     full = lookup_join(nodes, shells, [*g, "ir"], "left")
     l = F.col("l").cast("double")
     lo, hi = F.col("ir") * F.lit(float(dr)), (F.col("ir") + 1) * F.lit(float(dr))

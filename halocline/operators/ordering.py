@@ -24,6 +24,7 @@ from halocline.operators.keys import lookup_join
 
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS = 8
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 32
 
@@ -31,18 +32,18 @@ SAMPLES_PER_BUCKET = 32
 def order_cuts(
     df: DataFrame, order_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> list[tuple]:
-    """Composite cut points; at most ``MAX_BUCKETS * SAMPLES_PER_BUCKET`` keys are collected."""
+    """Composite cut points, for at least ``MIN_BUCKETS`` buckets at any size.
+
+    At most ``MAX_BUCKETS * SAMPLES_PER_BUCKET`` keys are collected.
+    """
     keys = df.select(*order_cols)
     n = keys.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    if buckets <= 1:
-        return []
-    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / n)
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / rows_per_bucket)))
+    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / max(n, 1))
     sample = keys.sample(fraction, seed=7).orderBy(*order_cols).collect()
-    if len(sample) < buckets:
-        return []
-    step = len(sample) / buckets
-    picks = (tuple(sample[int(i * step)]) for i in range(1, buckets))
+    # a sample smaller than the buckets gives a cut at each of its keys
+    step = max(1.0, len(sample) / buckets)
+    picks = (tuple(sample[int(i * step)]) for i in range(1, buckets) if int(i * step) < len(sample))
     return list(dict.fromkeys(picks))
 
 

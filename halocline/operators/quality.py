@@ -105,6 +105,8 @@ def consistency_report(
     """
     k = list(keys)
     parts = []
+    # an input without a row for a model is a failed rule of that model
+    every = lambda df: catalog.select(*k).join(df, k, "left")
     if missing is not None:
         n = missing.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
         counted = catalog.select(*k).join(n, k, "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -121,15 +123,15 @@ def consistency_report(
         parts.append(_rules(pair, k, {"disk_mass_matches": (F.col("a").eqNullSafe(F.col("b")), F.col("b"))}))
     if reread is not None:
         c = close_check(*reread, on=[*k, "l", "ir"], values=["apot"], keys=k)
-        parts.append(_rules(c, k, {"round_trip": (F.col("passed"), F.col("different"))}))
+        parts.append(_rules(every(c), k, {"round_trip": (F.col("passed"), F.col("different"))}))
     if merged is not None:
         f = finite_check(merged, values=["apot"], keys=k)
-        parts.append(_rules(f, k, {"merge_finite": (F.col("passed"), F.col("bad_apot"))}))
+        parts.append(_rules(every(f), k, {"merge_finite": (F.col("passed"), F.col("bad_apot"))}))
     if force_at_8 is not None:
         v = circular_velocity(F.col("f_r"), F.lit(8.0))
         parts.append(
             _rules(
-                force_at_8,
+                every(force_at_8),
                 k,
                 {
                     "potential_positive": (F.col("psi") > 0, F.col("psi")),
@@ -144,7 +146,7 @@ def consistency_report(
         m = masses.groupBy(*k).agg(pick("disk").alias("d"), pick("halo").alias("h"))
         parts.append(
             _rules(
-                m,
+                every(m),
                 k,
                 {
                     "masses_positive": ((F.col("d") > 0) & (F.col("h") > 0), F.least("d", "h")),
@@ -155,7 +157,7 @@ def consistency_report(
     if at_5 is not None:
         parts.append(
             _rules(
-                at_5,
+                every(at_5),
                 k,
                 {
                     "omega_positive": (F.col("omega") > 0, F.col("omega")),
@@ -164,12 +166,12 @@ def consistency_report(
             )
         )
     if correction is not None:
-        parts.append(_rules(correction, k, {"central_correction": (F.col("f_d") >= 0.5, F.col("f_d"))}))
+        parts.append(_rules(every(correction), k, {"central_correction": (F.col("f_d") >= 0.5, F.col("f_d"))}))
     if scalars is not None:
         q = F.col("toomre_q")
         parts.append(
             _rules(
-                scalars,
+                every(scalars),
                 k,
                 {
                     "tidal_radius_positive": (F.col("tidal_radius") > 0, F.col("tidal_radius")),

@@ -47,9 +47,11 @@ def galaxy_report(
     if checks is not None:
         rows = checks.select(
             F.lit("check").alias("section"),
+            *[c for c in checks.columns if c not in ("rule", "passed", "observed", "detail")],
             F.col("rule").alias("item"),
             F.lit("passed").alias("metric"),
             F.col("passed").cast("int").cast("double").alias("value"),
         )
+        # checks carry the columns that name their model
         out = out.unionByName(rows, allowMissingColumns=True)
     return out

@@ -58,7 +58,7 @@ HEIGHT_SQL = """
       exp(-R/g_rz) AS g_ez,
       CASE WHEN g_rz < 0 THEN g_zs ELSE (g_zm + 1)*g_zs/(g_zm*g_ez + 1) END AS g_h,
       CASE WHEN g_rz < 0 THEN 0 ELSE (g_zm + 1)*g_zs*g_ez*g_zm/(g_rz*(g_zm*g_ez + 1)**2) END AS g_h1,
-      CASE WHEN g_rz < 0 THEN 0 ELSE (g_zm + 1)*g_zs*g_ez*(1 - g_ez*g_zm)/(g_rz*g_rz*(g_zm*g_ez + 1)**3) END AS g_h2"""
+      CASE WHEN g_rz < 0 THEN 0 ELSE -(g_zm + 1)*g_zs*g_zm*g_ez*(1 - g_zm*g_ez)/(g_rz**2*(1 + g_zm*g_ez)**3) END AS g_h2"""
 
 GAS_SQL = f"""{radial_sql('g', 'g_mass/(2*pi()*g_rd*g_rd)')}, {HEIGHT_SQL},
       z/g_h AS g_u,
@@ -462,7 +462,18 @@ def shells_sql(source: str = "p", group: str = "halo_id") -> str:
       FROM {rows}, (SELECT unnest([0, 2, 4]) AS l) ll WHERE shell < 60 GROUP BY {group}, l, shell)"""
 
 
-@query("multipole_density", "halo_id l:i shell:i r:6 rho:7", f"SELECT * FROM {shells_sql()}")
+def outside_sql(source: str = "p", group: str = "halo_id") -> str:
+    """Mass by order beyond the grid and inside it, shell by shell."""
+    rows = f"(SELECT {group}, mass, z/{pq.RSPH} AS c, least(floor({pq.RSPH}/0.4e0)::BIGINT, 60) AS shell FROM {source})"
+    return f"""SELECT {group}, l, shell, sum(mass*CASE l WHEN 0 THEN 1 WHEN 2 THEN (3*c*c - 1)/2 ELSE (35*c**4 - 30*c*c + 3)/8 END) AS mass_l
+      FROM {rows}, (SELECT unnest([0, 2, 4]) AS l) ll GROUP BY {group}, l, shell"""
+
+
+@query(
+    "multipole_density",
+    "halo_id l:i shell:i r:6 rho:7 mass_l:6",
+    f"SELECT m.*, s.r, s.rho FROM ({outside_sql()}) m LEFT JOIN {shells_sql()} s ON s.halo_id = m.halo_id AND s.l = m.l AND s.shell = m.shell",
+)
 def multipole_density(spark, sf):
     return multipoles.multipole_density(
         fx.particles(spark, sf), dr=fx.DR, nr=fx.NR, lmax=fx.LMAX, group_cols=["halo_id"]
@@ -512,8 +523,10 @@ GRID_SQL = """(SELECT s_suppkey AS model_id, i, j, i*0.5e0 AS r, j*0.5e0 - 1.5e0
     + ", ".join(
         f"(1-s)*(1-t)*a.{v} + s*(1-t)*b.{v} + (1-s)*t*c.{v} + s*t*d.{v} AS {v}" for v in ("psi", "f_r", "f_z")
     )
-    + """ FROM q JOIN g a ON a.model_id = q.model_id AND a.i = ix AND a.j = iz JOIN g b ON b.model_id = q.model_id AND b.i = ix + 1 AND b.j = iz
-       JOIN g c ON c.model_id = q.model_id AND c.i = ix AND c.j = iz + 1 JOIN g d ON d.model_id = q.model_id AND d.i = ix + 1 AND d.j = iz + 1""",
+    + """ FROM q JOIN (SELECT model_id, i, j, {'psi': psi, 'f_r': f_r, 'f_z': f_z} AS a,
+          lead(a) OVER (PARTITION BY model_id, j ORDER BY i) AS b, lead(a) OVER (PARTITION BY model_id, i ORDER BY j) AS c FROM g) l
+         ON l.model_id = q.model_id AND l.i = ix AND l.j = iz
+       JOIN (SELECT model_id, i - 1 AS i, j - 1 AS j, {'psi': psi, 'f_r': f_r, 'f_z': f_z} AS d FROM g) u ON u.model_id = q.model_id AND u.i = ix AND u.j = iz""",
     uses="pts",
 )
 def grid_lookup_bilinear(spark, sf):
@@ -695,7 +708,7 @@ _centred = f"""(SELECT particle_id, halo_id AS model_id, mass, x - cx AS x, y -
 )
 def halo_from_particles_query(spark, sf):
     p = fx.particles(spark, sf).withColumnRenamed("halo_id", "model_id")
-    return _flat_halo(halo_from_particles(p, fx.catalog(spark, sf), max_iter=cq.ROUNDS, refinements=2))
+    return _flat_halo(halo_from_particles(p, fx.catalog(spark, sf)))
 
 
 SUPER_COEF = """(SELECT model_id, l, ir, r, c.apot + b.apot AS apot, c.fr + b.fr AS fr FROM coef c JOIN bary b USING (model_id, l, ir, r))"""
@@ -716,16 +729,16 @@ def fixed_halo_superposition_query(spark, sf):
 
 @query(
     "galaxy_report",
-    "section component item metric value:5",
+    "section component model_id:i item metric value:5",
     f"""WITH prof AS ({pq.DISK_PROFILE_SQL}), summ AS ({pq._dispersion_sql('component')}), crv AS ({cq.RESAMPLE_SQL}), chk AS ({REPORT_SQL})
-        SELECT 'summary' AS section, component, 'all' AS item, metric, value FROM (
+        SELECT 'summary' AS section, component, NULL::BIGINT AS model_id, 'all' AS item, metric, value FROM (
           SELECT component, unnest(['n', 'total_mass', 'sigma_vx', 'sigma_vy', 'sigma_vz']) AS metric,
             unnest([n, total_mass, sigma_vx, sigma_vy, sigma_vz]) AS value FROM summ)
-        UNION ALL SELECT 'profile', component, bin::INT::VARCHAR, metric, value FROM (
+        UNION ALL SELECT 'profile', component, NULL, bin::INT::VARCHAR, metric, value FROM (
           SELECT component, bin, unnest(['n', 'sigma_z', 'sigma_vz', 'mean_vphi', 'sigma_vR', 'surface_density']) AS metric,
             unnest([n, sigma_z, sigma_vz, mean_vphi, sigma_vR, surface_density]) AS value FROM prof)
-        UNION ALL SELECT 'curve', component, i::VARCHAR, 'v', y FROM crv
-        UNION ALL SELECT 'check', NULL, rule, 'passed', passed::INT::DOUBLE FROM chk""",
+        UNION ALL SELECT 'curve', component, NULL, i::VARCHAR, 'v', y FROM crv
+        UNION ALL SELECT 'check', NULL, model_id, rule, 'passed', passed::INT::DOUBLE FROM chk""",
     uses="p models coef knots",
 )
 def galaxy_report_query(spark, sf):

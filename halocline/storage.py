@@ -34,8 +34,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/halocline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder (at ``path``, if given) and read it back."""
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`materialise` wrote, once nothing reads it any more."""
+    if f"{shared_dir(spark)}/halocline/" not in path:
+        raise ValueError(f"{path} is not one of the library's own tables")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

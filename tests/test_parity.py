@@ -4,8 +4,9 @@ import pytest
 from parity import connect, difference
 
 import __spark_entry__ as entry
+from halocline import queries as registered
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registered.queries(), registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -94,6 +94,9 @@ def center_on_core(
     return out.withColumns({p: F.col(p) - F.col(c) for p, c in shift}).drop("cx", "cy", "cz")
 
 
+FIT_TIE = 1e-12
+
+
 def _nfw_search(r: list, m: list, steps: int, refinements: int) -> np.ndarray:
     """(a, m_scale, rms) per profile by a narrowing ladder in ln a; profiles are padded to one width."""
     width = max(map(len, r))
@@ -112,7 +115,10 @@ def _nfw_search(r: list, m: list, steps: int, refinements: int) -> np.ndarray:
         f = shape(radius[:, None, :] / np.exp(ladder)[:, :, None]) * used[:, None, :]
         # least squares in the mass scale, then the residual left over
         mf, ff = (f * mass[:, None, :]).sum(axis=2), (f * f).sum(axis=2)
-        best = ladder[rows, np.argmin((mass * mass).sum(axis=1)[:, None] - mf * mf / ff, axis=1)]
+        total = (mass * mass).sum(axis=1)[:, None]
+        left = total - mf * mf / ff
+        tied = left <= left.min(axis=1, keepdims=True) + FIT_TIE * total
+        best = ladder[rows, np.argmax(tied, axis=1)]
         step = (hi - lo) / steps
         lo, hi = np.maximum(lo, best - step), np.minimum(hi, best + step)
     a = np.exp(best)
@@ -135,7 +141,9 @@ def nfw_fit(
 
     For a given scale radius the best mass scale is linear, so only ``a`` is
     searched: ``steps`` logarithmic steps over [r_min/2, 2 r_max], then
-    ``refinements`` times between the neighbours of the best step.  A profile has
+    ``refinements`` times between the neighbours of the best step.  Residuals within
+    ``FIT_TIE`` of the masses' own square sum are a tie, which the smaller radius
+    takes: closer ones differ by the order of summing only.  A profile has
     at most ``n_bins`` rows per group and is held as an array, so a batch of
     objects is searched at once in numpy.  Fewer than three bins give no row, or an
     error when ``strict``.  ``radius_at='edge'`` pairs masses with the bins' outer
@@ -233,6 +241,15 @@ def rotation_curve_scale(
     ).withColumnRenamed("radius_halo", "halo_radius_kpc").drop("mass_disk", "mass_bulge", "mass_halo")
 
 
+# grid points whose sums one aggregate keeps side by side
+GRID_BLOCK = 32
+
+
+def _pull_squared(value: Column, observed: str, sigma: str) -> Column:
+    pull = (value - F.col(observed)) / F.col(sigma)
+    return pull * pull
+
+
 def parameter_scan(
     df: DataFrame,
     model: Callable[[Mapping[str, Column]], Column],
@@ -246,12 +263,19 @@ def parameter_scan(
 ) -> DataFrame:
     """Least chi-squared of ``model(params)`` over a parameter grid, per group.
 
-    Every row meets every grid point, but as partial sums per (group, grid
-    point), so only (groups x grid) sums are shuffled.  Refinement repeats the
-    scan between the neighbours of each group's best point.
+    A row updates one sum per grid point, ``GRID_BLOCK`` of them side by side, and only
+    sums are shuffled.  Refinement repeats the scan between the neighbours of each
+    group's best point.
     """
     g = list(group_cols)
     names = list(bounds)
+    points = (steps + 1) ** len(names)
+
+    def place(j: Column, lo: Mapping[str, Column], hi: Mapping[str, Column]) -> dict[str, Column]:
+        digits = {p: (steps + 1) ** i for i, p in enumerate(reversed(names))}
+        number = {p: F.pmod(F.floor(j / digits[p]), F.lit(steps + 1)) for p in names}
+        return {p: lo[p] + (hi[p] - lo[p]) * number[p] / steps for p in names}
+
     lo = {p: F.lit(float(bounds[p][0])) for p in names}
     hi = {p: F.lit(float(bounds[p][1])) for p in names}
     best = None
@@ -263,19 +287,25 @@ def parameter_scan(
                 half = (bounds[p][1] - bounds[p][0]) / steps * (2.0 / steps) ** (level - 1)
                 lo[p] = F.greatest(F.lit(float(bounds[p][0])), F.col(f"__c_{p}") - half)
                 hi[p] = F.least(F.lit(float(bounds[p][1])), F.col(f"__c_{p}") + half)
-        for p in names:
-            rows = rows.withColumn(f"__k_{p}", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-        at = {p: lo[p] + (hi[p] - lo[p]) * F.col(f"__k_{p}") / steps for p in names}
-        pull = (model(at) - F.col(observed)) / F.col(sigma)
-        grid = [f"__k_{p}" for p in names]
-        sums = rows.groupBy(*g, *grid).agg(
-            F.sum(pull * pull).alias("chi2"),
+        # point number j of the grid, last parameter fastest; a row meets it in block j // GRID_BLOCK
+        blocks = -(-points // GRID_BLOCK)
+        rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sums = rows.groupBy(*g, "__block").agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.first(at[p]).alias(p) for p in names],
+            *[F.first(end[p]).alias(f"__{e}_{p}") for e, end in (("lo", lo), ("hi", hi)) for p in names],
+            *[
+                F.sum(_pull_squared(model(place(F.col("__block") * GRID_BLOCK + i, lo, hi)), observed, sigma)).alias(f"__{i}")
+                for i in range(min(GRID_BLOCK, points))
+            ],
         )
+        chi2 = F.array(*[F.col(f"__{i}") for i in range(min(GRID_BLOCK, points))])
+        sums = sums.select("*", F.posexplode(chi2).alias("__i", "chi2"))
+        sums = sums.withColumn("__j", F.col("__block") * GRID_BLOCK + F.col("__i")).filter(F.col("__j") < points)
         # ties go to the lowest grid point
-        best = sums.groupBy(*g).agg(F.min(F.struct("chi2", *grid, *names, "n")).alias("__b"))
-        best = best.select(*g, *[F.col("__b")[c].alias(c) for c in (*names, "chi2", "n")])
+        ends = [f"__{e}_{p}" for e in ("lo", "hi") for p in names]
+        best = sums.groupBy(*g).agg(F.min(F.struct("chi2", "__j", *ends, "n")).alias("__b")).select(*g, "__b.*")
+        found = place(F.col("__j"), *[{p: F.col(f"__{e}_{p}") for p in names} for e in ("lo", "hi")])
+        best = best.select(*g, *[found[p].alias(p) for p in names], "chi2", "n")
         if level < refinements:
             best = materialise(best, "scan")
     return best

@@ -111,6 +111,28 @@ def radial_profile_gas(
     )
 
 
+def _every_bin(
+    cells: DataFrame, keys: Sequence[str], bin_col: str, n_bins: int, values: Sequence[str]
+) -> DataFrame:
+    """One row per key and bin, with null ``values`` where ``cells`` has none; a null bin only keeps its key.
+
+    A key has at most ``n_bins`` + 1 cells, so the map that gathers them is small, and
+    the particles behind the cells are not read a second time for the keys.
+    """
+    cell = F.struct(bin_col, F.struct(*values))
+    found = F.collect_list(F.when(F.col(bin_col).isNotNull(), cell))
+    rows = cells.groupBy(*keys).agg(F.map_from_entries(found).alias("__found"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias(bin_col))
+    hit = F.element_at("__found", F.col(bin_col))
+    return rows.select(*keys, bin_col, *[hit[v].alias(v) for v in values])
+
+
+def _fault(what: str, group_cols: Sequence[str]) -> Column:
+    """Error text that names the group."""
+    keys = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in group_cols]
+    return F.concat_ws(" ", F.lit(what), *keys)
+
+
 def map_2d_profile(
     df: DataFrame,
     *,
@@ -138,16 +160,15 @@ def map_2d_profile(
     )
     bound = nbin if not g else None
     placed = lookup_join(rows.select(*g, "bin", pos[2], "v_phi"), spread, [*g, "bin"], max_rows=bound)
-    plane = F.round(F.try_divide(F.col(pos[2]) + F.col("__zmax"), F.col("__zmax") * 2.0 / (nz - 1)))
+    plane = F.round(F.try_divide(F.col(pos[2]) + F.col("__zmax"), F.col("__zmax") * 2.0 / (nz - 1))).cast("int")
+    # particles beyond the planes count in none, but keep their bin in the map
     cells = (
-        placed.withColumn("iz", plane.cast("int"))
-        .filter((F.col("iz") >= 0) & (F.col("iz") < nz))
+        placed.withColumn("iz", F.when((plane >= 0) & (plane < nz), plane))
         .groupBy(*g, "bin", "iz")
         .agg(F.count(F.lit(1)).alias("__cell"), F.avg("v_phi").alias("__vphi"))
     )
-    frame = spread.select(*g, "bin", F.explode(F.sequence(F.lit(0), F.lit(nz - 1))).alias("iz"))
     r, area = _annulus(F.col("bin"), nbin, rmax, 0.0)
-    full = lookup_join(frame, cells, [*g, "bin", "iz"], "left")
+    full = _every_bin(cells, [*g, "bin"], "iz", nz, ["__cell", "__vphi"])
     return full.select(
         *g,
         "bin",
@@ -185,28 +206,24 @@ def velocity_histogram(
 ) -> DataFrame:
     """Histogram of each velocity axis over its own range; every bin is reported."""
     g = list(group_cols)
-    axes = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in vel]))
-    rows = df.select(*g, axes.alias("__a")).select(*g, "__a.axis", "__a.v").filter(F.col("v").isNotNull())
-    ranges = rows.groupBy(*g, "axis").agg(F.min("v").alias("__min"), F.max("v").alias("__max"))
-    flat = F.col("__min") == F.col("__max")
-    ranges = ranges.select(
-        *g,
-        "axis",
-        F.when(flat, F.col("__min") - 0.5).otherwise(F.col("__min")).alias("lo"),
-        F.when(flat, F.col("__max") + 0.5).otherwise(F.col("__max")).alias("hi"),
+    ends = df.groupBy(*g).agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"__{c}") for c in vel])
+    wide = attach(df.select(*g, *vel), ends, g)
+    axes = F.array(
+        *[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v"), F.col(f"__{c}").alias("ends")) for c in vel]
     )
-    keys = [*g, "axis"]
-    bound = len(vel) if not g else None
-    placed = lookup_join(rows, ranges, keys, max_rows=bound)
+    placed = wide.select(*g, F.explode(axes).alias("a")).select(*g, "a.axis", "a.v", "a.ends.*")
+    placed = placed.filter(F.col("v").isNotNull())
+    flat = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    placed = placed.withColumns({"lo": F.col("lo") - flat, "hi": F.col("hi") + flat})
+    keys = [*g, "axis", "lo", "hi"]
     at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counts = placed.groupBy(*keys, F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    frame = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    full = lookup_join(frame, counts, [*keys, "bin"], "left")
+    full = _every_bin(counts, keys, "bin", bins, ["n"])
     width = (F.col("hi") - F.col("lo")) / bins
     return full.select(
-        *keys, "bin", (F.col("lo") + width * F.col("bin")).alias("v_lo"), F.coalesce("n", F.lit(0)).alias("n")
+        *g, "axis", "bin", (F.col("lo") + width * F.col("bin")).alias("v_lo"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
@@ -236,7 +253,7 @@ def enclosed_mass(
     if strict:
         span = span.withColumn(
             "r_max",
-            F.when(flat, F.raise_error(F.lit("particles have zero extent")).cast("double")).otherwise(
+            F.when(flat, F.raise_error(_fault("zero extent in r", g)).cast("double")).otherwise(
                 F.col("r_max")
             ),
         )
@@ -246,11 +263,11 @@ def enclosed_mass(
     placed = attach(rows, span, g)
     at = F.ceil(F.try_divide(F.log(F.col("__r") / F.col("__lo")), F.col("__step"))) - 1
     at = F.when(F.col("__r") <= F.col("__lo"), 0).when(F.col("__r") >= F.col("r_max"), n_bins - 1).otherwise(at)
-    sums = placed.groupBy(*g, F.least(F.greatest(at, F.lit(0)), F.lit(n_bins - 1)).cast("int").alias("bin")).agg(
+    shells = [*g, "__lo", "__step", "r_max"]
+    sums = placed.groupBy(*shells, F.least(F.greatest(at, F.lit(0)), F.lit(n_bins - 1)).cast("int").alias("bin")).agg(
         F.sum("__m").alias("__m")
     )
-    frame = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    full = lookup_join(frame, sums, [*g, "bin"], "left")
+    full = _every_bin(sums, shells, "bin", n_bins, ["__m"])
     upto = Window.partitionBy(*(g or [F.lit(0)])).orderBy("bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

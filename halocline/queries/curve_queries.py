@@ -168,12 +168,14 @@ def nfw_fit_sql(profile: str, g: str, steps: int = 64, refinements: int = 4) ->
     ]
     for i in range(refinements + 1):
         out.append(
-            f"""f{i + 1} AS MATERIALIZED (SELECT {g}, greatest(any_value(lo), arg_min(la, (sse, la)) - any_value((hi - lo)/{steps})) AS lo,
-                  least(any_value(hi), arg_min(la, (sse, la)) + any_value((hi - lo)/{steps})) AS hi, arg_min(la, (sse, la)) AS best
-                FROM (SELECT {g}, lo, hi, la, sum(m*m) - sum(m*{f})*sum(m*{f})/sum({f}*{f}) AS sse
+            f"""f{i + 1} AS MATERIALIZED (SELECT {g}, greatest(any_value(lo), min(la) - any_value((hi - lo)/{steps})) AS lo,
+                  least(any_value(hi), min(la) + any_value((hi - lo)/{steps})) AS hi, min(la) AS best
+                FROM (SELECT *, min(sse) OVER (PARTITION BY {g}) AS least_sse FROM (
+                      SELECT {g}, lo, hi, la, sum(m*m) AS mm, sum(m*m) - sum(m*{f})*sum(m*{f})/sum({f}*{f}) AS sse
                       FROM (SELECT {g}, lo, hi, la, exp(la) AS a FROM (
                               SELECT {g}, lo, hi, lo + k*(hi - lo)/{steps} AS la FROM f{i}, (SELECT unnest(range(0, {steps + 1})) AS k) ks))
-                      JOIN prof USING ({g}) GROUP BY {g}, lo, hi, la) GROUP BY {g})"""
+                      JOIN prof USING ({g}) GROUP BY {g}, lo, hi, la))
+                WHERE sse <= least_sse + 1e-12*mm GROUP BY {g})"""
         )
     last = f"f{refinements + 1}"
     return f"""
@@ -184,8 +186,8 @@ def nfw_fit_sql(profile: str, g: str, steps: int = 64, refinements: int = 4) ->
     FROM s"""
 
 
-# The residual is flat to rounding within about 1e-7 of the best scale radius, which the fourth refinement reaches;
-# digits beyond that are noise of either engine.
+# Near its minimum the residual is flat to rounding over several steps of the last refinement, so the point with
+# the least one depends on the order of summing. Both sides take the smallest radius within 1e-12 of the masses' square sum instead.
 @query(
     "nfw_fit",
     "halo_id v0:4 a:3 r_outer:5 m_scale:2 rms_residual:4",

@@ -89,24 +89,27 @@ def load_components(
     Where two files give the same component in one folder, the later entry of
     ``files`` replaces the earlier one.
     """
-    rows = scan_particles(spark, f"{path}/{{{','.join(files)}}}*")
-    # a component may be one text file or a folder of part files
-    last, pair = F.substring_index("file", "/", -1), F.substring_index("file", "/", -2)
-    parent = F.substring_index(pair, "/", 1)
+    at = f"{path}/{{{','.join(files)}}}*"
     known = list(files)
-    name = F.when(last.isin(known), last).when(parent.isin(known), parent)
-    tail = F.when(last.isin(known), last).otherwise(pair)
-    folder = F.substring(F.col("file"), F.lit(1), F.length("file") - F.length(tail) - 1)
-    tagged = rows.withColumn("__source", name).filter(F.col("__source").isNotNull()).withColumn("folder", folder)
-    component, order = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for i, (source, comp) in enumerate(files.items()):
-        here = F.col("__source") == source
-        component = F.when(here, comp).otherwise(component)
-        order = F.when(here, i).otherwise(order)
-    tagged = tagged.withColumn("component", component).withColumn("__order", order)
-    # at most len(files) rows per folder decide which sources count
-    last = tagged.groupBy("folder", "component").agg(F.max("__order").alias("__last"))
-    kept = tagged.join(last, ["folder", "component"]).filter(F.col("__order") == F.col("__last"))
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        # a component may be one text file or a folder of part files
+        last, pair = F.substring_index("file", "/", -1), F.substring_index("file", "/", -2)
+        parent = F.substring_index(pair, "/", 1)
+        name = F.when(last.isin(known), last).when(parent.isin(known), parent)
+        tail = F.when(last.isin(known), last).otherwise(pair)
+        folder = F.substring(F.col("file"), F.lit(1), F.length("file") - F.length(tail) - 1)
+        component, order = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for i, (source, comp) in enumerate(files.items()):
+            component = F.when(name == source, comp).otherwise(component)
+            order = F.when(name == source, i).otherwise(order)
+        out = rows.withColumns({"folder": folder, "component": component, "__order": order})
+        return out.filter(F.col("__order").isNotNull())
+
+    # a listing without contents decides which sources count: at most len(files) rows per folder
+    listed = spark.read.format("binaryFile").load(at).select(F.col("_metadata.file_path").alias("file"))
+    best = tagged(listed).groupBy("folder", "component").agg(F.max("__order").alias("__order"))
+    kept = tagged(scan_particles(spark, at)).join(best, ["folder", "component", "__order"], "left_semi")
     return kept.select("folder", "component", *PARTICLE_COLUMNS)
 
 

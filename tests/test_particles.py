@@ -170,7 +170,7 @@ def test_nfw_fit_recovers_synthetic_halo(spark):
     v = math.sqrt(80.0 * (math.log(3) - 2 / 3) / 30.0) / math.sqrt(math.log(3) / 2)
     assert f["v0"] == pytest.approx(v, rel=1e-5)
     assert fitting.nfw_fit(exact.limit(2)).count() == 0
-    with pytest.raises(Exception, match="insufficient radial bins"):
+    with pytest.raises(Exception, match="fewer than three bins"):
         fitting.nfw_fit(exact.limit(2), strict=True).collect()
 
 

@@ -32,6 +32,7 @@ QUESTION_OVERLAP = ANSWER_OVERLAP = 0.25
 ANSWER_WORDS = 5
 ITEMS_PER_BLOCK = 8
 ITEMS_PER_INDEX = 2048  # items in one index; more of them are handled index by index
+CELLS_PER_INDEX = 1 << 25  # terms times items of one index: 128 MiB of impacts
 LEAST_PASSAGE = 64
 ROWS_AT_ONCE = 256
 TOKEN = re.compile(r"[^\W_]+")
@@ -156,19 +157,29 @@ def contaminations(index: Index, texts: list[str | None]) -> list[tuple[int, int
     return out
 
 
+def parted(items: list[tuple[int, str]], cells: int = CELLS_PER_INDEX) -> Iterator[list[tuple[int, str]]]:
+    """``items`` in pieces of at most ``cells`` impacts each, as far as a block of items can be parted."""
+    terms = len({w for _, t in items for w in tokens(t)})
+    if terms * len(items) <= cells or len(items) <= ITEMS_PER_BLOCK:
+        yield items
+    else:
+        half = len(items) // 2
+        yield from parted(items[:half], cells)
+        yield from parted(items[half:], cells)
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of all items, at most ``ITEMS_PER_INDEX`` in each; null ids or texts are left out."""
+    """Indexes of all items, each of at most ``ITEMS_PER_INDEX`` and of bounded size; null ids or texts are left out."""
     items = pick(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     n = items.count()
     if n <= ITEMS_PER_INDEX:
-        if n:
-            yield build_index([(r["item_id"], r["text"]) for r in items.collect()])
+        yield from map(build_index, parted(sorted((r["item_id"], r["text"]) for r in items.collect())) if n else ())
         return
     parts = -(-2 * n // ITEMS_PER_INDEX)
     dealt = materialise(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "benchmark")
     for p in range(parts):
         if own := [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == p).collect()]:
-            yield build_index(own)
+            yield from map(build_index, parted(sorted(own)))
 
 
 MATCH = T.StructType().add("doc_id", "long").add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")

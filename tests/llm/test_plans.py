@@ -58,6 +58,21 @@ def test_pruned_retrieval_matches_scoring_all_items():
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_indexes_are_of_bounded_size(spark, documents, monkeypatch):
+    items = benchmark_items()
+    for cells in (1, 5_000, 1 << 25):
+        pieces = list(dc.parted(items, cells))
+        assert [i for p in pieces for i in p] == items
+        for p in pieces:
+            terms = len({w for _, t in p for w in dc.tokens(t)})
+            assert len(p) <= dc.ITEMS_PER_BLOCK or terms * len(p) <= cells
+    monkeypatch.setattr(dc.parted, "__defaults__", (5_000,))
+    bench = spark.createDataFrame(items, ITEM)
+    assert len(list(dc.indexes(bench))) > 1
+    got = dc.find_leaks(documents([t for _, t in items] + ["w1 w2 w3"]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
+
+
 def test_many_indexes_and_empty_tables(spark, documents, monkeypatch):
     monkeypatch.setattr(dc, "ITEMS_PER_INDEX", 8)
     items = benchmark_items(30)

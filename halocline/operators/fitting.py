@@ -200,6 +200,29 @@ def fit_halo(
     return nfw_fit(profile, group_cols=group_cols, strict=strict, **fit_options)
 
 
+MASS_COMPONENTS = ("disk", "bulge", "halo")
+
+
+def wide_component_masses(
+    masses: DataFrame,
+    *,
+    group_cols: Sequence[str] = ("galaxy_id",),
+    component: str = "component",
+    mass: str = "mass",
+    radius: str = "radius",
+) -> DataFrame:
+    """One row per group from long rows ``(group, component, mass, radius)``, as :func:`rotation_curve_scale` takes them.
+
+    A component that is not listed has null mass; one listed several times has the sum of its masses.  The
+    halo's largest radius is kept; other components are left out.
+    """
+    own = lambda name, value: F.when(F.col(component) == name, F.col(value))
+    return masses.groupBy(*group_cols).agg(
+        *[F.sum(own(c, mass)).alias(f"mass_{c}") for c in MASS_COMPONENTS],
+        F.max(own("halo", radius)).alias("radius_halo"),
+    )
+
+
 def rotation_curve_scale(
     compared: DataFrame,
     masses: DataFrame | None = None,
@@ -213,9 +236,9 @@ def rotation_curve_scale(
 ) -> DataFrame:
     """Velocity scale between model and observed curves with the weighted rms, in one aggregate.
 
-    ``masses`` has ``mass_disk, mass_bulge, mass_halo, radius_halo`` per group;
-    with it the component masses in solar units are added.  A mass that is absent, or a
-    group without masses, counts as 0.
+    ``masses`` has ``mass_disk, mass_bulge, mass_halo, radius_halo`` per group, or long rows
+    ``(group, component, mass, radius)`` as the mass files give them; with it the component masses
+    in solar units are added.  A mass that is absent, or a group without masses, counts as 0.
     """
     v = F.col(v_model)
     o = F.col(v_obs) / velocity_kms
@@ -234,10 +257,12 @@ def rotation_curve_scale(
     out = sums.withColumn("rms", F.sqrt(F.greatest(ms, F.lit(0.0)))).select(*group_cols, "n", "v_scale", "rms")
     if masses is None:
         return out
+    if "component" in masses.columns:
+        masses = wide_component_masses(masses, group_cols=group_cols)
     out = out.join(masses, list(group_cols), "left")
     to_msun = k * k / G_msun
     return out.withColumns(
-        {f"{c}_mass_msun": F.coalesce(F.col(f"mass_{c}"), F.lit(0.0)) * to_msun for c in ("disk", "bulge", "halo")}
+        {f"{c}_mass_msun": F.coalesce(F.col(f"mass_{c}"), F.lit(0.0)) * to_msun for c in MASS_COMPONENTS}
     ).withColumnRenamed("radius_halo", "halo_radius_kpc").drop("mass_disk", "mass_bulge", "mass_halo")
 
 

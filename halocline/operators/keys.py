@@ -14,37 +14,24 @@ from halocline.storage import materialise
 # this many rows; otherwise Spark decides from measured sizes.
 BROADCAST_ROWS = 10_000
 
-# Joins whose large side the planner estimates above this first measure the other
-# side and look for hot keys; smaller ones stay lazy.
-LARGE_INPUT_BYTES = 1 << 33
-
 HOT_SAMPLE = 0.001
+# A key seen less often than this in the sample isn't taken for hot.
+HOT_LEAST = 10
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    jconf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(jconf.autoBroadcastJoinThreshold())
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.01) -> list[tuple]:
-    """Keys that hold more than ``share`` of a small sample: at most 1/share of them.
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.01, fraction: float = HOT_SAMPLE) -> list[tuple]:
+    """Keys that hold more than ``share`` of a sample of ``fraction`` of the rows: at most 1/share of them.
 
     Only decides which keys get salted, so a sample is enough; no result row
     depends on it.
     """
-    sample = df.select(*on).sample(HOT_SAMPLE, seed=11)
-    total = sample.count()
-    if total < 1000:
-        return []
-    counts = sample.groupBy(*on).count().filter(F.col("count") > total * share)
+    sample = df.select(*on).sample(fraction, seed=11)
+    least = max(sample.count() * share, HOT_LEAST)
+    counts = sample.groupBy(*on).count().filter(F.col("count") > least)
     return [tuple(r[c] for c in on) for r in counts.collect()]
 
 
-def _is_any(cols: Sequence[str], keys: list[tuple]) -> Column:
+def _is_any(cols: Sequence[str], keys: Sequence[tuple]) -> Column:
     def one(key: tuple) -> Column:
         return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cols, key)))
 
@@ -59,18 +46,20 @@ def lookup_join(
     *,
     max_rows: int | None = None,
     salts: int = 64,
-    hot: list[tuple] | None = None,
+    hot: Sequence[tuple] = (),
+    measure: bool = False,
     null_safe: bool = True,
 ) -> DataFrame:
-    """Join a large table to one with unique keys ``on``.
+    """Join a large table to one with unique keys ``on``; the same plan for any size of input.
 
     ``max_rows`` is a proven bound on ``right``: within :data:`BROADCAST_ROWS` it is
-    broadcast.  Otherwise the join is a plain equi-join, which Spark turns into
-    a broadcast when the size allows.  When ``left`` is large, ``right`` is first
-    written out, so that this choice rests on its true size and ``left`` is not
-    shuffled for nothing; and if it is too big, the hot keys of ``left`` are salted:
-    their rows spread over ``salts`` reducers and only their few ``right`` rows are
-    repeated.  ``hot`` gives the hot keys if they are known.
+    broadcast.  Otherwise the join is a plain equi-join.  Adaptive execution measures
+    both sides as they are shuffled: it broadcasts ``right`` if its true size allows, and
+    otherwise splits the partitions that hold hot keys of ``left``.
+
+    A caller may ask for more.  ``measure`` writes ``right`` out first, so that the choice rests
+    on its true size before ``left`` is shuffled.  The rows of ``hot`` keys (:func:`hot_keys`
+    finds them) spread over ``salts`` reducers and only their few ``right`` rows are repeated.
 
     Null keys match each other unless ``null_safe`` is off, which lets the join reuse
     a partitioning by the same columns.
@@ -78,10 +67,9 @@ def lookup_join(
     renamed = {c: f"__r_{c}" for c in on}
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
         right = F.broadcast(right)
-        hot = []
-    elif hot is None and _estimated_bytes(left) > LARGE_INPUT_BYTES:
+        hot = ()
+    elif measure:
         right = materialise(right, "lookup")
-        hot = hot_keys(left, on) if _estimated_bytes(right) > _broadcast_limit(left) else []
     right = right.withColumnsRenamed(renamed)
     same = Column.eqNullSafe if null_safe else Column.__eq__
     cond = [same(F.col(c), F.col(renamed[c])) for c in on]
@@ -97,13 +85,14 @@ def lookup_join(
     return out.drop("__salt", "__r_salt", *renamed.values())
 
 
-def attach(df: DataFrame, stats: DataFrame, group_cols: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, group_cols: Sequence[str], how: str = "inner", **options) -> DataFrame:
     """Put one row of group statistics on every row of its group.
 
-    Without group columns ``stats`` has exactly one row and is broadcast.
+    Without group columns ``stats`` has exactly one row and is broadcast.  ``options`` are those
+    of :func:`lookup_join`.
     """
     if group_cols:
-        return lookup_join(df, stats, list(group_cols), how)
+        return lookup_join(df, stats, list(group_cols), how, **options)
     one = "__one"
     joined = lookup_join(
         df.withColumn(one, F.lit(0)), stats.withColumn(one, F.lit(0)), [one], how, max_rows=1

@@ -130,6 +130,62 @@ def model_from_physical(
     )
 
 
+# Parameters of the named models, in internal units.
+_WIDE_DISK = {
+    "mass": 17.0,
+    "scale_length": 2.5,
+    "outer_radius": 20.25,
+    "scale_height": 0.25,
+    "trunc_width": 3.0,
+    "hole_radius": 0.0,
+    "core_radius": 1.5,
+}
+_WARM = {"sigma_r0": 0.85, "sigma_r_scale": 2.8, "n_radial_steps": 50, "n_iterations": 10}
+PRESETS: dict[str, dict[str, dict[str, float]]] = {
+    "milky_way": {
+        "halo": {"r_outer": 200.0, "v0": 3.7, "a": 33.0, "dr_trunc": 12.0, "cusp": 1.0},
+        "disk": _WIDE_DISK,
+        "grid": {"dr": 0.02, "nr": 20000, "lmax": 6},
+        "kinematics": _WARM,
+    },
+    "milky_way_coarse": {
+        "halo": {"r_outer": 80.0, "v0": 3.7, "a": 33.0, "dr_trunc": 12.0, "cusp": 1.0},
+        "disk": _WIDE_DISK,
+        "grid": {"dr": 0.1, "nr": 800, "lmax": 2},
+        "kinematics": _WARM,
+    },
+    "nfw_halo": {
+        "halo": {"r_outer": 100.0, "v0": 2.0, "a": 10.0, "dr_trunc": 8.0, "cusp": 1.0},
+        "grid": {"dr": 0.05, "nr": 2000, "lmax": 0},
+    },
+    "sersic_bulge": {
+        "bulge": {"n_sersic": 4.0, "ppp": 0.5, "v0": 2.5, "a": 0.5},
+        "grid": {"dr": 0.02, "nr": 5000, "lmax": 4},
+    },
+    "nfw_bulge": {
+        "halo": {"r_outer": 100.0, "v0": 2.5, "a": 15.0, "dr_trunc": 10.0, "cusp": 1.0},
+        "bulge": {"n_sersic": 4.0, "ppp": 0.5, "v0": 1.5, "a": 0.4},
+        "grid": {"dr": 0.02, "nr": 8000, "lmax": 4},
+    },
+}
+
+
+def with_preset(df: DataFrame, preset: Column | str) -> DataFrame:
+    """``df`` with the catalog columns of the named model that ``preset`` gives each row; an unknown name is an error."""
+    name = F.col(preset) if isinstance(preset, str) else preset
+    known = F.when(name.isin(list(PRESETS)), name).otherwise(F.raise_error(F.concat(F.lit("no such model: "), name)))
+
+    def column(kind: str) -> Column:
+        out = absent(kind)
+        for preset_name, parts in PRESETS.items():
+            if kind in parts:
+                on = {"enabled": True} if kind in COMPONENTS else {}
+                out = F.when(known == preset_name, component(kind, **parts[kind], **on)).otherwise(out)
+        return out
+
+    return df.withColumns({kind: column(kind) for kind in (*COMPONENTS, *SETTINGS)})
+
+
 def component_constants(catalog: DataFrame) -> DataFrame:
     """Add the normalisations of every component and the central potential ``psi0``."""
     h, b = F.col("halo"), F.col("bulge")

@@ -116,6 +116,28 @@ def model_from_physical(spark, sf):
     )
 
 
+@query(
+    "preset_models",
+    "model_id preset r_outer:6 halo_v0:6 disk_mass:6 bulge_v0:6 nr:i lmax:i sigma_r0:6 psi0:6",
+    """SELECT s_suppkey AS model_id, v.*, CASE WHEN halo_v0 IS NOT NULL THEN halo_v0*halo_v0 ELSE bulge_v0*bulge_v0 END AS psi0
+       FROM supplier JOIN (VALUES
+         (0, 'milky_way', 200e0, 3.7e0, 17e0, NULL, 20000, 6, 0.85e0),
+         (1, 'milky_way_coarse', 80e0, 3.7e0, 17e0, NULL, 800, 2, 0.85e0),
+         (2, 'nfw_halo', 100e0, 2e0, NULL, NULL, 2000, 0, NULL),
+         (3, 'sersic_bulge', NULL, NULL, NULL, 2.5e0, 5000, 4, NULL),
+         (4, 'nfw_bulge', 100e0, 2.5e0, NULL, 1.5e0, 8000, 4, NULL)
+       ) v(i, preset, r_outer, halo_v0, disk_mass, bulge_v0, nr, lmax, sigma_r0) ON s_suppkey % 5 = i""",
+    uses="",
+)
+def preset_models(spark, sf):
+    names = F.element_at(F.array(*[F.lit(n) for n in models.PRESETS]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("model_id"), names.alias("preset"))
+    return models.component_constants(models.with_preset(rows, "preset")).select(
+        "model_id", "preset", "halo.r_outer", F.col("halo.v0").alias("halo_v0"), F.col("disk.mass").alias("disk_mass"),
+        F.col("bulge.v0").alias("bulge_v0"), "grid.nr", "grid.lmax", "kinematics.sigma_r0", "psi0",
+    )
+
+
 @query(
     "component_constants",
     "model_id halo_const:9 disk_const:9 disk2_const:9 gas_const:9 bulge_const:9 psi0:6",
@@ -442,6 +464,33 @@ def rotation_curve_scale(spark, sf):
     return fitting.rotation_curve_scale(compare_to_observed(spark, sf), masses)
 
 
+@query(
+    "rotation_curve_masses",
+    "galaxy_id n:i v_scale:6 disk_mass_msun:0 bulge_mass_msun:0 halo_mass_msun:0 halo_radius_kpc:6",
+    f"""SELECT galaxy_id, n, v_scale, coalesce(md, 0)*v_scale**2/4.3e-6 AS disk_mass_msun, coalesce(mb, 0)*v_scale**2/4.3e-6 AS bulge_mass_msun,
+          coalesce(mh, 0)*v_scale**2/4.3e-6 AS halo_mass_msun, halo_radius_kpc
+        FROM (SELECT galaxy_id, count(*) AS n, sum(v_model*V_kms/100)/sum(v_model*v_model) AS v_scale FROM {COMPARED_SQL} GROUP BY 1) s
+        LEFT JOIN (SELECT p_brand AS galaxy_id, sum(l_quantity/1000.0) FILTER (l_returnflag = 'A') AS md,
+            sum(l_quantity/1000.0) FILTER (l_returnflag NOT IN ('A', 'N') AND p_brand NOT LIKE '%1') AS mb,
+            sum(l_quantity/1000.0) FILTER (l_returnflag = 'N') AS mh, max(l_linenumber*10.0) FILTER (l_returnflag = 'N') AS halo_radius_kpc
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) m USING (galaxy_id)""",
+    uses="obs coef models",
+)
+def rotation_curve_masses(spark, sf):
+    """Masses in long form: of each part's lines, by galaxy and component; some galaxies have no bulge."""
+    flag = F.col("l_returnflag")
+    lines = fx.table(spark, sf, "lineitem").select(
+        "l_partkey",
+        F.when(flag == "A", "disk").when(flag == "N", "halo").otherwise("bulge").alias("component"),
+        (F.col("l_quantity") / 1000.0).alias("mass"),
+        (F.col("l_linenumber") * 10.0).alias("radius"),
+    )
+    brands = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("galaxy_id"))
+    rows = lines.join(brands, "l_partkey").where(~((F.col("component") == "bulge") & F.col("galaxy_id").endswith("1")))
+    masses = rows.groupBy("galaxy_id", "component").agg(F.sum("mass").alias("mass"), F.max("radius").alias("radius"))
+    return fitting.rotation_curve_scale(compare_to_observed(spark, sf), masses)
+
+
 @query(
     "edge_correction",
     "model_id edge_correction:6",

@@ -236,3 +236,19 @@ def test_rules_on_missing_sides(spark, catalog):
     a = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0)], "model_id long, ir int, apot double")
     b = spark.createDataFrame([(1, 0, 1.0 + 1e-9)], "model_id long, ir int, apot double")
     assert quality.close_check(a, b, on=["model_id", "ir"], values=["apot"]).first()["different"] == 1
+
+
+def test_presets_are_whole_catalog_rows(spark):
+    names = spark.createDataFrame([(n,) for n in models.PRESETS], "model_id string")
+    rows = {r["model_id"]: r for r in models.component_constants(models.with_preset(names, "model_id")).collect()}
+    assert rows.keys() == models.PRESETS.keys()
+    for name, parts in models.PRESETS.items():
+        for kind in (*models.COMPONENTS, *models.SETTINGS):
+            got = rows[name][kind]
+            want = parts.get(kind)
+            assert (got is None) == (want is None)
+            if want:
+                assert {k: got[k] for k in want} == want and got.asDict().get("enabled", True)
+    assert rows["nfw_halo"]["psi0"] == 4.0 and rows["sersic_bulge"]["psi0"] == 6.25
+    with pytest.raises(Exception, match="no such model"):
+        models.with_preset(spark.createDataFrame([("other",)], "m string"), "m").collect()

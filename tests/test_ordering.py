@@ -104,24 +104,40 @@ def test_salted_join_equals_plain_join(rows, spark):
     assert "__salt" in spread
 
 
-def test_large_inputs_measure_and_salt(rows, spark, monkeypatch):
+def test_measured_join_chooses_before_the_shuffle(rows, spark):
     pdf, df = rows
     right = df.groupBy("g").agg(F.sum("w").alias("s"))
     want = keys.attach(df, right, ["g"]).toPandas()
-    monkeypatch.setattr(keys, "LARGE_INPUT_BYTES", 0)
-    small = keys.attach(df, right, ["g"])
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(keys, "hot_keys", lambda *a: [("big",)])
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    small = keys.attach(df, right, ["g"], measure=True)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    out = small.toPandas()
+    assert np.allclose(_sorted(out, "id")["s"], _sorted(want, "id")["s"]) and len(out) == len(pdf)
+
+
+def test_hot_group_is_split_at_run_time(spark):
+    hot = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string")))
+    df = spark.range(0, 300_000, 1, 12).select("id", hot.alias("g"), F.md5(F.col("id").cast("string")).alias("load"))
+    stats = df.groupBy("g").agg(F.count("*").alias("n"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        split = keys.attach(df, right, ["g"])
-        assert "__salt" in split._jdf.queryExecution().executedPlan().toString()
-        got = split.toPandas()
+        out = keys.attach(df, stats, ["g"])
+        got = out.toPandas()
+        plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    for out in (small.toPandas(), got):
-        assert np.allclose(_sorted(out, "id")["s"], _sorted(want, "id")["s"]) and len(out) == len(pdf)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plan
+    assert got["id"].nunique() == len(got) == 300_000 and set(got[got.g == "hot"]["n"]) == {200_000}
 
 
 def test_order_reuses_one_shuffle(rows, spark):

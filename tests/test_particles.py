@@ -193,6 +193,19 @@ def test_rotation_curve_scale(spark):
     assert out["v_scale"] == pytest.approx(1.3) and out["rms"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_rotation_curve_scale_with_long_masses(spark):
+    rows = [(g, v, 100.0 * v, 5.0) for g in ("a", "b", "c") for v in (1.0, 2.0)]
+    df = spark.createDataFrame(rows, "galaxy_id string, v_model double, V_kms double, sigma_kms double")
+    given = [("a", "disk", 2.0, 3.0), ("a", "halo", 5.0, 80.0), ("a", "gas", 9.0, 9.0), ("b", "bulge", 1.0, 1.0), ("b", "bulge", 2.0, 1.0)]
+    masses = spark.createDataFrame(given, "galaxy_id string, component string, mass double, radius double")
+    got = {r["galaxy_id"]: r for r in fitting.rotation_curve_scale(df, masses).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    unit = 1 / 4.3e-6
+    for name, want in (("a", (2.0, 0.0, 5.0)), ("b", (0.0, 3.0, 0.0)), ("c", (0.0, 0.0, 0.0))):
+        assert [got[name][f"{c}_mass_msun"] for c in ("disk", "bulge", "halo")] == pytest.approx([m * unit for m in want])
+    assert got["a"]["halo_radius_kpc"] == 80.0 and got["b"]["halo_radius_kpc"] is None
+
+
 def test_particle_curve_equals_naive(cloud):
     pdf, df = cloud
     out = curves.particle_rotation_curve(df, rows_per_bucket=60, G=2.0).toPandas().set_index("particle_id")

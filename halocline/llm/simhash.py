@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from halocline.llm.components import connected_components, local_components
 from halocline.llm.frames import pick
+from halocline.llm.resemblance import similar_groups
 from halocline.storage import materialise
 
 BITS = 64
@@ -231,16 +232,21 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id.
+    """``docs`` with one row of each group of near-duplicates, as :func:`halocline.llm.resemblance.similar_groups` links them.
 
-    Of rows with one doc_id any one stays; of a group that has null ids only, one row stays.  All columns are kept.
+    The row with the smallest doc_id stays, a null id only if the group has no other; of unlike texts under that id one
+    stays, of equal rows any one.  All columns are kept.
     """
-    found = near_duplicates(docs)
-    stays = found.groupBy("component_id").agg(F.count("*").alias("n"))
     at = [f"c{i}" for i in range(len(docs.columns))]
-    wide, key = docs.toDF(*at), at[docs.columns.index("doc_id")]
-    kept = wide.join(stays.select(F.col("component_id").alias("stays")), F.col(key).eqNullSafe(F.col("stays")), "left_semi")
-    repeated = wide.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("again"))
-    once = kept.join(repeated, F.col(key).eqNullSafe(F.col("again")), "left_anti")
-    several = kept.join(repeated, F.col(key).eqNullSafe(F.col("again")), "left_semi").dropDuplicates([key])
-    return once.union(several).toDF(*docs.columns)
+    key, text = at[docs.columns.index("doc_id")], at[docs.columns.index("text")]
+    wide = docs.toDF(*at).withColumn("h", F.xxhash64(text))
+    found = similar_groups(docs)
+    # rows of one id and text are always of one group
+    stays = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("s"))
+    rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    same = F.col("s.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s.h") == F.col("h"))
+    chosen = materialise(stays.join(rows, same).select(F.col("doc_id").alias("named"), F.col("h").alias("hashed"), "n"), "simhash-stays")
+    same = F.col(key).eqNullSafe(F.col("named")) & (F.col("h") == F.col("hashed"))
+    once = wide.join(chosen.where("n = 1"), same, "left_semi")
+    several = wide.join(chosen.where("n > 1"), same, "left_semi").dropDuplicates([key, "h"])
+    return once.union(several).select(*at).toDF(*docs.columns)

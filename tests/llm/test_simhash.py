@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from llm_helpers import components_of
 
-from halocline.llm import simhash
+from halocline.llm import resemblance, simhash
 from halocline.llm.components import connected_components, local_components
 
 
@@ -112,3 +112,38 @@ def test_dropping_keeps_one_of_each_group_and_all_columns(spark):
 
 def test_empty_table(documents):
     assert simhash.near_duplicate_digest(documents([])).collect() == []
+
+
+def test_dropping_takes_texts_of_similarity_four_fifths(spark):
+    rng = random.Random(11)
+    rows, words = [], lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    # one changed word takes five of 196 shingles: 4 changes leave 176 of 216 (0.815), 5 leave 171 of 221 (0.774)
+    for changes in (4, 5):
+        for k in range(12):
+            text = words()
+            other = list(text)
+            for c in range(changes):
+                other[20 + 30 * c] = "changed"
+            rows += [(1000 * changes + 2 * k, " ".join(text)), (1000 * changes + 2 * k + 1, " ".join(other))]
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows if i >= 5000 or i % 2 == 0}
+
+
+@pytest.mark.parametrize("piece_rows", [256, 7])
+def test_similar_groups_match_comparing_all_pairs(spark, piece_rows, monkeypatch):
+    monkeypatch.setattr(resemblance, "PIECE_ROWS", piece_rows)
+    rng = random.Random(13)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(6)]
+    texts = [None, "", " \n", "a b", "A  B"]
+    for k in range(90):
+        own = list(base[k % 6 if k % 3 else 0])
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(120)] = f"c{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    sets = [set(resemblance.shingles(None if t is None else t.encode()).tolist()) for t in texts]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = resemblance.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    label = {r.doc_id: r.label for r in got}
+    groups = components_of(len(texts), want)
+    assert len(got) == len(texts) and 5 < len(set(groups)) < len(texts)
+    assert len({(label[i], groups[i]) for i in label}) == len(set(label.values())) == len(set(groups))

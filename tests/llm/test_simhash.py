@@ -129,6 +129,15 @@ def test_dropping_takes_texts_of_similarity_four_fifths(spark):
     assert got == {i for i, _ in rows if i >= 5000 or i % 2 == 0}
 
 
+def test_dropping_tells_groups_of_null_and_repeated_ids_apart(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(10)]
+    rows = [(None, t) for t in texts[:6]] * 2 + [(4, texts[0]), (7, texts[6]), (7, texts[7]), (7, texts[8]), (5, texts[8])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(4, texts[0]), *[(None, t) for t in texts[1:6]], (7, texts[6]), (7, texts[7]), (5, texts[8])], key=repr)
+
+
 @pytest.mark.parametrize("piece_rows", [256, 7])
 def test_similar_groups_match_comparing_all_pairs(spark, piece_rows, monkeypatch):
     monkeypatch.setattr(resemblance, "PIECE_ROWS", piece_rows)

@@ -58,7 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def schedule(spark: SparkSession, targets: DataFrame, words: float, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(slot, sid, block): which block of which source each slot takes; ``words`` is the sum of targets.
 
-    It runs a little longer than the targets ask for; each source stops at its own target.
+    It runs a little longer than the targets ask for; each source stops at its own target.  Sources that got fewer
+    slots than their targets have blocks take further slots behind it, one for each missing block.
     """
     n = math.ceil(1.02 * words / block_words) + 64 if words else 0
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", (F.col("slot") % POINTS) * GOLDEN % POINTS)
@@ -69,9 +70,14 @@ def schedule(spark: SparkSession, targets: DataFrame, words: float, block_words:
     drawn = drawn.select("slot", "sid", F.floor(F.col("slot") / SLOTS_PER_PART).alias("part"))
     counts = drawn.groupBy("sid", "part").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("sid", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    before = counts.select("sid", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot"))
-    return drawn.withColumn("inside", inside).join(counts, ["sid", "part"]).select("slot", "sid", (F.col("before") + F.col("inside") - 1).alias("block"))
+    drawn = drawn.withColumn("inside", inside).join(before, ["sid", "part"]).select("slot", "sid", (F.col("before") + F.col("inside") - 1).alias("block"))
+    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
+    short = targets.join(got, "sid", "left").select("sid", F.coalesce("got", F.lit(0)).alias("got"), F.ceil(F.floor("target") / block_words).alias("asked")).where("got < asked")
+    ahead = F.coalesce(F.sum(F.col("asked") - F.col("got")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = short.withColumn("ahead", ahead).withColumn("block", F.explode(F.sequence(F.col("got"), F.col("asked") - 1)))
+    return drawn.union(short.select((F.col("ahead") + F.col("block") - F.col("got") + n).alias("slot"), "sid", "block"))
 
 
 def _ordered(base: DataFrame, targets: DataFrame) -> DataFrame:

@@ -149,6 +149,24 @@ def test_mix(documents):
         assert want[s] - 1200 <= taken[s] <= want[s] + 1
 
 
+def test_small_sources_reach_their_targets(documents):
+    # 149 sources of a block or a few beside a large one share 64 spare slots and 2 %
+    rows = [(i, "w " * (40 + 90 * (i % 4)), None, "s%03d" % i) for i in range(150)] + [(1000 + i, "w " * 4000, None, "large") for i in range(100)]
+    sizes = {s: 0 for _, _, _, s in rows}
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want, taken = water_fill(sizes), Counter()
+    docs = documents(rows)
+    source = {d: s for d, _, _, s in rows}
+    for r in mixing.mix_digest(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+    assert all(want[s] - 1.001 <= taken[s] <= want[s] + 0.001 for s in sizes)
+    assert {r.source for r in mixing.mix_documents(docs).collect()} == set(sizes)
+    targets = mixing.source_targets(docs.sparkSession.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    slots = mixing.schedule(docs.sparkSession, targets, sum(want.values())).collect()
+    assert len({r.slot for r in slots}) == len({(r.sid, r.block) for r in slots}) == len(slots)
+
+
 def test_mixed_documents_and_empty_tables(documents):
     rows = [(i, "w " * 50, "en", "ab"[i % 2]) for i in range(400)]
     docs = documents(rows)

@@ -4,7 +4,7 @@ Test items are indexed by BM25 impacts, each divided by the score its item asks
 item at 1.  Items stand in blocks; per term and block the largest impact is kept.  Every passage of every document is a
 query: the sum of its terms' block maxima bounds all scores of the block, and only blocks whose bound reaches
 1 are scored item by item.  Retrieved items are verified by the overlap of word n-grams with the item's
-question and with its answer.
+question and with its answer, or with most of the item, wherever it is cut.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.4  # share of an item's score against itself
 GRAM = 5
 QUESTION_OVERLAP = ANSWER_OVERLAP = 0.25
+WHOLE_OVERLAP = 2 / 3  # share of all n-grams of an item that counts without its answer or question
 ANSWER_WORDS = 5
 ITEMS_PER_BLOCK = 8
 ITEMS_PER_INDEX = 2048  # items in one index; more of them are handled index by index
@@ -69,7 +70,7 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 @dataclass
 class Index:
     ids: list[int]
-    parts: list[tuple[set, set]]  # n-grams of question and answer
+    parts: list[tuple[set, set, set]]  # n-grams of question, answer and the whole item
     terms: dict[str, int]
     impacts: np.ndarray  # term x item, a passage retrieves at 1
     maxima: np.ndarray  # term x block
@@ -92,7 +93,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         for w, v in own.items():
             impacts[terms[w], j] = v / asked
     maxima = impacts.reshape(len(impacts), blocks, ITEMS_PER_BLOCK).max(axis=2)
-    parts = [tuple(grams(p, GRAM) for p in question_and_answer(t)) for _, t in items]
+    parts = [tuple(grams(p, GRAM) for p in (*question_and_answer(t), x)) for (_, t), x in zip(items, words)]
     return Index([i for i, _ in items], parts, terms, impacts, maxima, max(LEAST_PASSAGE, 2 * max(map(len, words), default=0)))
 
 
@@ -136,14 +137,14 @@ def retrieve(index: Index, texts: list[list[str]]) -> list[tuple[int, int, float
     return [(t, j, s) for (t, j), s in sorted(best.items())]
 
 
-def verify(index: Index, item: int, words: list[str]) -> tuple[float, float]:
-    """Shares of the item's question and answer n-grams that the text has."""
+def verify(index: Index, item: int, words: list[str]) -> tuple[float, float, float]:
+    """Shares of the n-grams of the item's question, of its answer and of all of it that the text has."""
     out = []
     for part in index.parts[item]:
         n = len(next(iter(part)))
         own = {g for i in range(len(words) - n + 1) if (g := tuple(words[i : i + n])) in part}
         out.append(len(own) / len(part))
-    return out[0], out[1]
+    return out[0], out[1], out[2]
 
 
 def contaminations(index: Index, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
@@ -151,8 +152,8 @@ def contaminations(index: Index, texts: list[str | None]) -> list[tuple[int, int
     words = [tokens(t) for t in texts]
     out = []
     for t, j, score in retrieve(index, words):
-        q, a = verify(index, j, words[t])
-        if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
+        q, a, whole = verify(index, j, words[t])
+        if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP or whole >= WHOLE_OVERLAP:
             out.append((t, index.ids[j], score * RETRIEVE, q, a))
     return out
 

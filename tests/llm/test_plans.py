@@ -41,6 +41,18 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, documents):
     assert kept == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_an_item_without_its_last_sentence_is_a_leak(spark, documents):
+    rng = random.Random(7)
+    sentence = lambda n: " ".join("w%d" % rng.randrange(3000) for _ in range(n))
+    items = [(i, f"{sentence(30)}. {sentence(15)}. {sentence(8)}.") for i in range(20)]
+    rows = [(i, f"{sentence(60)} {t.rsplit('. ', 1)[0]} {sentence(60)}", None, None) for i, t in items] + [(100, sentence(200), None, None)]
+    bench = spark.createDataFrame(items, ITEM)
+    got = dc.find_leaks(documents(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
+    assert all(r.question_overlap == 1 and r.answer_overlap == 0 for r in got)
+    assert [r.doc_id for r in dc.drop_contaminated(documents(rows), bench).collect()] == [100]
+
+
 def test_pruned_retrieval_matches_scoring_all_items():
     rng = random.Random(2)
     items = benchmark_items(50)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halocline.llm import decontaminate, language, matroska, mixing, repeats, sharding, simhash, toxicity, url_filter, warc
+from halocline.llm import decontaminate, language, main_text, matroska, mixing, repeats, sharding, simhash, toxicity, url_filter, warc
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Runner] = {
     "op8_sharding": _over(sharding.shard_digest, "documents"),
     "op9_mixing": _over(mixing.mix_digest, "documents"),
     "op10_url_filter": _over(url_filter.judge_urls, "pages"),
+    "op13_main_text": _over(main_text.extract_main_text, "pages"),
 }
 
 SUBSTRING_SQL = r"""

@@ -21,16 +21,16 @@ def particle_rotation_curve(
     pos: Sequence[str] = POS,
     id_cols: Sequence[str] = ("particle_id", "mass"),
     group_cols: Sequence[str] = ("component",),
-    **bucketing,
+    **exchange,
 ) -> DataFrame:
     """sqrt(G M(<=r)/r) at every particle, counting particles outward in each group.
 
-    Null at r = 0.  The order is (r, ids), cut into buckets as described in
+    Null at r = 0.  The order is (r, ids), parted as described in
     :mod:`halocline.operators.ordering`.
     """
     r = F.sqrt(sum((F.col(c) * F.col(c) for c in pos[1:]), F.col(pos[0]) * F.col(pos[0])))
     slim = df.select(*dict.fromkeys([*group_cols, *id_cols, mass]), r.alias("r"))
-    out = running_totals(slim, ["r", *id_cols], {"m_enc": F.col(mass)}, group_cols=group_cols, **bucketing)
+    out = running_totals(slim, ["r", *id_cols], {"m_enc": F.col(mass)}, group_cols=group_cols, **exchange)
     v = F.sqrt(F.try_divide(F.col("m_enc") * G, F.col("r"))) * velocity_scale
     return out.withColumn("v", v)
 
@@ -108,10 +108,10 @@ def combined_rotation_curve(
 
 
 def finite_difference(
-    curve: DataFrame, *, x: str, y: str, group_cols: Sequence[str] = (), **bucketing
+    curve: DataFrame, *, x: str, y: str, group_cols: Sequence[str] = (), **exchange
 ) -> DataFrame:
     """Central difference dy/dx at interior knots, null at the two ends."""
-    near = neighbours(curve, [x], [x, y], group_cols=group_cols, **bucketing)
+    near = neighbours(curve, [x], [x, y], group_cols=group_cols, **exchange)
     p, n = F.col("prev"), F.col("next")
     return near.withColumn("dydx", F.try_divide(n[y] - p[y], n[x] - p[x])).drop("prev", "next")
 

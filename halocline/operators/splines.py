@@ -122,7 +122,7 @@ def spline_coefficients(
     y: str = "y",
     group_cols: Sequence[str] = ("table_id",),
     block: int = BLOCK,
-    **bucketing,
+    **exchange,
 ) -> DataFrame:
     """Second derivative ``y2`` of the natural cubic spline at every knot, numbered by ``knot``.
 
@@ -132,7 +132,7 @@ def spline_coefficients(
     """
     g = list(group_cols)
     slim = knots.select(*g, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = running_totals(slim, ["__x"], {"__i": F.lit(1).cast("bigint")}, group_cols=g, **bucketing)
+    ranked = running_totals(slim, ["__x"], {"__i": F.lit(1).cast("bigint")}, group_cols=g, **exchange)
     ranked = ranked.withColumn("__i", F.col("__i") - 1)
     sizes = slim.groupBy(*g).agg((F.count(F.lit(1)) - 1).alias("__end"))
     too_short = F.raise_error(F.lit("need at least two points for a spline")).cast("bigint")
@@ -184,11 +184,11 @@ def spline_lookup(
     y2: str = "y2",
     out: str = "value",
     group_cols: Sequence[str] = ("table_id",),
-    **bucketing,
+    **exchange,
 ) -> DataFrame:
     """Evaluate tables with known second derivatives; the end cubics extrapolate."""
     g = list(group_cols)
-    near = neighbours(knots.select(*g, x, y, y2), [x], [x, y, y2], group_cols=g, **bucketing)
+    near = neighbours(knots.select(*g, x, y, y2), [x], [x, y, y2], group_cols=g, **exchange)
     n, p = F.col("next"), F.col("prev")
     opening = F.when(p.isNull(), F.lit(float("-inf"))).otherwise(F.col(x))
     intervals = near.filter(n.isNotNull()).select(
@@ -199,5 +199,5 @@ def spline_lookup(
             n[x].alias("x1"), n[y].alias("y1"), n[y2].alias("m1"),
         ).alias("__cubic"),
     )
-    hit = as_of(points, intervals, point_x=at, start="__start", group_cols=g, **bucketing)
+    hit = as_of(points, intervals, point_x=at, start="__start", group_cols=g, **exchange)
     return hit.withColumn(out, _cubic(F.col("__cubic"), F.col(at))).drop("__start", "__cubic")

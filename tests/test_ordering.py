@@ -1,4 +1,4 @@
-"""Order-based operators give the same result for any division into buckets."""
+"""Order-based operators give the same result for any number of partitions."""
 
 import numpy as np
 import pandas as pd
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from halocline.operators import curves, keys, ordering, splines
 
-CUTS = [None, [], [(3.0, 10)], [(float(i), 0) for i in range(1, 12)], [(5.0, k) for k in range(0, 400, 37)]]
+PARTITIONS = [None, 1, 2, 12, 60]
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +30,11 @@ def _sorted(pdf, by):
     return pdf.sort_values(by).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("cuts", CUTS)
-def test_running_totals(rows, cuts):
+@pytest.mark.parametrize("partitions", PARTITIONS)
+def test_running_totals(rows, partitions):
     pdf, df = rows
     out = ordering.running_totals(
-        df, ["x", "id"], {"s": F.col("w"), "k": F.lit(1)}, group_cols=["g"], rows_per_bucket=40, cuts=cuts
+        df, ["x", "id"], {"s": F.col("w"), "k": F.lit(1)}, group_cols=["g"], partitions=partitions
     )
     want = _sorted(pdf, ["g", "x", "id"])
     want["s"] = want.groupby("g")["w"].cumsum()
@@ -43,29 +43,29 @@ def test_running_totals(rows, cuts):
     assert np.allclose(got["s"], want["s"]) and (got["k"] == want["k"]).all() and len(got) == len(want)
 
 
-@pytest.mark.parametrize("cuts", CUTS)
+@pytest.mark.parametrize("partitions", PARTITIONS)
 @pytest.mark.parametrize("n", [1, 50, 10_000])
-def test_first_in_order(rows, cuts, n):
+def test_first_in_order(rows, partitions, n):
     pdf, df = rows
-    out = ordering.first_in_order(df, ["x", "id"], F.lit(n), group_cols=["g"], rows_per_bucket=40, cuts=cuts)
+    out = ordering.first_in_order(df, ["x", "id"], F.lit(n), group_cols=["g"], partitions=partitions)
     want = pdf.sort_values(["x", "id"]).groupby("g").head(n)
     assert sorted(out.toPandas()["id"]) == sorted(want["id"])
 
 
-@pytest.mark.parametrize("cuts", CUTS)
-def test_neighbours(rows, cuts):
+@pytest.mark.parametrize("partitions", PARTITIONS)
+def test_neighbours(rows, partitions):
     pdf, df = rows
-    out = ordering.neighbours(df, ["x", "id"], ["id"], group_cols=["g"], rows_per_bucket=40, cuts=cuts)
+    out = ordering.neighbours(df, ["x", "id"], ["id"], group_cols=["g"], partitions=partitions)
     got = _sorted(out.select("g", "x", "id", F.col("prev.id").alias("p"), F.col("next.id").alias("n")).toPandas(), ["g", "x", "id"])
     want = _sorted(pdf, ["g", "x", "id"])
     assert got["p"].equals(want.groupby("g")["id"].shift(1)) and got["n"].equals(want.groupby("g")["id"].shift(-1))
 
 
-@pytest.mark.parametrize("cuts", [None, [], [(4.0, 0, 0), (6.0, 1, 5)]])
-def test_as_of(spark, rows, cuts):
+@pytest.mark.parametrize("partitions", [None, 1, 3, 30])
+def test_as_of(spark, rows, partitions):
     pdf, df = rows
     marks = pd.DataFrame([(g, s, f"{g}{s}") for g in ("big", "a") for s in (2.0, 5.0, 5.5, 11.0)], columns=["g", "start", "name"])
-    out = ordering.as_of(df, spark.createDataFrame(marks), point_x="x", start="start", group_cols=["g"], rows_per_bucket=50, cuts=cuts)
+    out = ordering.as_of(df, spark.createDataFrame(marks), point_x="x", start="start", group_cols=["g"], partitions=partitions)
     got = out.toPandas().set_index("id")["name"]
     assert len(got) == len(pdf)
     for r in pdf.itertuples():
@@ -75,7 +75,7 @@ def test_as_of(spark, rows, cuts):
 
 def test_assign_ids_are_consecutive(rows):
     pdf, df = rows
-    out = ordering.assign_ids(df, ["x", "id"], "n", rows_per_bucket=25).toPandas()
+    out = ordering.assign_ids(df, ["x", "id"], "n", partitions=25).toPandas()
     assert sorted(out["n"]) == list(range(1, len(pdf) + 1))
     assert _sorted(out, "n")["id"].tolist() == _sorted(pdf, ["x", "id"])["id"].tolist()
 
@@ -85,7 +85,7 @@ def test_subsample_is_exact_and_repeatable(rows):
     take = lambda seed, **kw: ordering.component_subsample(df, {"big": 37, "a": 5, "b": 0}, seed=seed, component_col="g", id_cols=("id",), **kw)
     one = take(5).toPandas()
     assert one.groupby("g").size().to_dict() == {"big": 37, "a": 5}
-    assert sorted(one["id"]) == sorted(take(5, rows_per_bucket=30).toPandas()["id"])
+    assert sorted(one["id"]) == sorted(take(5, partitions=20).toPandas()["id"])
     assert sorted(one["id"]) != sorted(take(6).toPandas()["id"])
     assert take(1).select("id").distinct().count() == 42
     assert ordering.component_subsample(df, {"big": 0}, component_col="g", id_cols=("id",)).count() == 0
@@ -140,18 +140,53 @@ def test_hot_group_is_split_at_run_time(spark):
     assert got["id"].nunique() == len(got) == 300_000 and set(got[got.g == "hot"]["n"]) == {200_000}
 
 
-def test_order_reuses_one_shuffle(rows, spark):
-    _, df = rows
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        out = ordering.running_totals(df.repartition(3), ["x", "id"], {"s": F.col("w")}, group_cols=["g"], rows_per_bucket=40)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    left = plan.split("SortMergeJoin")[1].split(":- ")[1].split("+- Exchange")
-    # rows are shuffled by (group, bucket) for the window, and not again for the join
-    assert plan.count("Exchange hashpartitioning(g#") <= 4 and "Window" in left[0]
+def test_order_is_one_range_exchange(rows, spark, monkeypatch):
+    df = spark.createDataFrame(rows[0])
+    plans = []
+    stored = ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda d, name, *a: plans.append(d._jdf.queryExecution().executedPlan().toString()) or stored(d, name, *a))
+    totals = ordering.running_totals(df, ["x", "id"], {"s": F.col("w")}, group_cols=["g"], partitions=9)
+    ids = ordering.assign_ids(df, ["x", "id"], "n", partitions=9)
+    for plan in plans:
+        assert plan.count("Exchange rangepartitioning(") == 1 and plan.count("Exchange ") == 1
+    # what crosses the cuts is broadcast, and the rows aren't shuffled again
+    for out in (totals, ids):
+        rows_side = out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert "BroadcastHashJoin" in rows_side and "Exchange" not in rows_side and "Window" not in rows_side
+    # equal rows are parted too
+    same = spark.range(2000).select(F.lit(1).alias("g"), F.lit(2.0).alias("x"))
+    sizes = ordering.in_order(same, ["x"], ["g"], partitions=8).groupBy(ordering.part_of()).count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < 600
+
+
+def test_groups_of_any_type_and_null_values(spark):
+    rows = [(float(i % 3) if i % 4 else float("nan"), i % 2 == 0, i, None if i % 5 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b boolean, id int, v int").repartition(4)
+    for p in (1, 7):
+        out = ordering.running_totals(df, ["id"], {"s": F.col("v"), "f": F.col("v") / 2}, group_cols=["a", "b"], partitions=p)
+        assert dict(out.dtypes)["s"] == "bigint" and dict(out.dtypes)["f"] == "double"
+        got = out.toPandas().sort_values("id")
+        want = got.assign(v=got.v.fillna(0)).groupby(["a", "b"], dropna=False)["v"].cumsum()
+        assert np.allclose(got["s"], want) and np.allclose(got["f"], want / 2)
+        near = ordering.neighbours(df, ["id"], ["id", "v"], group_cols=["a", "b"], partitions=p).toPandas().sort_values("id")
+        want = near.groupby(["a", "b"], dropna=False)["id"].shift(1)
+        assert [r and r.id for r in near["prev"]] == [None if np.isnan(w) else int(w) for w in want]
+    empty = df.limit(0)
+    assert ordering.running_totals(empty, ["id"], {"s": F.col("v")}, group_cols=["a"]).count() == 0
+    assert ordering.neighbours(empty, ["id"], ["v"]).count() == ordering.assign_ids(empty, ["id"]).count() == 0
+
+
+def test_ranks_within_groups(rows):
+    pdf, df = rows
+    for p in (None, 13):
+        got = _sorted(ordering.ranked(df, ["x", "id"], ["g"], rank="k", partitions=p).toPandas(), ["g", "x", "id"])
+        assert got["k"].tolist() == _sorted(pdf, ["g", "x", "id"]).groupby("g").cumcount().tolist()
+
+
+def test_prefix_sums_in_two_levels(spark):
+    parts = spark.range(0, 5000, 7).select(F.col("id").cast("int").alias(ordering.PART), (F.col("id") % 11).alias("n"))
+    got = ordering.prefix_sums(parts, {"b": F.col("n")}).orderBy(ordering.PART).toPandas()
+    assert got["b"].tolist() == (got["n"].cumsum() - got["n"]).tolist()
 
 
 def test_null_group_is_an_error_in_order(spark):
@@ -180,7 +215,7 @@ def test_spline_blocks_solve_the_whole_system(spark, block):
         tables[t] = (x, rng.normal(size=n))
     rows = [(t, float(a), float(b)) for t, (x, y) in tables.items() for a, b in zip(x, y)]
     knots = spark.createDataFrame(rows, "table_id string, x double, y double")
-    out = splines.spline_coefficients(knots, block=block, rows_per_bucket=10)
+    out = splines.spline_coefficients(knots, block=block, partitions=5)
     got = out.toPandas().sort_values(["table_id", "knot"])
     for t, (x, y) in tables.items():
         h, n = np.diff(x), len(x)
@@ -193,7 +228,7 @@ def test_spline_blocks_solve_the_whole_system(spark, block):
         assert np.allclose(mine["y2"], np.linalg.solve(A, b), atol=1e-10)
     # the curve passes through its knots, and the end cubics extrapolate
     at = knots.select("table_id", F.col("x").alias("q"), F.col("y").alias("want"))
-    back = splines.spline_lookup(at, out, at="q", rows_per_bucket=20).toPandas()
+    back = splines.spline_lookup(at, out, at="q", partitions=4).toPandas()
     assert len(back) == len(rows) and np.allclose(back["value"], back["want"], atol=1e-10)
     ends = spark.createDataFrame([("two", -5.0), ("two", 500.0)], "table_id string, q double")
     x, y = tables["two"]
@@ -231,6 +266,6 @@ def test_finite_difference_simpson_argmax(spark):
     top = curves.tabulate(b, lambda x: -(x - 0.73) * (x - 0.73) + 2.0, n=10)
     best = {r.f: (r.x_max, r.y_max) for r in curves.argmax_table(top, group_cols=["f"]).collect()}
     assert best["c"] == pytest.approx((0.73, 2.0)) and best["d"][0] == 1.0
-    slope = curves.finite_difference(top, x="x", y="y", group_cols=["f"], rows_per_bucket=4).filter("f = 'd'").orderBy("x").toPandas()
+    slope = curves.finite_difference(top, x="x", y="y", group_cols=["f"], partitions=6).filter("f = 'd'").orderBy("x").toPandas()
     inner = slope.iloc[1:-1]
     assert np.allclose(inner["dydx"], -2 * (inner["x"] - 0.73)) and slope["dydx"].isna().sum() == 2

@@ -208,7 +208,7 @@ def test_rotation_curve_scale_with_long_masses(spark):
 
 def test_particle_curve_equals_naive(cloud):
     pdf, df = cloud
-    out = curves.particle_rotation_curve(df, rows_per_bucket=60, G=2.0).toPandas().set_index("particle_id")
+    out = curves.particle_rotation_curve(df, partitions=5, G=2.0).toPandas().set_index("particle_id")
     for _, part in pdf.groupby("component"):
         r = np.sqrt((part[list("xyz")] ** 2).sum(axis=1))
         order = r.sort_values().index

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm.frames import pick
+from halocline.llm.frames import crc32_sql, pick
 from halocline.operators.keys import lookup_join
 from halocline.storage import materialise
 
@@ -389,14 +389,6 @@ def _batch(rows: list[list], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=list(names))
 
 
-def _crc32_sql(text: str) -> str:
-    """CRC-32 of a short text in DuckDB, bit by bit (3988292384 is the reflected polynomial, a fixed value)."""
-    return (
-        f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT for c in regexp_extract_all({text}, '.')]), lambda r, b: "
-        "list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
-    )
-
-
 def _sql_edit(state: str, cost: str, letter: str, turn: str | None) -> str:
     """The state after one edit; a state is null where it can't be reached."""
     body = f"{state}.body" if turn is None else f"list_append({state}.body, {turn})"
@@ -429,7 +421,7 @@ def _sql_step() -> str:
 CONVERSATION_SQL = rf"""
 WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
     coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
-hit AS (SELECT conv_id, turn, role, text, {_crc32_sql("k")} % {DAMAGES} AS d FROM keyed),
+hit AS (SELECT conv_id, turn, role, text, {crc32_sql("k")} % {DAMAGES} AS d FROM keyed),
 damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
     CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
     FROM hit, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) copies(copy) WHERE d <> 0),

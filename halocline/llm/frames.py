@@ -71,3 +71,11 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text in DuckDB, bit by bit (3988292384 is the reflected polynomial, a fixed value)."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT for c in regexp_extract_all({text}, '.')]), lambda r, b: "
+        "list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+    )

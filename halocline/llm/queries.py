@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halocline.llm import conversations, decontaminate, language, main_text, matroska, mixing, repeats, sharding, simhash, toxicity, url_filter, warc
+from halocline.llm import conversations, decontaminate, language, main_text, matroska, merkle, mixing, repeats, sharding, simhash, toxicity, url_filter, warc
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Runner] = {
     "op8_sharding": _over(sharding.shard_digest, "documents"),
     "op9_mixing": _over(mixing.mix_digest, "documents"),
     "op10_url_filter": _over(url_filter.judge_urls, "pages"),
+    "op11_merkle": _over(merkle.merkle_manifest, "documents"),
     "op12_conversations": _over(conversations.repair_conversations, "conversations"),
     "op13_main_text": _over(main_text.extract_main_text, "pages"),
 }
@@ -41,4 +42,4 @@ kept AS (SELECT doc_id, len(w) AS n, coalesce(len(js), 0) AS r,
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_warc": warc.WARC_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL, "op12_conversations": conversations.CONVERSATION_SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op3_warc": warc.WARC_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL, "op11_merkle": merkle.MERKLE_SQL, "op12_conversations": conversations.CONVERSATION_SQL}

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from halocline.functions.special import erfc_polynomial, ln_cosh, sech2
+from halocline.functions.special import ERF_CORE_END, erf_core, erfc_scaled, ln_cosh, sech2
 from halocline.functions.stages import Stage, Stages
 
 FOUR_PI = 4.0 * math.pi
@@ -91,13 +91,9 @@ def taper(p: str, t: Column) -> Stages:
     c = lambda n: F.col(p + n)
     return [
         {f"{p}t": t},
-        {f"{p}u": F.coalesce(F.try_divide(F.lit(1.0), F.abs(c("t")) * 0.5 + 1.0), F.lit(0.0)), f"{p}gauss": F.exp(-c("t") * c("t"))},
-        {f"{p}tail": c("u") * F.exp(erfc_polynomial(c("u"))) * c("gauss") * 0.5},
-        {
-            f"{p}keep": F.when(F.abs(c("t")) > 4.0, F.when(c("t") < 0.0, 1.0).otherwise(0.0)).otherwise(
-                F.when(c("t") < 0.0, F.lit(1.0) - c("tail")).otherwise(c("tail"))
-            )
-        },
+        {f"{p}u": F.abs(c("t")), f"{p}gauss": F.exp(-c("t") * c("t"))},
+        {f"{p}tail": F.when(c("u") <= ERF_CORE_END, F.lit(0.5) - erf_core(c("u")) * 0.5).when(c("u") <= 4.0, erfc_scaled(c("u")) * c("gauss") * 0.5).otherwise(0.0)},
+        {f"{p}keep": F.when(c("t") < 0.0, F.lit(1.0) - c("tail")).otherwise(c("tail"))},
     ]
 
 
@@ -223,16 +219,19 @@ def gas_force(p: str, R: Column, z: Column) -> tuple[Column, Column]:
 
 
 def gas_density(p: str, R: Column, z: Column, per_R: Column) -> Stages:
-    """``{p}rho``: density matching :func:`gas_potential`, term by term of the Laplacian."""
+    """``{p}rho``: density matching :func:`gas_potential`.
+
+    The potential is -4 pi f g with f of the spherical radius and g = h v(z/h).  By the chain rule its Laplacian has one term for each
+    derivative of f: ``{p}rho`` = f'' g + 2 (f'/r) (g + (R, z).grad g) + f lap g.  With lift = v - (z/h) v', the gradient
+    of g is (h' lift, v') and its Laplacian (h'' + h'/R) lift + v'' (1 + (h' z/h)^2)/h.
+    """
     c = lambda n: F.col(p + n)
-    per_h = c("den") * c("per_h_top")
+    lean = c("h1") * c("zh")
     return [
-        {f"{p}curl": c("h2") + c("h1") * per_R, f"{p}tilt": z * c("rel"), f"{p}flare": F.lit(1.0) - R * c("rel")},
+        {f"{p}lift": c("v") - c("v1") * c("zh"), f"{p}g": c("h") * c("v")},
         {
-            f"{p}rho": c("f2") * c("h") * c("v")
-            + c("f1") * c("v") * (c("h") + c("h1") * R) * 2.0
-            + c("f1") * c("v1") * z * c("flare") * 2.0
-            + c("f") * c("v2") * per_h * (c("tilt") * c("tilt") + 1.0)
-            + c("f") * c("curl") * (c("v") - c("v1") * c("zh"))
+            f"{p}along": c("g") + R * c("h1") * c("lift") + z * c("v1"),
+            f"{p}lap": (c("h2") + c("h1") * per_R) * c("lift") + (lean * lean + 1.0) * c("v2") * c("den") * c("per_h_top"),
         },
+        {f"{p}rho": c("f2") * c("g") + c("f1") * c("along") * 2.0 + c("f") * c("lap")},
     ]

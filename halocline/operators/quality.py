@@ -17,9 +17,10 @@ VALUES = ("adens", "apot", "fr")
 def missing_artifacts(
     models: DataFrame, present: DataFrame, required: Sequence[str], *, keys: Sequence[str] = MODEL
 ) -> DataFrame:
-    """Required names that a model lacks, from a table of the names it has."""
+    """Required names that a model lacks, from a table of the names it has, repeated at will."""
     wanted = models.select(*keys, F.explode(F.array(*[F.lit(n) for n in required])).alias("name"))
-    return wanted.join(present.select(*keys, "name"), [*keys, "name"], "left_anti")
+    # repeated names are combined where they are read
+    return wanted.join(present.select(*keys, "name").distinct(), [*keys, "name"], "left_anti")
 
 
 def finite_check(

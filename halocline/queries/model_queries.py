@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from halocline import fixtures as fx
-from halocline.functions.special import ERFC_COEFFICIENTS
 from halocline.operators import (
     fields,
     fitting,
@@ -25,13 +26,13 @@ from halocline.queries.registry import query
 
 # ---- SQL text for the analytic parts --------------------------------------------------
 
-def erfc_sql(t: str) -> str:
-    u = f"(1/(1 + 0.5e0*abs({t})))"
-    poly = f"{ERFC_COEFFICIENTS[-1]}e0"
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = f"({c}e0 + {u}*{poly})"
-    tail = f"({u}*exp({poly} - {t}*{t}))"
-    return f"(CASE WHEN {t} >= 0 THEN {tail} ELSE 2 - {tail} END)"
+def erfc_sql(t: str, step: float = 0.5, terms: int = 13) -> str:
+    """erfc by the midpoint rule on its integral 2 x exp(-x^2)/pi * int exp(-s^2)/(s^2 + x^2) ds, with the pole's share added."""
+    x = f"abs({t})"
+    nodes = [(k + 0.5) * step for k in range(terms)]
+    total = " + ".join(f"{math.exp(-s * s)!r}/({s * s!r} + {x}*{x})" for s in nodes)
+    value = f"({2 * step / math.pi!r}*{x}*exp(-{x}*{x})*({total}) + 2/(1 + exp({2 * math.pi / step!r}*{x})))"
+    return f"(CASE WHEN {t} >= 0 THEN {value} ELSE 2 - {value} END)"
 
 
 def radial_sql(c: str, norm: str) -> str:
@@ -68,9 +69,9 @@ GAS_SQL = f"""{radial_sql('g', 'g_mass/(2*pi()*g_rd*g_rd)')}, {HEIGHT_SQL},
       -4*pi()*g_f*g_h*g_v AS g_psi,
       -4*pi()*(R*g_f1*g_h*g_v + g_f*g_h1*g_v - z*g_h1/g_h*g_f*g_v1) AS g_fr,
       -4*pi()*(z*g_f1*g_h*g_v + g_f*g_v1) AS g_fz,
-      g_h2 + CASE WHEN R > 0 THEN g_h1/R ELSE 0 END AS g_curl,
-      g_f2*g_h*g_v + 2*g_f1*g_v*(g_h + g_h1*R) + 2*g_f1*g_v1*z*(1 - R*g_h1/g_h)
-        + g_f*g_v2/g_h*(1 + (z*g_h1/g_h)**2) - g_f*g_v1*z/g_h*g_curl + g_f*g_v*g_curl AS g_rho"""
+      {{'g': g_h*g_v, 'dR': g_h1*(g_v - g_u*g_v1), 'dz': g_v1, 'dRR': g_h2*(g_v - g_u*g_v1) + g_v2*(g_u*g_h1)**2/g_h, 'dzz': g_v2/g_h}} AS g_layer,
+      g_layer['dRR'] + g_layer['dzz'] + CASE WHEN R > 0 THEN g_layer['dR']/R ELSE 0 END AS g_laplacian,
+      (g_f2 + 2*g_f1)*g_layer['g'] + 2*g_f1*(R*g_layer['dR'] + z*g_layer['dz']) + g_f*g_laplacian AS g_rho"""
 
 
 def with_models(points: str, *parts: str) -> str:
@@ -530,6 +531,8 @@ def multipole_density(spark, sf):
 
 
 def multipole_sql(group: str = "halo_id") -> str:
+    beyond = f"""beyond AS MATERIALIZED (SELECT {group}, l, (2*l + 1)/(4*pi())*sum(mass*CASE l WHEN 0 THEN 1 WHEN 2 THEN (3*c*c - 1)/2 ELSE (35*c**4 - 30*c*c + 3)/8 END/s**(l + 1)) AS moment
+        FROM (SELECT {group}, mass, {pq.RSPH} AS s, z/s AS c FROM p) q, (SELECT unnest([0, 2, 4]) AS l) ll WHERE s >= 60*0.4e0 GROUP BY {group}, l),"""
     outer = """CASE WHEN shell = 0 AND l >= 2 THEN 0 WHEN l = 2 THEN rho*ln((shell + 1)*0.4e0/nullif(shell*0.4e0, 0))
       WHEN l = 0 THEN rho*(((shell + 1)*0.4e0)**2 - (shell*0.4e0)**2)/2
       ELSE rho*(1/((shell + 1)*0.4e0)**2 - 1/nullif(shell*0.4e0, 0)**2)/(-2) END"""
@@ -538,10 +541,11 @@ def multipole_sql(group: str = "halo_id") -> str:
         4*pi()/(2*l + 1)/norm*CASE WHEN ir = 0 THEN CASE WHEN l = 0 THEN o ELSE 0 END ELSE i/r**(l + 1) + o*r**l END AS apot,
         4*pi()/(2*l + 1)/norm*CASE WHEN ir = 0 THEN 0 ELSE (l + 1)*i/r**(l + 2) - l*o*r**(l - 1) END AS fr
       FROM (SELECT n.*, s.rho, coalesce((SELECT sum(ri) FROM parts q WHERE q.{group} = n.{group} AND q.l = n.l AND q.shell < n.ir), 0) AS i,
-              coalesce((SELECT sum(ro) FROM parts q WHERE q.{group} = n.{group} AND q.l = n.l AND q.shell >= n.ir), 0) AS o
+              coalesce((SELECT sum(ro) FROM parts q WHERE q.{group} = n.{group} AND q.l = n.l AND q.shell >= n.ir), 0)
+                + coalesce((SELECT moment FROM beyond b WHERE b.{group} = n.{group} AND b.l = n.l), 0) AS o
             FROM (SELECT *, ir*0.4e0 AS r, sqrt((2*l + 1)/(4*pi())) AS norm FROM (SELECT DISTINCT {group}, l FROM parts) d,
                     (SELECT unnest(range(0, 61)) AS ir) ii) n
-            LEFT JOIN parts s ON s.{group} = n.{group} AND s.l = n.l AND s.shell = n.ir)""", f"""
+            LEFT JOIN parts s ON s.{group} = n.{group} AND s.l = n.l AND s.shell = n.ir)""", f"""{beyond}
       parts AS MATERIALIZED (SELECT {group}, l, shell, rho,
         rho*(((shell + 1)*0.4e0)**(l + 3) - (shell*0.4e0)**(l + 3))/(l + 3) AS ri, {outer} AS ro FROM {shells_sql(group=group)})"""
 
@@ -601,18 +605,20 @@ def _grid(spark, sf):
 
 REQUIRED = ("disk", "halo", "bulge", "gasdisk", "manifest")
 
+# every component that has particles, a gas disk where the model has gas on, and a manifest of the models that the other catalog has
+PRESENT_SQL = """(SELECT DISTINCT halo_id AS model_id, component AS name FROM p
+    UNION SELECT s_suppkey, 'gasdisk' FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT s_suppkey, 'manifest' FROM supplier WHERE s_suppkey % 6 <> 5)"""
+MISSING_SQL = f"""SELECT s_suppkey AS model_id, name FROM supplier, (SELECT unnest(['disk', 'halo', 'bulge', 'gasdisk', 'manifest']) AS name) n
+       WHERE (s_suppkey, name) NOT IN (SELECT (model_id, name) FROM {PRESENT_SQL} present)"""
 
-@query(
-    "missing_artifacts",
-    "model_id name",
-    """SELECT s_suppkey AS model_id, name FROM supplier, (SELECT unnest(['disk', 'halo', 'bulge', 'gasdisk', 'manifest']) AS name) n
-       WHERE NOT EXISTS (SELECT 1 FROM p WHERE halo_id = s_suppkey AND component = name AND mass > 0.049)""",
-)
+
+@query("missing_artifacts", "model_id name", MISSING_SQL)
 def missing_artifacts(spark, sf):
-    present = fx.particles(spark, sf).filter(F.col("mass") > 0.049).select(
-        F.col("halo_id").alias("model_id"), F.col("component").alias("name")
-    )
-    return quality.missing_artifacts(fx.catalog(spark, sf), present, REQUIRED)
+    c = fx.catalog(spark, sf)
+    present = fx.particles(spark, sf).select(F.col("halo_id").alias("model_id"), F.col("component").alias("name"))
+    gas = c.filter(F.col("gas.enabled")).select("model_id", F.lit("gasdisk").alias("name"))
+    manifests = _other_catalog(c).select("model_id", F.lit("manifest").alias("name"))
+    return quality.missing_artifacts(c, present.unionByName(gas).unionByName(manifests), REQUIRED)
 
 
 def _spoiled(spark, sf):
@@ -679,8 +685,7 @@ def report_sql() -> str:
     disk = """(SELECT model_id, d1_mass AS a, CASE WHEN model_id % 6 <> 5 THEN CASE WHEN model_id % 4 = 1 THEN 1 ELSE d1_mass END END AS b FROM models)"""
     spoiled = """(SELECT model_id, count(*) FILTER (model_id % 10 = 3 AND ir = 7) AS bad FROM coef GROUP BY model_id)"""
     k5 = "(SELECT model_id, omega_h, sqrt(greatest(0, d2psi_dr2 + 3*omega_h*omega_h)) AS kappa FROM knots WHERE i = 10)"
-    missing = """(SELECT s_suppkey AS model_id, (SELECT count(*) FROM (SELECT unnest(['disk', 'halo', 'bulge', 'gasdisk', 'manifest']) AS name) n
-        WHERE name NOT IN (SELECT component FROM p WHERE halo_id = s_suppkey AND mass > 0.049)) AS n FROM supplier)"""
+    missing = f"(SELECT s_suppkey AS model_id, count(name) AS n FROM supplier LEFT JOIN ({MISSING_SQL}) m ON m.model_id = s_suppkey GROUP BY 1)"
     scalars = "(SELECT s_suppkey AS model_id, s_suppkey % 50 - 1 AS rt, (s_suppkey % 40)/10.0 AS q FROM supplier)"
     rules = [
         rule("artifacts_present", "n = 0", "n", missing),

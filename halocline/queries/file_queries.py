@@ -55,6 +55,23 @@ def scan_particles(spark, sf):
     return rows.withColumn("component", F.regexp_extract("file", "component=([^/]+)/", 1))
 
 
+@query(
+    "scan_first_particles",
+    "halo_id:i mass x y z vx vy vz",
+    """SELECT halo_id, mass, x, y, z, vx, vy, vz FROM p
+       QUALIFY row_number() OVER (PARTITION BY halo_id ORDER BY vx, x, y, z, vy, vz, mass, particle_id) <= 100""",
+)
+def scan_first_particles(spark, sf):
+    path = scratch_path(spark, "ordered-particles")
+    order = ["vx", "x", "y", "z", "vy", "vz", "mass", "particle_id"]
+    # one file for each halo, in an order of its own
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = fx.particles(spark, sf).repartition(tasks, "halo_id").sortWithinPartitions("halo_id", *order)
+    lines.select("halo_id", _text(*[F.col(c) for c in text.PARTICLE_COLUMNS]).alias("value")).write.partitionBy("halo_id").text(path)
+    rows = text.scan_particles(spark, path, first=100)
+    return rows.withColumn("halo_id", F.regexp_extract("file", "halo_id=([^/]+)/", 1))
+
+
 @query(
     "load_components",
     "folder component mass x y z",

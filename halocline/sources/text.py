@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from halocline.operators.keys import lookup_join
+from halocline.operators.ordering import first_in_order
+from halocline.storage import materialise
 
 PARTICLE_COLUMNS = ("mass", "x", "y", "z", "vx", "vy", "vz")
 
@@ -67,17 +74,40 @@ def _leading_numbers(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     return out
 
 
-def scan_particles(spark: SparkSession, path: str | Sequence[str], component: str | None = None) -> DataFrame:
+SPLIT, LINE = "__split", "__line"
+
+
+def lines_in_place(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines ``value`` with their ``file``, the byte their split of it begins at, and a number that ascends in the split.
+
+    A split is read front to back by one task, and files are split like those of any Spark text source; (file, split, line) is the order of
+    lines in the file, however it is split.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias(SPLIT),
+        F.monotonically_increasing_id().alias(LINE),
+        "value",
+    )
+
+
+def scan_particles(
+    spark: SparkSession, path: str | Sequence[str], component: str | None = None, *, first: int | None = None
+) -> DataFrame:
     """Particle rows of text files or folders, with the file they came from.
 
     Text after ``#`` is cut, rows need at least seven numbers and use the first
     seven; short rows, and with them the two-number count header, are dropped.
-    Files split at line boundaries like any Spark text source.
+    ``first`` keeps that many particles of every file, those that come first in it.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), without_comment(F.col("value")).alias("line")
-    )
-    out = _leading_numbers(lines, PARTICLE_COLUMNS)
+    if first is None:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    else:
+        lines = lines_in_place(spark, path)
+    kept = [c for c in lines.columns if c != "value"]
+    out = _leading_numbers(lines.select(*kept, without_comment(F.col("value")).alias("line")), PARTICLE_COLUMNS)
+    if first is not None:
+        out = first_in_order(out, [SPLIT, LINE], F.lit(first), group_cols=["file"]).drop(SPLIT, LINE)
     return out if component is None else out.withColumn("component", F.lit(component))
 
 
@@ -126,17 +156,68 @@ def scan_rotation_curve(spark: SparkSession, path: str | Sequence[str]) -> DataF
     )
 
 
+GRID_COLUMNS = ("r", "z", "psi", "f_r", "f_z")
+# what a line is to the blocks of a file
+ROW, BLANK = 1, 0
+
+
+def _numbered_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks begun so far in each line's split, by rows that follow a blank line of it; ``open``: still the first block.
+
+    The first rows of a split may go on with the block that the split before ends in.
+    """
+    where, begun, last = None, 0, None  # last: the latest line that counts, a row or a blank
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        split = list(zip(batch.column("file").to_pylist(), batch.column(SPLIT).to_pylist()))
+        kinds = batch.column("kind").to_numpy()
+        blocks, opens = np.empty(n, np.int64), np.empty(n, bool)
+        for i, (here, kind) in enumerate(zip(split, kinds)):
+            if here != where:
+                where, begun, last = here, 0, None
+            if kind == ROW and last == BLANK:
+                begun += 1
+            last = kind
+            blocks[i], opens[i] = begun, begun == 0
+        extra = [pa.array(blocks), pa.array(opens)]
+        names = [*batch.schema.names, "block", "open"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
+
+
 def scan_potential_grid(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Rows ``(file, block, r, z, psi, f_r, f_z)`` of grids whose blocks are parted by blank lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    # a run of blank lines separates blocks; an empty leading or trailing block vanishes
-    text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\s*\n|\s+$", "")
-    block = F.posexplode(F.split(text, r"\n(?:[ \t]*\n)+")).alias("block", "text")
-    line = F.explode(F.split("text", r"\n")).alias("line")
-    rows = files.select("file", block).select("file", "block", line)
-    rows = rows.withColumn("v", numbers(F.col("line"))).filter(F.size("v") >= 5)
-    names = ("r", "z", "psi", "f_r", "f_z")
-    return rows.select("file", "block", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    """Rows ``(file, block, r, z, psi, f_r, f_z)`` of grids whose blocks are parted by blank lines.
+
+    Rows have at least five numbers; other lines neither count nor part blocks, and blank lines without rows
+    between them part blocks once.  A block may run over any number of splits: each split counts the blocks that begin in it, and a table with one
+    row for each split tells how many began before and whether its first rows go on with one of them.
+    """
+    lines = lines_in_place(spark, path)
+    blank = F.length(F.btrim("value", F.lit(" \t\r\n\f\x0b"))) == 0
+    lines = lines.withColumn("v", F.when(~blank, numbers(F.col("value")))).drop("value")
+    lines = lines.filter(F.col("v").isNull() | (F.size("v") >= len(GRID_COLUMNS)))
+    values = [F.get("v", F.lit(i)).alias(n) for i, n in enumerate(GRID_COLUMNS)]
+    lines = lines.select("file", SPLIT, LINE, F.when(F.col("v").isNull(), BLANK).otherwise(ROW).alias("kind"), *values)
+    schema = T.StructType([*lines.schema.fields, T.StructField("block", T.LongType()), T.StructField("open", T.BooleanType())])
+    stored = materialise(lines.mapInArrow(_numbered_blocks, schema), "grid-lines")
+
+    row = F.col("kind") == ROW
+    splits = stored.groupBy("file", SPLIT).agg(
+        F.max(F.when(row, F.col("block"))).alias("begun"),
+        F.max(F.when(row, F.col("open"))).alias("open"),
+        F.max_by("kind", LINE).alias("ends"),
+    )
+    # a file has as many rows here as it has splits
+    order = Window.partitionBy("file").orderBy(SPLIT)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # rows of a split that come before any blank line open a block unless the line before them, splits back, is a row
+    opens = F.coalesce(F.col("open"), F.lit(False)) & (F.coalesce(F.lag("ends").over(order), F.lit(BLANK)) == BLANK)
+    splits = splits.withColumn("opens", opens.cast("long"))
+    splits = splits.withColumn("began", F.coalesce(F.sum(F.coalesce("begun", F.lit(0)) + F.col("opens")).over(before), F.lit(0)))
+    rows = lookup_join(stored.filter(row), splits.select("file", SPLIT, "opens", "began"), ["file", SPLIT], null_safe=False)
+    block = F.col("began") + F.col("opens") + F.col("block") - 1
+    return rows.select("file", block.cast("int").alias("block"), *GRID_COLUMNS)
 
 
 # ---- sinks -------------------------------------------------------------------

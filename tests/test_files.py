@@ -1,10 +1,13 @@
 """Text sources and sinks, with malformed lines."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from halocline import storage
 from halocline.sources import harmonic_files, model_runs, text
+from halocline.sources import text as text_source
 
 
 def test_scan_particles_rules(spark, tmp_path):
@@ -44,6 +47,63 @@ def test_potential_grid_blocks(spark, tmp_path):
     assert out == [(0, 0.0, 0.0, 1.0), (0, 0.0, 1.0, 1.0), (1, 1.0, 0.0, 4.0)]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files come in splits of at most 96 bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "96")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _blocks_of(text):
+    """Blocks as one reader from front to back numbers them."""
+    blocks, current = [], []
+    for line in text.split("\n"):
+        if not line.strip():
+            if current:
+                blocks.append(current)
+                current = []
+        elif len(line.split()) >= 5:
+            current.append(float(line.split()[0]))
+    return [*blocks, current] if current else blocks
+
+
+def test_grid_blocks_over_many_splits(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    want = []
+    for f in range(4):
+        lines, k = [], 0
+        for _ in range(80):
+            kind = rng.random()
+            if kind < 0.6 or f == 3:
+                lines.append(f"{k} 1 2 3 {'4' * rng.randrange(1, 60)}.5{rng.choice(['', ' ', ' 6 7'])}")
+                k += 1
+            else:
+                lines += rng.choice([[""], [" \t"], ["", ""], ["short 1"], ["", "short 1", ""]])
+        text = "\n".join(lines)
+        (tmp_path / f"grid{f}").write_text(text)
+        want += [(f"grid{f}", b, r) for b, rows in enumerate(_blocks_of(text)) for r in rows]
+    out = text_source.scan_potential_grid(spark, str(tmp_path)).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.block, r.r) for r in out) == sorted(want)
+    assert text_source.lines_in_place(spark, str(tmp_path)).select("file", text_source.SPLIT).distinct().count() > 40
+
+
+def test_first_particles_in_file_order(spark, tmp_path, small_splits):
+    rng = random.Random(5)
+    for f, n in (("a", 90), ("b", 3), ("c", 0)):
+        rows = [f"{i} 1 2 3 4 5 {rng.randrange(10**6)}" for i in range(n)]
+        for _ in range(20):
+            rows.insert(rng.randrange(len(rows) + 1), rng.choice(["", "1 2 3", "# 1 2 3 4 5 6 7", "1 2 x 4 5 6 7"]))
+        (tmp_path / f).write_text("\n".join([f"{n} 1", *rows]))
+    for first in (7, 80):
+        out = text_source.scan_particles(spark, str(tmp_path), first=first).collect()
+        got = {f: sorted(r.mass for r in out if r.file.endswith(f"/{f}")) for f in "abc"}
+        assert got == {"a": list(range(first)), "b": list(range(min(first, 3))), "c": []}
+
+
 def _coefficients(nr=2, rows=None):
     head = ["# label", "# 100 3 12 4 2 0.5 0.5 %d 2" % nr, "9 0.5 0.25", "10 2.5 0.3 20 3", "1 2 3 4 5", "1 2 3 4 5 6 7 8", "0.5 4 0.125", "# 1 0 1 0 0 1", "#  OUTPUT FROM X"]
     block = ["%g %g %g" % (i * 0.5, i + 1, i + 2) for i in range(nr + 1)]

@@ -1,11 +1,10 @@
 """Natural cubic splines over many tables of any length.
 
 The second derivatives of one table solve a tridiagonal system.  It is cut into
-blocks of knots: inside a block the unknowns are expressed through the two knots
-that bound it, which leaves a small system over the bounding knots of each
-table, and a second visit to the blocks fills in the rest.  The answer is that of
-the undivided system, while no task sees more than one block or one row per
-block.
+blocks of rows: inside a block the unknowns are expressed through the two rows
+that bound it, which leaves a system over the bounding rows, shorter by the block length, that is cut up
+in turn until a table's rest fits in one block.  On the way back each level fills in its blocks.  The answer is that of
+the undivided system, while no row, task or group holds more than one block, however long a table is.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 
 from halocline.operators.keys import lookup_join
 from halocline.operators.ordering import as_of, neighbours, running_totals
+from halocline.storage import materialise
 
 BLOCK = 2048
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -39,17 +39,6 @@ def _tridiagonal(lower, diag, upper, rhs) -> np.ndarray:
     return r
 
 
-def _inner_solution(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Interior second derivatives of equally long blocks as p + q*left + w*right (last axis)."""
-    h = np.diff(x, axis=1)
-    slope = np.diff(y, axis=1) / h
-    rhs = np.zeros((x.shape[0], x.shape[1] - 2, 3))
-    rhs[:, :, 0] = 6.0 * np.diff(slope, axis=1)
-    rhs[:, 0, 1] = -h[:, 0]
-    rhs[:, -1, 2] = -h[:, -1]
-    return _tridiagonal(h[:, :-1], 2.0 * (h[:, :-1] + h[:, 1:]), h[:, 1:], rhs)
-
-
 def _by_length(arrays: pd.Series):
     """Positions of rows grouped by array length, so that each group stacks into a matrix."""
     lengths = arrays.map(len).to_numpy()
@@ -61,60 +50,124 @@ def _stack(arrays: pd.Series, rows: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=float) for a in arrays.iloc[rows]])
 
 
+def _inner_solution(bands: np.ndarray) -> np.ndarray:
+    """Interior unknowns of equally long blocks as p + q*first + w*last (last axis).
+
+    ``bands`` has (block, row, band): the factors of the row before, the row itself and the row after, and the right-hand side.
+    """
+    inner = bands[:, 1:-1]
+    rhs = np.zeros((*inner.shape[:2], 3))
+    rhs[:, :, 0] = inner[:, :, 3]
+    rhs[:, 0, 1] = -inner[:, 0, 0]
+    rhs[:, -1, 2] -= inner[:, -1, 2]
+    return _tridiagonal(inner[:, :, 0], inner[:, :, 1], inner[:, :, 2], rhs)
+
+
+def _stacked(bands: Sequence[pd.Series], rows: np.ndarray) -> np.ndarray:
+    return np.stack([_stack(b, rows) for b in bands], axis=2)
+
+
 @F.pandas_udf(DOUBLES)
-def _reduce_blocks(x: pd.Series, y: pd.Series) -> pd.Series:
-    """First and last interior rows (p, q, w each), end spacings and end slopes of every block."""
-    out = np.empty(len(x), dtype=object)
-    for n, rows in _by_length(x):
-        xs, ys = _stack(x, rows), _stack(y, rows)
-        h = np.diff(xs, axis=1)
-        slope = np.diff(ys, axis=1) / h
+def _reduce_blocks(lower: pd.Series, diag: pd.Series, upper: pd.Series, rhs: pd.Series) -> pd.Series:
+    """What a block adds to the rows that bound it: four bands for its first row, then four for its last.
+
+    A bounding row keeps its factors of unknowns that bound blocks; the interior neighbour is written through these.  Its own diagonal and
+    right-hand side come from the block that it opens (and from the last block for the end of a table, by the caller).
+    """
+    out = np.empty(len(lower), dtype=object)
+    for n, rows in _by_length(lower):
+        b = _stacked((lower, diag, upper, rhs), rows)
+        first, last = b[:, 0], b[:, -1]
         if n > 2:
-            inner = _inner_solution(xs, ys)
-            first, last = inner[:, 0], inner[:, -1]
-        else:  # the bounding knots touch: each is the other's neighbour
-            first, last = np.tile([0.0, 0.0, 1.0], (len(rows), 1)), np.tile([0.0, 1.0, 0.0], (len(rows), 1))
-        table = np.column_stack([first, last, h[:, 0], h[:, -1], slope[:, 0], slope[:, -1]])
+            inner = _inner_solution(b)
+            after, before = inner[:, 0], inner[:, -1]
+        else:  # the bounding rows touch: each is the other's neighbour
+            after, before = np.tile([0.0, 0.0, 1.0], (len(rows), 1)), np.tile([0.0, 1.0, 0.0], (len(rows), 1))
+        zero, up, low = np.zeros(len(rows)), first[:, 2], last[:, 0]
+        table = np.column_stack([
+            zero, first[:, 1] + up * after[:, 1], up * after[:, 2], first[:, 3] - up * after[:, 0],
+            low * before[:, 1], low * before[:, 2], zero, -low * before[:, 0],
+        ])
         for i, row in zip(rows, table):
             out[i] = row
     return pd.Series(out)
 
 
 @F.pandas_udf(DOUBLES)
-def _solve_bounds(blocks: pd.Series) -> pd.Series:
-    """Second derivatives at the bounding knots of each table; zero at both ends."""
-
-    def one(rows) -> np.ndarray:
-        b = np.stack([np.asarray(r, dtype=float) for r in rows])
-        m = np.zeros(len(b) + 1)
-        if len(b) > 1:
-            left, right = b[:-1], b[1:]
-            hl, hr = left[:, 7], right[:, 6]
-            diag = 2.0 * (hl + hr) + hl * left[:, 5] + hr * right[:, 1]
-            rhs = 6.0 * (right[:, 8] - left[:, 9]) - hl * left[:, 3] - hr * right[:, 0]
-            bands = (hl * left[:, 4], diag, hr * right[:, 2])
-            m[1:-1] = _tridiagonal(*[v[None] for v in bands], rhs[None, :, None])[0, :, 0]
-        return m
-
-    return blocks.map(one)
+def _solve_whole(lower: pd.Series, diag: pd.Series, upper: pd.Series, rhs: pd.Series) -> pd.Series:
+    """Unknowns of tables that are one block."""
+    out = np.empty(len(lower), dtype=object)
+    for _, rows in _by_length(lower):
+        b = _stacked((lower, diag, upper, rhs), rows)
+        for i, row in zip(rows, _tridiagonal(b[:, :, 0], b[:, :, 1], b[:, :, 2], b[:, :, 3:])[:, :, 0]):
+            out[i] = row
+    return pd.Series(out)
 
 
 @F.pandas_udf(DOUBLES)
-def _fill_blocks(x: pd.Series, y: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-    """Second derivatives of whole blocks from those of their bounding knots."""
-    out = np.empty(len(x), dtype=object)
-    for n, rows in _by_length(x):
+def _fill_blocks(lower: pd.Series, diag: pd.Series, upper: pd.Series, rhs: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    """Unknowns of whole blocks from those of the rows that bound them."""
+    out = np.empty(len(lower), dtype=object)
+    for n, rows in _by_length(lower):
         ends = np.column_stack([left.to_numpy()[rows], right.to_numpy()[rows]])
         m = np.empty((len(rows), n))
         m[:, 0], m[:, -1] = ends[:, 0], ends[:, 1]
         if n > 2:
-            inner = _inner_solution(_stack(x, rows), _stack(y, rows))
+            inner = _inner_solution(_stacked((lower, diag, upper, rhs), rows))
             m[:, 1:-1] = inner[:, :, 0] + inner[:, :, 1] * ends[:, :1] + inner[:, :, 2] * ends[:, 1:]
         for i, row in zip(rows, m):
             out[i] = row
     return pd.Series(out)
 
 
+BANDS = ("__lower", "__diag", "__upper", "__rhs")
+ROW, END = "__i", "__end"  # number of a row in its table, from 0; whether it is the last
+
+
+def _arrays(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per block, with its row numbers and bands as arrays; a block has a bounded number of rows."""
+    blocks = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(ROW, *BANDS))).alias("__k"), F.max(END).alias(END))
+    return blocks.select(*by, END, *[F.col(f"__k.{c}").alias(c) for c in (ROW, *BANDS)])
+
+
+def solve_tridiagonal(rows: DataFrame, g: Sequence[str], *, longest: int, block: int = BLOCK) -> DataFrame:
+    """(groups, row number, ``__m``): the unknowns of one tridiagonal system per group.
+
+    ``rows`` has the number, the end mark and the bands of each row; the first and the last row of a table name their unknowns
+    by themselves (no neighbours).  ``longest`` is the number of rows of the longest table, which decides the number of levels.
+    """
+    if longest <= block + 1:
+        whole = _arrays(rows, g)
+        solved = whole.select(*g, F.explode(F.arrays_zip(F.col(ROW), _solve_whole(*BANDS).alias("__m"))).alias("__z"))
+        return solved.select(*g, F.col(f"__z.{ROW}").alias(ROW), F.col("__z.__m").alias("__m"))
+    # a bounding row, with a multiple of the block length as number, closes one block and opens the next
+    at = F.floor(F.col(ROW) / block).cast("bigint")
+    bounds = (F.col(ROW) % block == 0) & (F.col(ROW) > 0)
+    member = F.when(bounds & F.col(END), F.array(at - 1)).when(bounds, F.array(at - 1, at)).otherwise(F.array(at))
+    blocks = materialise(_arrays(rows.withColumn("__block", F.explode(member)), [*g, "__block"]), "tridiagonal-blocks")
+
+    # the system over the bounding rows: what the blocks on either side leave of them
+    c = F.col("__c")
+    part = lambda k, end, own: F.struct(
+        (F.col("__block") + k).alias(ROW), end.alias(END), *[(c[4 * k + i] + own[i] if own else c[4 * k + i]).alias(n) for i, n in enumerate(BANDS)]
+    )
+    last = [F.when(F.col(END), F.element_at(n, -1)).otherwise(0.0) if n in ("__diag", "__rhs") else F.lit(0.0) for n in BANDS]
+    reduced = blocks.withColumn("__c", _reduce_blocks(*BANDS))
+    halves = reduced.select(*g, F.inline(F.array(part(0, F.lit(False), None), part(1, F.col(END), last))))
+    smaller = halves.groupBy(*g, ROW).agg(F.max(END).alias(END), *[F.sum(n).alias(n) for n in BANDS])
+    solved = solve_tridiagonal(smaller, g, longest=-(-(longest - 1) // block) + 1, block=block)
+    solved = materialise(solved, "tridiagonal-bounds")
+
+    left = solved.select(*g, F.col(ROW).alias("__block"), F.col("__m").alias("__left"))
+    right = solved.select(*g, (F.col(ROW) - 1).alias("__block"), F.col("__m").alias("__right"))
+    filled = lookup_join(lookup_join(blocks, left, [*g, "__block"]), right, [*g, "__block"])
+    filled = filled.withColumn("__m", _fill_blocks(*BANDS, "__left", "__right"))
+    each = filled.select(*g, "__block", END, F.size("__m").alias("__n"), F.posexplode(F.arrays_zip(ROW, "__m")).alias("__pos", "__z"))
+    # the closing row of a block is reported by the block it opens
+    each = each.filter((F.col("__pos") < F.col("__n") - 1) | F.col(END))
+    return each.select(*g, F.col(f"__z.{ROW}").alias(ROW), F.col("__z.__m").alias("__m"))
+
+
 def spline_coefficients(
     knots: DataFrame,
     *,
@@ -130,42 +183,34 @@ def spline_coefficients(
     rows holding arrays of at most ``block`` + 1 knots, solved many at a time in
     numpy; grouping and carrying values between blocks is Spark's.
     """
+    if block < 2:
+        raise ValueError("a block needs two rows or more")
     g = list(group_cols)
     slim = knots.select(*g, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = running_totals(slim, ["__x"], {"__i": F.lit(1).cast("bigint")}, group_cols=g, **exchange)
-    ranked = ranked.withColumn("__i", F.col("__i") - 1)
-    sizes = slim.groupBy(*g).agg((F.count(F.lit(1)) - 1).alias("__end"))
-    too_short = F.raise_error(F.lit("need at least two points for a spline")).cast("bigint")
-    sizes = sizes.withColumn("__end", F.when(F.col("__end") < 1, too_short).otherwise(F.col("__end")))
-    last = F.floor((F.col("__end") - 1) / block).cast("bigint")
-    rows = lookup_join(ranked, sizes.select(*g, last.alias("__last")), g)
-    # a bounding knot (index a multiple of the block length) closes one block and opens the next
-    at = F.floor(F.col("__i") / block).cast("bigint")
-    shared = (F.col("__i") % block == 0) & (F.col("__i") > 0) & (at <= F.col("__last"))
-    member = F.when(shared, F.array(at - 1, at)).otherwise(F.array(F.least(at, F.col("__last"))))
-    rows = rows.withColumn("__block", F.explode(member))
-    blocks = rows.groupBy(*g, "__block", "__last").agg(
-        F.sort_array(F.collect_list(F.struct("__i", "__x", "__y"))).alias("__k")
-    )
-    blocks = blocks.withColumns(
-        {"__xs": F.transform("__k", lambda k: k["__x"]), "__ys": F.transform("__k", lambda k: k["__y"])}
-    )
-    reduced = blocks.select(*g, "__block", _reduce_blocks("__xs", "__ys").alias("__c"))
-    # one row per block of a table: at most (knots / block) of them
-    tables = reduced.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("__block", "__c"))).alias("__b"))
-    solved = tables.select(*g, _solve_bounds(F.transform("__b", lambda b: b["__c"])).alias("__m"))
-    ends = solved.select(*g, F.posexplode(F.transform(F.slice("__m", F.lit(1), F.size("__m") - 1), lambda v, i: F.struct(v.alias("l"), F.get(F.col("__m"), i + 1).alias("r")))).alias("__block", "__lr"))
-    ends = ends.select(*g, F.col("__block").cast("bigint").alias("__block"), "__lr.l", "__lr.r")
-    ends = ends.withColumnsRenamed({"l": "__left", "r": "__right"})
-    filled = lookup_join(blocks, ends, [*g, "__block"], hot=[])
-    filled = filled.withColumn("__ms", _fill_blocks("__xs", "__ys", "__left", "__right"))
-    each = filled.select(*g, "__block", "__last", F.size("__k").alias("__n"), F.posexplode(F.arrays_zip("__k", "__ms")).alias("__pos", "__z"))
-    # the closing knot of a block is reported by the block it opens
-    each = each.filter((F.col("__pos") < F.col("__n") - 1) | (F.col("__block") == F.col("__last")))
-    k = F.col("__z.__k")
-    return each.select(
-        *g, k["__i"].alias("knot"), k["__x"].alias(x), k["__y"].alias(y), F.col("__z.__ms").alias("y2")
+    numbered = running_totals(slim, ["__x"], {ROW: F.lit(1).cast("bigint")}, group_cols=g, **exchange)
+    near = neighbours(numbered, ["__x"], ["__x", "__y"], group_cols=g, **exchange)
+    p, n = F.col("prev"), F.col("next")
+    here = F.concat_ws(", ", *[F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in g])
+    alone = F.raise_error(F.concat(F.lit(f"a natural spline of {y} needs at least two points, of {x}; there is one where "), here))
+    before, after = F.col("__x") - p["__x"], n["__x"] - F.col("__x")
+    bend = ((n["__y"] - F.col("__y")) / after - (F.col("__y") - p["__y"]) / before) * 6.0
+    inside = p.isNotNull() & n.isNotNull()
+    rows = near.select(
+        *g,
+        (F.col(ROW) - 1).alias(ROW),
+        F.when(p.isNull() & n.isNull(), alone.cast("boolean")).otherwise(n.isNull()).alias(END),
+        F.when(inside, before).otherwise(0.0).alias("__lower"),
+        F.when(inside, (before + after) * 2.0).otherwise(1.0).alias("__diag"),
+        F.when(inside, after).otherwise(0.0).alias("__upper"),
+        F.when(inside, bend).otherwise(0.0).alias("__rhs"),
+        "__x",
+        "__y",
     )
+    rows = materialise(rows, "spline-rows")
+    longest = (rows.agg(F.max(ROW)).first()[0] or 0) + 1
+    solved = solve_tridiagonal(rows.drop("__x", "__y"), g, longest=longest, block=block)
+    out = lookup_join(rows.select(*g, ROW, "__x", "__y"), solved, [*g, ROW])
+    return out.select(*g, F.col(ROW).alias("knot"), F.col("__x").alias(x), F.col("__y").alias(y), F.col("__m").alias("y2"))
 
 
 def _cubic(t: Column, at: Column) -> Column:

@@ -85,19 +85,20 @@ def argmax_table(spark, sf):
 
 
 # for equal spacing the inverse of the (1, 4, 1) matrix is known in closed form
-_TOEPLITZ = """(CASE WHEN (a.i + b.i) % 2 = 0 THEN 1 ELSE -1 END)*sinh(least(a.i, b.i)*t)*sinh((50 - greatest(a.i, b.i))*t)/(sinh(t)*sinh(50*t))"""
+_RATE = "ln(2 + sqrt(3e0))"
+_TOEPLITZ = f"(CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END)*sinh(least(i, j)*{_RATE})*sinh((50 - greatest(i, j))*{_RATE})/(sinh({_RATE})*sinh(50*{_RATE}))"
 
 
+# one row holds a table's bends, so that there is no pair of knots to join
 @query(
     "spline_coefficients",
     "model_id knot:i R:6 wave:6 y2:6",
     f"""WITH d AS (SELECT model_id, i, 6*(lead(wave) OVER w - 2*wave + lag(wave) OVER w)/0.25e0 AS bend
                   FROM knots WINDOW w AS (PARTITION BY model_id ORDER BY i)),
-        m AS (SELECT a.model_id, a.i, sum(b.bend*{_TOEPLITZ}) AS y2
-              FROM knots a JOIN d b ON b.model_id = a.model_id, (SELECT ln(2 + sqrt(3)) AS t) c
-              WHERE a.i BETWEEN 1 AND 49 AND b.i BETWEEN 1 AND 49 GROUP BY a.model_id, a.i)
-        SELECT k.model_id, k.i AS knot, k.R, k.wave, coalesce(y2, 0) AS y2
-        FROM knots k LEFT JOIN m ON m.model_id = k.model_id AND m.i = k.i""",
+        b AS (SELECT model_id, list(bend ORDER BY i) AS bends FROM d WHERE i BETWEEN 1 AND 49 GROUP BY model_id)
+        SELECT model_id, i AS knot, R, wave,
+          CASE WHEN i BETWEEN 1 AND 49 THEN list_sum([bends[j]*{_TOEPLITZ} for j in range(1, 50)]) ELSE 0 END AS y2
+        FROM knots JOIN b USING (model_id)""",
     uses="knots",
 )
 def spline_coefficients(spark, sf):

@@ -236,6 +236,42 @@ def test_spline_blocks_solve_the_whole_system(spark, block):
     assert np.allclose(line, y[0] + (y[1] - y[0]) / (x[1] - x[0]) * (np.array([-5.0, 500.0]) - x[0]))
 
 
+def test_a_long_spline_in_short_blocks(spark):
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=8).select(
+        F.lit("t").alias("table_id"), (F.col("id") + (F.col("id") * 7919 % 1000) / 2500.0).alias("x"), F.sin(F.col("id") / 3.0).alias("y")
+    )
+    got = splines.spline_coefficients(rows, block=20).orderBy("knot").toPandas()
+    x, y = got["x"].to_numpy(), got["y"].to_numpy()
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    diag, rhs = np.ones(n), np.zeros(n)
+    lower, upper = np.zeros(n), np.zeros(n)
+    diag[1:-1], rhs[1:-1], lower[1:-1], upper[1:-1] = 2 * (h[1:] + h[:-1]), 6 * np.diff(slope), h[:-1], h[1:]
+    for k in range(1, n):  # the undivided system, by elimination from one end to the other
+        w = lower[k] / diag[k - 1]
+        diag[k] -= w * upper[k - 1]
+        rhs[k] -= w * rhs[k - 1]
+    rhs[-1] /= diag[-1]
+    for k in range(n - 2, -1, -1):
+        rhs[k] = (rhs[k] - upper[k] * rhs[k + 1]) / diag[k]
+    assert got["knot"].tolist() == list(range(n)) and np.abs(got["y2"] - rhs).max() < 1e-11
+
+
+def test_no_group_of_a_spline_holds_a_table(spark, monkeypatch):
+    sizes = []
+    arrays = splines._arrays
+
+    def seen(rows, by):
+        out = arrays(rows, by)
+        sizes.append(out.select(F.max(F.size(splines.ROW))).first()[0])
+        return out
+
+    monkeypatch.setattr(splines, "_arrays", seen)
+    knots = spark.range(1000).select(F.lit(1).alias("table_id"), F.col("id").cast("double").alias("x"), F.rand(3).alias("y"))
+    assert splines.spline_coefficients(knots, block=4).count() == 1000
+    assert len(sizes) == 5 and max(sizes) == 5
+
+
 def test_spline_needs_two_knots(spark):
     one = spark.createDataFrame([("t", 1.0, 2.0)], "table_id string, x double, y double")
     with pytest.raises(Exception, match="at least two points"):

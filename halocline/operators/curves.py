@@ -152,7 +152,8 @@ def argmax_table(
 ) -> DataFrame:
     """Place and value of the maximum, moved to the top of the parabola through its neighbours.
 
-    Samples are equally spaced; at an end the sample itself is returned.
+    Samples may be spaced unevenly; at an end the sample itself is returned.  See :func:`spline_maximum` for the top
+    of the smooth curve through all samples and :func:`maximize` for that of a function.
     """
     g = list(group_cols)
     best = table.groupBy(*g).agg(
@@ -160,13 +161,73 @@ def argmax_table(
     )
     near = attach(table.select(*g, i, x, y), best, g).filter(F.abs(F.col(i) - F.col("__best")) <= 1)
     at = lambda d, c: F.max(F.when(F.col(i) - F.col("__best") == d, F.col(c)))
-    tip = near.groupBy(*g).agg(
-        at(0, x).alias("__x0"), at(1, x).alias("__x1"),
-        at(-1, y).alias("__ym"), at(0, y).alias("__y0"), at(1, y).alias("__yp"),
+    samples = [(f"__{c}{n}", at(d, col)) for c, col in (("x", x), ("y", y)) for d, n in ((-1, "m"), (0, "0"), (1, "p"))]
+    tip = near.groupBy(*g).agg(*[v.alias(n) for n, v in samples])
+    before, after = F.col("__x0") - F.col("__xm"), F.col("__xp") - F.col("__x0")
+    rise, fall = (F.col("__y0") - F.col("__ym")) / before, (F.col("__yp") - F.col("__y0")) / after
+    slope, bend = (rise * after + fall * before) / (before + after), (fall - rise) / (before + after)
+    shift = F.coalesce(F.try_divide(slope * -0.5, bend), F.lit(0.0))
+    top = F.coalesce(F.col("__y0") + slope * shift * 0.5, F.col("__y0"))
+    return tip.select(*g, (F.col("__x0") + shift).alias("x_max"), top.alias("y_max"))
+
+
+def spline_maximum(
+    knots: DataFrame, *, x: str = "x", y: str = "y", y2: str = "y2", group_cols: Sequence[str] = ("table_id",), **exchange
+) -> DataFrame:
+    """Place and value of the highest point of each spline, between its first and last knot.
+
+    On an interval the slope is a quadratic, whose roots are tried beside the knots; so the answer is exact however the knots are
+    spaced.  Of equal tops the first counts.
+    """
+    g = list(group_cols)
+    near = neighbours(knots.select(*g, x, y, y2), [x], [x, y, y2], group_cols=g, **exchange)
+    n = F.col("next")
+    rows = near.select(
+        *g,
+        F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(y2).alias("__m"),
+        (n[x] - F.col(x)).alias("__h"), n[y].alias("__y1"), n[y2].alias("__m1"),
     )
-    ym, y0, yp = F.col("__ym"), F.col("__y0"), F.col("__yp")
-    bend = ym - y0 * 2.0 + yp
-    shift = F.coalesce(F.try_divide((ym - yp) * 0.5, bend), F.lit(0.0))
-    step = F.coalesce(F.col("__x1") - F.col("__x0"), F.lit(0.0))
-    top = F.coalesce(y0 - (ym - yp) * shift * 0.25, y0)
-    return tip.select(*g, (F.col("__x0") + shift * step).alias("x_max"), top.alias("y_max"))
+    sixth = F.col("__h") * F.col("__h") / 6.0
+    # slope over the interval, by the share t of it: a t^2 + b t + c
+    a = sixth * (F.col("__m1") - F.col("__m")) * 3.0
+    b = sixth * F.col("__m") * 6.0
+    c = F.col("__y1") - F.col("__y") - sixth * (F.col("__m") * 2.0 + F.col("__m1"))
+    rows = rows.withColumns({"__a": a, "__b": b, "__c": c, "__p": sixth})
+    root = F.sqrt(F.greatest(F.col("__b") * F.col("__b") - F.col("__a") * F.col("__c") * 4.0, F.lit(0.0)))
+    rows = rows.withColumn("__q", (F.col("__b") + F.when(F.col("__b") < 0, -root).otherwise(root)) * -0.5)
+    inside = lambda t: F.when((t > 0) & (t < 1), t)
+    tried = F.array(F.lit(0.0), inside(F.try_divide(F.col("__q"), F.col("__a"))), inside(F.try_divide(F.col("__c"), F.col("__q"))))
+    rows = rows.withColumn("__t", F.explode(F.array_compact(tried)))
+    t = F.col("__t")
+    u = F.lit(1.0) - t
+    value = u * F.col("__y") + t * F.col("__y1") + ((u * u * u - u) * F.col("__m") + (t * t * t - t) * F.col("__m1")) * F.col("__p")
+    # the last knot opens no interval
+    rows = rows.select(*g, (F.col("__x") + F.coalesce(t * F.col("__h"), F.lit(0.0))).alias("__at"), F.when(t == 0, F.col("__y")).otherwise(value).alias("__v"))
+    best = rows.groupBy(*g).agg(F.max(F.struct("__v", (-F.col("__at")).alias("__first"))).alias("__best"))
+    return best.select(*g, (-F.col("__best")["__first"]).alias("x_max"), F.col("__best")["__v"].alias("y_max"))
+
+
+def maximize(
+    bounds: DataFrame, func: Callable[[Column], Column], *, xtol: float = 1e-6, n: int = 32, lo: str = "a", hi: str = "b"
+) -> DataFrame:
+    """``x_max`` and ``y_max`` of a function with one maximum between each row's bounds, to within ``xtol``.
+
+    ``func`` may use the other columns of ``bounds``.  A row brackets its maximum between the neighbours of the best of n + 1 samples, again and
+    again, until the widest bracket is below ``xtol``: nothing is shuffled.  Equal bounds give that point; null or reversed bounds give nulls.
+    """
+    width = bounds.agg(F.max(F.col(hi) - F.col(lo))).first()[0]
+    rounds = 1
+    while width is not None and width * (2.0 / n) ** rounds > xtol and rounds < 60:
+        rounds += 1
+    sound = F.col(lo) <= F.col(hi)
+    rows = bounds.withColumns({"__lo": F.when(sound, F.col(lo).cast("double")), "__hi": F.when(sound, F.col(hi).cast("double"))})
+    for _ in range(rounds):
+        step = (F.col("__hi") - F.col("__lo")) / n
+        rows = rows.withColumn("__step", step)
+        # the value first, then the smallest place
+        sample = lambda k: F.struct(func(F.col("__lo") + F.col("__step") * k).alias("v"), (-k).alias("k"))
+        rows = rows.withColumn("__best", F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n)), sample)))
+        at = F.col("__lo") - F.col("__best")["k"] * F.col("__step")
+        rows = rows.withColumns({"__x": at, "__y": F.col("__best")["v"]})
+        rows = rows.withColumns({"__lo": F.greatest(F.col("__lo"), F.col("__x") - F.col("__step")), "__hi": F.least(F.col("__hi"), F.col("__x") + F.col("__step"))})
+    return rows.withColumns({"x_max": F.col("__x"), "y_max": F.when(F.col("__x").isNotNull(), F.col("__y"))}).drop("__lo", "__hi", "__step", "__best", "__x", "__y")

@@ -107,6 +107,37 @@ def spline_coefficients(spark, sf):
     return splines.spline_coefficients(fx.knots(spark, sf), x="R", y="wave", group_cols=["model_id"], block=20)
 
 
+# the same cubics in powers of the share of the interval; the slope's roots from the textbook formula
+@query(
+    "spline_maximum",
+    "model_id x_max:6 y_max:6",
+    f"""WITH d AS (SELECT model_id, i, 6*(lead(wave) OVER w - 2*wave + lag(wave) OVER w)/0.25e0 AS bend
+                  FROM knots WINDOW w AS (PARTITION BY model_id ORDER BY i)),
+        b AS (SELECT model_id, list(bend ORDER BY i) AS bends FROM d WHERE i BETWEEN 1 AND 49 GROUP BY model_id),
+        k AS (SELECT model_id, i, R, wave AS y, CASE WHEN i BETWEEN 1 AND 49 THEN list_sum([bends[j]*{_TOEPLITZ} for j in range(1, 50)]) ELSE 0 END AS m FROM knots JOIN b USING (model_id)),
+        s AS (SELECT *, (m1 - m)*0.25e0/6 AS c3, m*0.25e0/2 AS c2, y1 - y - c3 - c2 AS c1, sqrt(greatest(0, c2*c2 - 3*c1*c3)) AS root
+              FROM (SELECT *, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM k WINDOW w AS (PARTITION BY model_id ORDER BY i))),
+        t AS (SELECT model_id, R, y, c1, c2, c3, unnest([0e0, (-c2 - root)/(3*c3), (-c2 + root)/(3*c3)]) AS t FROM s),
+        v AS (SELECT model_id, R + coalesce(t*0.5e0, 0) AS x, CASE WHEN t = 0 THEN y ELSE y + t*(c1 + t*(c2 + t*c3)) END AS y FROM t WHERE t >= 0 AND t < 1)
+        SELECT model_id, arg_max(x, (y, -x)) AS x_max, max(y) AS y_max FROM v GROUP BY model_id""",
+    uses="knots",
+)
+def spline_maximum(spark, sf):
+    return curves.spline_maximum(spline_coefficients(spark, sf), x="R", y="wave", group_cols=["model_id"])
+
+
+# a curve R exp(-R/a) is highest at a, or at the bound nearest to it
+@query(
+    "bounded_maximum",
+    "model_id x_max:5 y_max:6",
+    "SELECT model_id, x AS x_max, x*exp(-x/h_a) AS y_max FROM (SELECT model_id, h_a, least(greatest(h_a, 10), 30) AS x FROM models)",
+    uses="models",
+)
+def bounded_maximum(spark, sf):
+    bounds = fx.catalog(spark, sf).select("model_id", F.col("halo.a").alias("s"), F.lit(10.0).alias("a"), F.lit(30.0).alias("b"))
+    return curves.maximize(bounds, lambda r: r * F.exp(-r / F.col("s")), xtol=1e-8)
+
+
 @query(
     "spline_lookup",
     "particle_id mass model_id R:6 value:6",

@@ -236,6 +236,38 @@ def test_spline_blocks_solve_the_whole_system(spark, block):
     assert np.allclose(line, y[0] + (y[1] - y[0]) / (x[1] - x[0]) * (np.array([-5.0, 500.0]) - x[0]))
 
 
+def test_spline_maximum_against_dense_sampling(spark):
+    rng = np.random.default_rng(11)
+    tables = {}
+    for t in range(8):
+        x = np.sort(rng.choice(400, rng.integers(2, 30), replace=False)) / 20.0
+        tables[t] = (x, rng.normal(size=len(x)))
+    tables[90], tables[91] = (np.array([0.0, 1.0, 3.0]), np.zeros(3)), (np.array([0.0, 2.0]), np.array([1.0, 5.0]))
+    knots = spark.createDataFrame([(t, float(a), float(b)) for t, (x, y) in tables.items() for a, b in zip(x, y)], "table_id int, x double, y double")
+    coef = splines.spline_coefficients(knots)
+    best = {r.table_id: r for r in curves.spline_maximum(coef).collect()}
+    dense = [(t, float(q)) for t, (x, _) in tables.items() for q in np.unique(np.concatenate([np.linspace(x[0], x[-1], 4001), np.linspace(max(x[0], best[t].x_max - 1e-3), min(x[-1], best[t].x_max + 1e-3), 2001)]))]
+    seen = splines.spline_lookup(spark.createDataFrame(dense, "table_id int, q double"), coef, at="q").toPandas()
+    for t, r in best.items():
+        mine = seen[seen.table_id == t]
+        top = mine.loc[mine["value"].idxmax()]
+        assert r.y_max >= top["value"] - 1e-12 and r.y_max - top["value"] < 1e-9
+        if t != 90:
+            assert abs(r.x_max - top["q"]) <= 1.01e-6
+    assert (best[90].x_max, best[90].y_max, best[91].x_max) == (0.0, 0.0, 2.0)
+
+
+def test_maximize_to_a_tolerance(spark):
+    rows = [(1, 0.0, 10.0, 3.3), (2, -5.0, 5.0, 9.0), (3, 2.0, 2.0, 1.0), (4, None, 1.0, 1.0), (5, 3.0, 1.0, 1.0), (6, 0.0, 1e6, 12345.678)]
+    b = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    for xtol in (1e-3, 1e-6):
+        got = {r.k: r for r in curves.maximize(b, lambda x: -F.pow(x - F.col("c"), F.lit(2.0)), xtol=xtol).collect()}
+        for k, want in ((1, 3.3), (2, 5.0), (3, 2.0), (6, 12345.678)):
+            assert abs(got[k].x_max - want) <= xtol
+        assert got[4].x_max is None and got[4].y_max is None and got[5].x_max is None
+    assert curves.maximize(b.limit(0), lambda x: x).count() == 0
+
+
 def test_a_long_spline_in_short_blocks(spark):
     n = 1_000_000
     rows = spark.range(n, numPartitions=8).select(
@@ -302,6 +334,10 @@ def test_finite_difference_simpson_argmax(spark):
     top = curves.tabulate(b, lambda x: -(x - 0.73) * (x - 0.73) + 2.0, n=10)
     best = {r.f: (r.x_max, r.y_max) for r in curves.argmax_table(top, group_cols=["f"]).collect()}
     assert best["c"] == pytest.approx((0.73, 2.0)) and best["d"][0] == 1.0
+    # uneven samples of a parabola give its top as well
+    uneven = spark.createDataFrame([("u", i, x, 5.0 - 2.0 * (x - 1.37) ** 2) for i, x in enumerate([0.0, 0.2, 1.0, 1.9, 2.0, 7.0])], "f string, i int, x double, y double")
+    r = curves.argmax_table(uneven, group_cols=["f"]).first()
+    assert (r.x_max, r.y_max) == (pytest.approx(1.37), pytest.approx(5.0))
     slope = curves.finite_difference(top, x="x", y="y", group_cols=["f"], partitions=6).filter("f = 'd'").orderBy("x").toPandas()
     inner = slope.iloc[1:-1]
     assert np.allclose(inner["dydx"], -2 * (inner["x"] - 0.73)) and slope["dydx"].isna().sum() == 2

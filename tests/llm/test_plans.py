@@ -33,7 +33,8 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, documents):
             want.add((i, item[0]))
         rows.append((i, text, None, None))
     rows += [(100, None, None, None), (101, "", None, None), (102, items[3][1].split(". ")[0], None, None), (103, items[5][1] * 400, None, None)]
-    want.add((103, 5))
+    # document 102 holds an item's whole question, 65 % of the item word for word
+    want |= {(102, 3), (103, 5)}
     bench = spark.createDataFrame(items + [(None, "x y"), (77, None), (78, "!")], ITEM)
     got = dc.find_leaks(documents(rows), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
@@ -53,47 +54,88 @@ def test_an_item_without_its_last_sentence_is_a_leak(spark, documents):
     assert [r.doc_id for r in dc.drop_contaminated(documents(rows), bench).collect()] == [100]
 
 
-def test_pruned_retrieval_matches_scoring_all_items():
+@pytest.mark.parametrize("keep", [lambda w, k: w[:k], lambda w, k: w[-k:], lambda w, k: w[(len(w) - k) // 2 :][:k]])
+def test_an_item_cut_to_half_is_a_leak(keep):
+    rng = random.Random(17)
+    items = benchmark_items(200)
+    index = dc.build_index(items)
+    filler = lambda n: ["w%d" % rng.randrange(3000) for _ in range(n)]
+    texts = [filler(rng.randrange(200)) + keep(w, -(-len(w) // 2)) + filler(rng.randrange(200)) for _, t in items for w in [dc.tokens(t)]]
+    clean = [filler(400) for _ in range(200)]
+    got = {(t, i) for t, i, *_ in dc.contaminations(index, texts + clean)}
+    assert got == {(t, i) for t, (i, _) in enumerate(items)}
+
+
+def test_longest_run():
+    item = "a b c d e f g h i j".split()
+    assert dc.longest_run(item, "x a b c d e f y c d e f g h i j z".split()) == 8
+    assert dc.longest_run(item, "a b c d x e f g h".split()) == 0
+    assert dc.longest_run(["a"] * 12, ["a"] * 9 + ["b"] + ["a"] * 30) == 12
+    assert dc.longest_run(["x", "y"], ["x", "y"]) == 2
+
+
+def dense(index):
+    """Impacts as a table of terms and items."""
+    out = np.zeros((len(index.terms), index.n_blocks * dc.ITEMS_PER_BLOCK))
+    for t in range(len(index.terms)):
+        for e in range(index.starts[t], index.starts[t + 1]):
+            for p in range(index.postings[e], index.postings[e + 1]):
+                out[t, index.blocks[e] * dc.ITEMS_PER_BLOCK + index.slots[p]] = index.impacts[p]
+                assert index.impacts[p] <= index.maxima[e] <= index.upper[t]
+    return out
+
+
+@pytest.mark.parametrize("deferred", [0.0, 0.25, 0.9])
+def test_pruned_retrieval_matches_scoring_all_items(monkeypatch, deferred):
+    monkeypatch.setattr(dc, "DEFERRED", deferred)
     rng = random.Random(2)
     items = benchmark_items(50)
     index = dc.build_index(items)
-    texts = [dc.tokens(" ".join(rng.sample(" ".join(t for _, t in rng.sample(items, 3)).split(), 40))) for _ in range(60)] + [[], ["nothing"]]
+    assert (np.diff(index.upper) >= 0).all()
+    texts = [dc.tokens(" ".join(rng.sample(" ".join(t for _, t in rng.sample(items, 3)).split(), 40))) for _ in range(60)] + [[], ["nothing"], ["the"] * 3000]
     got = {(t, j): s for t, j, s in dc.retrieve(index, texts)}
-    step, want = index.passage // 2, {}
+    table, step, want = dense(index), index.passage // 2, {}
     for t, words in enumerate(texts):
         for low in range(-step, len(words), step):
             terms = {index.terms[w] for w in words[max(0, low) : low + 2 * step] if w in index.terms}
-            scores = index.impacts[sorted(terms)].sum(axis=0, dtype=np.float64)
+            scores = table[sorted(terms)].sum(axis=0)
             for j in np.flatnonzero(scores >= 1):
                 want[t, int(j)] = max(want.get((t, int(j)), 0), scores[j])
     assert got.keys() == want.keys() and len(want) > 20
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_indexes_are_of_bounded_size(spark, documents, monkeypatch):
-    items = benchmark_items()
-    for cells in (1, 5_000, 1 << 25):
-        pieces = list(dc.parted(items, cells))
-        assert [i for p in pieces for i in p] == items
-        for p in pieces:
-            terms = len({w for _, t in p for w in dc.tokens(t)})
-            assert len(p) <= dc.ITEMS_PER_BLOCK or terms * len(p) <= cells
-    monkeypatch.setattr(dc.parted, "__defaults__", (5_000,))
-    bench = spark.createDataFrame(items, ITEM)
-    assert len(list(dc.indexes(bench))) > 1
-    got = dc.find_leaks(documents([t for _, t in items] + ["w1 w2 w3"]), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
-
-
-def test_many_indexes_and_empty_tables(spark, documents, monkeypatch):
-    monkeypatch.setattr(dc, "ITEMS_PER_INDEX", 8)
+def test_partitions_of_the_index_change_nothing(spark, documents, monkeypatch):
+    items = benchmark_items(60)
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(t.split(), 6) + t.split()[: 4 + i % 20] + ["w%d" % rng.randrange(3000) for _ in range(90)]) for i, (_, t) in enumerate(items)]
+    bench, docs = spark.createDataFrame([*items, items[3], (None, "x y"), (77, None), (78, "!")], ITEM), documents(texts + ["w1 w2 w3", None, ""])
+    whole = dc.write_index
+    want = sorted(map(tuple, dc.find_leaks(docs, bench).collect()))
+    kept = sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect())
+    assert len(want) > 20 and len(whole(bench)) == 1
+    sizes = []
+    for words, held in ((300, 256 << 20), (300, 0), (1, 0)):
+        monkeypatch.setattr(dc, "write_index", lambda b, w=words: sizes.append(whole(b, w)) or sizes[-1])
+        monkeypatch.setattr(dc, "HELD_BYTES", held)
+        got = sorted(map(tuple, dc.find_leaks(docs, bench).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-12)
+        assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect()) == kept
+    assert 5 <= len(sizes[0]) < 40 and len(sizes[-1]) > 40 and max(n for _, n in sizes[0]) < max(n for _, n in whole(bench))
+
+
+def test_leaks_of_repeated_rows_empty_tables_and_clashing_columns(spark, documents):
     items = benchmark_items(30)
+    rows = [(7, items[0][1], None, None), (7, items[0][1], None, None), (7, items[1][1], None, None), (None, items[2][1], None, None), (None, items[3][1], None, None)]
+    bench = spark.createDataFrame(items, ITEM)
+    df = documents(rows).selectExpr("*", "1 AS item_id", "'x' AS Text", "0 AS score")
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()} == {(7, 0), (7, 1), (None, 2), (None, 3)}
+    assert dc.drop_contaminated(df, bench).columns == df.columns and dc.drop_contaminated(df, bench).count() == 0
     docs = documents([t for _, t in items])
-    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, spark.createDataFrame(items, ITEM)).collect()}
-    assert {(i, i) for i in range(30)} == got
-    assert dc.drop_contaminated(docs, spark.createDataFrame(items, ITEM)).count() == 0
-    assert dc.find_leaks(docs, spark.createDataFrame([], ITEM)).collect() == []
-    assert dc.find_leaks(documents([]), spark.createDataFrame(items, ITEM)).collect() == []
+    assert dc.drop_contaminated(docs, bench).count() == 0
+    none = spark.createDataFrame([], ITEM)
+    assert dc.find_leaks(docs, none).collect() == [] and dc.drop_contaminated(docs, none).count() == 30
+    assert dc.find_leaks(documents([]), bench).collect() == []
 
 
 def test_question_and_answer():

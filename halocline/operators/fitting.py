@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from halocline.operators.frames import POS
@@ -16,6 +16,25 @@ from halocline.operators.profiles import enclosed_mass
 from halocline.storage import discard, materialise, scratch_path
 
 
+AXES = range(3)
+# Steps of a centre that its anchor allows for; more of them mean more rows in a round and fewer anchors.
+STEPS_AHEAD = 8.0
+CENTRE, ANCHOR, INNER = (tuple(f"{n}{i}" for i in AXES) for n in ("__c", "__a", "__i"))
+
+
+def _squared_distance(to: Sequence[str]) -> Column:
+    d = [F.col(f"__p{i}") - F.col(to[i]) for i in AXES]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def _moments(rows: DataFrame, g: Sequence[str], inside: Column, about: Sequence[str]) -> DataFrame:
+    """Mass and first moments about a point of the rows that are ``inside``; a group without any still has a row."""
+    return rows.groupBy(*g).agg(
+        F.sum(F.when(inside, F.col("__m"))).alias("__mass"),
+        *[F.sum(F.when(inside, F.col("__m") * (F.col(f"__p{i}") - F.col(about[i])))).alias(f"__s{i}") for i in AXES],
+    )
+
+
 def core_center(
     df: DataFrame,
     *,
@@ -31,53 +50,93 @@ def core_center(
     Each round averages the particles within ``core_radius`` of the current
     offset; a group is settled once its step is below ``tolerance * core_radius``
     on every axis or its core is empty or massless.  Masses and positions are stored
-    once, so a source that must be parsed is read once however many rounds there
-    are.  Only the offsets (one row per group) are carried between rounds, as a written
-    table that replaces the one before.
+    once.  After the first round each group is anchored where it stands, with a reach of some of its steps: particles that are
+    in the sphere from everywhere within reach count by their sums, those that are never in it are left, and rounds read only those that its surface may pass.
+    A group that goes beyond its reach is anchored anew.  State is one row per group, in a written table that replaces the one before; the driver sees two
+    counts a round.
     """
     g = list(group_cols)
     eps = tolerance * core_radius
-    rows = df.select(*g, F.col(mass).alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(pos)])
     spark = df.sparkSession
     kept = scratch_path(spark, "core-particles")
-    rows = materialise(rows, "core-particles", kept)
-    axes = range(3)
-    names = ["cx", "cy", "cz"]
-    offsets, last = None, None
-    for _ in range(max_iter):
-        if offsets is None:
-            placed = rows.withColumns({c: F.lit(0.0) for c in names})
-        else:
-            open_groups = offsets.filter(~F.col("settled")).drop("settled")
-            placed = attach(rows, open_groups, g)
-        d = [F.col(f"__p{i}") - F.col(names[i]) for i in axes]
-        core = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < core_radius * core_radius
-        # sums are conditional so that a group with an empty core still gets a row
-        step = placed.groupBy(*g).agg(
-            F.sum(F.when(core, F.col("__m"))).alias("__mt"),
-            *[F.sum(F.when(core, F.col("__m") * d[i])).alias(f"__s{i}") for i in axes],
-            *[F.first(c).alias(c) for c in names],
-        )
-        move = [
-            F.coalesce(F.when(F.col("__mt") > 0, F.col(f"__s{i}") / F.col("__mt")), F.lit(0.0)) for i in axes
-        ]
-        still = (F.abs(move[0]) < eps) & (F.abs(move[1]) < eps) & (F.abs(move[2]) < eps)
-        moved = step.select(
-            *g,
-            *[F.when(still, F.col(c)).otherwise(F.col(c) + move[i]).alias(c) for i, c in enumerate(names)],
-            still.alias("settled"),
+    rows = materialise(df.select(*g, F.col(mass).alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(pos)]), "core-particles", kept)
+    shells: list[tuple[str, DataFrame]] = []
+    zero = F.lit(0.0)
+
+    def distance(a: Sequence[str], b: Sequence[str]) -> Column:
+        d = [F.col(x) - F.col(y) for x, y in zip(a, b)]
+        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+    def anchor(state: DataFrame) -> DataFrame:
+        """The state with the groups that are beyond their reach anchored where they are; their shells are stored beside the older ones."""
+        number = len(shells)
+        reach = F.least(F.col("__step") * STEPS_AHEAD, F.lit(core_radius * 0.5))
+        gone = state.filter("__gone").select(*g, *CENTRE, reach.alias("__reach"))
+        placed = attach(rows, gone, g).withColumn("__far", F.sqrt(_squared_distance(CENTRE)))
+        # a little more than the reach, so that rounding can't part what belongs together
+        wide = F.col("__reach") * (1 + 1e-9) + 1e-9 * core_radius
+        shell = placed.filter((F.col("__far") >= core_radius - wide) & (F.col("__far") < core_radius + wide))
+        path = scratch_path(spark, "core-shell")
+        own = shell.select(*g, F.lit(number).alias("__n"), "__m", *[f"__p{i}" for i in AXES])
+        shells.append((path, materialise(own, "core-shell", path)))
+        inner = _moments(placed, g, F.col("__far") < core_radius - wide, CENTRE).select(
+            *g, F.col("__mass").alias("__mass_new"), *[F.col(f"__s{i}").alias(f"__s{i}_new") for i in AXES]
         )
-        if offsets is not None:
-            moved = moved.unionByName(offsets.filter(F.col("settled")))
-        path = scratch_path(spark, "core-offsets")
-        offsets = materialise(moved, "core-offsets", path)
+        out = attach(state, inner, g, "left")
+        new = {"__reach": reach, "__n": F.lit(number), "__i": F.coalesce("__mass_new", zero)}
+        new |= {ANCHOR[i]: F.col(CENTRE[i]) for i in AXES} | {INNER[i]: F.coalesce(f"__s{i}_new", zero) for i in AXES}
+        return out.select(*g, *CENTRE, "settled", *[F.when(F.col("__gone"), v).otherwise(F.col(c)).alias(c) for c, v in new.items()])
+
+    def moments(state: DataFrame) -> DataFrame:
+        """The state with mass and moments about each open group's centre of what lies in its sphere."""
+        shell = shells[0][1]
+        for _, more in shells[1:]:
+            shell = shell.unionByName(more)
+        now = state.filter(~F.col("settled")).select(*g, *CENTRE, "__n")
+        # of a group's shells the one of its latest anchor counts
+        placed = attach(shell.withColumnRenamed("__n", "__of"), now, g).filter(F.col("__of") == F.col("__n"))
+        cut = _moments(placed, g, _squared_distance(CENTRE) < core_radius * core_radius, CENTRE)
+        out = attach(state, cut, g, "left")
+        sums = {"__mass": F.col("__i") + F.coalesce("__mass", zero)}
+        for i in AXES:
+            sums[f"__s{i}"] = F.col(INNER[i]) + F.col("__i") * (F.col(ANCHOR[i]) - F.col(CENTRE[i])) + F.coalesce(f"__s{i}", zero)
+        return out.withColumns(sums)
+
+    carried = ["__reach", "__n", "__i", *ANCHOR, *INNER]
+    counts = {"open": F.count_if(~F.col("settled")), "gone": F.count_if(F.col("__gone"))}
+    last: list[str] = []
+
+    def advance(state: DataFrame) -> tuple[DataFrame, dict]:
+        """Centres moved by their moments, stored, with the counts of open groups and of those beyond their reach."""
+        move = [F.coalesce(F.when(F.col("__mass") > 0, F.col(f"__s{i}") / F.col("__mass")), zero) for i in AXES]
+        out = state.withColumns({f"__v{i}": m for i, m in enumerate(move)})
+        still = F.lit(True)
+        for i in AXES:
+            still = still & (F.abs(F.col(f"__v{i}")) < eps)
+        out = out.withColumn("__still", F.col("settled") | still)
+        length = F.sqrt(F.col("__v0") * F.col("__v0") + F.col("__v1") * F.col("__v1") + F.col("__v2") * F.col("__v2"))
+        out = out.withColumns({c: F.when(F.col("__still"), F.col(c)).otherwise(F.col(c) + F.col(f"__v{i}")) for i, c in enumerate(CENTRE)} | {"__step": length})
+        out = out.withColumn("__gone", ~F.col("__still") & ~F.coalesce(distance(CENTRE, ANCHOR) <= F.col("__reach"), F.lit(False)))
+        out = out.select(*g, *CENTRE, F.col("__still").alias("settled"), "__step", "__gone", *carried)
+        seen, path = Observation(), scratch_path(spark, "core-offsets")
+        out = materialise(out.observe(seen, *[c.alias(n) for n, c in counts.items()]), "core-offsets", path)
         if last:
-            discard(spark, last)
-        last = path
-        if offsets.filter(~F.col("settled")).isEmpty():
+            discard(spark, last.pop())
+        last.append(path)
+        return out, seen.get
+
+    none = F.lit(None).cast("double")
+    at_zero = rows.withColumns({c: F.lit(0.0) for c in CENTRE})
+    state = _moments(at_zero, g, _squared_distance(CENTRE) < core_radius * core_radius, CENTRE)
+    state = state.withColumns({c: F.lit(0.0) for c in CENTRE} | {"settled": F.lit(False), "__n": F.lit(-1)} | {c: none for c in carried if c != "__n"})
+    state, seen = advance(state)
+    for _ in range(max_iter - 1):
+        if not seen["open"]:
             break
-    discard(spark, kept)
-    return offsets
+        state, seen = advance(moments(anchor(state) if seen["gone"] else state))
+    for path in [kept, *[p for p, _ in shells]]:
+        discard(spark, path)
+    return state.select(*g, *[F.col(c).alias(n) for c, n in zip(CENTRE, ("cx", "cy", "cz"))], "settled")
 
 
 def center_on_core(

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.operators.keys import attach, lookup_join
-from halocline.operators.ordering import as_of
+from halocline.storage import materialise
 
 
-def _axis_ranks(grid: DataFrame, axis: str, g: list[str], side: str) -> DataFrame:
-    """(group, __at, __<side>, __next): the distinct values of one axis, their ranks from 0, and the next value.
+def _axis(grid: DataFrame, axis: str, g: list[str], side: str) -> DataFrame:
+    """(group, __v<side>): the distinct values of one axis in order.
 
-    A group's axis is one window: it has as many rows as the root of the group's nodes, about.
+    A group's nodes are all pairs of its axis values, so the array has about as many as the root of its nodes.
     """
-    order = Window.partitionBy(*(g or [F.lit(0)])).orderBy("__at")
-    values = grid.select(*g, F.col(axis).alias("__at")).distinct()
-    return values.select(*g, "__at", (F.row_number().over(order) - 1).alias(f"__{side}"), F.lead("__at").over(order).alias("__next"))
+    values = grid.groupBy(*g).agg(F.collect_set(F.col(axis).cast("double")).alias("__v"))
+    return values.select(*g, F.array_sort("__v").alias(f"__v{side}"))
+
+
+def _interval(values: Column, at: Column, most: int) -> Column:
+    """Number of the interval of ``values`` that ``at`` is in, by bisection; the first and the last go on outside."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most.bit_length())))])
+    # the largest k with values[k] <= at, among all but the last value
+    descend = lambda low, step: F.when((low + step <= F.size(values) - 2) & (F.get(values, low + step) <= at), low + step).otherwise(low)
+    return F.aggregate(steps, F.lit(0), descend)
+
+
+def _node(values: Column, at: Column, most: int) -> Column:
+    """Number of the axis value that a node has."""
+    k = _interval(values, at, most)
+    return F.when(F.get(values, k + 1) == at, k + 1).otherwise(k).cast("long")
 
 
 def grid_lookup_bilinear(
@@ -33,23 +46,27 @@ def grid_lookup_bilinear(
     """Bilinear ``values`` at each point; points outside extrapolate from the border cell.
 
     A group's nodes are all pairs of its axis values, which may be spaced unevenly; a lattice
-    with missing or repeated nodes, or fewer than two values on an axis, is an error.  Axis
-    values are ranked per group, points find their interval on each axis in order, and
-    every node is sent to the up to four cells it bounds, so values need one equi-join on
+    with missing or repeated nodes, or fewer than two values on an axis, is an error.  A group's two axes are
+    arrays, about as long as the root of its nodes, that its points and nodes are joined to once; points find their
+    interval on each by bisection, every node is sent to the up to four cells it bounds, and values need one equi-join on
     the cell.  Points of a group without a grid have nulls.
     """
     g = list(group_cols)
-    shape = grid.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-    nodes, placed = grid, points
-    for side, axis, at in (("x", grid_cols[0], point_cols[0]), ("z", grid_cols[1], point_cols[1])):
-        ranks = _axis_ranks(grid, axis, g, side)
-        shape = attach(shape, ranks.groupBy(*g).agg(F.count(F.lit(1)).alias(f"__n{side}")), g)
-        nodes = lookup_join(nodes, ranks.select(*g, F.col("__at").alias(axis), f"__{side}"), [*g, axis])
-        # the first interval also takes what lies below, the last what lies above
-        below = F.when(F.col(f"__{side}") == 0, F.lit(float("-inf"))).otherwise(F.col("__at"))
-        interval = F.struct(F.col(f"__{side}").alias("i"), F.col("__at").alias("lo"), F.col("__next").alias("hi"))
-        intervals = ranks.filter(F.col("__next").isNotNull()).select(*g, below.alias("__start"), interval.alias(f"__cell{side}"))
-        placed = as_of(placed, intervals, point_x=at, start="__start", group_cols=g).drop("__start")
+    axes = attach(_axis(grid, grid_cols[0], g, "x"), _axis(grid, grid_cols[1], g, "z"), g)
+    axes = attach(axes, grid.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")), g)
+    axes = axes.withColumns({"__nx": F.size("__vx").cast("long"), "__nz": F.size("__vz").cast("long")})
+    axes = materialise(axes, "grid-axes")
+    most = axes.agg(F.max(F.greatest("__nx", "__nz"))).first()[0] or 1
+    sides = list(zip(("x", "z"), grid_cols, point_cols))
+    nodes = attach(grid, axes.select(*g, "__vx", "__vz"), g)
+    nodes = nodes.withColumns({f"__{side}": _node(F.col(f"__v{side}"), F.col(axis).cast("double"), most) for side, axis, _ in sides}).drop("__vx", "__vz")
+    placed = attach(points, axes.select(*g, "__vx", "__vz"), g, "left")
+    placed = placed.withColumns({f"__k{side}": F.when(F.col(at).isNotNull(), _interval(F.col(f"__v{side}"), F.col(at), most)) for side, _, at in sides})
+    for side, _, _ in sides:
+        v, k = F.col(f"__v{side}"), F.col(f"__k{side}")
+        placed = placed.withColumn(f"__cell{side}", F.struct(k.cast("long").alias("i"), F.get(v, k).alias("lo"), F.get(v, k + 1).alias("hi")))
+    placed = placed.drop("__vx", "__vz", "__kx", "__kz")
+    shape = axes.select(*g, "__n", "__nx", "__nz")
     nx, nz, n = F.col("__nx"), F.col("__nz"), F.col("__n")
     fault = F.raise_error(F.lit("the grid is not a full lattice of its axis values, two at least on each")).cast("bigint")
     nodes = attach(nodes, shape.select(*g, F.when((nx * nz == n) & (nx > 1) & (nz > 1), n).otherwise(fault).alias("__n")), g)

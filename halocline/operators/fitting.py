@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halocline.operators.frames import POS
 from halocline.operators.keys import attach
@@ -19,6 +20,7 @@ from halocline.storage import discard, materialise, scratch_path
 AXES = range(3)
 # Steps of a centre that its anchor allows for; more of them mean more rows in a round and fewer anchors.
 STEPS_AHEAD = 8.0
+LEAST_REACH = 0.25  # of the core radius
 CENTRE, ANCHOR, INNER = (tuple(f"{n}{i}" for i in AXES) for n in ("__c", "__a", "__i"))
 
 
@@ -60,7 +62,7 @@ def core_center(
     spark = df.sparkSession
     kept = scratch_path(spark, "core-particles")
     rows = materialise(df.select(*g, F.col(mass).alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(pos)]), "core-particles", kept)
-    shells: list[tuple[str, DataFrame]] = []
+    shells: list[tuple[str, T.StructType]] = []
     zero = F.lit(0.0)
 
     def distance(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -70,15 +72,16 @@ def core_center(
     def anchor(state: DataFrame) -> DataFrame:
         """The state with the groups that are beyond their reach anchored where they are; their shells are stored beside the older ones."""
         number = len(shells)
-        reach = F.least(F.col("__step") * STEPS_AHEAD, F.lit(core_radius * 0.5))
-        gone = state.filter("__gone").select(*g, *CENTRE, reach.alias("__reach"))
+        reach = F.greatest(F.least(F.col("__step") * STEPS_AHEAD, F.lit(core_radius * 0.5)), F.lit(core_radius * LEAST_REACH))
+        gone = state.filter("__gone").select(*g, *CENTRE, reach.alias("__new_reach")).withColumnRenamed("__new_reach", "__reach")
         placed = attach(rows, gone, g).withColumn("__far", F.sqrt(_squared_distance(CENTRE)))
         # a little more than the reach, so that rounding can't part what belongs together
         wide = F.col("__reach") * (1 + 1e-9) + 1e-9 * core_radius
         shell = placed.filter((F.col("__far") >= core_radius - wide) & (F.col("__far") < core_radius + wide))
         path = scratch_path(spark, "core-shell")
         own = shell.select(*g, F.lit(number).alias("__n"), "__m", *[f"__p{i}" for i in AXES])
-        shells.append((path, materialise(own, "core-shell", path)))
+        shells.append((path, own.schema))
+        materialise(own, "core-shell", path)
         inner = _moments(placed, g, F.col("__far") < core_radius - wide, CENTRE).select(
             *g, F.col("__mass").alias("__mass_new"), *[F.col(f"__s{i}").alias(f"__s{i}_new") for i in AXES]
         )
@@ -89,9 +92,7 @@ def core_center(
 
     def moments(state: DataFrame) -> DataFrame:
         """The state with mass and moments about each open group's centre of what lies in its sphere."""
-        shell = shells[0][1]
-        for _, more in shells[1:]:
-            shell = shell.unionByName(more)
+        shell = spark.read.schema(shells[0][1]).parquet(*[path for path, _ in shells])
         now = state.filter(~F.col("settled")).select(*g, *CENTRE, "__n")
         # of a group's shells the one of its latest anchor counts
         placed = attach(shell.withColumnRenamed("__n", "__of"), now, g).filter(F.col("__of") == F.col("__n"))

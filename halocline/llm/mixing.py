@@ -173,7 +173,8 @@ ranged AS (SELECT *, CASE WHEN sum(target) OVER () > 0 THEN CAST(floor(sum(targe
 bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM ranged),
 slots AS (SELECT i AS slot, i % {POINTS} * {GOLDEN} % {POINTS} AS point
     FROM range((SELECT CAST(ceil(1.02e0 * sum(target) / {BLOCK_WORDS}) AS BIGINT) + 64 FROM aimed)) r(i)),
-ranked AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM slots JOIN bounds ON point >= low AND point < high),
+drawn AS (SELECT sid, count(*) AS got FROM slots JOIN bounds ON point >= low AND point < high GROUP BY sid),
+filled AS (SELECT sid, unnest(range(greatest(coalesce(got, 0), CAST(ceil(floor(target) / {BLOCK_WORDS}e0) AS BIGINT)))) AS block FROM aimed LEFT JOIN drawn USING (sid)),
 placed AS (SELECT b.doc_id, b.size, a.sid, a.source_size, a.target, row_number() OVER (ORDER BY a.sid, ord, size) AS nth,
     coalesce(sum(size) OVER (PARTITION BY a.sid ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM base b JOIN aimed a ON b.source IS NOT DISTINCT FROM a.source),
@@ -181,5 +182,5 @@ passed AS (SELECT *, start + epoch * source_size AS pos, least(start + epoch * s
 cut AS (SELECT *, unnest(CASE WHEN stop > pos THEN range(CAST(floor(pos / {BLOCK_WORDS}) AS BIGINT), CAST(floor((stop - 1) / {BLOCK_WORDS}) AS BIGINT) + 1) ELSE [CAST(-1 AS BIGINT)] END) AS block FROM passed)
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN r.block IS NULL THEN 0
     ELSE least(stop, (c.block + 1) * {BLOCK_WORDS}) - greatest(pos, c.block * {BLOCK_WORDS}) END) AS BIGINT) AS taken
-FROM cut c LEFT JOIN ranked r ON c.sid = r.sid AND c.block = r.block GROUP BY nth, doc_id, size, source_size, target
+FROM cut c LEFT JOIN filled r ON c.sid = r.sid AND c.block = r.block GROUP BY nth, doc_id, size, source_size, target
 """

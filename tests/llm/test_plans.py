@@ -215,6 +215,10 @@ def test_small_sources_reach_their_targets(documents):
     for r in mixing.mix_digest(docs).collect():
         taken[source[r.doc_id]] += r.taken
     assert all(want[s] - 1.001 <= taken[s] <= want[s] + 0.001 for s in sizes)
+    con = connect("/root/testdata/sf0.001")
+    con.register("few_words", docs.toPandas())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM few_words")
+    assert difference(mixing.mix_digest(docs), con, mixing.MIX_SQL) is None
     assert {r.source for r in mixing.mix_documents(docs).collect()} == set(sizes)
     targets = mixing.source_targets(docs.sparkSession.createDataFrame(list(sizes.items()), "source string, source_size long"))
     slots = mixing.schedule(docs.sparkSession, targets, sum(want.values())).collect()

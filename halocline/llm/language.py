@@ -5,7 +5,9 @@ them into longest matches: from a position as far as some stretch of the sample
 language that needs the fewest phrases per character knows the text best.
 
 For speed the automata are tables of a small alphabet whose missing transitions already lead on from the root and
-carry a mark for the phrase that ended, and many stretches of texts are parsed in step.
+carry a mark for the phrase that ended, and many stretches of texts are parsed in step.  Every language has an alphabet of its own, of its
+most frequent letters; a letter that its sample lacks is a phrase by itself, whatever the script.  The sample of all languages together is bounded, so
+there may be any number of them: more languages get less of it each.
 """
 
 from __future__ import annotations
@@ -21,17 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halocline.llm.frames import pick
+from halocline.operators.keys import lookup_join
+from halocline.storage import materialise
 
 FOLDS, HELD_OUT = 5, 0
 ROWS_PER_LANGUAGE = 32
 CHARS_PER_ROW = 800
-MAX_LANGUAGES = 64
-LETTERS = 60
+CHARS_IN_ALL = 512 * CHARS_PER_ROW  # of the samples of all languages
+LETTERS = 60  # of one language that are told apart; its rarer ones are one class
 STRETCH = 256
 LANES = 16384
 UNKNOWN = "und"
-# classes 0 to 2 of the alphabet; letters follow
-PADDING, GAP, OTHER = 0, 1, 2
+# classes 0 to 2 of all letters and of a language's alphabet; letters follow, in an alphabet after one for its rare letters
+PADDING, GAP, OTHER, RARE = 0, 1, 2, 3
 
 
 def held_out(doc_id) -> F.Column:
@@ -71,7 +75,8 @@ def suffix_automaton(codes: list[int], alphabet: int) -> tuple[list[list[int]],
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # class of each code point below its length
+    classes: np.ndarray  # class of each code point: a number for each letter of any sample
+    own: np.ndarray  # per language: its own class of each of these
     alphabet: int
     table: np.ndarray  # per state and class: 4 * (start of the next state's row) + phrases that end (2 with a letter the sample lacks)
     roots: np.ndarray  # start of the root's row, per language
@@ -87,26 +92,31 @@ def encode(text: str, classes: np.ndarray) -> np.ndarray:
     return codes[keep]
 
 
-def _letter_classes(texts: list[str]) -> np.ndarray:
-    """A class for each of the most frequent letters of the sample, one for all other letters."""
-    counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    classes = np.full(0x110001, GAP, np.uint8)
+def _letter_classes(counts: list[Counter[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each letter of any sample and one for all others; and of these the classes in each language's alphabet."""
+    letters = sorted(set().union(*counts))
+    classes = np.full(0x110001, GAP, np.uint8 if len(letters) < 250 else np.uint32)
     for point in range(0x110000):
         if chr(point).isalpha():
             classes[point] = OTHER
-    for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+    for i, c in enumerate(letters):
         classes[ord(c)] = OTHER + 1 + i
-    return classes
+    own = np.full((len(counts), OTHER + 1 + len(letters)), OTHER, np.uint8)
+    own[:, PADDING], own[:, GAP] = PADDING, GAP
+    for row, count in zip(own, counts):
+        for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))):
+            row[classes[ord(c)]] = RARE + 1 + i if i < LETTERS else RARE
+    return classes, own
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model of the given texts by language."""
     languages = sorted(samples)
-    classes = _letter_classes([t for x in samples.values() for t in x])
-    alphabet = int(classes.max(initial=OTHER)) + 1
+    classes, own = _letter_classes([Counter(c for t in samples[x] for c in t.lower() if c.isalpha()) for x in languages])
+    alphabet = int(own.max(initial=OTHER)) + 1
     tables, roots, base = [], [], 0
-    for language in languages:
-        codes = np.concatenate([np.append(encode(t, classes), GAP) for t in samples[language]] or [np.zeros(0, np.uint8)])
+    for language, mine in zip(languages, own):
+        codes = mine[np.concatenate([np.append(encode(t, classes), GAP) for t in samples[language]] or [np.zeros(0, np.uint8)])]
         nexts, _ = suffix_automaton(codes.tolist(), alphabet)
         goto = np.array(nexts, np.int64)
         root = np.maximum(goto[0], 0)
@@ -122,7 +132,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
         tables.append(((base + goto * alphabet) * 4 + mark).astype(np.int32).ravel())
         roots.append(base)
         base += goto.size
-    return Model(languages, classes, alphabet, np.concatenate(tables or [np.zeros(0, np.int32)]), np.array(roots, np.int32))
+    return Model(languages, classes, own, alphabet, np.concatenate(tables or [np.zeros(0, np.int32)]), np.array(roots, np.int32))
 
 
 def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
@@ -130,7 +140,7 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     lengths = np.array([len(c) for c in codes], np.int64)
     stretches = -(-lengths // STRETCH)
     first = np.concatenate([[0], np.cumsum(stretches)])
-    grid = np.full((int(first[-1]), STRETCH), PADDING, np.uint8)
+    grid = np.full((int(first[-1]), STRETCH), PADDING, model.classes.dtype)
     flat = grid.reshape(-1)
     for at, c in zip(first * STRETCH, codes):
         flat[at : at + len(c)] = c
@@ -140,7 +150,7 @@ def phrases(model: Model, codes: list[np.ndarray]) -> np.ndarray:
         state = np.repeat((model.roots * 4)[:, None], lanes.shape[1], 1)
         total = np.zeros_like(state)
         for column in lanes:
-            state = model.table[(state >> 2) + column]
+            state = model.table[(state >> 2) + model.own[:, column]]
             total += state & 3
         # the phrase a stretch ends in counts too
         total += (state >> 2) != model.roots[:, None]
@@ -168,24 +178,27 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def learn(docs: DataFrame) -> Model:
-    """Fit on a bounded sample: of each language at most ``ROWS_PER_LANGUAGE`` stretches of ``CHARS_PER_ROW`` characters.
+    """Fit on a bounded sample: of each language at most ``ROWS_PER_LANGUAGE`` stretches of ``CHARS_PER_ROW`` characters, ``CHARS_IN_ALL`` together.
 
-    The rows are those with the smallest hash; a threshold from the counts keeps what reaches the driver near that
-    many.  More than ``MAX_LANGUAGES`` labels are refused.
+    The rows are those with the smallest hash, equal rows once; a threshold from the counts keeps what reaches the driver near that
+    many.  A stretch begins anywhere in its text, as the hash has it.  With so many languages that one row each is too
+    much, the stretches are shorter.
     """
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
-    if not counts:
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sizes.count()
+    if not languages:
         return fit({})
-    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4 * ROWS_PER_LANGUAGE / r["n"])))])
-    rows = rows.withColumn("hash", F.xxhash64(F.lit(41), "doc_id"))
-    drawn = rows.where(F.pmod(F.col("hash"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
-    drawn = drawn.select("lang", F.pmod(F.col("hash"), F.lit(1 << 30)).alias("hash"), F.substring("text", 1, CHARS_PER_ROW).alias("text")).distinct()
+    wanted = max(1, min(ROWS_PER_LANGUAGE, CHARS_IN_ALL // CHARS_PER_ROW // languages))
+    chars = max(1, min(CHARS_PER_ROW, CHARS_IN_ALL // (wanted * languages)))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64(F.lit(41), "doc_id", "text"), F.lit(1 << 30)))
+    rows = lookup_join(rows, sizes, ["lang"], null_safe=False)
+    drawn = rows.where(F.col("hash") * F.col("n") < F.lit(4 * (wanted + 4)).cast("double") * (1 << 30))
+    begin = F.pmod(F.xxhash64(F.lit(43), "doc_id", "text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    drawn = drawn.select("lang", "hash", F.substring("text", begin, F.lit(chars)).alias("text")).distinct()
     samples: dict[str, list[str]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["hash"], r["text"])):
-        if len(samples.setdefault(r["lang"], [])) < ROWS_PER_LANGUAGE:
+        if len(samples.setdefault(r["lang"], [])) < wanted:
             samples[r["lang"]].append(r["text"])
     return fit(samples)
 

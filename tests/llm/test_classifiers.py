@@ -73,6 +73,42 @@ def test_language_on_held_out_rows(documents):
             assert r.lang_pred in ("en", "de")
 
 
+SCRIPTS = {"latin": (0x61, 26), "greek": (0x3B1, 24), "cyrillic": (0x430, 32), "hebrew": (0x5D0, 27), "han": (0x4E00, 3000)}
+
+
+def test_a_hundred_languages_in_five_scripts(documents):
+    rng = random.Random(21)
+    words, rows = {}, []
+    for k in range(100):
+        first, size = list(SCRIPTS.values())[k % 5]
+        # twenty languages of a script have words of their own from its letters
+        words[f"l{k:03d}"] = ["".join(chr(first + rng.randrange(size)) for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    for i in range(3000):
+        name = f"l{i % 100:03d}"
+        rows.append((i, " ".join(rng.choice(words[name]) for _ in range(rng.randrange(20, 400))), name, "s"))
+    rows += [(5000 + i, rows[i][1], None, "s") for i in range(100)]
+    got = {r.doc_id: r for r in lg.language_digest(documents(rows, 8)).collect()}
+    held = [r for r in got.values() if r.held_out and r.doc_id < 3000]
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.98 * len(held) > 500
+    assert sum(got[5000 + i].lang_pred == rows[i][2] for i in range(100)) >= 98
+
+
+def test_letters_of_another_script_are_no_match():
+    samples = {"han": ["".join(chr(0x4E00 + i * 7 % 2000) for i in range(j, j + 500)) for j in range(8)], "thai": ["กขคงจ ฉชซ ญฎฏ " * 20]}
+    model = lg.fit(samples)
+    assert model.own.max() <= lg.RARE + lg.LETTERS
+    assert lg.predict(model, ["กขค งจฉ", "ๆษฬฮ ๆษฬ", "中丰 临丿 "])[0][0] == "thai"
+    # Hangul is in neither sample: a phrase for each letter, in both languages
+    counts = lg.phrases(model, [lg.encode("가나다라마", model.classes)])
+    assert counts.tolist() == [[5, 5]]
+
+
+def test_repeated_rows_and_ties(documents):
+    rows = [(i % 4, EN if i % 2 else DE, "en" if i % 2 else "de", "s") for i in range(40)] + [(100 + i, "zzz qqq", None, "s") for i in range(3)]
+    got = lg.language_digest(documents(rows)).collect()
+    assert len(got) == 43 and len({(r.lang_pred, r.score) for r in got if r.doc_id >= 100}) == 1
+
+
 def test_language_without_labels_and_with_clashing_columns(spark, documents):
     assert {r.lang_pred for r in lg.language_digest(documents([(1, "some text", None, None)])).collect()} == {"und"}
     assert lg.language_digest(documents([])).collect() == []

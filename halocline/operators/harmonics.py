@@ -7,7 +7,7 @@ gradient, and ``fr`` is minus the radial derivative of ``apot``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,6 +267,49 @@ def rotation_decomposition(
     return out.withColumn("v_disk", F.sqrt(F.greatest(F.lit(0.0), left)))
 
 
+PART = "part"
+PARTS = ("total", "halo", "bulge")
+
+
+def tagged_cells(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Cell tables of several parts of the same models as one, with the name of the part."""
+    out = None
+    for name, cells in parts.items():
+        one = cells.withColumn(PART, F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tagged_decomposition(
+    radii: DataFrame,
+    cells: DataFrame,
+    catalog: DataFrame,
+    *,
+    lmax: int,
+    analytic: bool = True,
+    scale: float = 1.0,
+    keys: Sequence[str] = MODEL,
+) -> DataFrame:
+    """Speeds of :func:`rotation_decomposition` from cells tagged by part, in one evaluation.
+
+    ``cells`` has a column ``part``: total, halo and, for models that have one, bulge.  Every radius is looked up once for each part by (model,
+    part, cell), and a radius' parts are then put side by side.  ``analytic`` adds the disk and gas of the catalog to the total.
+    """
+    k = list(keys)
+    bare = [F.when(F.col(PART) == "total", F.col(c)).alias(c) if analytic else F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in ("disk", "disk2", "gas")]
+    tagged = catalog.select(*k, "grid", F.explode(F.array(*[F.lit(p) for p in PARTS])).alias(PART), *[c for c in ("disk", "disk2", "gas")])
+    tagged = tagged.select(*k, PART, "grid", *bare)
+    points = radii.select(*k, "i", "R", "z", F.explode(F.array(*[F.lit(p) for p in PARTS])).alias(PART))
+    forces = evaluate_force(points, cells, tagged, lmax=lmax, analytic=analytic, keys=[*k, PART])
+    v = F.when(F.col("f_r").isNotNull(), circular_velocity(F.col("f_r"), F.col("R"), scale))
+    out = forces.groupBy(*k, "i").agg(F.max("R").alias("r"), *[F.max(F.when(F.col(PART) == p, v)).alias(f"v_{p}") for p in PARTS])
+    square = lambda c: F.col(c) * F.col(c)
+    left = square("v_total") - square("v_halo") - F.coalesce(square("v_bulge"), F.lit(0.0))
+    # as a join of the three would, a radius without a total or a halo gives no row
+    out = out.filter(F.col("v_total").isNotNull() & F.col("v_halo").isNotNull())
+    return out.withColumn("v_disk", F.sqrt(F.greatest(F.lit(0.0), left)))
+
+
 def compare_to_observed(
     observed: DataFrame,
     cells: DataFrame,

@@ -17,7 +17,7 @@ from halocline.operators import (
     profiles,
     quality,
 )
-from halocline.plans.halo import fixed_halo_superposition, halo_from_particles
+from halocline.plans.halo import fixed_halo_superposition, halo_from_particles, superposition_from_particles
 from halocline.plans.report import galaxy_report
 from halocline.queries import curve_queries as cq
 from halocline.queries import particle_queries as pq
@@ -427,11 +427,8 @@ def rotation_decomposition(spark, sf):
     c = fx.catalog(spark, sf)
     radii = harmonics.midplane_radii(c)
     low = _cells(spark, sf, 0.3)
-    total = harmonics.evaluate_force(radii, _cells(spark, sf), c, lmax=fx.LMAX)
-    halo = harmonics.evaluate_force(radii, low, c, lmax=fx.LMAX, analytic=False)
-    with_bulge = radii.filter(F.col("model_id") % 4 != 0)
-    bulge = harmonics.evaluate_force(with_bulge, low, c, lmax=fx.LMAX, analytic=False)
-    return harmonics.rotation_decomposition(total, halo, bulge, scale=100.0)
+    cells = harmonics.tagged_cells({"total": _cells(spark, sf), "halo": low, "bulge": low.filter(F.col("model_id") % 4 != 0)})
+    return harmonics.tagged_decomposition(radii, cells, c, lmax=fx.LMAX, scale=100.0)
 
 
 COMPARED_SQL = f"(SELECT *, sqrt(greatest(0, -f_r*R)) AS v_model FROM {force_sql('(SELECT *, R_kpc/4.465e0 AS R, 0e0 AS z FROM obs)')})"
@@ -781,6 +778,26 @@ def fixed_halo_superposition_query(spark, sf):
     )
 
 
+# the same shells for (halo, component), and forces in the plane, where only the values of the polynomials at 0 are left
+_KEYED = "(SELECT * REPLACE (halo_id*10 + CASE component WHEN 'disk' THEN 0 WHEN 'halo' THEN 1 ELSE 2 END AS halo_id) FROM particles)"
+PARTICLE_CURVES_SQL = f"""
+    WITH particles AS (SELECT * FROM p), keyed AS {_KEYED}, {_parts.replace('FROM p', 'FROM keyed')}, every AS MATERIALIZED ({_body}),
+    part AS MATERIALIZED (SELECT halo_id // 10 AS model_id, halo_id % 10 AS k, ir, sum(fr*sqrt((2*l + 1)/(4*pi()))*CASE l WHEN 0 THEN 1 WHEN 2 THEN -0.5e0 ELSE 0.375e0 END) AS pull
+      FROM every GROUP BY ALL),
+    pts AS (SELECT m.model_id, k, g.i, g.i*(20e0/50) AS R, least(floor(R/0.4e0)::INT, 59) AS cell, R/0.4e0 - cell AS t
+      FROM (SELECT DISTINCT model_id, k FROM part) m, (SELECT unnest(range(1, 51)) AS i) g),
+    v AS (SELECT pts.model_id, pts.k, i, R, R*(a.pull*(1 - t) + b.pull*t) AS vv FROM pts JOIN part a ON a.model_id = pts.model_id AND a.k = pts.k AND a.ir = cell
+      JOIN part b ON b.model_id = pts.model_id AND b.k = pts.k AND b.ir = cell + 1),
+    s AS (SELECT model_id, i, max(R) AS r, greatest(0, sum(vv)) AS t, greatest(0, max(vv) FILTER (k = 1)) AS h, greatest(0, max(vv) FILTER (k = 2)) AS b FROM v GROUP BY model_id, i)
+    SELECT model_id, i, r, sqrt(t) AS v_total, sqrt(h) AS v_halo, sqrt(b) AS v_bulge, sqrt(greatest(0, t - h - coalesce(b, 0))) AS v_disk FROM s WHERE h IS NOT NULL"""
+
+
+@query("superposition_from_particles", "model_id i:i r:6 v_total:4 v_halo:5 v_bulge:5 v_disk:3", PARTICLE_CURVES_SQL)
+def superposition_from_particles_query(spark, sf):
+    p = fx.particles(spark, sf).withColumnRenamed("halo_id", "model_id")
+    return superposition_from_particles(p, dr=fx.DR, nr=fx.NR, lmax=fx.LMAX, n=50, rmax=20.0)
+
+
 @query(
     "galaxy_report",
     "section component model_id:i item metric value:5",

@@ -10,6 +10,7 @@ from halocline import fixtures as fx
 from halocline.functions import special
 from halocline.functions.units import DEFAULT_UNITS, UnitSystem
 from halocline.operators import fields, grids, harmonics, models, multipoles, quality
+from halocline.plans.halo import superposition_from_particles
 
 
 @pytest.fixture(scope="module")
@@ -298,3 +299,44 @@ def test_presets_are_whole_catalog_rows(spark):
     assert rows["nfw_halo"]["psi0"] == 4.0 and rows["sersic_bulge"]["psi0"] == 6.25
     with pytest.raises(Exception, match="no such model"):
         models.with_preset(spark.createDataFrame([("other",)], "m string"), "m").collect()
+
+
+def test_tagged_evaluation_is_one_lookup_and_equals_three(spark, catalog, sf_dir):
+    radii = harmonics.midplane_radii(catalog, n=20, rmax=40.0)
+    cells = harmonics.harmonic_cells(fx.coefficients(spark, sf_dir), fx.LMAX)
+    low = harmonics.harmonic_cells(fx.coefficients(spark, sf_dir, 0.3), fx.LMAX)
+    some = low.filter(F.col("model_id") % 4 != 0)
+    ev = lambda r, c, **kw: harmonics.evaluate_force(r, c, catalog, lmax=fx.LMAX, **kw)
+    three = harmonics.rotation_decomposition(ev(radii, cells), ev(radii, low, analytic=False), ev(radii.filter(F.col("model_id") % 4 != 0), some, analytic=False))
+    tagged = harmonics.tagged_cells({"total": cells, "halo": low, "bulge": some})
+    one = harmonics.tagged_decomposition(radii, tagged, catalog, lmax=fx.LMAX)
+    by = ["model_id", "i"]
+    a, b = (d.toPandas().sort_values(by).reset_index(drop=True) for d in (three, one))
+    for c in ("r", "v_total", "v_halo", "v_bulge", "v_disk"):
+        assert np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True, atol=1e-9)
+    assert a["v_bulge"].isna().any() and not a["v_bulge"].isna().all()
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    # the constants and the cells, once each instead of three times, and no join of the parts
+    assert joins(one) == 2 and joins(three) >= 6
+
+
+def test_superposition_from_particles_of_spheres(spark):
+    # shells of evenly spread particles: a speed squared is the mass inside over the radius
+    k = np.arange(300) + 0.5
+    height, turn = 1.0 - 2.0 * k / 300, math.pi * (1.0 + math.sqrt(5.0)) * k
+    sphere = np.column_stack([np.sqrt(1.0 - height**2) * np.cos(turn), np.sqrt(1.0 - height**2) * np.sin(turn), height])
+    size = {"halo": 12.0, "bulge": 1.0, "disk": 4.0}
+    shells = {c: (np.arange(160) + 0.5) / 160 * size[c] for c in size}
+    mass = {"halo": 5.0, "bulge": 1.0, "disk": 2.0}
+    rows = [(1, c, mass[c] / len(r) / 300, *map(float, q)) for c, r in shells.items() for s in r for q in sphere * s]
+    rows += [(2, "halo", 1.0, 0.1, 0.0, 0.0), (3, "disk", 1.0, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "model_id long, component string, mass double, x double, y double, z double")
+    out = superposition_from_particles(df, dr=0.05, nr=120, lmax=4, n=8, rmax=5.6).toPandas()
+    assert set(out["model_id"]) == {1, 2} and out[out["model_id"] == 2]["v_bulge"].isna().all()
+    for x in out[out["model_id"] == 1].itertuples():
+        # half of the halo lies beyond the grid and pulls no way
+        inside = {c: mass[c] * min(1.0, x.r / size[c]) for c in size}
+        assert x.v_halo**2 == pytest.approx(inside["halo"] / x.r, rel=0.04)
+        assert x.v_bulge**2 == pytest.approx(inside["bulge"] / x.r, rel=0.04)
+        assert x.v_total**2 == pytest.approx(sum(inside.values()) / x.r, rel=0.04)
+        assert x.v_disk**2 == pytest.approx(x.v_total**2 - x.v_halo**2 - x.v_bulge**2)

@@ -239,7 +239,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text", utf8_size(F.col("text")).alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = min(20_000, max(1, math.ceil(total / BUCKET_BYTES)))
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
     packed = rows.mapInArrow(_pack, "bucket int, packed binary, low long, span long")
     sorted_ = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     runs = materialise(sorted_.mapInArrow(_sort_buckets, "k1 long, k2 long, first int, n int, low long"), "repeat-runs")

@@ -10,7 +10,7 @@ from halocline.operators import profiles
 from halocline.queries import particle_queries as pq
 from halocline.queries.model_queries import GRID_SQL, _grid
 from halocline.queries.registry import query
-from halocline.sources import harmonic_files, model_runs, text
+from halocline.sources import harmonic_files, model_runs, run_folders, text
 from halocline.storage import scratch_path
 
 BY_MODEL = r"model_id=([^/]+)/[^/]+$"
@@ -116,7 +116,8 @@ def scan_rotation_curve(spark, sf):
     return text.scan_rotation_curve(spark, path)
 
 
-def _harmonic_text(spark, sf, path: str) -> None:
+def _harmonic_lines(spark, sf) -> DataFrame:
+    """(model_id, order, line) of every model's coefficient file."""
     c = fx.catalog(spark, sf)
     d, g, k = F.col("disk"), F.col("gas"), F.col("model_id")
     zero, one = F.lit(0), F.lit(1)
@@ -150,7 +151,7 @@ def _harmonic_text(spark, sf, path: str) -> None:
     labels = c.select(k, F.posexplode(F.array(F.lit("# potential"), F.lit("# radial force"))).alias("pos", "line"))
     body = body.select("model_id", F.array(F.col("block"), F.col("ir")).alias("order"), "line")
     labels = labels.select("model_id", F.array(F.col("pos") + 1, F.lit(-1)).alias("order"), "line")
-    _one_file_each(header.unionByName(body).unionByName(labels), path)
+    return header.unionByName(body).unionByName(labels)
 
 
 harmonic_values = ("adens", "apot", "fr")
@@ -166,9 +167,8 @@ harmonic_values = ("adens", "apot", "fr")
 )
 def ingest_harmonics(spark, sf):
     path = scratch_path(spark, "harmonics")
-    _harmonic_text(spark, sf, path)
-    rows = harmonic_files.read_harmonics(spark, path, key_pattern=BY_MODEL)
-    cat = harmonic_files.read_harmonic_catalog(spark, path, key_pattern=BY_MODEL)
+    _one_file_each(_harmonic_lines(spark, sf), path)
+    cat, rows, _ = harmonic_files.ingest_harmonics(spark, path, key_pattern=BY_MODEL)
     flat = cat.select(
         "model_id", F.col("disk.mass").alias("disk_mass"), "disk.outer_radius", F.col("disk.hole_radius").alias("hole"),
         F.col("gas.enabled").alias("gas_on"), F.col("halo.enabled").alias("halo_on"), "psid", "grid.nr",
@@ -176,6 +176,34 @@ def ingest_harmonics(spark, sf):
     return rows.join(flat, "model_id")
 
 
+@query(
+    "run_folder_check",
+    "model_id name problem",
+    """SELECT * FROM (SELECT s_suppkey::VARCHAR AS model_id, unnest(['tidal', 'manifest', 'coef', 'coef']) AS name,
+         unnest([CASE WHEN s_suppkey % 6 = 5 THEN 'missing' END, CASE WHEN s_suppkey % 4 = 1 THEN 'missing' END,
+           CASE WHEN s_suppkey % 10 = 4 THEN 'no coefficient block marker' END, CASE WHEN s_suppkey % 10 = 3 THEN 'wrong number of coefficient rows' END]) AS problem
+       FROM supplier) each WHERE problem IS NOT NULL""",
+    uses="",
+)
+def run_folder_check(spark, sf):
+    base = scratch_path(spark, "run-folders")
+    c = fx.catalog(spark, sf)
+    k, first = F.col("model_id"), F.array(F.lit(0), F.lit(0)).alias("order")
+    lines = _harmonic_lines(spark, sf)
+    # some files lack the line before the blocks, others their last row
+    unmarked = (k % 10 == 4) & F.col("line").contains(harmonic_files.MARKER)
+    cut = (k % 10 == 3) & (F.col("order") == F.array(F.lit(2), F.lit(fx.NR)))
+    coef = lines.filter(~unmarked & ~cut).withColumn("name", F.lit("coef"))
+    tidal = c.filter(k % 6 != 5).select("model_id", first, _text(F.col("halo.r_outer")).alias("line"), F.lit("tidal").alias("name"))
+    manifest = c.filter(k % 4 != 1).select("model_id", first, F.to_json("grid").alias("line"), F.lit("manifest").alias("name"))
+    _one_file_each(coef.unionByName(tidal).unionByName(manifest), base, "name")
+    pattern = {"run_pattern": r"model_id=([^/]+)/", "name_pattern": r"name=([^/]+)/"}
+    listed = run_folders.artifact_listing(spark, f"{base}/name=*/model_id=*/*", **pattern)
+    _, _, broken = harmonic_files.ingest_harmonics(spark, f"{base}/name=coef/model_id=*/*", key_pattern=BY_MODEL)
+    runs = c.select(k.cast("string").alias("model_id"))
+    return run_folders.folder_problems(runs, listed, ("coef", "tidal", "manifest"), ("coef", broken))
+
+
 @query(
     "ingest_model_runs",
     "kind model_id:i item:6 value:6",

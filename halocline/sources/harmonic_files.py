@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from halocline.operators.models import absent, component
 from halocline.sources.text import numbers, uncommented
+from halocline.storage import materialise
 
 # Fixed value: text on the line that ends the header.
 MARKER = "OUTPUT FROM"
@@ -23,18 +24,24 @@ MARKER = "OUTPUT FROM"
 MODEL_FROM_FOLDER = r"([^/]+)/[^/]+$"
 
 
+NO_MARKER, BAD_HEADER, BAD_ROWS = "no coefficient block marker", "unexpected coefficient file header", "wrong number of coefficient rows"
+
+
 def _parsed(spark: SparkSession, path: str | Sequence[str], key_pattern: str) -> DataFrame:
+    """(model_id, file, fault, header lines, flags, rows) of every file; ``fault`` is null where the file is sound."""
     files = spark.read.text(path, wholetext=True)
     lines = F.split("value", r"\r?\n")
     out = files.select(
         F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("model_id"),
+        F.col("_metadata.file_path").alias("file"),
         lines.alias("__lines"),
     )
     marker = F.array_position(F.transform("__lines", lambda s: s.contains(MARKER)), True)
     out = out.withColumn("__mark", marker.cast("int"))
-    marked = F.when(F.col("__mark") > 0, F.col("__mark")).otherwise(
-        F.raise_error(F.lit("no coefficient block marker")).cast("int")
-    )
+    # without a marker there is neither a header nor a block
+    marked = F.when(F.col("__mark") > 0, F.col("__mark")).otherwise(F.size("__lines") + 1)
+    lost = F.col("__mark") <= 0
+    out = out.withColumn("__lost", lost)
     values = lambda part: F.filter(F.transform(part, lambda s: numbers(uncommented(s))), lambda v: F.size(v) > 0)
     is_flags = lambda v: (F.size(v) == 6) & F.forall(v, lambda x: x.isin(-1.0, 0.0, 1.0))
     out = out.withColumn("__mark", marked)
@@ -48,12 +55,13 @@ def _parsed(spark: SparkSession, path: str | Sequence[str], key_pattern: str) ->
             ),
         }
     )
-    complete = F.size("__h") >= 6
+    rows = (F.coalesce(_value(0, 7).cast("int"), F.lit(0)) + 1) * 3
+    fault = F.when(F.col("__lost"), NO_MARKER).when(F.size("__h") < 6, BAD_HEADER).when(F.size("__rows") != rows, BAD_ROWS)
     return out.select(
         "model_id",
-        F.when(complete, F.col("__h"))
-        .otherwise(F.raise_error(F.lit("unexpected coefficient file header")).cast("array<array<double>>"))
-        .alias("__h"),
+        "file",
+        fault.alias("fault"),
+        "__h",
         F.coalesce(
             F.get(F.col("__flags"), F.size("__flags") - 1),
             F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]),
@@ -62,6 +70,12 @@ def _parsed(spark: SparkSession, path: str | Sequence[str], key_pattern: str) ->
     )
 
 
+def _sound(files: DataFrame, *faults: str) -> DataFrame:
+    """The files, with an error for the first that has one of ``faults``."""
+    raised = F.raise_error(F.concat(F.col("fault"), F.lit(": "), F.col("file"))).cast("array<array<double>>")
+    return files.withColumn("__h", F.when(F.col("fault").isin(*faults), raised).otherwise(F.col("__h")))
+
+
 def _value(line: int, pos: int) -> Column:
     return F.coalesce(F.get(F.get(F.col("__h"), F.lit(line)), F.lit(pos)), F.lit(0.0))
 
@@ -70,7 +84,22 @@ def read_harmonic_catalog(
     spark: SparkSession, path: str | Sequence[str], *, isolated_halo: bool = False, key_pattern: str = MODEL_FROM_FOLDER
 ) -> DataFrame:
     """Catalog row per file; the first disk may have five or seven numbers."""
-    files = _parsed(spark, path, key_pattern)
+    return _catalog(_sound(_parsed(spark, path, key_pattern), NO_MARKER, BAD_HEADER), isolated_halo)
+
+
+def ingest_harmonics(
+    spark: SparkSession, path: str | Sequence[str], *, isolated_halo: bool = False, key_pattern: str = MODEL_FROM_FOLDER
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalog, coefficient rows, faults) of many files, each parsed once.
+
+    A broken file doesn't fail the job: it has a row (model_id, file, fault) among the faults and none in the other two.
+    """
+    files = materialise(_parsed(spark, path, key_pattern), "harmonic-files")
+    sound = files.filter(F.col("fault").isNull())
+    return _catalog(sound, isolated_halo), _coefficients(sound), files.filter(F.col("fault").isNotNull()).select("model_id", "file", "fault")
+
+
+def _catalog(files: DataFrame, isolated_halo: bool) -> DataFrame:
     on = lambda i: F.col("__f")[i] != 0.0
     halo_on = F.lit(True) if isolated_halo else on(4)
     v = _value
@@ -108,14 +137,12 @@ def read_harmonics(
 
     Rows shorter than the number of orders are padded with zeros.
     """
-    files = _parsed(spark, path, key_pattern).select(
-        "model_id", _value(0, 7).cast("int").alias("__nr"), _value(0, 8).cast("int").alias("__lmax"), "__rows"
-    )
-    n = F.col("__nr") + 1
-    whole = F.when(F.size("__rows") == n * 3, F.col("__rows")).otherwise(
-        F.raise_error(F.lit("wrong number of coefficient rows")).cast("array<array<double>>")
-    )
-    shells = files.withColumn("__rows", whole).select(
+    return _coefficients(_sound(_parsed(spark, path, key_pattern), NO_MARKER, BAD_HEADER, BAD_ROWS))
+
+
+def _coefficients(files: DataFrame) -> DataFrame:
+    files = files.select("model_id", _value(0, 7).cast("int").alias("__nr"), _value(0, 8).cast("int").alias("__lmax"), "__rows")
+    shells = files.select(
         "model_id",
         "__lmax",
         F.explode(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline import storage
-from halocline.sources import harmonic_files, model_runs, text
+from halocline.sources import harmonic_files, model_runs, run_folders, text
 from halocline.sources import text as text_source
 
 
@@ -130,6 +130,29 @@ def test_harmonic_files(spark, tmp_path):
         harmonic_files.read_harmonics(spark, path).collect()
 
 
+def test_folders_with_absent_empty_and_broken_files(spark, tmp_path):
+    for m, text in {"good": _coefficients(), "short": _coefficients(rows=1), "head": "1 2\n# OUTPUT FROM X\n", "none": "1 2 3\n", "void": ""}.items():
+        (tmp_path / m).mkdir()
+        (tmp_path / m / "coef").write_text(text)
+        (tmp_path / m / "disk").write_text("x")
+    (tmp_path / "good" / "disk").unlink()
+    (tmp_path / "short" / "disk").write_text("")
+    cat, rows, faults = harmonic_files.ingest_harmonics(spark, f"{tmp_path}/*/coef")
+    assert [r.model_id for r in cat.collect()] == ["good"] and {r.model_id for r in rows.collect()} == {"good"} and rows.count() == 6
+    assert {(r.model_id, r.fault) for r in faults.collect()} >= {
+        ("short", harmonic_files.BAD_ROWS), ("head", harmonic_files.BAD_HEADER), ("none", harmonic_files.NO_MARKER),
+    }
+    listing = run_folders.artifact_listing(spark, f"{tmp_path}/*/*")
+    plan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan and listing.count() == 7
+    runs = spark.createDataFrame([(m,) for m in ("good", "short", "head", "none", "void", "gone")], "model_id string")
+    got = {tuple(r) for r in run_folders.folder_problems(runs, listing, ("coef", "disk"), ("coef", faults)).collect()}
+    assert got == {
+        ("good", "disk", "missing"), ("short", "disk", "missing"), ("short", "coef", harmonic_files.BAD_ROWS), ("head", "coef", harmonic_files.BAD_HEADER),
+        ("none", "coef", harmonic_files.NO_MARKER), ("void", "coef", "missing"), ("gone", "coef", "missing"), ("gone", "disk", "missing"),
+    }
+
+
 def test_run_tables(spark, tmp_path):
     d = tmp_path / "run7"
     d.mkdir()

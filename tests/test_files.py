@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline import storage
+from halocline.operators import frames
 from halocline.sources import harmonic_files, model_runs, run_folders, text
 from halocline.sources import text as text_source
 
@@ -181,6 +182,36 @@ def test_sinks_round_trip(spark, tmp_path):
     assert text.scan_particles(spark, f"{tmp_path}/txt").count() == 2
 
 
+def test_filters_skip_what_lies_elsewhere(spark, tmp_path):
+    spread = lambda seed: (F.rand(seed) - 0.5) * 40
+    df = spark.range(0, 400_000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, "disk").otherwise("halo").alias("component"), F.lit(1.0).alias("mass"), spread(1).alias("x"), spread(2).alias("y"), spread(3).alias("z"), "id"
+    )
+    df.write.partitionBy("component").parquet(f"{tmp_path}/plain")
+    text_source.write_particles(df, f"{tmp_path}/placed", rows_per_page=256)
+
+    def scanned(name, keep):
+        rows = keep(spark.read.parquet(f"{tmp_path}/{name}"))
+        ids = sorted(r.id for r in rows.select("id", "x", "y", "z").collect())
+        kept = keep(spark.read.parquet(f"{tmp_path}/{name}")).select("id", "x", "y", "z")
+        plan = kept._jdf.queryExecution().executedPlan()
+        kept._jdf.collectToPython()
+        return ids, plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    for keep, most in (
+        (lambda d: frames.annulus_filter(d, 2.6, 2.8), 0.15),
+        (lambda d: frames.annulus_filter(d, 18.0, 18.5), 0.85),
+        (lambda d: frames.sphere_filter(d, 3.0), 0.1),
+    ):
+        (plain, all_rows), (placed, some) = scanned("plain", keep), scanned("placed", keep)
+        assert plain == placed and len(plain) > 100
+        assert all_rows > 0.95 * 400_000 and some < most * 400_000
+    # the bounds follow from the radius: rows at its very edge stay
+    edge = spark.createDataFrame([(3.0 * (1 - 2**-53), 0.0, 0.0), (0.0, -3.0, 0.0), (3.0 * 0.7071067811865475, 3.0 * 0.7071067811865475, 0.0)], "x double, y double, z double")
+    assert frames.annulus_filter(edge, 2.0, 3.0).count() == 2 and frames.sphere_filter(edge, 3.0).count() == 2
+    assert frames.annulus_filter(edge, -1.0, 99.0).count() == 3 and frames.annulus_filter(edge, 1.0, -1.0).count() == 0
+
+
 def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
     class Session:
         conf = {"spark.checkpoint.dir": "hdfs://shared/folder/"}

@@ -44,7 +44,7 @@ QUESTION_OVERLAP = ANSWER_OVERLAP = 0.25
 WHOLE_OVERLAP = 0.5  # share of all n-grams of an item that counts wherever they are
 RUN_OVERLAP = 0.45  # share of an item's words that counts in one run
 ANSWER_WORDS = 5
-ITEMS_PER_BLOCK = 4
+ITEMS_PER_BLOCK = 2  # small blocks have tight maxima, and more entries in the lists
 WORDS_PER_PART = 1 << 21  # words of the items in one partition of the index
 LEAST_PASSAGE = 64
 ROWS_AT_ONCE = 256

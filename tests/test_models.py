@@ -340,3 +340,18 @@ def test_superposition_from_particles_of_spheres(spark):
         assert x.v_bulge**2 == pytest.approx(inside["bulge"] / x.r, rel=0.04)
         assert x.v_total**2 == pytest.approx(sum(inside.values()) / x.r, rel=0.04)
         assert x.v_disk**2 == pytest.approx(x.v_total**2 - x.v_halo**2 - x.v_bulge**2)
+
+
+def test_cells_made_of_few_rows_are_shuffled_not_gathered(spark, tmp_path):
+    """The planner takes a table that each row of a small file is spread into for as small as the file."""
+    spark.range(300).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    coefficients = fx.coefficients(spark, str(tmp_path))
+    assert coefficients.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = spark.range(10).select(F.lit(7).cast("long").alias("model_id"), F.col("id").cast("double").alias("R"), F.lit(0.0).alias("z"))
+    cells = harmonics.harmonic_cells(coefficients, fx.LMAX)
+    grid = models.component("grid", dr=fx.DR, nr=fx.NR, lmax=fx.LMAX)
+    catalog = spark.range(300).select(F.col("id").alias("model_id"), grid.alias("grid"))
+    plans = [harmonics.harmonic_interpolate(points, cells, catalog, lmax=fx.LMAX), harmonics.evaluate_force(points, cells, catalog, lmax=fx.LMAX, analytic=False)]
+    for out in plans:
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert all(r["cell"] is not None if "cell" in out.columns else r["f_r"] is not None for r in out.collect())

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from halocline.llm.components import connected_components, local_components
 from halocline.llm.frames import pick
-from halocline.llm.resemblance import similar_groups
+from halocline.llm.resemblance import WORDS, similar_groups
 from halocline.storage import materialise
 
 BITS = 64
@@ -210,6 +210,13 @@ def fingerprint_links(distinct: DataFrame, n: int, limit: int = MAX_DIFFERENCE,
     return dealt.mapInArrow(join, "a long, b long")
 
 
+def fingerprint_components(classes: DataFrame, limit: int = MAX_DIFFERENCE) -> DataFrame:
+    """``classes``, a stored table of distinct ``fingerprint`` values, with the ``label`` of those linked within ``limit`` bits."""
+    links = materialise(fingerprint_links(classes.select("fingerprint"), classes.count(), limit), "simhash-links")
+    labels = connected_components(links)
+    return classes.join(labels, F.col("fingerprint") == F.col("node"), "left").select(*classes.columns, F.coalesce("label", "fingerprint").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: int = MAX_DIFFERENCE) -> DataFrame:
     """(doc_id, fingerprint long, component_id): documents linked over fingerprints within ``limit`` bits.
 
@@ -218,9 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, limit: int = MA
     """
     rows = materialise(fingerprints(docs, words), "simhash")
     classes = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    links = materialise(fingerprint_links(classes.select("fingerprint"), classes.count(), limit), "simhash-links")
-    labels = connected_components(links)
-    named = classes.join(labels, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("label"))
+    named = fingerprint_components(classes, limit)
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = materialise(named.join(smallest, "label").select(F.col("fingerprint").alias("of"), "component_id"), "simhash-components")
     return rows.join(named, F.col("fingerprint") == F.col("of")).select("doc_id", "fingerprint", "component_id")
@@ -231,8 +236,28 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_duplicate_groups(docs: DataFrame, words: int = WORDS, limit: int = MAX_DIFFERENCE) -> DataFrame:
+    """(doc_id, h, label) of every row of ``docs``: ``h`` is the xxhash64 of its text, ``label`` names its group and is never null.
+
+    Texts are linked by SimHash fingerprints of their five-word shingles within ``limit`` bits.  So few bits miss most of the
+    texts that share only four fifths of their shingles; :func:`halocline.llm.resemblance.similar_groups` links these
+    besides, and a group holds all that either connects.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    prints = materialise(fingerprints(texts, words).withColumnRenamed("doc_id", "h").distinct(), "simhash-texts")
+    classes = materialise(prints.select("fingerprint").distinct(), "simhash-classes")
+    near = prints.join(fingerprint_components(classes, limit).withColumnRenamed("label", "near"), "fingerprint").select("h", "near")
+    found = materialise(similar_groups(docs), "simhash-similar")
+    # a fingerprint's component ties the groups that its texts are in to the smallest of them
+    tied = materialise(found.select("h", "label").distinct().join(near, "h").select("near", "label").distinct(), "simhash-ties")
+    hubs = tied.groupBy("near").agg(F.min("label").alias("hub"))
+    edges = tied.join(hubs, "near").where("hub <> label").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
+    joined = connected_components(edges).withColumnRenamed("label", "smallest")
+    return found.join(joined, F.col("label") == F.col("node"), "left").select("doc_id", "h", F.coalesce("smallest", "label").alias("label"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, as :func:`halocline.llm.resemblance.similar_groups` links them.
+    """``docs`` with one row of each group of near-duplicates, as :func:`near_duplicate_groups` links them.
 
     The row with the smallest doc_id stays, a null id only if the group has no other; of unlike texts under that id one
     stays, of equal rows any one.  All columns are kept.
@@ -240,7 +265,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     at = [f"c{i}" for i in range(len(docs.columns))]
     key, text = at[docs.columns.index("doc_id")], at[docs.columns.index("text")]
     wide = docs.toDF(*at).withColumn("h", F.xxhash64(text))
-    found = similar_groups(docs)
+    found = materialise(near_duplicate_groups(wide.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "simhash-groups")
     # rows of one id and text are always of one group
     stays = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("s"))
     rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"))

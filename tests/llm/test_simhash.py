@@ -156,3 +156,23 @@ def test_similar_groups_match_comparing_all_pairs(spark, piece_rows, monkeypatch
     groups = components_of(len(texts), want)
     assert len(got) == len(texts) and 5 < len(set(groups)) < len(texts)
     assert len({(label[i], groups[i]) for i in label}) == len(set(label.values())) == len(set(groups))
+
+
+def test_dropping_takes_texts_with_near_fingerprints(spark):
+    """Links of the fingerprints count by themselves, and join groups that share shingles."""
+    rng = random.Random(14)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    texts = [" ".join(base[0]), " ".join([*base[0], "end"]), " ".join(base[1]), " ".join(base[2]), None, "one", "one"]
+    # the phrase that is repeated decides the fingerprint: shingles in common are few
+    phrase = " ".join(base[1][:9])
+    texts += [f"{' '.join([phrase] * 400)} {' '.join(base[k])}" for k in (1, 2)]
+    five = lambda t: simhash.fingerprint(None if t is None else t.encode(), 5)
+    sets = [set(resemblance.shingles(None if t is None else t.encode()).tolist()) for t in texts]
+    assert (five(texts[7]) ^ five(texts[8])).bit_count() <= 3 and 5 * len(sets[7] & sets[8]) < 4 * len(sets[7] | sets[8])
+    prints = [five(t) for t in texts]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = components_of(len(texts), similar + pairs_within(prints, 3))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    label = {r.doc_id: r.label for r in simhash.near_duplicate_groups(df).collect()}
+    assert len({(label[i], want[i]) for i in label}) == len(set(label.values())) == len(set(want)) == 4
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 4, 5]

@@ -355,3 +355,14 @@ def test_cells_made_of_few_rows_are_shuffled_not_gathered(spark, tmp_path):
     for out in plans:
         assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
         assert all(r["cell"] is not None if "cell" in out.columns else r["f_r"] is not None for r in out.collect())
+
+
+def test_lattices_of_a_small_file_are_made_by_all_tasks(spark, tmp_path):
+    """One task would sort every node of every lattice to gather the values of the axes."""
+    from halocline.queries.model_queries import _grid
+
+    spark.range(30).coalesce(1).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made, rows in ((_grid(spark, str(tmp_path)), 41 * 7), (fx.knots(spark, str(tmp_path)), 51)):
+        sizes = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 30 * rows and 1 < len(sizes) <= tasks and max(sizes) < 30 * rows

@@ -47,8 +47,9 @@ ANSWER_WORDS = 5
 ITEMS_PER_BLOCK = 2  # small blocks have tight maxima, and more entries in the lists
 WORDS_PER_PART = 1 << 21  # words of the items in one partition of the index
 LEAST_PASSAGE = 64
-ROWS_AT_ONCE = 256
-ENTRIES_AT_ONCE = 1 << 22
+# what a worker holds of texts and of entries at a time, whatever the lengths of texts and lists
+CHARS_AT_ONCE = 1 << 19
+ENTRIES_AT_ONCE = 1 << 19
 HELD_BYTES = 256 << 20  # of index partitions that a worker keeps
 # sums of rounded impacts are compared with a little less than what is asked, before the exact score decides
 NEARLY = 0.999
@@ -185,6 +186,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
+def _pieces(costs: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbours that cost some ``most`` together, or of one that costs more."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(costs) // most)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(costs)])) if len(costs) else []
+
+
 def _passages(index: Index, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (passage, term) entries in order, and the text of each passage that has any; passages are numbered anew."""
     unknown, step = len(index.terms), index.passage // 2
@@ -212,9 +219,9 @@ def retrieve(index: Index, texts: list[list[str]]) -> list[tuple[int, int, float
     entry_keys = np.repeat(np.arange(len(index.terms)), np.diff(index.starts)) * blocks + index.blocks
     starts = np.searchsorted(passage, np.arange(len(owner) + 1))
     best: dict[tuple[int, int], float] = {}
-    most = max(1, min(4096, ENTRIES_AT_ONCE // blocks))
-    for low in range(0, len(owner), most):
-        high = min(low + most, len(owner))
+    # the entries in the lists of a passage's terms, and a sum for each block
+    costs = np.bincount(passage, weights=np.diff(index.starts)[term], minlength=len(owner)).astype(np.int64) + blocks
+    for low, high in _pieces(costs, ENTRIES_AT_ONCE):
         a, z = starts[low], starts[high]
         local, t = passage[a:z] - low, term[a:z]
         first = starts[low:high] - a
@@ -384,13 +391,13 @@ def _load(path: str, keep: bool) -> Index:
 
 def _found(files: list[tuple[str, int]], texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
     """Verified items of some texts over all partitions of the index, with at most one of them in memory unless all are small."""
-    words = [tokens(t) for t in texts]
     keep = sum(size for _, size in files) <= HELD_BYTES
+    pieces = _pieces(np.array([len(t or "") + 1 for t in texts], np.int64), CHARS_AT_ONCE)
     for path, _ in files:
         index = _load(path, keep)
-        for at in range(0, len(words), ROWS_AT_ONCE):
-            for t, *rest in contaminations(index, words[at : at + ROWS_AT_ONCE]):
-                yield (at + t, *rest)
+        for low, high in pieces:
+            for t, *rest in contaminations(index, [tokens(t) for t in texts[low:high]]):
+                yield (low + t, *rest)
 
 
 MATCH = T.StructType().add("doc_id", "long").add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")

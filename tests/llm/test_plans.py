@@ -1,6 +1,7 @@
 """Decontamination, sharding, mixing, URL verdicts and the pipeline against brute force."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -303,3 +304,23 @@ def test_stages_of_empty_and_odd_documents(spark, sf_dir, documents):
         assert stage(spark, odd, sf_dir).columns[:5] == odd.columns
     kept = corpus_pipeline.STAGES[0][1](spark, odd, sf_dir)
     assert {r.doc_id for r in kept.collect()} == {3, None}
+
+
+def test_memory_for_passages_with_long_lists_is_bounded(monkeypatch):
+    rng = random.Random(6)
+    # every block has most of these words, so a passage's terms have lists of nearly all blocks
+    vocabulary = ["v%d" % i for i in range(120)]
+    items = [(i, " ".join(rng.sample(vocabulary, 100) + ["own%d_%d" % (i, j) for j in range(40)])) for i in range(120)]
+    index = dc.build_index(items)
+    texts = [rng.choices(vocabulary, k=600) for _ in range(200)] + [dc.tokens(items[9][1]), [], dc.tokens(items[70][1])]
+    tracemalloc.start()
+    try:
+        got = dc.retrieve(index, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(t, i) for t, i, _ in got} >= {(200, 9), (202, 70)}
+    assert peak < 100 << 20
+    for most in (1 << 14, 1 << 25):
+        monkeypatch.setattr(dc, "ENTRIES_AT_ONCE", most)
+        assert [r[:2] for r in dc.retrieve(index, texts[-20:])] == [(t - len(texts) + 20, i) for t, i, _ in got if t >= len(texts) - 20]

@@ -23,13 +23,7 @@ def _text(*cols: Column) -> Column:
 
 def _one_file_each(lines: DataFrame, path: str, *kinds: str) -> None:
     """Write (model_id, order, line) rows as one text file per model (and kind)."""
-    keys = [*kinds, "model_id"]
-    whole = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("order", "line"))).alias("__l"))
-    body = F.array_join(F.transform("__l", lambda s: s["line"]), "\n")
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few bytes but many files: a set number of tasks keeps Spark from merging them into one
-    spread = whole.select(*keys, body.alias("value")).repartition(tasks, *keys)
-    spread.write.partitionBy(*keys).text(path)
+    text.write_keyed_text(lines, path, [*kinds, "model_id"], ["order"])
 
 
 @query("scan_particles", "component mass x y z vx vy vz", "SELECT component, mass, x, y, z, vx, vy, vz FROM p")
@@ -65,9 +59,8 @@ def scan_first_particles(spark, sf):
     path = scratch_path(spark, "ordered-particles")
     order = ["vx", "x", "y", "z", "vy", "vz", "mass", "particle_id"]
     # one file for each halo, in an order of its own
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = fx.particles(spark, sf).repartition(tasks, "halo_id").sortWithinPartitions("halo_id", *order)
-    lines.select("halo_id", _text(*[F.col(c) for c in text.PARTICLE_COLUMNS]).alias("value")).write.partitionBy("halo_id").text(path)
+    lines = fx.particles(spark, sf).withColumn("line", _text(*[F.col(c) for c in text.PARTICLE_COLUMNS]))
+    text.write_keyed_text(lines, path, ["halo_id"], order)
     rows = text.scan_particles(spark, path, first=100)
     return rows.withColumn("halo_id", F.regexp_extract("file", "halo_id=([^/]+)/", 1))
 

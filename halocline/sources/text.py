@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from halocline.operators.keys import lookup_join
 from halocline.operators.ordering import first_in_order
-from halocline.storage import materialise
+from halocline.storage import filesystem, materialise
 
 PARTICLE_COLUMNS = ("mass", "x", "y", "z", "vx", "vy", "vz")
 
@@ -269,6 +271,47 @@ def write_particle_text(df: DataFrame, path: str, *, mode: str = "errorifexists"
     df.select(particle_line().alias("value")).write.mode(mode).text(path)
 
 
+# Fixed value: Spark's folder name of a null key.
+NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_keyed_text(lines: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], *, line: str = "line") -> None:
+    """One text file for each value of ``keys``, in folders ``key=value``, with its lines in order.
+
+    Lines are sorted and tasks write each file as its lines pass by.  A partitioned write of Spark's opens every file through Hadoop's file
+    system and renames it on the driver, which takes a hundred times as long as the small files themselves.  A task that runs again writes the same files anew.
+    Keys are numbers or plain names.
+    """
+    value = lambda k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(NULL_KEY))
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), value(k)) for k in keys])
+    fs, at = filesystem(path)
+    fs.create_dir(at, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = filesystem(path)
+        current, out, empty, files = None, None, False, 0
+        for batch in batches:
+            for name, rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), itemgetter(0)):
+                if name != current:
+                    if out:
+                        out.write(b"\n" * empty)
+                        out.close()
+                    fs.create_dir(f"{at}/{name}", recursive=True)
+                    current, out, empty, files = name, fs.open_output_stream(f"{at}/{name}/part-0.txt"), True, files + 1
+                data = "".join([f"{text}\n" for _, text in rows if text is not None])
+                out.write(data.encode())
+                empty = empty and not data
+        if out:
+            out.write(b"\n" * empty)
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    # a set number of tasks, as Spark would merge those of few bytes but many files
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select(folder.alias("__folder"), *order, F.col(line).alias("__line")).repartition(tasks, "__folder")
+    rows.sortWithinPartitions("__folder", *order, "__line").select("__folder", "__line").mapInArrow(write, "files long").agg(F.sum("files")).first()
+
+
 def write_curve_table(df: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Profiles and curves as parquet or headed csv."""
     writer = df.write.mode(mode)

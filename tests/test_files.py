@@ -228,3 +228,25 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_dir", lambda s: f"{tmp_path}/shared")
     df = storage.materialise(spark.range(3).toDF("k"), "t")
     assert df.inputFiles()[0].startswith(f"file://{tmp_path}/shared/halocline/t-") and df.count() == 3
+
+
+def test_keyed_text_is_one_ordered_file_for_each_key(spark, tmp_path):
+    rows = [(m, k, [i, -i], f"{m}{k} {i}") for m in (3, 11, None) for k in ("a", "b") for i in range(700)]
+    rows += [(5, "a", None, "x\ny"), (5, "a", [0], None), (6, "b", None, None)]
+    lines = spark.createDataFrame(rows, "m int, kind string, order array<int>, line string").repartition(5)
+    path = f"{tmp_path}/keyed"
+    text.write_keyed_text(lines, path, ["kind", "m"], ["order"])
+    files = {"/".join(r.path.split("/")[-3:-1]): r.content.decode() for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()}
+    name = lambda m: "__HIVE_DEFAULT_PARTITION__" if m is None else m
+    want = {f"kind={k}/m={name(m)}": "".join(f"{m}{k} {i}\n" for i in range(700)) for m in (3, 11, None) for k in ("a", "b")}
+    assert files == want | {"kind=a/m=5": "x\ny\n", "kind=b/m=6": "\n"}
+
+
+def test_sessions_read_many_small_files_in_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"m{i}").mkdir()
+        (tmp_path / f"m{i}" / "q").write_text("1.5\n")
+    out = model_runs.read_scalars(spark, f"{tmp_path}/*/q", "q")
+    assert out.count() == 300
+    # one task for each core at most, where Spark would make one for every 32 files
+    assert out.rdd.getNumPartitions() <= 8

@@ -139,10 +139,14 @@ def load_components(
         out = rows.withColumns({"folder": folder, "component": component, "__order": order})
         return out.filter(F.col("__order").isNotNull())
 
-    # a listing without contents decides which sources count: at most len(files) rows per folder
-    listed = spark.read.format("binaryFile").load(at).select(F.col("_metadata.file_path").alias("file"))
-    best = tagged(listed).groupBy("folder", "component").agg(F.max("__order").alias("__order"))
-    kept = tagged(scan_particles(spark, at)).join(best, ["folder", "component", "__order"], "left_semi")
+    # a listing without contents decides which sources count: at most len(files) rows per folder, stored so that the join knows its size
+    listed = tagged(spark.read.format("binaryFile").load(at).select(F.col("_metadata.file_path").alias("file")))
+    best = listed.groupBy("folder", "component").agg(F.max("__order").alias("__order"))
+    chosen = listed.join(best, ["folder", "component", "__order"], "left_semi").select("file", "folder", "component")
+    chosen = materialise(chosen, "component-files")
+    # names are told apart once for each file, and lines of files that don't count aren't parsed
+    lines = spark.read.text(at).select(F.col("_metadata.file_path").alias("file"), without_comment(F.col("value")).alias("line"))
+    kept = _leading_numbers(lookup_join(lines, chosen, ["file"], null_safe=False), PARTICLE_COLUMNS)
     return kept.select("folder", "component", *PARTICLE_COLUMNS)
 
 

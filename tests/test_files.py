@@ -242,6 +242,18 @@ def test_keyed_text_is_one_ordered_file_for_each_key(spark, tmp_path):
     assert files == want | {"kind=a/m=5": "x\ny\n", "kind=b/m=6": "\n"}
 
 
+def test_lines_of_replaced_components_are_not_parsed(spark, tmp_path):
+    line = lambda m: f"{m} 1 2 3 4 5 6\n"
+    for name, masses in {"halo": range(50), "Xhalo": (1, 2), "disk": (3,)}.items():
+        (tmp_path / "m1" / name).mkdir(parents=True)
+        (tmp_path / "m1" / name / "part-0").write_text("".join(map(line, masses)))
+    out = text.load_components(spark, f"{tmp_path}/*")
+    assert sorted((r.component, r.mass) for r in out.collect()) == [("disk", 3.0), ("halo", 1.0), ("halo", 2.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the join on the file stands below the generator that parses lines
+    assert plan.index("Generate inline") < plan.index("Join ")
+
+
 def test_sessions_read_many_small_files_in_few_tasks(spark, tmp_path):
     for i in range(300):
         (tmp_path / f"m{i}").mkdir()

@@ -282,8 +282,8 @@ NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
 def write_keyed_text(lines: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], *, line: str = "line") -> None:
     """One text file for each value of ``keys``, in folders ``key=value``, with its lines in order.
 
-    Lines are sorted and tasks write each file as its lines pass by.  A partitioned write of Spark's opens every file through Hadoop's file
-    system and renames it on the driver, which takes a hundred times as long as the small files themselves.  A task that runs again writes the same files anew.
+    Lines are sorted and tasks write each file as its lines pass by, so that no file is held whole; a partitioned write of Spark's spends many times
+    longer on opening very many small files than on their lines.  A task that runs again writes the same files anew.
     Keys are numbers or plain names.
     """
     value = lambda k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(NULL_KEY))

@@ -9,6 +9,7 @@ from llm_helpers import components_of
 
 from halocline.llm import resemblance, simhash
 from halocline.llm.components import connected_components, local_components
+from halocline.storage import materialise
 
 
 def brute_fingerprint(text):
@@ -89,6 +90,30 @@ def test_connected_components_of_long_paths(spark):
     assert local_components(4, np.array([3, 1]), np.array([1, 2])).tolist() == [0, 1, 1, 1]
 
 
+def test_components_join_few_edges_again(spark, monkeypatch):
+    """A round joins what edges lie between roots only, however many hold a group together."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400) + 1000 * k, rng.randrange(400) + 1000 * k) for k in range(5) for _ in range(4000)]
+    # low and high nodes in turn: after a round a path is left, whose ends are far apart
+    edges += [p for i in range(100) for p in ((10**6 + i, 2 * 10**6 + i), (2 * 10**6 + i, 10**6 + i + 1))]
+    stored = []
+
+    def counted(df, name):
+        out = materialise(df, name)
+        stored.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr("halocline.llm.components.materialise", counted)
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    ids = sorted({n for e in edges for n in e})
+    at = {n: i for i, n in enumerate(ids)}
+    labels = components_of(len(ids), [(at[a], at[b]) for a, b in edges if a != b])
+    assert got == {n: ids[labels[at[n]]] for n in ids}
+    graphs = [n for name, n in stored if name == "graph-edges"]
+    assert graphs[0] > 15000 and sum(graphs[1:]) < graphs[0] / 10 and graphs[-1] == 0 and len(stored) <= 16
+    assert connected_components(spark.createDataFrame([(7, 7), (None, 3)], "a long, b long")).collect() == []
+
+
 def test_near_duplicates_of_documents(documents):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(20)]

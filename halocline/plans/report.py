@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from halocline.operators.curves import linear_resample, particle_rotation_curve
 from halocline.operators.moments import component_summary
 from halocline.operators.profiles import radial_profile_disk
+from halocline.storage import materialise
 
 
 def galaxy_report(
@@ -26,14 +27,15 @@ def galaxy_report(
 
     Sections: ``summary`` (n, mass, dispersions), ``profile`` (radial bins),
     ``curve`` (rotation curve on a grid) and, when ``checks`` (a consistency
-    report) is given, ``check`` with 1 for passed rules.
+    report) is given, ``check`` with 1 for passed rules.  Each section is run and stored on its own, so the driver holds the
+    plan and the broadcasts of one section at a time.
     """
     g = [*group_cols, component_col]
 
     def long(df: DataFrame, section: str, item, metrics: Sequence[str]) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
         rows = df.select(*g, item.cast("string").alias("item"), F.explode(pairs).alias("p"))
-        return rows.select(F.lit(section).alias("section"), *g, "item", "p.metric", "p.value")
+        return materialise(rows.select(F.lit(section).alias("section"), *g, "item", "p.metric", "p.value"), f"report-{section}")
 
     summary = component_summary(particles, component_col=component_col, group_cols=group_cols)
     profile = radial_profile_disk(particles, group_cols=g)
@@ -53,5 +55,5 @@ def galaxy_report(
             F.col("passed").cast("int").cast("double").alias("value"),
         )
         # checks carry the columns that name their model
-        out = out.unionByName(rows, allowMissingColumns=True)
+        out = out.unionByName(materialise(rows, "report-check"), allowMissingColumns=True)
     return out

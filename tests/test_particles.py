@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.operators import curves, fitting, frames, moments, profiles
+from halocline.plans.report import galaxy_report
 
 SCHEMA = "particle_id long, component string, mass double, x double, y double, z double, vx double, vy double, vz double"
 
@@ -226,3 +227,18 @@ def test_filters_and_components(cloud, spark):
     swapped = frames.replace_component(df, "halo", ext)
     assert swapped.filter("component = 'halo'").count() == 4
     assert swapped.count() == (pdf.component == "disk").sum() + 4
+
+
+def test_galaxy_report_runs_its_sections_apart(spark):
+    """What the report returns reads stored sections, so that no plan holds them all."""
+    columns = "particle_id long, component string, mass double, x double, y double, z double, vx double, vy double, vz double"
+    rows = [(i, "halo" if i % 3 else "disk", 1.0 + i % 2, i * 0.5, -i * 0.25, 0.1 * i, 1.0, i * 0.1, -1.0) for i in range(1, 31)]
+    checks = spark.createDataFrame([(7, "round_trip", True, 0.0, "ok"), (7, "force_inward", False, 1.0, "failed")], "model_id long, rule string, passed boolean, observed double, detail string")
+    out = galaxy_report(spark.createDataFrame(rows, columns), checks=checks, curve_points=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Aggregate", "Generate", "Window"))
+    got = out.collect()
+    assert {r.section for r in got} >= {"summary", "curve", "check"}
+    assert {(r.component, r.value) for r in got if r.section == "summary" and r.metric == "n"} == {("halo", 20.0), ("disk", 10.0)}
+    assert {(r.model_id, r.item, r.value) for r in got if r.section == "check"} == {(7, "round_trip", 1.0), (7, "force_inward", 0.0)}
+    assert sum(r.section == "curve" for r in got) == 40

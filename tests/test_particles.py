@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from halocline.operators import curves, fitting, frames, moments, profiles
 from halocline.plans.report import galaxy_report
+from halocline.storage import materialise
 
 SCHEMA = "particle_id long, component string, mass double, x double, y double, z double, vx double, vy double, vz double"
 
@@ -151,6 +152,37 @@ def test_center_on_core(spark, cloud, group):
     assert out.count() == len(every) and out.filter("component = 'far'").first()["x"] == 90.0
 
 
+@pytest.mark.parametrize("local_rows", [0, 40, 10**6])
+def test_core_centre_by_tasks_and_by_rounds(spark, monkeypatch, local_rows):
+    """Groups of any size, with nulls, have the centres of the reference whether a task or jobs take their rounds."""
+    monkeypatch.setattr(fitting, "BATCH_ROWS", 64)
+    rng = np.random.default_rng(5)
+    sizes = {None: 30, 1: 90, 2: 35, 3: 1, 4: 40, 5: 41}
+    rows = [(g, float(m), *map(float, p)) for i, (g, n) in enumerate(sizes.items()) for m, p in zip(rng.uniform(1, 2, n), rng.normal(0.9 * i, 2.0, (n, 3)))]
+    odd = [(1, None, 0.5, 0.5, 0.5), (2, 5.0, None, 0.0, 0.0), (6, 1.0, None, None, None), (7, 0.0, 0.1, 0.1, 0.1), (8, 1.0, 99.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + odd, "k long, mass double, x double, y double, z double").repartition(3)
+    got = {r["k"]: r for r in fitting.core_center(df, core_radius=3.0, max_iter=4, group_cols=["k"], local_rows=local_rows).collect()}
+    assert set(got) == {*sizes, 6, 7, 8}
+    for k, r in got.items():
+        p = pd.DataFrame([x for x in rows if x[0] == k], columns=["k", "mass", *"xyz"])
+        off = _reference_center(p, 3.0, rounds=4) if len(p) else np.zeros(3)
+        assert np.allclose(r[1:4], off, atol=1e-12), k
+        assert r["settled"] == np.allclose(off, _reference_center(p, 3.0, rounds=3) if len(p) else off, atol=1e-12, rtol=0), k
+
+
+def test_core_centres_of_small_groups_take_no_round_of_jobs(spark, monkeypatch):
+    """However many rounds they need, what is stored stays the same."""
+    stored = []
+    monkeypatch.setattr(fitting, "materialise", lambda df, name, *path: stored.append(name) or materialise(df, name, *path))
+    rows = [(g, 1.0, 0.2 * i + g, 0.0, 0.0) for g in range(5) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, mass double, x double, y double, z double")
+    out = fitting.core_center(df, core_radius=2.0, tolerance=1e-4, group_cols=["k"]).collect()
+    for r in out:
+        p = pd.DataFrame([x for x in rows if x[0] == r["k"]], columns=["k", "mass", *"xyz"])
+        assert np.allclose(r[1:4], _reference_center(p, 2.0, tol=1e-4))
+    assert len(out) == 5 and len(stored) <= 3
+
+
 def nfw(r, a):
     return math.log(1 + r / a) - (r / a) / (1 + r / a)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocline.sources.harmonic_files import MODEL_FROM_FOLDER
+from halocline.sources.listing import whole_files
 from halocline.sources.text import numbers, uncommented
 
 FREQUENCY_COLUMNS = (
@@ -26,9 +27,7 @@ MANIFEST_SCHEMA = (
 
 
 def _files(spark: SparkSession, path, key_pattern: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("model_id"), "value"
-    )
+    return whole_files(spark, path).select(F.regexp_extract("file", key_pattern, 1).alias("model_id"), "value")
 
 
 def _lines() -> Column:

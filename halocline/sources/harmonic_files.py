@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocline.operators.models import absent, component
+from halocline.sources.listing import whole_files
 from halocline.sources.text import numbers, uncommented
 from halocline.storage import materialise
 
@@ -29,13 +30,8 @@ NO_MARKER, BAD_HEADER, BAD_ROWS = "no coefficient block marker", "unexpected coe
 
 def _parsed(spark: SparkSession, path: str | Sequence[str], key_pattern: str) -> DataFrame:
     """(model_id, file, fault, header lines, flags, rows) of every file; ``fault`` is null where the file is sound."""
-    files = spark.read.text(path, wholetext=True)
     lines = F.split("value", r"\r?\n")
-    out = files.select(
-        F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("model_id"),
-        F.col("_metadata.file_path").alias("file"),
-        lines.alias("__lines"),
-    )
+    out = whole_files(spark, path).select(F.regexp_extract("file", key_pattern, 1).alias("model_id"), "file", lines.alias("__lines"))
     marker = F.array_position(F.transform("__lines", lambda s: s.contains(MARKER)), True)
     out = out.withColumn("__mark", marker.cast("int"))
     # without a marker there is neither a header nor a block

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.sources import listing, model_runs
+from halocline.sources import harmonic_files, listing, model_runs, run_folders
 
 
 def _folders(tmp_path, n, name, text):
@@ -30,6 +30,19 @@ def test_tables_of_runs_are_listed_by_tasks(spark, tmp_path):
         assert not _listed_on_driver(reader(spark, path), "q")
 
 
+def test_run_folders_are_checked_by_tasks(spark, tmp_path):
+    path = _folders(tmp_path, 600, "coef", lambda i: "1 2\n")
+    listed = run_folders.artifact_listing(spark, path)
+    assert listed.count() == 600 and not _listed_on_driver(listed, "coef")
+    assert not _listed_on_driver(harmonic_files.read_harmonics(spark, path), "coef")
+    _, _, broken = harmonic_files.ingest_harmonics(spark, path)
+    runs = spark.range(650).select(F.concat(F.lit("m"), "id").alias("model_id"))
+    out = run_folders.folder_problems(runs, listed, ("coef",), ("coef", broken))
+    assert {(r.problem, r["count"]) for r in out.groupBy("problem").count().collect()} == {("missing", 50), (harmonic_files.NO_MARKER, 600)}
+    # neither the names nor the runs are gathered on the driver
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     top = tmp_path_factory.mktemp("odd")
